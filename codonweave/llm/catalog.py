@@ -6,22 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonweave.llm import near, quality
+from codonweave.llm import containment, licenses, near, packing, quality, secrets
 from codonweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = containment.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents")).select("doc_id", "license", "n_item", "n_shared")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_packing, op3_decontamination, op4_secret_scan, op5_quality_rules, op9_license_scan, op10_jaccard_join)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -62,5 +79,23 @@ from w left join n using (r) join reach on reach.x = w.r join w v on v.r = reach
 """
 
 
+_CONTAINED = """
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({fold}, '[^\\x20\\x09-\\x0D]+') as words from documents),
+i as (select row_number() over () as q, {key}, regexp_extract_all({fold}, '[^\\x20\\x09-\\x0D]+') as words from {items}),
+ds as (select distinct r, doc_id, list_slice(words, b, b + 4) as win from (select r, doc_id, words, unnest(range(1, len(words) - 3)) as b from d where len(words) >= 5)),
+ss as (select distinct q, {key}, list_slice(words, b, b + 4) as win from (select q, {key}, words, unnest(range(1, len(words) - 3)) as b from i where len(words) >= 5)),
+n as (select q, count(*) as n_item from ss group by q)
+select doc_id, {key}, n_item, count(*)::bigint as n_shared from ss join n using (q) join ds using (win) group by r, doc_id, q, {key}, n_item having 100 * count(*) >= 75 * n_item
+"""
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BARE = f"regexp_replace({_FOLD}, '[!-/:-@\\[-`{{-~]', '', 'g')"
+_NOTICES = "(values " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.NOTICES.items()) + ") t(license, text)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _OP5, "op10_jaccard_join": _OP10}
+    return {
+        "op3_decontamination": _CONTAINED.format(fold=_FOLD, key="item_id", items="benchmark"),
+        "op5_quality_rules": _OP5,
+        "op9_license_scan": _CONTAINED.format(fold=_BARE, key="license", items=_NOTICES),
+        "op10_jaccard_join": _OP10,
+    }

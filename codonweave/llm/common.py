@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +12,6 @@ from codonweave.session import materialize, ship
 
 #: Rows of text in one Arrow batch; long texts count, so it is far below Spark's default.
 BATCH_ROWS = 512
-#: Entries of a worker's word cache before it starts anew.
-CACHE_ENTRIES = 400_000
 SHINGLE = 5
 
 _MASK = (1 << 64) - 1
@@ -45,21 +39,9 @@ def encode(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-class _Hashes(dict):
-    """64-bit hash of each word seen, computed once per worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    """The 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,12 +98,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def frames(fn):
-    """Turn a function of one pandas frame into one of an iterator of frames."""
+def filter_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
+    """The rows for which keep(list of texts) says so, with all columns of docs as they are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), dtype=bool)))
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def map_text(docs: DataFrame, change, text: str = "text") -> DataFrame:
+    """docs with change(list of texts) in place of its texts; all other columns as they are."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    @functools.wraps(fn)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield fn(pdf)
+        for batch in batches:
+            k = batch.schema.get_field_index(text)
+            new = pa.array(change(batch.column(k).to_pylist()), type=batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays([new if i == k else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return run
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -14,8 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from codonweave.llm.common import encode, map_rows
+from codonweave.llm.common import encode, filter_rows, map_rows
 
 #: Shortest repeat, in words, that counts as covered; the part of the words, in hundredths, that may be covered; the longest repeat allowed.
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 15, 50
@@ -139,8 +140,6 @@ def measure(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -
         for pdf in batches:
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(_measure(list(pdf[text]), min_repeat), columns=names)], axis=1)
 
-    from pyspark.sql.types import StructType
-
     return map_rows(docs, run, StructType(docs.schema.fields + StructType.fromDDL(SCHEMA).fields))
 
 
@@ -156,9 +155,11 @@ def quality(docs: DataFrame, **limits: int) -> DataFrame:
     return verdict(measure(docs.select("doc_id", "text")), **limits).drop("text")
 
 
-def keep_good(docs: DataFrame, **limits: int) -> DataFrame:
-    """The rows of docs whose text passes, with all columns of docs.
+def keep_good(docs: DataFrame, max_covered: int = MAX_COVERED, max_repeat: int = MAX_REPEAT, min_repeat: int = MIN_REPEAT) -> DataFrame:
+    """The rows of docs whose text passes, with all columns of docs as they are."""
+
+    def passes(texts: list[str | None]) -> np.ndarray:
+        n_words, _, _, _, repeat, cover, longest = _measure(texts, min_repeat).T
+        return (n_words >= 10) & (100 * repeat <= 20 * n_words) & (100 * cover <= max_covered * n_words) & (longest <= max_repeat)
 
-    Columns of docs that are named like a measure stay as they are."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return verdict(measure(packed), **limits).filter("kept").select("row.*")
+    return filter_rows(docs, passes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonweave.llm import near, quality
+from codonweave.llm import containment, near, packing, quality, secrets
 from codonweave.session import materialize
 
 
@@ -16,7 +16,19 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return near.drop_near(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("jaccard_join", jaccard_join)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return containment.without(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pieces(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("secret_scans", secret_scans), ("packing", pack)]
 
 #: The later stages tokenize and cut texts, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL: str | None = None
