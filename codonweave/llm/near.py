@@ -5,14 +5,16 @@ prefix of which linked documents share one; of prefixes longer by l - 1 they sha
 lengthens its prefix by what its tokens would cost in candidates: one token for each frequent token
 in it, and one for each candidate that its other tokens would bring. A document whose frequent
 tokens fit into the lengthened part (kind A) is then matched on its rare tokens alone: at least one of the
-l shared tokens is rare. A document with more of them (kind B) keeps the longest
-prefix, whose length is the same function of n for all, and finds others of kind B by frequent
-tokens as well. Kind A stops lengthening where the smallest linkable partner of kind B stops, so the
-shorter of two prefixes always decides.
+l shared tokens is rare, and as many more as rare tokens were added. Kind A stops lengthening
+where the smallest linkable partner would have to stop, so the shorter of two prefixes always decides and
+a pair with one of kind A is never missed. Documents with more frequent tokens (kind B: mostly copies) are joined
+with each other once more, on whole sets ordered by how many of them hold a token, rarest first.
 
-Equal sets are one class from the start. Classes that share tokens are first
-verified against one pivot per token, and components are formed; only tokens whose classes lie in
-different components are then joined pair by pair, so a group of copies never yields all its pairs."""
+Equal sets are one class from the start. Classes that share tokens are first verified against one
+pivot each and components are formed; only tokens whose classes lie in different components are
+then joined pair by pair, so a group of copies never yields all its pairs. Copies x, y with one pivot c
+overlap in at most min(|x & c|, |y & c|) tokens of c, which are known, so what is lacking must be tokens
+outside c: copies are joined on those, and on their prefixes only where nothing is lacking. Both bounds are exact."""
 
 from __future__ import annotations
 
@@ -90,7 +92,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least 0.75."""
+    """The pairs (a, b) with common, the size of their sets' overlap, and linked: whether their Jaccard similarity is 0.75 or more."""
     pairs = materialize(pairs.select("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp")
     sets = materialize(_sets(docs, wanted).dropDuplicates(["fp"]))
@@ -99,13 +101,11 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(pdf["x"], pdf["y"])], np.int64)
+            total = np.array([len(x) + len(y) for x, y in zip(pdf["x"], pdf["y"])], np.int64)
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": common, "linked": 100 * common >= 75 * (total - common)})
 
-    return materialize(map_rows(both, run, "a long, b long"))
+    return materialize(map_rows(both, run, "a long, b long, common long, linked boolean"))
 
 
 def _close(n: str, m: str) -> Column:
@@ -114,9 +114,9 @@ def _close(n: str, m: str) -> Column:
 
 
 def prefixes(tokens: DataFrame) -> DataFrame:
-    """(token, df, fp, n, pos) of shared tokens to the rows of each class's adaptive prefix.
+    """(token, df, fp, n, pos) of shared tokens to the rare tokens of each class's adaptive prefix.
 
-    Adds frequent, kind ('A' or 'B'), l (the prefix is longer by l - 1) and m (rare tokens to share)."""
+    Adds kind ('A' or 'B'), l (the prefix is longer by l - 1) and m (rare tokens to share)."""
     frequent = F.col("df") > FREQUENT
     p = F.col("n") - _needed(F.col("n")) + 1
     per = tokens.groupBy("fp", "n").agg(
@@ -130,35 +130,76 @@ def prefixes(tokens: DataFrame) -> DataFrame:
 
     per = per.withColumn("least_l", lengthened(F.lit(1).cast("long"))).withColumn("kind", F.when(F.col("least_l") <= limit, "A").otherwise("B"))
     per = per.withColumn("extra", F.least(F.col("cost"), F.greatest(limit - F.col("least_l"), F.lit(0))))
-    # more matches than one are asked for only where the longer prefix still ends in time
+    # more matches than one, as many as the candidates expected or as the longest prefix allows
     per = per.withColumn("more_l", lengthened(1 + F.col("extra"))).withColumn("fits", F.col("more_l") <= limit)
+    longest_m = limit - F.size(F.filter("at", lambda q: q < p + limit - 1))
     per = per.select(
         "fp", "kind",
-        F.when(F.col("kind") == "B", 1 + _room(F.col("n"))).when(F.col("fits"), F.col("more_l")).otherwise(F.col("least_l")).alias("l"),
-        F.when((F.col("kind") == "A") & F.col("fits"), 1 + F.col("extra")).otherwise(1).alias("m"),
+        F.when(F.col("kind") == "B", 1 + _room(F.col("n"))).when(F.col("fits"), F.col("more_l")).otherwise(limit).cast("long").alias("l"),
+        F.when(F.col("kind") == "B", 1).when(F.col("fits"), 1 + F.col("extra")).otherwise(longest_m).cast("long").alias("m"),
     )
-    rows = tokens.withColumn("frequent", frequent).join(per, "fp")
-    return rows.filter((F.col("pos") < p + F.col("l") - 1) & (~F.col("frequent") | (F.col("kind") == "B")))
+    rows = tokens.join(per, "fp").withColumn("frequent", frequent)
+    return rows.filter((F.col("pos") < p + F.col("l") - 1)).select("token", "fp", "n", "kind", "l", "m", "frequent")
+
+
+def whole_tokens(sets: DataFrame) -> DataFrame:
+    """Whole sets (fp, items) to (token, fp, n, own, usual, pos) of tokens that several hold.
+
+    own: how many such tokens a class has; classes with fewer than any link needs are left out. pos: the token's
+    place in its class, rarest first, from 1, tokens of one class before all. usual: how many classes its tokens have on average."""
+    tokens = sets.select("fp", F.size("items").cast("long").alias("n"), F.explode("items").alias("token"))
+    tokens = tokens.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
+    per = tokens.withColumn("own", F.count("*").over(W.partitionBy("fp"))).filter(F.col("own") >= _needed(F.col("n")))
+    place = F.col("n") - F.col("own") + F.row_number().over(W.partitionBy("fp").orderBy("df", "token"))
+    usual = F.sum("df").over(W.partitionBy("fp")) / F.col("n")
+    return per.select("token", "fp", "n", "own", usual.alias("usual"), place.alias("pos"))
 
 
 def _star(rows: DataFrame, by: Column) -> DataFrame:
-    """Candidates (a, b): each class with its token's pivot, where they share a fair part of what a link needs."""
-    least = rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), F.col("fp"), F.col("n"))).alias("pivot"), F.count("*").alias("c")).filter("c > 1")
-    pairs = rows.join(least, "token").filter("fp <> pivot.fp").filter(_close("n", "pivot.n"))
-    votes = pairs.groupBy(F.col("pivot.fp").alias("a"), F.col("fp").alias("b"), "n", "kind", "l", "m").agg(F.count("*").alias("votes"))
-    enough = F.when(F.col("kind") == "B", F.col("l")).otherwise(F.col("m"))
-    return votes.filter(4 * F.col("votes") >= enough).select("a", "b")
+    """Candidates (a, b): each class b with the pivot a of most of its tokens. A token's pivot is least in `by`."""
+    least = rows.groupBy("again", "token").agg(F.min(F.struct(by.alias("by"), F.col("fp"), F.col("n"))).alias("pivot"), F.count("*").alias("c")).filter("c > 1")
+    pairs = rows.join(least, ["again", "token"]).filter("fp <> pivot.fp").filter(_close("n", "pivot.n"))
+    votes = pairs.groupBy("again", F.col("pivot.fp").alias("a"), F.col("fp").alias("b"), "m").agg(F.count("*").alias("votes")).filter("4 * votes >= m")
+    return votes.groupBy("again", "b").agg(F.max(F.struct("votes", "a")).alias("best")).select("best.a", "b")
+
+
+def _overlap(n: str, m: str) -> Column:
+    """Least overlap of two linked sets of these sizes: 100 c >= 75 (n + m - c)."""
+    return F.floor((75 * (F.col(n) + F.col(m)) + 174) / 175)
 
 
 def _rest(rows: DataFrame) -> DataFrame:
     """Candidates (a, b) of different components that share as many prefix tokens as a link needs. rows has comp."""
-    split = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    rows = rows.join(split, "token").select("token", "frequent", "fp", "n", "comp", "kind", "l", "m")
-    other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "comp", "kind", "l", "m")])
-    pairs = rows.join(other, "token").filter("fp < fp2 and comp <> comp2").filter(_close("n", "n2"))
-    pairs = pairs.groupBy(F.col("fp").alias("a"), F.col("fp2").alias("b"), "kind", "kind2", "l", "l2", "m", "m2").agg(F.count("*").alias("shared"), F.sum((~F.col("frequent")).cast("long")).alias("rare"))
-    enough = F.when((F.col("kind") == "B") & (F.col("kind2") == "B"), F.col("shared") >= F.least("l", "l2")).otherwise(F.col("rare") >= F.when(F.col("kind") == "B", F.col("m2")).when(F.col("kind2") == "B", F.col("m")).otherwise(F.least("m", "m2")))
-    return pairs.filter(enough).select("a", "b")
+    rows = _split(rows)
+    names = ("fp", "n", "comp", "kind", "m", "own", "pivot", "held")
+    other = rows.select("again", "token", *[F.col(c).alias(f"{c}2") for c in names])
+    least = _overlap("n", "n2")
+    of_one = F.col("again") & (F.least("own", "own2") >= least) & ((F.col("pivot") != F.col("pivot2")) | (F.least("held", "held2") >= least))
+    fits = of_one | (~F.col("again") & ((F.col("kind") == "A") | (F.col("kind2") == "A")))
+    pairs = rows.join(other, ["again", "token"]).filter("fp < fp2 and comp <> comp2").filter(_close("n", "n2") & fits)
+    # between kinds A and B the prefix of A decides
+    need = F.when(F.col("kind") == F.col("kind2"), F.least("m", "m2")).when(F.col("kind") == "A", F.col("m")).otherwise(F.col("m2"))
+    return pairs.groupBy("again", F.col("fp").alias("a"), F.col("fp2").alias("b"), need.alias("need")).agg(F.count("*").alias("shared")).filter("shared >= need").select("a", "b")
+
+
+def _outside(tokens: DataFrame) -> DataFrame:
+    """Candidates (a, b) of one pivot and different components that share enough tokens outside it.
+
+    tokens: (token, fp, n, own, pivot, held, comp)."""
+    mixed = tokens.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("pivot")
+    own = tokens.join(mixed, "pivot")
+    of_pivot = own.select(F.col("pivot")).distinct().join(tokens.select(F.col("fp").alias("pivot"), "token"), "pivot")
+    out = own.filter("fp <> pivot").join(of_pivot, ["pivot", "token"], "left_anti")
+    other = out.select("pivot", "token", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "comp", "held")])
+    pairs = out.join(other, ["pivot", "token"]).filter("fp < fp2 and comp <> comp2").filter(_close("n", "n2"))
+    lack = _overlap("n", "n2") - F.least("held", "held2")
+    return pairs.groupBy(F.col("fp").alias("a"), F.col("fp2").alias("b"), lack.alias("lack")).agg(F.count("*").alias("shared")).filter("shared >= lack").select("a", "b")
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """The rows of tokens whose classes lie in several components."""
+    split = rows.groupBy("again", "token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("again", "token")
+    return rows.join(split, ["again", "token"])
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -179,20 +220,32 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tokens = ones.select("fp", "n", F.posexplode("head").alias("pos", "token"))
     tokens = tokens.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
     tokens = materialize(tokens.select("token", "df", "fp", "n", F.col("pos").cast("long").alias("pos")).distinct())
-    rows = materialize(prefixes(tokens))
-
-    links: DataFrame | None = None
-    comp: DataFrame | None = None
-    for k in range(STAR_ROUNDS):
-        now = rows
-        if comp is not None:  # only tokens that hold several components need another pivot
-            now = _with_component(rows, comp)
-            split = now.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-            now = now.join(split, "token")
-        found = _verified(docs, classes, _star(now, F.col("fp") if k == 0 else F.xxhash64("fp", F.lit(k))))
-        links = found if links is None else links.unionAll(found)
-        comp = materialize(connected_components(links))
-    links = links.unionAll(_verified(docs, classes, _rest(_with_component(rows, comp))))
+    first = materialize(prefixes(tokens))
+    copies = first.filter("kind = 'B'").select("fp").distinct().join(classes.select("fp", "rep"), "fp")
+    whole = materialize(whole_tokens(materialize(_sets(docs, copies).dropDuplicates(["fp"]))))
+    prefix = whole.filter(F.col("pos") <= F.col("n") - _needed(F.col("n")) + 1)
+    again = prefix.select("token", "fp", "n", F.lit("B").alias("kind"), F.lit(1).cast("long").alias("m"), F.lit(True).alias("again"), "own")
+    rows = first.filter("not frequent").select("token", "fp", "n", "kind", "m", F.lit(False).alias("again"), F.col("n").alias("own")).unionByName(again)
+    rows = materialize(rows)
+
+    # copies look for a pivot by all their tokens, and the most usual of them are pivots: edits are rare, the original is usual
+    stars = rows.filter("not again").select("again", "token", "fp", "n", "m", F.col("fp").cast("double").alias("by"))
+    stars = stars.unionByName(whole.select(F.lit(True).alias("again"), "token", "fp", "n", F.lit(1).cast("long").alias("m"), (-F.col("usual")).alias("by")))
+    checked = _verified(docs, classes, _star(stars, F.col("by")))
+    for k in range(1, STAR_ROUNDS):  # only tokens that hold several components need another pivot
+        now = _split(_with_component(stars, materialize(connected_components(checked.filter("linked")))))
+        checked = checked.unionAll(_verified(docs, classes, _star(now, F.xxhash64("fp", F.lit(k)))))
+    links = checked.filter("linked").select("a", "b")
+    comp = materialize(connected_components(links))
+    # what each class has in common with its pivot; one without a pivot is its own
+    known = checked.join(whole.select(F.col("fp").alias("a")).distinct(), "a", "left_semi")
+    pivots = known.groupBy(F.col("b").alias("fp")).agg(F.max(F.struct("common", "a")).alias("x")).select("fp", F.col("x.a").alias("pivot"), F.col("x.common").alias("held"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        near = _with_component(df, comp).join(pivots, "fp", "left")
+        return near.withColumns({"pivot": F.coalesce("pivot", "fp"), "held": F.coalesce("held", "n")})
+
+    links = links.unionAll(_verified(docs, classes, _rest(placed(rows)).unionAll(_outside(placed(whole)))).filter("linked").select("a", "b"))
     comp = connected_components(links).withColumnRenamed("node", "fp")
     grouped = materialize(classes.join(comp, "fp", "left").select("fp", "rep", "copies", F.coalesce("component", "fp").alias("component")))
     least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
