@@ -12,7 +12,11 @@ from pyspark.sql import Window as W
 
 from codonweave.operators.intervals import overlap_join
 
-_PLUS = F.col("strand") == "+"
+
+def _plus() -> Column:
+    return F.col("strand") == "+"
+
+
 EXON = ["tr_id", "chrom", "strand", "idx", "start", "stop", "cum", "len", "cs", "ce"]
 
 
@@ -40,14 +44,14 @@ def pos_to_trpos(positions: DataFrame, exons: DataFrame) -> DataFrame:
     near = positions.join(ex, "tr_id")
     inside = (F.col("_first") & (F.col("pos") < F.col("start"))) | (F.col("_last") & (F.col("pos") > F.col("stop"))) | F.col("pos").between(F.col("start"), F.col("stop"))
     u = F.col("cum") + F.col("pos") - F.col("start") + 1
-    found = near.groupBy("tr_id", "pos", *other).agg(F.max(F.when(inside, F.when(_PLUS, u).otherwise(F.col("len") - u + 1))).alias("trpos"))
+    found = near.groupBy("tr_id", "pos", *other).agg(F.max(F.when(inside, F.when(_plus(), u).otherwise(F.col("len") - u + 1))).alias("trpos"))
     return found
 
 
 def trpos_to_pos(positions: DataFrame, exons: DataFrame) -> DataFrame:
     """positions (tr_id, trpos, ...) with pos."""
     ex = _ends(exons.select("tr_id", "strand", "idx", "start", "stop", "cum", "len"))
-    u = F.when(_PLUS, F.col("trpos")).otherwise(F.col("len") - F.col("trpos") + 1)
+    u = F.when(_plus(), F.col("trpos")).otherwise(F.col("len") - F.col("trpos") + 1)
     size = F.col("stop") - F.col("start") + 1
     hit = (F.col("_first") | (u > F.col("cum"))) & (F.col("_last") | (u <= F.col("cum") + size))
     return positions.join(ex, "tr_id").filter(hit).select(*positions.columns, (F.col("stop") + u - F.col("cum") - size).alias("pos"))
@@ -58,8 +62,8 @@ def trinterval_to_intervals(spans: DataFrame, exons: DataFrame) -> DataFrame:
 
     A span whose start is its end + 1 gives nothing."""
     ex = _ends(exons.select("tr_id", "chrom", "strand", "idx", "start", "stop", "cum", "len"))
-    lo = F.when(_PLUS, F.col("t_start")).otherwise(F.col("len") - F.col("t_stop") + 1)
-    hi = F.when(_PLUS, F.col("t_stop")).otherwise(F.col("len") - F.col("t_start") + 1)
+    lo = F.when(_plus(), F.col("t_start")).otherwise(F.col("len") - F.col("t_stop") + 1)
+    hi = F.when(_plus(), F.col("t_stop")).otherwise(F.col("len") - F.col("t_start") + 1)
     size = F.col("stop") - F.col("start") + 1
     a = F.when(F.col("_first"), lo).otherwise(F.greatest(lo, F.col("cum") + 1))
     b = F.when(F.col("_last"), hi).otherwise(F.least(hi, F.col("cum") + size))
@@ -135,14 +139,14 @@ def coding_phase(exons: DataFrame) -> Column:
     """pmod of codon starts (+) or codon ends (-) on the chromosome, for an exon row's coding frame."""
     plus = F.pmod(F.col("start") + F.col("cs") - F.col("cum") - 1, F.lit(3))
     minus = F.pmod(F.col("len") + F.col("start") - F.col("cum") - F.col("cs"), F.lit(3))
-    return F.when(_PLUS, plus).otherwise(minus)
+    return F.when(_plus(), plus).otherwise(minus)
 
 
 def cds_with_phase(exons: DataFrame, include_stop: bool) -> DataFrame:
     """Coding parts with their phase: tr_id, chrom, strand, start, stop, phase."""
     hi = F.col("ce") - (0 if include_stop else 3)
-    lo_u = F.when(_PLUS, F.col("cs")).otherwise(F.col("len") - hi + 1)
-    hi_u = F.when(_PLUS, hi).otherwise(F.col("len") - F.col("cs") + 1)
+    lo_u = F.when(_plus(), F.col("cs")).otherwise(F.col("len") - hi + 1)
+    hi_u = F.when(_plus(), hi).otherwise(F.col("len") - F.col("cs") + 1)
     size = F.col("stop") - F.col("start") + 1
     cut = exons.filter("cs is not null and ce is not null").withColumns({"_a": F.greatest(lo_u, F.col("cum") + 1), "_b": F.least(hi_u, F.col("cum") + size)}).filter("_a <= _b")
     shift = F.col("start") - F.col("cum") - 1
