@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -320,6 +321,20 @@ def test_pseudo_likelihood_tells_order(spark):
     assert a > unigram + 0.5 and a > b + 1 and counts
 
 
+def test_rare_words_have_their_own_share(spark):
+    texts = [f"k{i}able" for i in range(5000) for _ in range(2)] + ["q1able"] * 2 + ["q2able"]
+    df = docs_of(spark, texts)
+    model = lm.train(df, vocabulary=1, rounds=1)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(df, model).collect()}
+    # Words of one text each have the same neighbours, so those of one class differ by their counts alone.
+    assert "q2able" not in model.entries and got[9998] - got[len(texts) - 1] == pytest.approx(np.log(2))
+    new = {r["doc_id"]: r["log_likelihood"] for r in lm.score(docs_of(spark, ["zzable"]), model).collect()}
+    assert new[0] == pytest.approx(got[len(texts) - 1])
+    mass = sum(math.exp(v) for v in {texts[i]: v for i, v in got.items()}.values())
+    assert 0.3 < mass < 1.0001
+    assert lm.Model([], {}, 10**8).classes > lm.Model([], {}, 10**6).classes > lm.Model([], {}, 100).classes
+
+
 def test_pipeline_against_stages(spark, sf_dir):
     import corpus_pipeline as p
 
