@@ -180,6 +180,24 @@ def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.withColumn("idx", S.kmer_index("kmer"))
 
 
+#: Windows that are cut from one stretch of a sequence.
+_STRETCH = 512
+
+
+def _windows(spark: SparkSession, sf_dir: str, k: int, name: str) -> DataFrame:
+    """doc_id, pos (1-based) and bases of every window of k bases. Sequences are cut into stretches first, as substring counts from the start."""
+    dna = derived(spark, sf_dir, "dna").filter(F.length("seq") >= k)
+    starts = F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1, F.lit(_STRETCH))).alias("first")
+    parts = dna.select("doc_id", "seq", starts).select("doc_id", "first", F.substring("seq", F.col("first"), F.lit(_STRETCH + k - 1)).alias("part"))
+    at = F.explode(F.sequence(F.lit(1), F.length("part") - k + 1)).alias("i")
+    return parts.select("doc_id", "first", "part", at).select("doc_id", (F.col("first") + F.col("i") - 1).cast("long").alias("pos"), F.substring("part", F.col("i"), F.lit(k)).alias(name))
+
+
+@query()
+def kmer_index_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, 7, "kmer").withColumn("idx", S.kmer_index("kmer"))
+
+
 @query(with_inputs("regions") + " select rid, chrom || ':' || start || '-' || stop as region, chrom || ':' || start || '-' || stop || ':' || strand as name, chrom || ':' || start || '-' || (start + 2) || '+' || chrom || ':' || (stop - 2) || '-' || stop as parts from regions")
 def region_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.array(F.struct(F.col("start"), (F.col("start") + 2).alias("stop")), F.struct((F.col("stop") - 2).alias("start"), F.col("stop")))
@@ -248,6 +266,16 @@ def acceptor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splice.acceptor_score(k, "context", _coefficients(spark, splice.SIZES)).withColumn("acceptor_score", F.round("acceptor_score", 6))
 
 
+@query()
+def donor_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splice.donor_score(_windows(spark, sf_dir, 7, "context"), "context", _coefficients(spark, [4**7])).withColumn("donor_score", F.round("donor_score", 6))
+
+
+@query()
+def acceptor_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splice.acceptor_score(_windows(spark, sf_dir, 21, "context"), "context", _coefficients(spark, splice.SIZES)).withColumn("acceptor_score", F.round("acceptor_score", 6))
+
+
 @query(_DNA + f""", s as (select doc_id as name, '+' as strand, seq, length(seq) as n from dna union all select doc_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')), length(seq) from dna),
     p as (select *, unnest(range(1, n)) as i from s), d as (select name, strand, 'donor' as kind, case when strand = '+' then i else n - i + 1 end as pos, substr(seq, i - 3, 3) || substr(seq, i + 2, 4) as context from p where substr(seq, i, 2) = 'GT' and i > 3 and i + 5 <= n),
     a as (select name, strand, 'acceptor' as kind, case when strand = '+' then i else n - i + 1 end as pos, substr(seq, i - 18, 18) || substr(seq, i + 2, 3) as context from p where substr(seq, i, 2) = 'AG' and i > 18 and i + 4 <= n)

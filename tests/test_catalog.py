@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import glob
+import math
 import os
+import re
 
 import duckdb
 import pandas as pd
 import pytest
 
+from codonweave.operators import splice
 from codonweave.plans import catalog
 
 
@@ -40,3 +43,36 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"stratified_sample", "rbf_scores", "candidate_regions"}))
 def test_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
+
+
+def _dna(sf_dir):
+    texts = pd.read_parquet(f"{sf_dir}/documents.parquet").dropna(subset=["text"])
+    return {i: re.sub("[^ACGT]", "", t.upper()) for i, t in zip(texts["doc_id"], texts["text"])}
+
+
+def _index(w):
+    return sum("ACGT".index(c) * 4 ** (len(w) - 1 - i) for i, c in enumerate(w))
+
+
+def _coef(i):
+    return ((i * 7919 + 13) % 99991 + 1) / 99991
+
+
+def _donor(w):
+    return math.log2(splice.DONOR_FACTOR * _coef(_index(w)))
+
+
+def _acceptor(w):
+    x = [_coef(_index(w[a : b + 1]) + sum(splice.SIZES[:k])) for k, (a, b) in enumerate([*splice.TIMES, *splice.DIVIDE])]
+    return math.log2(splice.ACCEPTOR_FACTOR * math.prod(x[:5]) / math.prod(x[5:]))
+
+
+@pytest.mark.parametrize("name, k, value", [("kmer_index_windows", 7, _index), ("donor_window_scores", 7, _donor), ("acceptor_window_scores", 21, _acceptor)])
+def test_every_window(spark, sf_dir, name, k, value):
+    got = catalog.queries()[name](spark, sf_dir).toPandas()
+    dna = _dna(sf_dir)
+    want = {(i, p + 1): s[p : p + k] for i, s in dna.items() for p in range(len(s) - k + 1)}
+    doc, pos, text, x = (got[c] for c in got.columns)
+    assert len(got) == len(want) and dict(zip(zip(doc, pos), text)) == want
+    assert max(len(s) for s in dna.values()) > 600  # more than one stretch
+    assert x.to_numpy() == pytest.approx([value(w) for w in text], abs=1e-5)
