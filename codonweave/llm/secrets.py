@@ -2,7 +2,7 @@
 
 Text of any language takes several characters a token; a random string takes fewer than two. Runs
 of key characters with a low ratio are secrets unless they look like known digests,
-UUIDs, numbers or identifiers made of words."""
+UUIDs, numbers or identifiers whose parts the vocabulary encodes as words."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ from codonweave.llm.common import map_rows, map_text
 MAX_RATIO, MIN_RUN = 2.0, 20
 KINDS = ("assign", "access", "hex", "random")
 MARK = "[SECRET]"
+#: Characters that are encoded at once.
+STRETCH = 4096
 
 _ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = re.compile(rf"""(?:{_ANY_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -29,6 +31,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _KNOWN = re.compile(r"[0-9]+|(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORDY = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/=+-]+(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/=+-]*")
+_LETTERS = re.compile(r"[A-Za-z]+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,11 +53,25 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _tokens(run: str, path: str) -> int:
+    """Tokens of a run; very long ones are encoded in stretches."""
+    return sum(len(encoding(path).encode_ordinary(run[a : a + STRETCH])) for a in range(0, len(run), STRETCH))
+
+
+def _words(run: str, path: str, max_ratio: float) -> bool:
+    """Whether every part of letters is one token or has more than max_ratio characters a token, as a lower-case word."""
+    for part in _LETTERS.findall(run):
+        n = _tokens(" " + part.lower(), path)
+        if n > 1 and len(part) <= max_ratio * n:
+            return False
+    return True
+
+
 def is_random(run: str, path: str, max_ratio: float = MAX_RATIO) -> bool:
     """Whether a run of key characters is a random string."""
-    if _KNOWN.fullmatch(run) or _WORDY.fullmatch(run):
+    if _KNOWN.fullmatch(run) or len(run) >= max_ratio * _tokens(run, path):
         return False
-    return len(run) < max_ratio * len(encoding(path).encode_ordinary(run))
+    return not (_WORDY.fullmatch(run) and _words(run, path, max_ratio))
 
 
 def spans(text: str | None, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:

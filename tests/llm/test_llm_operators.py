@@ -215,6 +215,18 @@ def test_secrets(spark):
     assert odd not in clean[0]["text"] and clean[3]["text"] == f"lone {secrets.MARK} here" and clean[3]["n_chars"] == len(clean[3]["text"]) and clean[4]["text"] == texts[4]
 
 
+def test_secrets_of_one_case():
+    rng = random.Random(21)
+    path = secrets.vocabulary()
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n, least in ((20, 0.85), (32, 0.93), (64, 0.98)):
+            found = sum(secrets.is_random("".join(rng.choice(letters) for _ in range(n)), path) for _ in range(300))
+            assert found >= least * 300, (letters[0], n, found)
+    assert secrets.is_random("ABCD-1234-EFGH-5678-XYZQ", path)
+    for run in ("some_long_identifier_with_words", "MAX_RETRY_COUNT_LIMIT_2024", "AnotherLongIdentifierMadeOfWords", "path/to/the/source/files", "CONNECTION_TIMEOUT_SECONDS", "one-two-six-ten-and-so-on", "internationalization"):
+        assert not secrets.is_random(run, path), run
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
