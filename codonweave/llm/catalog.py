@@ -54,6 +54,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents")).select("doc_id", "license", "n_item", "n_shared")
 
 
+def op9_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_texts(table(spark, sf_dir, "documents")).select("doc_id", "license", "n_item", "n_shared")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_lm_scoring, op2_packing, op3_decontamination, op4_secret_scan, op5_quality_rules,
-        op6_language_id, op7_token_counts, op8_toxicity, op9_license_scan, op10_jaccard_join,
+        op6_language_id, op7_token_counts, op8_toxicity, op9_license_scan, op9_license_texts, op10_jaccard_join,
     )
     return {f.__name__: f for f in found}
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codonweave.llm import containment
-from codonweave.llm.common import encode
+from codonweave.llm.common import SHINGLE, encode
 
 # Short public notices by their SPDX names.
 NOTICES = {
@@ -23,6 +25,42 @@ NOTICES = {
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
 
+# Further public notices, clauses of license texts, and lines under five words. Where versions differ in one word the template is short, so that
+# a fourth of its shingles cannot make up for that word; it stands in place of the notice of its name.
+TEXTS = {
+    "All-rights-reserved": "All rights reserved.",
+    "Apache-2.0-text": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "MIT-short": "MIT License",
+    "MIT-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "MIT-warranty": "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",
+    "BSD-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "BSD-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "BSD-3-endorse": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "BSD-warranty": "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "GPL-2.0-later": "either version 2 of the License",
+    "GPL-3.0-later": "either version 3 of the License",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-3.0": "GNU General Public License, version 3",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+    "LGPL-text": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-text": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "LGPL-name": "GNU Lesser General Public License",
+    "AGPL-name": "GNU Affero General Public License",
+    "MPL-2.0-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "ISC-warranty": "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+}
+TEXTS |= {f"CC-{x}-{v}-short": f"CC {x} {v}" for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("2.0", "3.0", "4.0")}
+TEXTS |= {
+    f"SPDX:{x}": f"SPDX-License-Identifier: {x}"
+    for x in (
+        "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+        "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+    )
+}
+TEXTS["SPDX"] = "SPDX-License-Identifier:"
+
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -41,3 +79,14 @@ def licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     A notice is held if three quarters of its 5-word shingles occur in the text, case and ASCII punctuation aside. templates: columns license and text. Null and empty texts hold none."""
     found = notices(docs.sparkSession) if templates is None else templates
     return containment.search(docs, found, "license", words=notice_words)
+
+
+def license_texts(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """licenses() over notices, clauses and short lines; a template of fewer than five words is one shingle of its own length."""
+    sizes: dict[int, dict[str, str]] = {}
+    for name, text in (templates or NOTICES | TEXTS).items():
+        n = len(notice_words(text))
+        if n:
+            sizes.setdefault(min(n, SHINGLE), {})[name] = text
+    parts = [containment.search(docs, notices(docs.sparkSession, own), "license", words=notice_words, k=k) for k, own in sorted(sizes.items())]
+    return reduce(DataFrame.unionAll, parts)

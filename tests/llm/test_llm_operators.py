@@ -189,6 +189,26 @@ def test_licenses(spark):
     assert all(d < len(licenses.NOTICES) for d, _ in got)
 
 
+def test_license_texts_of_any_length(spark):
+    texts = ["intro words " + t.upper() + " and more" for t in licenses.TEXTS.values()] + ["all the rights are reserved by mit", "", None, "All rights\nreserved"]
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_texts(docs_of(spark, texts)).collect()}
+    want = set()
+    for name, t in (licenses.NOTICES | licenses.TEXTS).items():
+        own = licenses.notice_words(t)
+        k = min(len(own), 5)
+        s = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
+        for d, x in enumerate(texts):
+            w = licenses.notice_words(x)
+            if 100 * len(s & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) >= 75 * len(s):
+                want.add((d, name))
+    assert got == want and {(i, n) for i, n in enumerate(licenses.TEXTS)} <= got
+    assert (len(texts) - 1, "All-rights-reserved") in got
+    line = "This work is licensed under the GNU General Public License, version {}, either version {} of the License, or (at your option) any later version"
+    two = docs_of(spark, [line.format(2, 2), line.format(3, 3)])
+    found = {(r["doc_id"], r["license"]) for r in licenses.license_texts(two).collect()}
+    assert found == {(0, "GPL-2.0"), (0, "GPL-2.0-later"), (1, "GPL-3.0"), (1, "GPL-3.0-later")}
+
+
 def brute_spans(text):
     rx = [("assign", re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
     out = []
