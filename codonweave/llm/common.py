@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 
 from codonweave.session import materialize, ship
 
-#: Rows of text in one Arrow batch; long texts count, so it is far below Spark's default.
+#: Rows of text that are worked on at once; Spark bounds the bytes of an Arrow batch, this the Python objects made of it.
 BATCH_ROWS = 512
 SHINGLE = 5
 
@@ -22,16 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Ship the package and keep Arrow batches small enough for very long texts."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for a in range(0, max(1, len(pdf)), BATCH_ROWS):
+            yield pdf.iloc[a : a + BATCH_ROWS].reset_index(drop=True)
 
 
 def map_rows(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInPandas with fn(iterator of pandas frames)."""
-    prepare(df.sparkSession)
-    return df.mapInPandas(fn, schema)
+    """mapInPandas with fn(iterator of pandas frames of at most BATCH_ROWS rows)."""
+    ship(df.sparkSession)
+    return df.mapInPandas(lambda batches: fn(_parts(batches)), schema)
 
 
 def encode(text: str | None) -> bytes:
@@ -104,10 +107,12 @@ def filter_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), dtype=bool)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(a, BATCH_ROWS)
+                yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), dtype=bool)))
 
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
@@ -117,10 +122,12 @@ def map_text(docs: DataFrame, change, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            new = pa.array(change(batch.column(k).to_pylist()), type=batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays([new if i == k else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(a, BATCH_ROWS)
+                k = batch.schema.get_field_index(text)
+                new = pa.array(change(batch.column(k).to_pylist()), type=batch.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays([new if i == k else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -39,9 +39,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 #: Bytes as the vocabulary writes them: printable ones as they are, the others from 256 on.
@@ -95,13 +93,22 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     return [b"".join(map(known, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
+def split(piece: tuple, size: int) -> tuple[tuple, tuple]:
+    """The first size tokens of a piece, and the others."""
+    doc, start, length, tokens, ids = piece
+    return (doc, start, size, tokens, ids[: 4 * size]), (doc, start + size, length - size, tokens, ids[4 * size :])
+
+
 class Packer:
-    """Windows of one partition. A piece is (document, start, length, ids of the document)."""
+    """Windows of one partition. A piece is (document, start, length, tokens of the document, the piece's own ids as bytes).
+
+    cut: tokens that close() has placed, not the level array."""
 
     def __init__(self, window: int = WINDOW) -> None:
         self.window = window
         self.counts = np.zeros(window, np.int64)
         self.open: dict[int, list[list]] = {}
+        self.cut = 0
 
     def level(self, size: int) -> int:
         """The fill level to which a document of less than a window goes; 0 opens a window."""
@@ -144,13 +151,14 @@ class Packer:
                 yield left[high][1]
                 high -= 1
                 continue
-            doc, start, size, ids = left[low][1].pop()
-            if size > lack:
-                left[low][1].append((doc, start, size - lack, ids))
-                doc, start, size = doc, start + size - lack, lack
-            left[low][0] -= size
-            left[high][0] += size
-            left[high][1].append((doc, start, size, ids))
+            piece = left[low][1].pop()
+            if piece[2] > lack:
+                first, piece = split(piece, piece[2] - lack)
+                left[low][1].append(first)
+            left[low][0] -= piece[2]
+            left[high][0] += piece[2]
+            left[high][1].append(piece)
+            self.cut += piece[2]
             if not left[low][0]:
                 low += 1
         if low == high:
@@ -158,13 +166,14 @@ class Packer:
             lengths = [1 << b for b in range(self.window.bit_length(), -1, -1) if left[low][0] >> b & 1]
             for length in lengths:
                 held = []
+                self.cut += length
                 while length:
-                    doc, start, size, ids = rest.pop(0)
-                    if size > length:
-                        rest.insert(0, (doc, start + length, size - length, ids))
-                        size = length
-                    held.append((doc, start, size, ids))
-                    length -= size
+                    piece = rest.pop(0)
+                    if piece[2] > length:
+                        piece, second = split(piece, length)
+                        rest.insert(0, second)
+                    held.append(piece)
+                    length -= piece[2]
                 yield held
 
 
@@ -172,7 +181,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit) of every piece.
 
     window: a power of two. A null or empty text is its end id alone. Each row of docs is packed,
-    repeated ones too; partitions are packed on their own."""
+    repeated ones too; partitions are packed on their own, documents as they come, of equal choices the highest level.
+    Other columns of docs are left out; an empty table gives no rows. A piece keeps its own ids only."""
     path = path or vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([end], dtype="<u4").tobytes()
@@ -184,8 +194,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
         def rows(held: list) -> list[tuple]:
             nonlocal sequence
             out, offset = [], 0
-            for doc, start, size, ids in held:
-                out.append((doc, start, size, len(ids) // 4, sequence, offset, ids[4 * start : 4 * (start + size)]))
+            for doc, start, size, tokens, ids in held:
+                out.append((doc, start, size, tokens, sequence, offset, ids))
                 offset += size
             sequence += 1
             return out
@@ -197,8 +207,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
             done: list[tuple] = []
             for doc, ids in zip(pdf["doc_id"], token_bytes(list(pdf["text"]), path)):
                 ids += last
-                for start in range(0, len(ids) // 4, window):
-                    if held := packer.add((doc, start, min(window, len(ids) // 4 - start), ids)):
+                tokens = len(ids) // 4
+                for start in range(0, tokens, window):
+                    own = ids[4 * start : 4 * (start + window)]
+                    if held := packer.add((doc, start, len(own) // 4, tokens, own)):
                         done += rows(held)
             yield frame(done)
         done = []
@@ -213,5 +225,5 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
 
 
 def pieces(docs: DataFrame, **how) -> DataFrame:
-    """pack() with the CRC-32 of each piece's ids in place of the ids."""
-    return pack(docs, **how).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """pack() with the CRC-32 of each piece's ids in place of the ids; the same rows for null, empty and repeated texts."""
+    return pack(docs, **how).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -43,7 +43,7 @@ def repeat_lengths(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     sa = np.argsort(key, kind="stable")
     ordered = key[sa]
     slots = np.arange(n)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     levels: list[np.ndarray] = []
     h = 1
     while True:
@@ -62,8 +62,8 @@ def repeat_lengths(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         then = at + h
         inside = then < end_of[at]
         follow = np.zeros(len(at), np.int64)
-        follow[inside] = rank[then[inside]] + 1
-        ordered = rank[at] * (n + 1) + follow
+        follow[inside] = rank[then[inside]].astype(np.int64) + 1
+        ordered = rank[at].astype(np.int64) * (n + 1) + follow
         order = np.argsort(ordered, kind="stable")
         sa[slots] = at[order]
         ordered = ordered[order]
@@ -131,10 +131,13 @@ def _measure(texts: list[str | None], min_repeat: int) -> np.ndarray:
 
 
 def measure(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
-    """docs with the columns of SCHEMA; docs must not have columns of those names.
+    """docs with the columns of SCHEMA, in place of columns of those names in any case, should docs have any.
 
-    Null and empty texts have no words and zeros everywhere. Repeated rows are measured one by one."""
+    Null and empty texts have no words and zeros everywhere. Repeated rows are measured one by one; an empty table gives no rows."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
+    if text.lower() in names:
+        raise ValueError(f"the text column must not be called {text}")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,12 +154,15 @@ def verdict(measured: DataFrame, max_covered: int = MAX_COVERED, max_repeat: int
 
 
 def quality(docs: DataFrame, **limits: int) -> DataFrame:
-    """doc_id, the measures and the verdict of every text, one row per row of docs."""
-    return verdict(measure(docs.select("doc_id", "text")), **limits).drop("text")
+    """doc_id, the measures and the verdict of every text, one row per row of docs; null and empty texts fail."""
+    order = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
+    return verdict(measure(docs.select("doc_id", "text")), **limits).select(*order)
 
 
 def keep_good(docs: DataFrame, max_covered: int = MAX_COVERED, max_repeat: int = MAX_REPEAT, min_repeat: int = MIN_REPEAT) -> DataFrame:
-    """The rows of docs whose text passes, with all columns of docs as they are."""
+    """The rows of docs whose text passes, with all columns of docs as they are.
+
+    Null and empty texts go; of repeated rows all stay or all go. An empty table stays empty."""
 
     def passes(texts: list[str | None]) -> np.ndarray:
         n_words, _, _, _, repeat, cover, longest = _measure(texts, min_repeat).T

@@ -14,8 +14,6 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-import public_tokenizers
-import regex
 from pyspark.sql import DataFrame
 
 from codonweave.llm.common import map_rows
@@ -27,6 +25,8 @@ KEPT = 600_000
 
 
 def vocabulary() -> str:
+    import public_tokenizers
+
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -39,9 +39,14 @@ def pieces(path: str) -> dict[bytes, int]:
     return {p: round(-SCALE * (math.log(r + 1) + norm)) for p, r in ranks.items()}
 
 
-def trie_counts(words: list[bytes], scores: dict[bytes, int]) -> dict[bytes, int]:
-    """The number of pieces of each word. Every single byte must be a piece."""
-    longest = max(map(len, scores), default=1)
+@functools.lru_cache(maxsize=2)
+def longest_piece(path: str) -> int:
+    return max(map(len, pieces(path)))
+
+
+def trie_counts(words: list[bytes], scores: dict[bytes, int], longest: int | None = None) -> dict[bytes, int]:
+    """The number of pieces of each word. Every single byte must be a piece; longest: bytes of the longest one."""
+    longest = longest or max(map(len, scores), default=1)
     counts: dict[bytes, int] = {}
     best: list[tuple[int, int]] = [(0, 0)]  # by prefix length: score and minus the pieces
     before = b""
@@ -64,7 +69,14 @@ def trie_counts(words: list[bytes], scores: dict[bytes, int]) -> dict[bytes, int
     return counts
 
 
-_PATTERN = regex.compile(public_tokenizers.PATTERN)
+@functools.lru_cache(maxsize=1)
+def _pattern():
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN)
+
+
 _counts: dict[str, dict[str, int]] = {}
 
 
@@ -73,17 +85,19 @@ def count_texts(texts: list[str | None], path: str) -> list[tuple[int, int]]:
     known = _counts.setdefault(path, {})
     if len(known) > KEPT:
         known.clear()
-    split = [_PATTERN.findall(t or "") for t in texts]
+    split = [_pattern().findall(t or "") for t in texts]
     new = {w for s in split for w in s if w not in known}
     if new:
         raw = {w: w.encode("utf-8", "surrogatepass") for w in new}
-        found = trie_counts(list(raw.values()), pieces(path))
+        found = trie_counts(list(raw.values()), pieces(path), longest_piece(path))
         known.update((w, found[b]) for w, b in raw.items())
     return [(len(s), sum(map(known.__getitem__, s))) for s in split]
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of every row of docs. Null and empty texts have none; repeated rows count alike."""
+    """doc_id, n_pretokens, n_tokens of every row of docs. Null and empty texts have none; repeated rows count alike.
+
+    Of segmentations of equal score that of the fewest pieces counts. Other columns are left out; an empty table gives no rows."""
     path = path or vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
