@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 _FOLD = np.arange(0x250, dtype=np.uint32)
 for _c in range(0x250):
@@ -41,11 +42,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """About most rows of each label at most, chosen by a hash of the key; all where there are fewer."""
+def bounded_sample(rows: DataFrame, label: str, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows of each label, those of least hash of the keys; all where there are no more.
+
+    Rows whose hash is far above what `most` of them need are dropped before the labels are sorted, so a label's window
+    holds little more than it returns. Rows that repeat a label and keys come in once."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    part = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
-    keep = F.lit(False)
+    whole = 1 << 40
+    spot = F.pmod(F.xxhash64(*keys), F.lit(whole))
+    bound = F.lit(-1).cast("long")
     for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (part < F.lit(most / n)))
-    return rows.filter(keep)
+        bound = F.when(F.col(label) == F.lit(value), F.lit(min(whole, int((most + 10 * most**0.5 + 20) / n * whole)))).otherwise(bound)
+    near = rows.withColumn("_spot", spot).filter(F.col("_spot") < bound).dropDuplicates([label, "_spot"])
+    place = F.row_number().over(W.partitionBy(label).orderBy("_spot"))
+    return near.withColumn("_place", place).filter(F.col("_place") <= most).drop("_spot", "_place")

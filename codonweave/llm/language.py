@@ -5,7 +5,6 @@ Features are the square roots of hashed character n-gram frequencies of the whol
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from codonweave.llm.classify import bounded_sample, held_out, letters, ngrams
 from codonweave.llm.common import map_rows
 
 SIZES, BITS = (1, 2, 3), 12
-#: Texts of a language that are learned from, at most (about).
+#: Texts of a language that are learned from, at most.
 SAMPLE = 800
 UNKNOWN = "und"
 
@@ -33,8 +32,6 @@ FAMILIES = {
     "semitic": "ar he mt am",
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def family(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang.split("-")[0].lower() in codes.split()), lang)
@@ -75,7 +72,7 @@ def _ones(x: np.ndarray, names: list[str]) -> dict:
 
 
 def _choose(model: dict, x: np.ndarray) -> tuple[str, float]:
-    """The name that wins most pairs (then by margins), and how sure that is."""
+    """The name that wins most pairs, of equals that of the greater sum of margins, then the last in the alphabet; and how sure that is."""
     names = model["names"]
     if len(names) == 1:
         return names[0], 1.0
@@ -91,9 +88,10 @@ def _choose(model: dict, x: np.ndarray) -> tuple[str, float]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The two-step model from the rows of docs (doc_id, text, lang) that are not held out.
 
-    About sample texts of each language are learned from, at most; texts that are null or have no letter are left out."""
+    At most sample texts of each language are learned from, by a hash of id and text; repeated rows count once. Texts that are
+    null or have no letter are left out."""
     rows = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = bounded_sample(rows, "lang", "text", sample)
+    chosen = bounded_sample(rows, "lang", ["doc_id", "text"], sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,7 +108,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def predict_one(model: dict, text: str | None) -> tuple[str, float]:
-    if model["family"] is None or not text or not _LETTER.search(text):
+    if model["family"] is None or not text or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     x = features(text)
     kin, sure = _choose(model["family"], x)
@@ -121,7 +119,8 @@ def predict_one(model: dict, text: str | None) -> tuple[str, float]:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs; 'und' and 0 for null texts and texts without a letter.
 
-    Without any learned language all texts are 'und'. Only the text of a row decides."""
+    A letter is a character of the Unicode categories L. Without any learned language all texts are 'und'. Only the text of
+    a row decides, so repeated rows are predicted alike; other columns are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

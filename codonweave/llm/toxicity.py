@@ -17,7 +17,7 @@ from codonweave.llm.classify import bounded_sample, held_out, letters, ngrams
 from codonweave.llm.common import map_rows
 
 SIZES, BITS = (4, 5, 6), 20
-#: Labelled texts of each label that are learned from, at most (about); n-grams that are kept.
+#: Labelled texts of each label that are learned from, at most; n-grams that are kept.
 SAMPLE, KEPT = 2000, 4000
 THRESHOLD = 0.7
 _PART = 1 << 14
@@ -59,11 +59,13 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, size: int, scale: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     """The model from labelled rows that are not held out.
 
-    docs: doc_id and text; labels: doc_id and toxic. About sample texts of each label are learned from, at most. Null
+    docs: doc_id and text; labels: doc_id and toxic. At most sample labels of each kind are learned from, by a hash of the id;
+    labels that repeat count once, a document with both labels is in both. Null
     texts and labels are left out; with only one label the score is that label's share."""
     rows = labels.select("doc_id", "toxic").filter(~held_out() & F.col("toxic").isin(0, 1))
-    chosen = bounded_sample(rows, "toxic", "doc_id", sample)  # bounded, so it may be broadcast
-    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    chosen = bounded_sample(rows, "toxic", ["doc_id"], sample)  # bounded, so it may be broadcast
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")  # one text an id, so it stays bounded
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, 1 << BITS), np.int64)
@@ -111,7 +113,9 @@ def score_one(model: dict, text: str | None) -> float:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score (0 to 1, higher: more likely toxic), predicted of every row of docs; null counts as empty."""
+    """doc_id, score (0 to 1, higher: more likely toxic), predicted of every row of docs; null counts as empty.
+
+    predicted is 1 from a score of exactly THRESHOLD on. Repeated rows score alike; other columns are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
