@@ -15,50 +15,62 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score; null and empty texts have no tokens, repeated rows score alike."""
     docs = table(spark, sf_dir, "documents")
     return lm.score(docs, lm.train(docs))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every row of documents; null and empty texts are one piece of one id."""
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of a document and a benchmark item that it holds; null and empty texts hold none, repeated rows repeat."""
     found = containment.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with counts and spans of its secrets; none for null and empty texts."""
     return secrets.digests(secrets.secrets(table(spark, sf_dir, "documents")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its measures and verdict; zeros and a failure for null and empty texts."""
     return quality.quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its predicted language; 'und' for texts without a letter, repeated rows alike."""
     docs = table(spark, sf_dir, "documents")
-    return language.predict(docs, language.train(docs)).withColumn("held_out", held_out())
+    return language.predict(docs, language.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its counts; zeros for null and empty texts."""
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score, null and empty texts too; repeated rows alike."""
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out())
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of a document and a license template that it holds; null and empty texts hold none, repeated rows repeat."""
     return licenses.licenses(table(spark, sf_dir, "documents")).select("doc_id", "license", "n_item", "n_shared")
 
 
 def op9_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_texts(table(spark, sf_dir, "documents")).select("doc_id", "license", "n_item", "n_shared")
+    """The rows of op9_license_scan, which has taken over its templates."""
+    return op9_license_scan(spark, sf_dir)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its set size and group; texts without words are groups of their own."""
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
@@ -111,14 +123,14 @@ from w left join n using (r) join reach on reach.x = w.r join w v on v.r = reach
 _CONTAINED = """
 with d as (select row_number() over () as r, doc_id, regexp_extract_all({fold}, '[^\\x20\\x09-\\x0D]+') as words from documents),
 i as (select row_number() over () as q, {key}, regexp_extract_all({fold}, '[^\\x20\\x09-\\x0D]+') as words from {items}),
-ds as (select distinct r, doc_id, list_slice(words, b, b + 4) as win from (select r, doc_id, words, unnest(range(1, len(words) - 3)) as b from d where len(words) >= 5)),
-ss as (select distinct q, {key}, list_slice(words, b, b + 4) as win from (select q, {key}, words, unnest(range(1, len(words) - 3)) as b from i where len(words) >= 5)),
+ss as (select distinct q, {key}, list_slice(words, b, b + k - 1) as win from (select q, {key}, words, least(len(words), 5) as k, unnest(range(1, greatest(len(words) - 3, 2))) as b from i where len(words) > 0)),
+ds as (select distinct r, doc_id, list_slice(words, b, b + k - 1) as win from (select r, doc_id, words, k, unnest(range(1, len(words) - k + 2)) as b from d, (select distinct len(win) as k from ss) where len(words) >= k) where words[b] in (select win[1] from ss)),
 n as (select q, count(*) as n_item from ss group by q)
 select doc_id, {key}, n_item, count(*)::bigint as n_shared from ss join n using (q) join ds using (win) group by r, doc_id, q, {key}, n_item having 100 * count(*) >= 75 * n_item
 """
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BARE = f"regexp_replace({_FOLD}, '[!-/:-@\\[-`{{-~]', '', 'g')"
-_NOTICES = "(values " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.NOTICES.items()) + ") t(license, text)"
+_NOTICES = "(values " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items()) + ") t(license, text)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -126,5 +138,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": _CONTAINED.format(fold=_FOLD, key="item_id", items="benchmark"),
         "op5_quality_rules": _OP5,
         "op9_license_scan": _CONTAINED.format(fold=_BARE, key="license", items=_NOTICES),
+        "op9_license_texts": _CONTAINED.format(fold=_BARE, key="license", items=_NOTICES),
         "op10_jaccard_join": _OP10,
     }

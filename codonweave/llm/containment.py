@@ -6,7 +6,8 @@ one. A containment c of an item of q shingles in a window of W means a Jaccard s
 c q / (q + W - c q) at least; the class has as many one-row bands as bring the chance to miss its
 smallest item below MISS. A window and an item that agree on a band are a candidate, and the exact share of the item's
 shingles that the whole text holds decides. A one-row band can only agree where the window's least
-shingle is an item's, so windows without any shingle of an item are left out beforehand.
+shingle is an item's, so windows without any shingle of an item are left out beforehand. An item of fewer than k words is
+one shingle of its own length, so it is held where its words stand one after another.
 
 The items are taken in blocks of bounded size; a block's index goes to every task, where each text is cut,
 searched and verified, so texts are never shuffled."""
@@ -27,7 +28,7 @@ from codonweave.llm.common import filter_rows, lower_words, map_rows, mix, shing
 CONTAINED = 75
 MISS = 1e-5
 #: Items and characters of items in one block.
-BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 #: Shingles of a text that are searched at once.
 STRETCH = 65_536
 _TOP = np.uint64(42)
@@ -52,7 +53,7 @@ def bands(smallest: int, window: int, contained: int = CONTAINED, miss: float =
 
 
 class Index:
-    """What a task needs to find a block of items."""
+    """What a task needs to find items of one shingle length."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], contained: int) -> None:
         """items: number and shingles in order of each."""
@@ -116,39 +117,60 @@ class Index:
         return found
 
 
-def _blocks(items: DataFrame, key: str, words: Words, k: int, contained: int) -> Iterator[tuple[list, Index]]:
-    """The keys and the index of each block of items. Items with fewer than k words are in none."""
+class Block:
+    """A block of items: an index for each shingle length that they need, and their keys."""
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], k: int, contained: int) -> None:
+        """items: key and words of each, at least one word."""
+        self.names = [name for name, _ in items]
+        self.indexes = {}
+        for size in sorted({min(k, len(w)) for _, w in items}):
+            self.indexes[size] = Index([(j, shingles(w, size)) for j, (_, w) in enumerate(items) if min(k, len(w)) == size], contained)
+        self.tables: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": {}}  # 4 MB each, made where they are used
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(item, its shingles, shared ones, first word, last word) of the items in a text."""
+        for size, index in self.indexes.items():
+            if size not in self.tables:
+                self.tables[size] = index.table()
+            for j, n, a, b in index.find(shingles(words, size), self.tables[size]):
+                yield j, len(index.sets[j]), n, a, b + size - 1
+
+
+def _blocks(items: DataFrame, key: str, words: Words, k: int, contained: int) -> Iterator[Block]:
+    """Blocks of bounded size of the items that have words."""
     own = items.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).filter("text is not null")
     count, chars = own.agg(F.count("*"), F.sum(F.length("text"))).first()
     parts = max(1, -(-count // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))
     for i in range(parts):
         rows = own.filter(F.pmod(F.xxhash64("key", "text"), F.lit(parts)) == i).collect()
         split = [(r["key"], words(r["text"])) for r in rows]
-        split = [(x, w) for x, w in split if len(w) >= k]
-        yield [x for x, _ in split], Index([(j, shingles(w, k)) for j, (_, w) in enumerate(split)], contained)
+        yield Block([(x, w) for x, w in split if w], k, contained)
 
 
 def search(docs: DataFrame, items: DataFrame, key: str, words: Words = lower_words, k: int = 5, contained: int = CONTAINED) -> DataFrame:
     """doc_id, key, n_item, n_shared, first_word, last_word: the items that each text holds.
 
-    docs: columns doc_id and text; items: columns key and text. An item is held if at least contained hundredths
-    of its distinct k-word shingles occur in the text. Items of fewer than k words are too short
-    to be told from chance and are held by no text; null texts hold none. Repeated rows of docs
+    docs: columns doc_id and text, others are left out; items: columns key and text. An item is held if at least contained
+    hundredths of its distinct k-word shingles occur in the text; one of fewer words if they all occur in a row. Items without
+    words are held by no text; null and empty texts hold none. Repeated rows of docs
     and of items bring repeated rows. An empty table on either side gives no rows."""
     spark, kind = docs.sparkSession, items.schema[key].dataType.simpleString()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key {kind}, n_item long, n_shared long, first_word long, last_word long"
     out = None
-    for names, index in _blocks(items, key, words, k, contained):
-        shared = spark.sparkContext.broadcast((names, index))
+    for block in _blocks(items, key, words, k, contained):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, index = shared.value
-            table = index.table()
+            block = shared.value
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                    for j, n, a, b in index.find(shingles(words(text), k), table):
-                        rows.append((doc, names[j], len(index.sets[j]), n, a, b + k - 1))
+                    for j, *found in block.find(words(text)):
+                        rows.append((doc, block.names[j], *found))
                 yield pd.DataFrame(rows, columns=["doc_id", "key", "n_item", "n_shared", "first_word", "last_word"])
 
         found = map_rows(docs.select("doc_id", "text"), run, schema)
@@ -157,22 +179,20 @@ def search(docs: DataFrame, items: DataFrame, key: str, words: Words = lower_wor
 
 
 def without(docs: DataFrame, items: DataFrame, words: Words = lower_words, k: int = 5, contained: int = CONTAINED) -> DataFrame:
-    """The rows of docs that hold none of the items, with all their columns."""
+    """The rows of docs that hold none of the items, as search() finds them, with all their columns.
+
+    Null and empty texts stay, of repeated rows all or none; with no items docs stays as it is."""
     spark = docs.sparkSession
-    for _, index in _blocks(items.select(F.lit(0).alias("key"), "text"), "key", words, k, contained):
-        shared = spark.sparkContext.broadcast(index)
-        ready: list = []
+    for block in _blocks(items.select(F.lit(0).alias("key"), "text"), "key", words, k, contained):
+        shared = spark.sparkContext.broadcast(block)
 
-        def free(texts: list[str | None], shared=shared, ready=ready) -> list[bool]:
-            index = shared.value
-            if not ready:
-                ready.append(index.table())
-            return [not index.find(shingles(words(t), k), ready[0]) for t in texts]
+        def free(texts: list[str | None], shared=shared) -> list[bool]:
+            return [next(shared.value.find(words(t)), None) is None for t in texts]
 
         docs = filter_rows(docs, free)
     return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, first_word, last_word: benchmark items found inside documents."""
+    """doc_id, item_id, n_item, n_shared, first_word, last_word: benchmark items found inside documents, as search() does."""
     return search(docs, benchmark, "item_id")
