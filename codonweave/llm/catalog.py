@@ -16,8 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with its score; null and empty texts have no tokens, repeated rows score alike."""
-    docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

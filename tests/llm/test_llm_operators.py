@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,18 +157,22 @@ def test_contamination(spark):
         docs[i] = " ".join(host[:1777] + t.split() + host[1777:])
         docs[10 + i] = " ".join(host[:50] + t.split()[: len(t.split()) // 2] + host[50:90])
         docs[20 + i] = " ".join(edited(t.split(), 1, i)).title()
-    items |= {200: "too short", 201: None}
+    docs[40], docs[41] = "here is one Short  item of three", "one short"
+    items |= {200: "short item of", 201: None, 202: "", 203: "one", 204: "short one"}
     df = docs_of(spark, list(docs.values()), list(docs))
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in containment.contaminated(df, bench).collect()}
     want = {}
     for k, t in items.items():
-        s = set(common.shingles(common.lower_words(t)).tolist()) if t and len(t.split()) >= 5 else set()
+        own = (t or "").lower().split()
+        size = min(5, len(own))
+        s = {tuple(own[b : b + size]) for b in range(len(own) - size + 1)} if own else set()
         for i, d in docs.items():
-            n = len(s & set(common.shingles(common.lower_words(d)).tolist()))
+            w = d.lower().split()
+            n = len(s & {tuple(w[b : b + size]) for b in range(len(w) - size + 1)})
             if s and 100 * n >= 75 * len(s):
                 want[i, k] = n
-    assert got == want and len({i for i, _ in got}) >= 10
+    assert got == want and len({i for i, _ in got}) >= 10 and {(40, 200), (40, 203), (41, 203)} <= set(got)
     assert {r["doc_id"] for r in containment.without(df, bench).collect()} == set(docs) - {i for i, _ in want}
 
 
@@ -184,28 +189,29 @@ def test_bands_bring_the_chance_down():
 
 def test_licenses(spark):
     df = docs_of(spark, ["blah blah " + t.upper() + "! more" for t in licenses.NOTICES.values()] + ["Released under no terms at all here"])
-    got = {(r["doc_id"], r["license"]) for r in licenses.licenses(df).collect()}
+    got = {(r["doc_id"], r["license"]) for r in licenses.licenses(df, licenses.notices(spark, licenses.NOTICES)).collect()}
     assert {(i, k) for i, k in enumerate(licenses.NOTICES)} <= got
     assert all(d < len(licenses.NOTICES) for d, _ in got)
 
 
 def test_license_texts_of_any_length(spark):
-    texts = ["intro words " + t.upper() + " and more" for t in licenses.TEXTS.values()] + ["all the rights are reserved by mit", "", None, "All rights\nreserved"]
-    got = {(r["doc_id"], r["license"]) for r in licenses.license_texts(docs_of(spark, texts)).collect()}
+    own = licenses.TEXTS | licenses.WHOLE
+    texts = ["intro words " + t.upper() + " and more" for t in own.values()] + ["all the rights are reserved by mit", "", None, "All rights\nreserved"]
+    got = {(r["doc_id"], r["license"]) for r in licenses.licenses(docs_of(spark, texts)).collect()}
     want = set()
-    for name, t in (licenses.NOTICES | licenses.TEXTS).items():
-        own = licenses.notice_words(t)
-        k = min(len(own), 5)
-        s = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
+    for name, t in licenses.TEMPLATES.items():
+        w = licenses.notice_words(t)
+        k = min(len(w), 5)
+        s = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
         for d, x in enumerate(texts):
             w = licenses.notice_words(x)
             if 100 * len(s & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) >= 75 * len(s):
                 want.add((d, name))
-    assert got == want and {(i, n) for i, n in enumerate(licenses.TEXTS)} <= got
+    assert got == want and {(i, n) for i, n in enumerate(own)} <= got
     assert (len(texts) - 1, "All-rights-reserved") in got
     line = "This work is licensed under the GNU General Public License, version {}, either version {} of the License, or (at your option) any later version"
     two = docs_of(spark, [line.format(2, 2), line.format(3, 3)])
-    found = {(r["doc_id"], r["license"]) for r in licenses.license_texts(two).collect()}
+    found = {(r["doc_id"], r["license"]) for r in licenses.licenses(two).collect()}
     assert found == {(0, "GPL-2.0"), (0, "GPL-2.0-later"), (1, "GPL-3.0"), (1, "GPL-3.0-later")}
 
 
@@ -253,7 +259,6 @@ def test_packing_round_trip(spark):
     texts = [" ".join(words(n, n)) + ", it's the 2nd!\n" for n in (1, 5, 300, 900, 40, 7000, 2, 77)] + ["Été façade Straße ÀÉ", None, "", "a" * 5000, "東京 x<|endoftext|>y"]
     df = docs_of(spark, texts).repartition(2)
     t = Tokenizer.from_file(packing.vocabulary())
-    t.encode_special_tokens = True
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
     got, windows = {}, {}
     for r in packing.pack(df).collect():
@@ -289,7 +294,7 @@ def test_level_minimises_squares():
                 m[h + size] += 1
             ways[h] = int((m * m).sum())
         assert ways[p.level(size)] == min(ways.values())
-        p.add((0, 0, size, b""))
+        p.add((0, 0, size, size, b"1234" * size))
 
 
 def brute_pieces(word, scores):
@@ -312,7 +317,8 @@ def test_language_held_out(spark, sf_dir):
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97
     assert got["score"].between(0, 1).all()
     model = language.train(docs)
-    assert language.predict_one(model, "1234 !!") == ("und", 0.0)
+    for text in ("1234 !!", "½ ² Ⅷ _", None, ""):
+        assert language.predict_one(model, text) == ("und", 0.0)
 
 
 def test_toxicity_held_out(spark):
@@ -353,18 +359,85 @@ def test_pseudo_likelihood_tells_order(spark):
     assert a > unigram + 0.5 and a > b + 1 and counts
 
 
-def test_rare_words_have_their_own_share(spark):
-    texts = [f"k{i}able" for i in range(5000) for _ in range(2)] + ["q1able"] * 2 + ["q2able"]
+def test_word_keys():
+    rng = random.Random(31)
+    texts = [None, "", " \t", "The the THE.", "a", "über Über x" + "y" * 400_000 + " z", "no\x0bbreak\x0chere", *[" ".join(words(rng.randrange(60), i)) + rng.choice(["", " ", "\n"]) for i in range(80)]]
+    keys, lengths = lm.word_keys(pa.array(texts))
+    split = [common.lower_words(t) for t in texts]
+    assert lengths.tolist() == [len(w) for w in split]
+    pairs = set(zip([w for ws in split for w in ws], keys.tolist()))
+    assert len({w for w, _ in pairs}) == len({k for _, k in pairs}) == len(pairs)
+    sliced, own = lm.word_keys(pa.array(texts).slice(3, 5))
+    assert own.tolist() == lengths[3:8].tolist() and sliced.tolist() == keys[sum(lengths[:3]) : sum(lengths[:8])].tolist()
+    assert [len(x) for x in lm.word_keys(pa.array([], pa.string()))] == [0, 0]
+    got = lm.Lookup(np.unique(keys)).find(np.append(keys, keys + np.uint64(1)))
+    assert np.array_equal(np.unique(keys)[got[: len(keys)]], keys) and set(got[len(keys) :]) <= {-1, *range(len(keys))}
+
+
+def plain_scores(model, counts, texts):
+    """Every token by itself, in plain Python."""
+    table, bias, out, out_bias, inner, inner_bias = [p.astype(float) for p in model.parts(model.weights)]
+    held = {int(k): i for i, k in enumerate(model.keys)}
+    g, result = model.group, []
+    for t in texts:
+        keys = [int(k) for k in lm.word_keys(pa.array([t], pa.string()))[0]]
+        cls = [held[k] if held.get(k, model.single) < model.single else int(model.ending[k & 0xFFFF]) for k in keys]
+        total = 0.0
+        for i, (k, c) in enumerate(zip(keys, cls)):
+            around = [i - 2, i - 1, i + 1, i + 2]
+            x = bias + sum(table[p][cls[j] if 0 <= j < len(cls) else model.classes] for p, j in enumerate(around))
+            h = [math.tanh(v) for v in x]
+            z = [math.exp(out_bias[j] + sum(h[u] * out[u][j] for u in range(lm.UNITS))) for j in range(g)]
+            y = [math.exp(inner_bias[c // g][j] + sum(h[u] * inner[c // g][u][j] for u in range(lm.UNITS))) for j in range(g)]
+            total += math.log(z[c // g] / sum(z)) + math.log(y[c % g] / sum(y))
+            if c >= model.single:
+                total += math.log(counts.get(k, 1)) - model.totals[c]
+        result.append(total)
+    return result
+
+
+def test_pseudo_likelihood_against_plain(spark):
+    texts = [None, "", "one", *[" ".join(words(30, 40 + i, 120)) for i in range(12)]]
     df = docs_of(spark, texts)
-    model = lm.train(df, vocabulary=1, rounds=1)
-    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(df, model).collect()}
-    # Words of one text each have the same neighbours, so those of one class differ by their counts alone.
-    assert "q2able" not in model.entries and got[9998] - got[len(texts) - 1] == pytest.approx(np.log(2))
-    new = {r["doc_id"]: r["log_likelihood"] for r in lm.score(docs_of(spark, ["zzable"]), model).collect()}
-    assert new[0] == pytest.approx(got[len(texts) - 1])
-    mass = sum(math.exp(v) for v in {texts[i]: v for i, v in got.items()}.values())
-    assert 0.3 < mass < 1.0001
-    assert lm.Model([], {}, 10**8).classes > lm.Model([], {}, 10**6).classes > lm.Model([], {}, 100).classes
+    model = lm.train(df, held=1)
+    more = [*texts, "w1 never w2 seen before"]
+    got = {r["doc_id"]: r for r in lm.score(docs_of(spark, more), model).collect()}
+    counts = {r["word"] % (1 << 64): r["n"] for r in model.counts.collect()}
+    want = plain_scores(model, counts, more)
+    assert len(model.keys) > model.single > 0 and [got[i]["log_likelihood"] for i in range(len(more))] == pytest.approx(want, rel=1e-4, abs=1e-6)
+    assert got[0]["mean_log_likelihood"] is None and got[1]["n_tokens"] == 0
+
+
+def test_probabilities_of_classes_add_up_to_one(spark):
+    model = lm.train(docs_of(spark, [" ".join(words(50, 60 + i, 200)) for i in range(10)]))
+    windows = np.repeat(np.array([[1], [2], [3], [model.classes]]), model.classes, axis=1)
+    p = np.exp(lm.log_probabilities(model.parts(model.weights), windows, np.arange(model.classes)))
+    assert p.sum() == pytest.approx(1, abs=1e-5)
+    # the shares of the counted words of a class leave one occurrence to words that nobody has seen
+    own = np.array([int(model.ending[k & 0xFFFF]) if i >= model.single else i for i, k in enumerate(model.keys.tolist())])
+    share = np.bincount(own, weights=np.where(own < model.single, 0, model.n), minlength=model.classes)[model.single :] / np.exp(model.totals[model.single :])
+    assert (share < 1).all()
+
+
+def test_every_document_trains_and_replicas_are_averaged(spark):
+    texts = [" ".join(words(200, 80 + i, 50)) for i in range(60)]
+    model = lm.start(docs_of(spark, texts))
+    enc = common.materialize(lm.encoded(docs_of(spark, texts).repartition(6), model))
+    before = model.weights.copy()
+    after = lm.fit(enc, model, replica_words=2500).weights
+    assert np.isfinite(after).all() and (after != before).any()
+    rng = np.random.default_rng(3)
+    rows = [(r, b, int(n), rng.normal(size=5).astype("<f4")) for r in range(70) for b in range(2) for n in [rng.integers(1, 9)]]
+    df = spark.createDataFrame([(r, b, n, w.tobytes()) for r, b, n, w in rows], "replica long, block long, n long, w binary")
+    for r in lm.average(df).collect():
+        own = [(n, w) for _, b, n, w in rows if b == r["block"]]
+        assert r["n"] == sum(n for n, _ in own)
+        assert np.frombuffer(r["w"], "<f4") == pytest.approx(sum(n * w for n, w in own) / r["n"], abs=1e-5)
+
+
+def test_model_grows_with_the_words():
+    none = np.empty(0, np.uint64), np.empty(0, np.int64), {}
+    assert lm.Model(*none, 10**8).classes > lm.Model(*none, 10**6).classes > lm.Model(*none, 100).classes
 
 
 def test_pipeline_against_stages(spark, sf_dir):
