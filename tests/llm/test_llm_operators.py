@@ -399,12 +399,12 @@ def plain_scores(model, counts, texts):
 def test_pseudo_likelihood_against_plain(spark):
     texts = [None, "", "one", *[" ".join(words(30, 40 + i, 120)) for i in range(12)]]
     df = docs_of(spark, texts)
-    model = lm.train(df, held=1)
+    model = lm.train(df, held=9)
     more = [*texts, "w1 never w2 seen before"]
     got = {r["doc_id"]: r for r in lm.score(docs_of(spark, more), model).collect()}
     counts = {r["word"] % (1 << 64): r["n"] for r in model.counts.collect()}
     want = plain_scores(model, counts, more)
-    assert len(model.keys) > model.single > 0 and [got[i]["log_likelihood"] for i in range(len(more))] == pytest.approx(want, rel=1e-4, abs=1e-6)
+    assert len(counts) > len(model.keys) > model.single > 0 and [got[i]["log_likelihood"] for i in range(len(more))] == pytest.approx(want, rel=1e-4, abs=1e-6)
     assert got[0]["mean_log_likelihood"] is None and got[1]["n_tokens"] == 0
 
 
