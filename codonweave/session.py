@@ -48,4 +48,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
