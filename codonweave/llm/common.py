@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from codonweave.session import materialize, ship
+from codonweave.session import discard, materialize, ship
 
 #: Rows of text that are worked on at once; Spark bounds the bytes of an Arrow batch, this the Python objects made of it.
 BATCH_ROWS = 512
@@ -25,16 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for a in range(0, max(1, len(pdf)), BATCH_ROWS):
-            yield pdf.iloc[a : a + BATCH_ROWS].reset_index(drop=True)
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Pandas frames of at most BATCH_ROWS rows; whole numbers among nulls stay whole numbers."""
+
+    def column(c: pa.Array) -> pd.Series:
+        if c.null_count and pa.types.is_integer(c.type):
+            return c.to_pandas(types_mapper=lambda t: pd.Int64Dtype())
+        return c.to_pandas()
+
+    for whole in batches:
+        for a in range(0, max(1, whole.num_rows), BATCH_ROWS):
+            batch = whole.slice(a, BATCH_ROWS)
+            yield pd.DataFrame({name: column(c) for name, c in zip(batch.schema.names, batch.columns)})
 
 
 def map_rows(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInPandas with fn(iterator of pandas frames of at most BATCH_ROWS rows)."""
+    """Rows of the frames that fn(iterator of pandas frames of at most BATCH_ROWS rows) gives."""
     ship(df.sparkSession)
-    return df.mapInPandas(lambda batches: fn(_parts(batches)), schema)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(_frames(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
 
 
 def encode(text: str | None) -> bytes:
@@ -93,7 +110,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array("u", "v")).alias("x"), "m").filter("x > m")
-        e = materialize(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
+        before, e = e, materialize(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
+        discard(before)
         now = digest(e)
         if now == seen:
             break
@@ -105,8 +123,6 @@ def filter_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
     """The rows for which keep(list of texts) says so, with all columns of docs as they are."""
 
     def run(batches):
-        import pyarrow as pa
-
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(a, BATCH_ROWS)
@@ -120,8 +136,6 @@ def map_text(docs: DataFrame, change, text: str = "text") -> DataFrame:
     """docs with change(list of texts) in place of its texts; all other columns as they are."""
 
     def run(batches):
-        import pyarrow as pa
-
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(a, BATCH_ROWS)

@@ -26,13 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codonweave.llm.common import connected_components, lower_words, map_rows, materialize, mix, shingles
+from codonweave.llm.common import connected_components, lower_words, map_rows, mix, shingles
+from codonweave.session import discard, materialize
 
 #: A token in more classes than this is frequent.
 FREQUENT = 20
 #: Document ids that may be broadcast when their texts are fetched (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 2
+#: Tasks over which the tokens of one pivot are dealt.
+SALTS = 64
 
 
 def needed(n):
@@ -53,48 +56,58 @@ def _room(n: Column) -> Column:
     return F.least(F.floor(n / 10) + 8, _needed(n) - 1)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted shingles of a text, as signed longs."""
-    return np.unique(shingles(lower_words(text)).view(np.int64))
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted shingles of each text, as signed longs."""
+    return [np.unique(shingles(lower_words(t)).view(np.int64)) for t in texts]
+
+
+def _fingerprint(s: np.ndarray) -> int:
+    return int(mix(mix(s.view(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and th, a hash of the text: rows that agree on doc_id and th are one document."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), fp (64-bit fingerprint of the set), head (the longest prefix) of every row."""
+    """doc_id, th, n (set size), fp (64-bit fingerprint of the set), head (the longest prefix) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                s = shingle_set(text)
-                n = len(s)
-                fp = int(mix(mix(s.view(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]) if n else None
-                rows.append((n, fp, s[: n - needed(n) + 1 + room(n)] if n else s))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pd.Series([r[0] for r in rows], dtype="int64"), "fp": pd.array([r[1] for r in rows], dtype="Int64"), "head": [r[2] for r in rows]})
+            sets = shingle_sets(pdf["text"].tolist())
+            heads = [s[: len(s) - needed(len(s)) + 1 + room(len(s))] if len(s) else s for s in sets]
+            fps = pd.array([_fingerprint(s) if len(s) else None for s in sets], dtype="Int64")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "n": [len(s) for s in sets], "fp": fps, "head": heads})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_rows(_texts(docs), run, f"doc_id {kind}, th long, n long, fp long, head array<long>")
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, fp long, head array<long>")
+
+def _meet(a: DataFrame, b: DataFrame, how: str, n: int, th: str = "th") -> DataFrame:
+    """Rows of a with the documents (doc_id, th) of b; null ids are equal. n: rows of b, which is broadcast if they are few.
+
+    th: a's column of text hashes."""
+    same = a["doc_id"].eqNullSafe(b["doc_id"]) & a[th].eqNullSafe(b["th"])
+    return a.join(F.broadcast(b) if n <= BROADCAST_IDS else b, same, how)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, items): whole sets of the classes in wanted (fp, rep)."""
-    few = wanted.count() <= BROADCAST_IDS
-    own = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = own.join(F.broadcast(wanted) if few else wanted, "rep").select("fp", "text")
+    """(fp, items): whole sets of the classes in wanted (fp, rep: doc_id and th of one of its rows). Repeated rows bring a set twice."""
+    few = wanted.select("fp", "rep.doc_id", "rep.th")
+    texts = _meet(_texts(docs), few, "inner", few.count()).select("fp", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingle_set(t) for t in pdf["text"]]
-            own = [int(mix(mix(s.view(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
-            same = np.array(own, dtype=np.int64) == pdf["fp"].to_numpy(np.int64)
-            yield pd.DataFrame({"fp": pdf["fp"][same], "items": [s for s, ok in zip(sets, same) if ok]})
+            yield pd.DataFrame({"fp": pdf["fp"], "items": shingle_sets(pdf["text"].tolist())})
 
-    # a doc_id that occurs with several texts brings rows of other sets, and repeated rows bring a set twice
     return map_rows(texts, run, "fp long, items array<long>")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) with common, the size of their sets' overlap, and linked: whether their Jaccard similarity is 0.75 or more."""
     pairs = materialize(pairs.select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp"))
     sets = materialize(_sets(docs, wanted).dropDuplicates(["fp"]))
     x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a")
     both = x.join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
@@ -105,7 +118,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             total = np.array([len(x) + len(y) for x, y in zip(pdf["x"], pdf["y"])], np.int64)
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": common, "linked": 100 * common >= 75 * (total - common)})
 
-    return materialize(map_rows(both, run, "a long, b long, common long, linked boolean"))
+    done = materialize(map_rows(both, run, "a long, b long, common long, linked boolean"))
+    discard(pairs, wanted, sets)
+    return done
 
 
 def _close(n: str, m: str) -> Column:
@@ -187,11 +202,14 @@ def _outside(tokens: DataFrame) -> DataFrame:
 
     tokens: (token, fp, n, own, pivot, held, comp)."""
     mixed = tokens.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("pivot")
-    own = tokens.join(mixed, "pivot")
-    of_pivot = own.select(F.col("pivot")).distinct().join(tokens.select(F.col("fp").alias("pivot"), "token"), "pivot")
-    out = own.filter("fp <> pivot").join(of_pivot, ["pivot", "token"], "left_anti")
-    other = out.select("pivot", "token", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "comp", "held")])
-    pairs = out.join(other, ["pivot", "token"]).filter("fp < fp2 and comp <> comp2").filter(_close("n", "n2"))
+    # the tokens of a pivot that many classes share are dealt over SALTS tasks
+    keys = ["pivot", "salt"]
+    salt = F.pmod("token", F.lit(SALTS))
+    own = tokens.withColumn("salt", salt).join(mixed.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), keys)
+    of_pivot = tokens.select(F.col("fp").alias("pivot"), "token").join(mixed, "pivot", "left_semi").withColumn("salt", salt)
+    out = own.filter("fp <> pivot").join(of_pivot, [*keys, "token"], "left_anti")
+    other = out.select(*keys, "token", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "comp", "held")])
+    pairs = out.join(other, [*keys, "token"]).filter("fp < fp2 and comp <> comp2").filter(_close("n", "n2"))
     lack = _overlap("n", "n2") - F.least("held", "held2")
     return pairs.groupBy(F.col("fp").alias("a"), F.col("fp2").alias("b"), lack.alias("lack")).agg(F.count("*").alias("shared")).filter("shared >= lack").select("a", "b")
 
@@ -202,55 +220,75 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.join(split, ["again", "token"])
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (columns doc_id and text).
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n, fp) of docs, and (fp, component, component_id, chosen, members) of the classes in groups of several rows.
 
-    component_id is the least doc_id reachable by links of Jaccard similarity 0.75 or more. Texts that
-    are null or have no words have no shingles and their own id. Rows with equal sets are linked; rows that repeat a
-    doc_id with other texts are documents of their own; a null doc_id keeps its place in groups but is
-    never their least id. An empty table gives no rows."""
+    chosen: the document (doc_id, th) of the least doc_id that is not null, if there is one, and of its texts that of the least hash."""
     sig = materialize(signatures(docs))
-    classes = materialize(sig.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")))
-    # one row per class: where a class has copies, only the first row of its least doc_id stays
+    document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    classes = materialize(sig.filter("n > 0").groupBy("fp").agg(F.min(document).alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")))
+    # one row per class: where a class has copies, only the first document stays, and repeated rows of it are told by pos alone
     repeated = classes.filter("copies > 1").select("fp", "rep")
-    single = sig.filter("n > 0").select("fp", "doc_id", "n", "head")
+    single = sig.filter("n > 0").select("fp", document.alias("document"), "n", "head")
     few = repeated.count() <= BROADCAST_IDS
     marked = single.join(F.broadcast(repeated) if few else repeated, "fp", "left")
-    ones = marked.filter("rep is null or rep = doc_id").select("fp", "n", "head")
+    ones = marked.filter("rep is null or rep <=> document").select("fp", "n", "head")
     tokens = ones.select("fp", "n", F.posexplode("head").alias("pos", "token"))
     tokens = tokens.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
     tokens = materialize(tokens.select("token", "df", "fp", "n", F.col("pos").cast("long").alias("pos")).distinct())
     first = materialize(prefixes(tokens))
-    copies = first.filter("kind = 'B'").select("fp").distinct().join(classes.select("fp", "rep"), "fp")
-    whole = materialize(whole_tokens(materialize(_sets(docs, copies).dropDuplicates(["fp"]))))
+    discard(tokens)
+    copies = materialize(first.filter("kind = 'B'").select("fp").distinct().join(classes.select("fp", "rep"), "fp"))
+    sets = materialize(_sets(docs, copies).dropDuplicates(["fp"]))
+    whole = materialize(whole_tokens(sets))
+    discard(sets, copies)
     prefix = whole.filter(F.col("pos") <= F.col("n") - _needed(F.col("n")) + 1)
     again = prefix.select("token", "fp", "n", F.lit("B").alias("kind"), F.lit(1).cast("long").alias("m"), F.lit(True).alias("again"), "own")
     rows = first.filter("not frequent").select("token", "fp", "n", "kind", "m", F.lit(False).alias("again"), F.col("n").alias("own")).unionByName(again)
     rows = materialize(rows)
+    discard(first)
 
     # copies look for a pivot by all their tokens, and the most usual of them are pivots: edits are rare, the original is usual
     stars = rows.filter("not again").select("again", "token", "fp", "n", "m", F.col("fp").cast("double").alias("by"))
     stars = stars.unionByName(whole.select(F.lit(True).alias("again"), "token", "fp", "n", F.lit(1).cast("long").alias("m"), (-F.col("usual")).alias("by")))
     checked = _verified(docs, classes, _star(stars, F.col("by")))
     for k in range(1, STAR_ROUNDS):  # only tokens that hold several components need another pivot
-        now = _split(_with_component(stars, materialize(connected_components(checked.filter("linked")))))
-        checked = checked.unionAll(_verified(docs, classes, _star(now, F.xxhash64("fp", F.lit(k)))))
+        joined = materialize(connected_components(checked.filter("linked")))
+        checked = checked.unionAll(_verified(docs, classes, _star(_split(_with_component(stars, joined)), F.xxhash64("fp", F.lit(k)))))
+        discard(joined)
     links = checked.filter("linked").select("a", "b")
     comp = materialize(connected_components(links))
     # what each class has in common with its pivot; one without a pivot is its own
     known = checked.join(whole.select(F.col("fp").alias("a")).distinct(), "a", "left_semi")
     pivots = known.groupBy(F.col("b").alias("fp")).agg(F.max(F.struct("common", "a")).alias("x")).select("fp", F.col("x.a").alias("pivot"), F.col("x.common").alias("held"))
+    pivots = materialize(pivots)
 
     def placed(df: DataFrame) -> DataFrame:
         near = _with_component(df, comp).join(pivots, "fp", "left")
         return near.withColumns({"pivot": F.coalesce("pivot", "fp"), "held": F.coalesce("held", "n")})
 
-    links = links.unionAll(_verified(docs, classes, _rest(placed(rows)).unionAll(_outside(placed(whole)))).filter("linked").select("a", "b"))
+    rest = materialize(_rest(placed(rows)).unionAll(_outside(placed(whole))))
+    discard(rows, whole, comp, pivots)
+    links = links.unionAll(_verified(docs, classes, rest).filter("linked").select("a", "b"))
     comp = connected_components(links).withColumnRenamed("node", "fp")
     grouped = materialize(classes.join(comp, "fp", "left").select("fp", "rep", "copies", F.coalesce("component", "fp").alias("component")))
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
-    named = grouped.join(least, "component").select("fp", "component_id")
-    return sig.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    discard(rest, classes)
+    # min() of an id passes over nulls, so a group has none only if all of its ids are null
+    least = grouped.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"), F.min("rep").alias("chosen"), F.sum("copies").alias("members")).filter("members > 1")
+    return sig, grouped.select("fp", "component").join(least, "component")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (columns doc_id and text; others are left out).
+
+    component_id is the least doc_id reachable by links of Jaccard similarity 0.75 or more. Texts that
+    are null or have no words have no shingles and their own id. Rows with equal sets are linked; rows that repeat a
+    doc_id with other texts are documents of their own; a null doc_id keeps its place in groups but is
+    never their least id. An id may be of any type that has an order. Tokens of equal frequency stand in order of their hash.
+    An empty table gives no rows."""
+    sig, groups = _grouped(docs)
+    rows = sig.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(groups.select("fp", "component_id"), "fp", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -258,10 +296,23 @@ def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates stays: that of the least doc_id. All columns of docs stay.
-
-    Texts without words are in no group, so they stay. Of rows that repeat a doc_id one stays."""
-    groups = near_groups(docs).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    few = groups.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(groups) if few else groups, "doc_id", "left_anti").select(docs.columns)
-    return kept
+    """One row of each group of near-duplicates stays: that of the least doc_id, with all columns of docs.
+
+    A row counts as a document by its id and text together, so another text under the id of a dropped one stays. Of rows
+    with the same id and text one stays; of rows with a null id one stays if no row of the group has an id. Null texts and
+    texts without words are in no group, so they all stay. An empty table stays empty."""
+    sig, groups = _grouped(docs)
+    rows = sig.select("doc_id", "th", "fp").join(groups.select("fp", "chosen"), "fp")
+    mine = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("th") == F.col("chosen.th"))
+    found = materialize(rows.groupBy("doc_id", "th").agg(F.first(mine).alias("stays"), F.count("*").alias("rows")))
+    gone, twice = found.filter("not stays").select("doc_id", "th"), found.filter("stays and rows > 1").select("doc_id", "th")
+    th = "_th"
+    while th in map(str.lower, docs.columns):
+        th = f"_{th}"
+    kept = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    kept = _meet(kept, gone, "left_anti", gone.count(), th)
+    many = twice.count()
+    if many:
+        once = _meet(kept, twice, "left_semi", many, th).dropDuplicates(["doc_id", th])
+        kept = _meet(kept, twice, "left_anti", many, th).unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

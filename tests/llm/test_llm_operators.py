@@ -116,6 +116,42 @@ def test_near_against_brute_force(spark):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def brute_kept(rows):
+    """Rows (id, text) of which each group keeps the one of the least id, of the least text hash; by position."""
+    groups = brute_groups({k: t for k, (_, t) in enumerate(rows)})
+    members = {}
+    for k, (n, c) in groups.items():
+        members.setdefault(c if n else ("alone", k), []).append(k)
+    return members
+
+
+def test_drop_near_by_row(spark):
+    a, b, c = (" ".join(words(40, 500 + k)) for k in range(3))
+    near_a = " ".join(edited(a.split(), 1, 1))
+    big = (1 << 60) + 1
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, near_a), (big, b + " more"), (None, None), (5, ""), (5, ""), (7, " ".join(words(40, 900))), (None, " ".join(words(40, 901))), (None, " ".join(words(40, 901)))]
+    df = spark.createDataFrame([(i, t, "th", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, th string, _th int").repartition(3)
+    got = near.drop_near(df)
+    assert got.columns == df.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    want = [(1, a), (2, b), (3, c), (None, None), (5, ""), (5, ""), (7, rows[11][1]), (None, rows[12][1])]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+    groups = [(r["doc_id"], r["component_id"]) for r in near.near_groups(df).collect()]
+    assert sorted(groups, key=repr) == sorted([(1, 1), (2, 1), (2, 2), (3, 3), (3, 3), (None, 3), (None, 1), (big, 2), (None, None), (5, 5), (5, 5), (7, 7), (None, None), (None, None)], key=repr)
+    # one row of every group, whatever the ids
+    for members in brute_kept(rows).values():
+        assert sum((rows[k][0], rows[k][1]) in kept for k in set(members)) >= 1
+    text_ids = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert sorted(((r["doc_id"], r["text"]) for r in near.drop_near(text_ids).collect()), key=repr) == sorted([(None if i is None else f"d{i}", t) for i, t in want if i != 2] + [(f"d{big}", rows[7][1])], key=repr)  # in the order of strings
+
+
+def test_ids_among_nulls_keep_their_digits(spark):
+    ids = [(1 << 62) + 1, None, 3]
+    df = spark.createDataFrame([(i, "some text of five words") for i in ids], "doc_id long, text string").coalesce(1)
+    for call in (quality.quality, near.near_groups, packing.pieces, tokens.token_counts, lambda d: secrets.digests(secrets.secrets(d))):
+        assert [r["doc_id"] for r in call(df).collect()] == ids
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 8), (7, 7), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (None, 4)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
