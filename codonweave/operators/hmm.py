@@ -1,8 +1,8 @@
 """Hidden Markov decoding of codon scores into coding regions.
 
-Sequences are rows that share keys, in order of a column. They are laid together by key, sorted, and decoded in
-Arrow batches: sequences of a batch are stepped through together, and one that goes on into the
-next batch is carried over."""
+Sequences are rows that share keys, in order of a column. They are laid together by key, sorted, and decoded from
+Arrow batches: sequences of like length are stepped through together, in packs of bounded size, and one that goes on
+into the next batch is carried over. Long sequences can be cut into chunks that different tasks decode."""
 
 from __future__ import annotations
 
@@ -11,16 +11,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codonweave.functions import scalars
-from codonweave.session import ship
+from codonweave.session import materialize, ship
 
 #: Codons of a bucket when blocks are assigned; blocks may cross bucket edges.
 BUCKET = 1 << 20
+#: Codons of a chunk of a long block; numbers of a padded pack of sequences.
+CHUNK, CELLS = 1 << 12, 1 << 21
 
 # Coding prior, mean coding length (codons), weights and mean lengths (codons) of the gaps' mixture, by species.
 HMM_PRESETS = {
@@ -79,124 +83,313 @@ def coding_hmm(prior: float, coding_length: float, weights: tuple[float, ...], l
     return Hmm(start, moves, DecibanEmissions(len(start)))
 
 
-def _stacked(model: Hmm, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emissions (time x sequence x state) of sequences sorted by falling length, the lengths, and the order."""
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    sizes = np.array([len(seqs[i]) for i in order])
-    emit = np.ones((sizes[0], len(seqs), len(model.prior)))
-    for k, i in enumerate(order):
-        emit[: sizes[k], k] = model.emissions(seqs[i])
-    return emit, sizes, order
+def _packs(lengths: np.ndarray, states: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences that are stepped through together: their numbers by falling length, their lengths, and the step and the
+    column of each position, sequence by sequence. Padded, a pack has at most CELLS numbers, or is a single sequence."""
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        many = max(1, CELLS // (int(lengths[order[at]]) * states))
+        own = order[at : at + many]
+        sizes = lengths[own]
+        columns = np.repeat(np.arange(len(own)), sizes)
+        yield own, sizes, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), columns
+        at += many
+
+
+def _places(own: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the positions of a pack stand among all."""
+    return np.arange(sizes.sum()) + np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes)
+
+
+@dataclass
+class Sequences:
+    """Observations of sequences laid one after another, and what is known at their ends.
+
+    before: a vector of states just before each sequence, as far as it is the rest of a longer one (nan: it is not);
+    after: the same behind it, for posteriors; last: its last state on the best path (-1: not known)."""
+
+    obs: np.ndarray
+    starts: np.ndarray
+    before: np.ndarray | None = None
+    best: np.ndarray | None = None
+    after: np.ndarray | None = None
+    last: np.ndarray | None = None
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.obs)))
+
+    @staticmethod
+    def of(seqs: list[np.ndarray]) -> Sequences:
+        sizes = [len(s) for s in seqs]
+        return Sequences(np.concatenate(seqs), np.cumsum([0, *sizes[:-1]]))
+
+
+def _first(model: Hmm, entering: np.ndarray | None, own: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """States at the first position before its emission, and the predecessor of each on the best path."""
+    start = np.repeat(model.prior[None], len(own), axis=0)
+    back = np.zeros(start.shape, np.int8)
+    if entering is not None:
+        rest = ~np.isnan(entering[own, 0])
+        vector = entering[own][rest]
+        if best:
+            ways = vector[:, :, None] * model.transitions[None]
+            start[rest] = ways.max(axis=1)
+            back[rest] = _last_best(ways)
+        else:
+            start[rest] = vector @ model.transitions
+    return start, back
+
+
+def _last_best(ways: np.ndarray) -> np.ndarray:
+    """Of equal predecessors the last."""
+    return ways.shape[1] - 1 - np.argmax(ways[:, ::-1], axis=1)
+
+
+def best_states(model: Hmm, seqs: Sequences) -> np.ndarray:
+    """The likeliest state of each position. Of equal predecessors the last is taken, of equal final states the first."""
+    out = np.empty(len(seqs.obs), np.int64)
+    emissions, states = model.emissions(seqs.obs), len(model.prior)
+    for own, sizes, t_of, k_of in _packs(seqs.lengths, states):
+        places = _places(own, sizes, seqs.starts)
+        steps, many = int(sizes[0]), len(own)
+        emit = np.ones((steps, many, states))
+        emit[t_of, k_of] = emissions[places]
+        back = np.zeros((steps, many, states), np.int8)
+        p, back[0] = _first(model, seqs.best, own, True)
+        p = p * emit[0]
+        end = p.copy()
+        for t in range(1, steps):
+            live = int(np.searchsorted(-sizes, -t))  # those longer than t
+            ways = p[:live, :, None] * model.transitions[None]
+            back[t, :live] = _last_best(ways)
+            p = ways.max(axis=1) * emit[t, :live]
+            p /= p.max(axis=1, keepdims=True)
+            end[:live] = p
+        now = np.argmax(end, axis=1)
+        if seqs.last is not None:
+            known = seqs.last[own]
+            now = np.where(known >= 0, known, now)
+        path = np.zeros((steps, many), np.int8)
+        for t in range(steps - 1, -1, -1):
+            live = int(np.searchsorted(-sizes, -t))
+            path[t, :live] = now[:live]
+            now[:live] = back[t, np.arange(live), now[:live]]
+        out[places] = path[t_of, k_of]
+    return out
+
+
+def posterior_states(model: Hmm, seqs: Sequences) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior state probabilities of each position, and the natural log likelihood of each sequence."""
+    out, states = np.empty((len(seqs.obs), len(model.prior))), len(model.prior)
+    likelihood = np.zeros(len(seqs.starts))
+    emissions = model.emissions(seqs.obs)
+    for own, sizes, t_of, k_of in _packs(seqs.lengths, states):
+        places = _places(own, sizes, seqs.starts)
+        steps, many = int(sizes[0]), len(own)
+        emit = np.ones((steps, many, states))
+        emit[t_of, k_of] = emissions[places]
+        f, logs = np.zeros((steps, many, states)), np.zeros(many)
+        x = _first(model, seqs.before, own, False)[0] * emit[0]
+        for t in range(steps):
+            live = int(np.searchsorted(-sizes, -t))
+            if t:
+                x = (f[t - 1, :live] @ model.transitions) * emit[t, :live]
+            scale = x.max(axis=1, keepdims=True)
+            f[t, :live] = x / scale
+            logs[:live] += np.log(scale[:, 0])
+        likelihood[own] = logs + np.log(f[sizes - 1, np.arange(many)].sum(axis=1))
+        b = np.ones((many, states))
+        if seqs.after is not None:
+            known = ~np.isnan(seqs.after[own, 0])
+            b[known] = seqs.after[own][known]
+        for t in range(steps - 1, -1, -1):
+            live = int(np.searchsorted(-sizes, -t))
+            f[t, :live] *= b[:live]
+            x = (b[:live] * emit[t, :live]) @ model.transitions.T
+            b[:live] = x / x.max(axis=1, keepdims=True)
+        post = f[t_of, k_of]
+        out[places] = post / post.sum(axis=1, keepdims=True)
+    return out, likelihood
+
+
+def transfer_matrices(model: Hmm, seqs: Sequences) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence what its positions do to a vector of states before it, as two matrices of greatest element 1:
+    by the best path, and by the sum of all paths. Where before is nan the prior stands in for the vector, in each row."""
+    states = len(model.prior)
+    best, total = (np.empty((len(seqs.starts), states, states)) for _ in range(2))
+    emissions = model.emissions(seqs.obs)
+    for own, sizes, t_of, k_of in _packs(seqs.lengths, states * states):
+        places = _places(own, sizes, seqs.starts)
+        steps, many = int(sizes[0]), len(own)
+        emit = np.ones((steps, many, states))
+        emit[t_of, k_of] = emissions[places]
+        begins = np.isnan(seqs.before[own, 0])
+        one = np.where(begins[:, None, None], model.prior[None, None], model.transitions[None]) * emit[0][:, None]
+        two = one.copy()
+        for t in range(steps):
+            live = int(np.searchsorted(-sizes, -t))
+            if t:
+                one[:live] = (one[:live, :, :, None] * model.transitions[None, None]).max(axis=2) * emit[t, :live, None]
+                two[:live] = (two[:live] @ model.transitions) * emit[t, :live, None]
+            one[:live] /= one[:live].max(axis=(1, 2), keepdims=True)
+            two[:live] /= two[:live].max(axis=(1, 2), keepdims=True)
+        best[own], total[own] = one, two
+    return best, total
+
+
+def join_chunks(best: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the matrices of the chunks of one sequence, in order: the vectors before each chunk by all paths and by the best
+    path (nan: before the first), the vector behind each, and the last state of each on the best path."""
+    n, states = len(best), best.shape[1]
+    before, entering = np.full((n, states), np.nan), np.full((n, states), np.nan)
+    after, last = np.ones((n, states)), np.zeros(n, np.int64)
+    x, y = total[0][0], best[0][0]
+    for k in range(1, n):
+        before[k], entering[k] = x, y
+        x, y = x @ total[k], (y[:, None] * best[k]).max(axis=0)
+        x, y = x / x.max(), y / y.max()
+    last[n - 1] = np.argmax(y)
+    for k in range(n - 1, 0, -1):
+        b = total[k] @ after[k]
+        after[k - 1] = b / b.max()
+        ways = entering[k] * best[k][:, last[k]]
+        last[k - 1] = states - 1 - np.argmax(ways[::-1])
+    return before, entering, after, last
 
 
 def viterbi(model: Hmm, seqs: list[np.ndarray]) -> list[np.ndarray]:
-    """The likeliest states. Of equal predecessors the last is taken, of equal final states the first."""
+    """best_states() of separate sequences."""
     if not seqs:
         return []
-    emit, sizes, order = _stacked(model, seqs)
-    steps, many, states = emit.shape
-    back = np.zeros((steps, many, states), np.int8)
-    end = np.zeros((many, states))
-    p = model.prior * emit[0]
-    end[sizes == 1] = p[sizes == 1]
-    for t in range(1, steps):
-        live = int((sizes > t).sum())
-        ways = p[:live, :, None] * model.transitions[None]
-        back[t, :live] = states - 1 - np.argmax(ways[:, ::-1], axis=1)
-        p = ways.max(axis=1) * emit[t, :live]
-        p = p / p.max(axis=1, keepdims=True)
-        done = sizes[:live] == t + 1
-        end[:live][done] = p[done]
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * many
-    path = np.zeros((steps, many), np.int64)
-    now = np.argmax(end, axis=1)
-    for t in range(steps - 1, -1, -1):
-        live = sizes > t
-        path[t, live] = now[live]
-        if t:
-            now = np.where(live, back[t, np.arange(many), now], now)
-    for k, i in enumerate(order):
-        out[i] = path[: sizes[k], k].copy()
-    return out
+    flat = Sequences.of(seqs)
+    return np.split(best_states(model, flat), flat.starts[1:])
 
 
 def forward_backward(model: Hmm, seqs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
-    """Posterior state probabilities of each position, and the natural log likelihood, of each sequence."""
+    """posterior_states() of separate sequences."""
     if not seqs:
         return [], []
-    emit, sizes, order = _stacked(model, seqs)
-    steps, many, states = emit.shape
-    f = np.zeros((steps, many, states))
-    logs = np.zeros(many)
-    f[0] = model.prior * emit[0]
-    for t in range(1, steps):
-        live = int((sizes > t).sum())
-        x = (f[t - 1, :live] @ model.transitions) * emit[t, :live]
-        scale = x.max(axis=1, keepdims=True)
-        f[t, :live] = x / scale
-        logs[:live] += np.log(scale[:, 0])
-    logs += np.log(f[sizes - 1, np.arange(many)].sum(axis=1))
-    post: list[np.ndarray] = [np.empty(0)] * many
-    b = np.ones((many, states))
-    both = np.zeros_like(f)
-    for t in range(steps - 1, -1, -1):
-        live = int((sizes > t).sum())
-        both[t, :live] = f[t, :live] * b[:live]
-        x = (b[:live] * emit[t, :live]) @ model.transitions.T
-        b[:live] = x / x.max(axis=1, keepdims=True)
-    for k, i in enumerate(order):
-        x = both[: sizes[k], k]
-        post[i] = x / x.sum(axis=1, keepdims=True)
-    likelihood = [0.0] * many
-    for k, i in enumerate(order):
-        likelihood[i] = float(logs[k])
-    return post, likelihood
-
-
-def _whole(batches: Iterator[pd.DataFrame], keys: list[str], most: int = 200_000) -> Iterator[list[pd.DataFrame]]:
-    """Whole sequences out of sorted batches, some at a time."""
-    rest: pd.DataFrame | None = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(new)
-        rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
-        if len(starts) > 1:
-            yield [pdf.iloc[a:b] for a, b in zip(starts[:-1], starts[1:])]
-    if rest is not None:
-        yield [rest]
+    flat = Sequences.of(seqs)
+    post, likelihood = posterior_states(model, flat)
+    return np.split(post, flat.starts[1:]), likelihood.tolist()
 
 
-def _by_sequence(df: DataFrame, keys: list[str], order: list[str], schema: T.StructType, fn) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole sequences out of sorted batches, and where each sequence starts; _k tells sequences apart.
+
+    Batches are laid together once, when at least `most` rows of finished sequences are there."""
+    parts: list[pa.RecordBatch] = []
+    rows, last = 0, None
+
+    def table(done: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(done)
+        k = t.column("_k").to_numpy()
+        return t, np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column("_k").to_numpy()
+        if rows >= most:
+            cuts = np.flatnonzero(np.append(last, k[:-1]) != k)
+            if len(cuts):
+                head = batch.slice(0, cuts[-1])
+                yield table([*parts, head] if head.num_rows else parts)
+                parts, rows = [], 0
+                batch = batch.slice(cuts[-1])
+        parts.append(batch)
+        rows += batch.num_rows
+        last = k[-1]
+    if parts:
+        yield table(parts)
+
+
+def _by_sequence(df: DataFrame, keys: list[str], order: list[str], schema: T.StructType, fn: Callable[[pa.Table, np.ndarray], pa.Table]) -> DataFrame:
+    """fn(table, starts) over whole sequences, some at a time; _k is among the table's columns."""
     ship(df.sparkSession)
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(lambda it: (out for group in _whole(it, keys) for out in [fn(group)]), schema)
+    laid = df.withColumn("_k", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys, *order)
+    arrow = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _whole(batches):
+            yield from fn(t, starts).select(arrow.names).cast(arrow).to_batches(max_chunksize=50_000)
 
-def hmm_decode(df: DataFrame, keys: list[str], order: list[str], obs: str, model: Hmm, posteriors: bool = False) -> DataFrame:
-    """df with state (likeliest path) and, if wanted, posterior array<double>."""
-    extra = [T.StructField("state", T.LongType())] + ([T.StructField("posterior", T.ArrayType(T.DoubleType()))] if posteriors else [])
+    return laid.mapInArrow(run, schema)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
 
-    def fn(group: list[pd.DataFrame]) -> pd.DataFrame:
-        seqs = [g[obs].to_numpy() for g in group]
-        out = pd.concat(group, ignore_index=True)
-        out["state"] = np.concatenate(viterbi(model, seqs))
-        if posteriors:
-            out["posterior"] = list(np.concatenate(forward_backward(model, seqs)[0]))
-        return out
 
-    return _by_sequence(df, keys, order, T.StructType(df.schema.fields + extra), fn)
+def _decoded(t: pa.Table, model: Hmm, seqs: Sequences, posteriors: bool) -> pa.Table:
+    t = t.append_column("state", pa.array(best_states(model, seqs)))
+    return t.append_column("posterior", _lists(posterior_states(model, seqs)[0])) if posteriors else t
+
+
+def hmm_decode(df: DataFrame, keys: list[str], order: list[str], obs: str, model: Hmm, posteriors: bool = False, chunk: Column | None = None) -> DataFrame:
+    """df with state (likeliest path) and, if wanted, posterior array<double>.
+
+    A sequence is decoded by one task, unless chunk is given: a number of each row that starts at 0, grows along a sequence and
+    stays the same for a bounded number of rows. Sequences of several chunks are then decoded chunk by chunk: matrices of
+    each chunk first, then the vectors at the chunks' ends from the matrices of a sequence, then the chunks with these."""
+    extra = [T.StructField("state", T.LongType())] + ([T.StructField("posterior", T.ArrayType(T.DoubleType()))] if posteriors else [])
+    schema = T.StructType(df.schema.fields + extra)
+
+    def whole(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        return _decoded(t, model, Sequences(t.column(obs).to_numpy(), starts), posteriors)
+
+    if chunk is None:
+        return _by_sequence(df, keys, order, schema, whole)
+    cut = materialize(df.withColumn("_chunk", chunk.cast("long")))
+    long = materialize(cut.filter("_chunk > 0").select(*keys).distinct())
+    short = _by_sequence(cut.join(long, keys, "left_anti").drop("_chunk"), keys, order, schema, whole)
+    if long.isEmpty():
+        return short
+    states, parts = len(model.prior), [*keys, "_chunk"]
+    mine = materialize(cut.join(long, keys, "left_semi"))
+    key_fields = [df.schema[k] for k in keys] + [T.StructField("_chunk", T.LongType())]
+
+    def matrices(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        first = t.take(pa.array(starts))
+        before = np.where((first.column("_chunk").to_numpy() == 0)[:, None], np.nan, np.ones((len(starts), states)))
+        best, total = transfer_matrices(model, Sequences(t.column(obs).to_numpy(), starts, before))
+        return first.append_column("_best", _lists(best.reshape(len(starts), -1))).append_column("_total", _lists(total.reshape(len(starts), -1)))
+
+    lists = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("_best", "_total")]
+    steps = _by_sequence(mine, parts, order, T.StructType(key_fields + lists), matrices)
+    vectors = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("_before", "_entering", "_after")] + [T.StructField("_last", T.LongType())]
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk", ignore_index=True)
+        before, entering, after, last = join_chunks(*(np.stack(pdf[n].to_numpy()).reshape(-1, states, states) for n in ("_best", "_total")))
+        return pdf[parts].assign(_before=list(before), _entering=list(entering), _after=list(after), _last=last)
+
+    # a chunk's vectors come as a row before its first, so they are not repeated in each
+    known = steps.groupBy(*keys).applyInPandas(ends, T.StructType(key_fields + vectors))
+    rows = mine.withColumn("_data", F.lit(1)).unionByName(known.withColumn("_data", F.lit(0)), allowMissingColumns=True)
+
+    def chunks(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        heads = t.take(pa.array(starts))
+        data = np.ones(len(t), bool)
+        data[starts] = False
+        own = t.filter(pa.array(data)).drop_columns(["_before", "_entering", "_after", "_last"])
+        vector = {n: np.array(heads.column(n).to_pylist(), float) for n in ("_before", "_entering", "_after")}
+        seqs = Sequences(own.column(obs).to_numpy(), starts - np.arange(len(starts)), vector["_before"], vector["_entering"], vector["_after"], heads.column("_last").to_numpy())
+        return _decoded(own, model, seqs, posteriors)
+
+    return short.unionByName(_by_sequence(rows, parts, ["_data", *order], schema, chunks))
 
 
 def hmm_log_likelihood(df: DataFrame, keys: list[str], order: list[str], obs: str, model: Hmm) -> DataFrame:
     """One row of keys and log_likelihood for each sequence."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("log_likelihood", T.DoubleType())])
 
-    def fn(group: list[pd.DataFrame]) -> pd.DataFrame:
-        out = pd.concat([g[keys].iloc[:1] for g in group], ignore_index=True)
-        out["log_likelihood"] = forward_backward(model, [g[obs].to_numpy() for g in group])[1]
-        return out
+    def fn(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        logs = posterior_states(model, Sequences(t.column(obs).to_numpy(), starts))[1]
+        return t.select(keys).take(pa.array(starts)).append_column("log_likelihood", pa.array(logs))
 
     return _by_sequence(df, keys, order, schema, fn)
 
@@ -234,8 +427,11 @@ def coding_runs(decoded: DataFrame) -> DataFrame:
     return out.select("chrom", "strand", "frame", "start", "stop", "log_odds", scalars.gray_scale("log_odds").alias("gray"))
 
 
-def coding_regions(codons: DataFrame, model: Hmm | None = None, min_bls: float = 0.1) -> DataFrame:
-    """Codon scores (chrom, strand, frame, pos, score, bls) to coding regions, all chromosomes in one job."""
+def coding_regions(codons: DataFrame, model: Hmm | None = None, min_bls: float = 0.1, chunk: int = CHUNK) -> DataFrame:
+    """Codon scores (chrom, strand, frame, pos, score, bls) to coding regions, all chromosomes in one job.
+
+    Blocks of more than chunk codons are decoded in chunks."""
     model = model or coding_hmm(*HMM_PRESETS["human"])
     blocks = assign_blocks(usable_codons(codons, min_bls)).select("chrom", "strand", "frame", "block", "pos", "score")
-    return coding_runs(hmm_decode(blocks, ["chrom", "strand", "frame", "block"], ["pos"], "score", model, posteriors=True))
+    part = F.floor((F.col("pos") - F.col("block")) / (3 * chunk))
+    return coding_runs(hmm_decode(blocks, ["chrom", "strand", "frame", "block"], ["pos"], "score", model, posteriors=True, chunk=part))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -91,3 +92,54 @@ def test_sequences_over_batches(spark):
     want = dict(zip(seqs, hmm.viterbi(small(), list(seqs.values()))))
     for r in got:
         assert [x["state"] for x in sorted(r["x"])] == want[r["k"]].tolist()
+
+
+def test_chunks_do_not_change_the_result(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, float(rng.normal(0, 9))) for k, n in enumerate((1, 8, 7, 9, 64, 3, 200)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, obs double")
+    model = hmm.coding_hmm(*hmm.HMM_PRESETS["fly"])
+    want = {(r["k"], r["i"]): (r["state"], r["posterior"]) for r in hmm.hmm_decode(df, ["k"], ["i"], "obs", model, posteriors=True).collect()}
+    for size in (8, 50):
+        got = hmm.hmm_decode(df, ["k"], ["i"], "obs", model, posteriors=True, chunk=F.floor(F.col("i") / size))
+        assert got.columns == ["k", "i", "obs", "state", "posterior"]
+        rows_got = {(r["k"], r["i"]): (r["state"], r["posterior"]) for r in got.collect()}
+        assert {k: v[0] for k, v in rows_got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(np.allclose(v[1], want[k][1], atol=1e-12) for k, v in rows_got.items())
+    plain = hmm.hmm_decode(df, ["k"], ["i"], "obs", model, chunk=F.floor(F.col("i") / 50))
+    assert plain.count() == len(want) and "posterior" not in plain.columns
+
+
+def test_ties_over_chunks():
+    model = hmm.Hmm(np.array([0.5, 0.5]), np.full((2, 2), 0.5), hmm.MatrixEmissions(np.ones((1, 2))))
+    obs, starts = np.zeros(9, int), np.array([0, 4, 8])
+    before = np.array([[np.nan] * 2, [1, 1], [1, 1]])
+    vectors = hmm.join_chunks(*hmm.transfer_matrices(model, hmm.Sequences(obs, starts, before)))
+    assert hmm.best_states(model, hmm.Sequences(obs, starts, *vectors)).tolist() == hmm.viterbi(model, [obs])[0].tolist()
+
+
+def test_long_and_short_blocks_in_bounded_memory():
+    """Two million codons in chunks beside 100,000 short blocks, under 1 GB; the paths of a part are those of the whole kernel."""
+    rng = np.random.default_rng(4)
+    model = hmm.coding_hmm(*hmm.HMM_PRESETS["human"])
+    lengths = np.concatenate((rng.integers(1, 30, 100_000), [6000]))
+    obs = rng.normal(-2, 8, lengths.sum())
+    short = hmm.Sequences(obs, np.cumsum(lengths) - lengths)
+    long = rng.normal(-2, 8, 2_000_000)
+    starts = np.arange(0, len(long), hmm.CHUNK)
+    before = np.ones((len(starts), 4))
+    before[0] = np.nan
+    tracemalloc.start()
+    path, post = hmm.best_states(model, short), hmm.posterior_states(model, short)[0]
+    vectors = hmm.join_chunks(*hmm.transfer_matrices(model, hmm.Sequences(long, starts, before)))
+    whole = hmm.Sequences(long, starts, *vectors)
+    long_path, long_post = hmm.best_states(model, whole), hmm.posterior_states(model, whole)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1e9, peak
+    assert np.array_equal(path[-6000:], hmm.viterbi(model, [obs[-6000:]])[0]) and np.allclose(post.sum(axis=1), 1)
+    assert np.allclose(long_post.sum(axis=1), 1) and (long_path == 0).any()
+    # three chunks of their own agree with the unchunked kernel
+    part = long[: 3 * hmm.CHUNK]
+    vectors = hmm.join_chunks(*hmm.transfer_matrices(model, hmm.Sequences(part, starts[:3], before[:3])))
+    assert np.array_equal(hmm.best_states(model, hmm.Sequences(part, starts[:3], *vectors)), hmm.viterbi(model, [part])[0])
