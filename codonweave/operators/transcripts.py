@@ -103,10 +103,12 @@ def cds_spans(exons: DataFrame, include_stop: bool = True, trim: int | None = No
 
 
 def trim_to_codons(start: str, stop: str, cs: str, offset: int = 0) -> tuple[Column, Column]:
-    """Both ends of a transcript interval moved inwards to codon boundaries; null where nothing is left."""
-    s, e = F.col(start), F.col(stop)
-    a = s + F.pmod(3 - F.pmod(s - F.col(cs), F.lit(3)) + offset, F.lit(3))
-    b = e - F.pmod(F.pmod(e - F.col(cs), F.lit(3)) - 2 - offset, F.lit(3))
+    """Both ends of a transcript interval moved inwards to codon boundaries; null where nothing is left.
+
+    From a position to the next codon start it is its distance to any codon start, modulo 3, and likewise back to a codon end."""
+    first = F.col(cs) + offset
+    a = F.col(start) + F.pmod(first - F.col(start), F.lit(3))
+    b = F.col(stop) - F.pmod(F.col(stop) - (first + 2), F.lit(3))
     return F.when(a < b, a), F.when(a < b, b)
 
 
@@ -143,14 +145,21 @@ def coding_phase(exons: DataFrame) -> Column:
 
 
 def cds_with_phase(exons: DataFrame, include_stop: bool) -> DataFrame:
-    """Coding parts with their phase: tr_id, chrom, strand, start, stop, phase."""
-    hi = F.col("ce") - (0 if include_stop else 3)
-    lo_u = F.when(_plus(), F.col("cs")).otherwise(F.col("len") - hi + 1)
-    hi_u = F.when(_plus(), hi).otherwise(F.col("len") - F.col("cs") + 1)
-    size = F.col("stop") - F.col("start") + 1
-    cut = exons.filter("cs is not null and ce is not null").withColumns({"_a": F.greatest(lo_u, F.col("cum") + 1), "_b": F.least(hi_u, F.col("cum") + size)}).filter("_a <= _b")
-    shift = F.col("start") - F.col("cum") - 1
-    return cut.select("tr_id", "chrom", "strand", coding_phase(exons).alias("phase"), (shift + F.col("_a")).alias("p"), (shift + F.col("_b")).alias("q")).withColumnsRenamed({"p": "start", "q": "stop"})
+    """Coding parts with their phase: tr_id, chrom, strand, start, stop, phase.
+
+    bare_start, bare_stop: the part without the stop codon; the start is greater where nothing of it is left."""
+    shift, size = F.col("start") - F.col("cum") - 1, F.col("stop") - F.col("start") + 1
+
+    def ends(hi: Column) -> tuple[Column, Column]:
+        lo_u = F.when(_plus(), F.col("cs")).otherwise(F.col("len") - hi + 1)
+        hi_u = F.when(_plus(), hi).otherwise(F.col("len") - F.col("cs") + 1)
+        return shift + F.greatest(lo_u, F.col("cum") + 1), shift + F.least(hi_u, F.col("cum") + size)
+
+    bare = ends(F.col("ce") - 3)
+    a, b = ends(F.col("ce")) if include_stop else bare
+    cut = exons.filter("cs is not null and ce is not null")
+    cut = cut.select("tr_id", "chrom", "strand", coding_phase(exons).alias("phase"), a.alias("a"), b.alias("b"), bare[0].alias("bare_start"), bare[1].alias("bare_stop"))
+    return cut.filter("a <= b").withColumnsRenamed({"a": "start", "b": "stop"})
 
 
 def intersect_transcripts(a: DataFrame, b: DataFrame, same_strand: bool = False, same_frame: bool = False) -> DataFrame:
