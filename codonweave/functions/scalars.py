@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +34,8 @@ def anti_intervals(intervals: Column | str, strand: Column | str) -> Column:
 
 
 def region_string(chrom: Column | str, start: Column | str, stop: Column | str) -> Column:
-    return F.concat_ws("", col(chrom), F.lit(":"), col(start).cast("string"), F.lit("-"), col(stop).cast("string"))
+    """'chrom:start-stop'; null if any part is."""
+    return F.concat(col(chrom), F.lit(":"), col(start).cast("string"), F.lit("-"), col(stop).cast("string"))
 
 
 def regions_string(chrom: Column | str, intervals: Column | str) -> Column:
@@ -45,7 +44,7 @@ def regions_string(chrom: Column | str, intervals: Column | str) -> Column:
 
 
 def region_name(chrom: Column | str, start: Column | str, stop: Column | str, strand: Column | str) -> Column:
-    return F.concat_ws("", region_string(chrom, start, stop), F.lit(":"), col(strand))
+    return F.concat(region_string(chrom, start, stop), F.lit(":"), col(strand))
 
 
 _REGION = r"^\s*(.+):(-?[0-9,]+)-(-?[0-9,]+)\s*$"
@@ -85,15 +84,19 @@ def gray_scale(log_odds: Column | str) -> Column:
     return F.when(x < 1, F.lit(210)).when(x > 7, F.lit(0)).otherwise(210 - 30 * F.floor(x)).cast("long")
 
 
+# The rank at the middle of the colour scale, and its bins.
+MIDDLE_RANK, COLOR_BINS = 5_000, 8
+
+
 def rank_color(rank0: Column | str, n: Column | int, strand: Column | str) -> Column:
     """'r,g,b' of a zero-based rank among n, in eight bins of a logarithmic scale; paler with the rank.
 
     Where the scale degenerates (n = 10,000) bins are linear; where its end is infinite (n = 5,000) all are bin 0."""
     i, n = col(rank0).cast("double"), (F.lit(n) if isinstance(n, int) else n).cast("double")
-    a = (n - 10_000) / 25_000_000
+    a = (n - 2 * MIDDLE_RANK) / MIDDLE_RANK**2
     end = 1 + a * n
     scaled = F.when(a == 0, i / n).when(end <= 0, F.lit(0.0)).otherwise(F.log(1 + a * i) / F.log(end))
-    part = F.floor(8 * scaled) / 8
+    part = F.floor(COLOR_BINS * scaled) / COLOR_BINS
 
     def channel(full: Column) -> Column:
         return F.floor(full * (1 - part) + 255 * part).cast("long").cast("string")
@@ -127,6 +130,11 @@ def without_trailing_char(text: Column | str, char: str) -> Column:
     return F.when(F.endswith(col(text), F.lit(char)), F.substring(col(text), F.lit(1), F.length(col(text)) - 1)).otherwise(col(text))
 
 
+def without_trailing_newline(text: Column | str) -> Column:
+    """The text without one line end (LF, CR or CR LF) at its end."""
+    return without_trailing_char(without_trailing_char(text, "\n"), "\r")
+
+
 def split_or_empty(text: Column | str, pattern: str) -> Column:
     """split(), but nothing of an empty text."""
     return F.when(col(text) == "", F.array().cast("array<string>")).otherwise(F.split(col(text), pattern))
@@ -140,6 +148,3 @@ def kmer_index(kmer: Column | str) -> Column:
 
 def frame(pos: Column | str) -> Column:
     return F.pmod(col(pos), F.lit(3)).cast("long")
-
-
-LOG2 = math.log(2)

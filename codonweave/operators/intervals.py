@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BIN = 1 << 14
+BIN = 1 << 12
 
 
 def _bin(pos: Column, width: int) -> Column:
@@ -20,9 +20,11 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: int = BIN, ho
     """Pairs of a row of a and a row of b that agree on the columns `on` and overlap.
 
     b's start and stop become b_start and b_stop; other columns of b must have names of their own.
-    how: inner, left_semi or left_anti (then only rows of a come back)."""
+    how: inner, left_semi or left_anti; then only rows of a come back, each as often as a has it. A row whose interval or key
+    is null overlaps nothing; nulls in other columns do not matter."""
     right = b.withColumnsRenamed({"start": "b_start", "stop": "b_stop"})
-    left = a.withColumn("_bin", F.explode(F.sequence(_bin(F.col("start"), width), _bin(F.col("stop"), width))))
+    rows = a if how == "inner" else a.groupBy(*a.columns).agg(F.count("*").alias("_copies"))  # equal rows, nulls too, as one
+    left = rows.withColumn("_bin", F.explode(F.sequence(_bin(F.col("start"), width), _bin(F.col("stop"), width))))
     right = right.withColumn("_bin", F.explode(F.sequence(_bin(F.col("b_start"), width), _bin(F.col("b_stop"), width))))
     if how == "inner":
         pairs = left.join(right, [*on, "_bin"])
@@ -32,10 +34,12 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: int = BIN, ho
     meets = (F.col("_bin") == F.col("_b")) & (F.col("start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("stop"))
     for c in on:
         meets = meets & (F.col(c) == F.col(f"_{c}"))
-    if how == "left_semi":
-        return left.join(spots, meets, "left_semi").drop("_bin").dropDuplicates(a.columns)
-    hits = left.join(spots, meets, "left_semi").drop("_bin").dropDuplicates(a.columns)
-    return a.join(hits, a.columns, "left_anti")
+    hits = left.join(spots, meets, "left_semi").drop("_bin").distinct()
+    if how == "left_anti":
+        other = hits.select(*[F.col(c).alias(f"_hit_{c}") for c in a.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in a.columns]
+        hits = rows.join(other, same, "left_anti")
+    return hits.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(a.columns)
 
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,18 +51,27 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
-def union_regions(df: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """Disjoint intervals that cover what df covers, by key.
-
-    Intervals are cut at bin edges and merged within each bin, so no task gets a whole chromosome; only
-    pieces that touch an edge are then merged across bins."""
+def _in_bins(df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Merged intervals of each key and _bin, cut at the bins' edges."""
     cut = df.select(*keys, "start", "stop", F.explode(F.sequence(_bin(F.col("start"), width), _bin(F.col("stop"), width))).alias("_bin"))
     cut = cut.withColumns({"start": F.greatest("start", F.col("_bin") * width), "stop": F.least("stop", (F.col("_bin") + 1) * width - 1)})
-    parts = _islands(cut, [*keys, "_bin"])
+    return _islands(cut, [*keys, "_bin"])
+
+
+def _over_edges(parts: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Disjoint parts of bins, those that touch an edge merged with what goes on beyond it."""
     edge = (F.col("start") == F.col("_bin") * width) | (F.col("stop") == (F.col("_bin") + 1) * width - 1)
     return parts.filter(~edge).drop("_bin").unionByName(_islands(parts.filter(edge).drop("_bin"), keys))
 
 
+def union_regions(df: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """Disjoint intervals that cover what df covers, by key.
+
+    Intervals are cut at bin edges and merged within each bin, so no task gets a whole chromosome; only
+    pieces that touch an edge are then merged across bins, at most two a bin and key."""
+    return _over_edges(_in_bins(df, keys, width), keys, width)
+
+
 def intersect_regions(a: DataFrame, b: DataFrame, keys: list[str], *more: DataFrame) -> DataFrame:
     """The parts common to all tables, by key. Each table's own intervals should be disjoint."""
     both = overlap_join(a.select(*keys, "start", "stop"), b.select(*keys, "start", "stop"), keys)
@@ -66,15 +79,19 @@ def intersect_regions(a: DataFrame, b: DataFrame, keys: list[str], *more: DataFr
     return intersect_regions(out, more[0], keys, *more[1:]) if more else out
 
 
-def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Column | int) -> DataFrame:
-    """What lies from lo to hi outside the intervals of each key that df has."""
-    lo, hi = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (lo, hi))
-    merged = union_regions(df, keys)
-    w = W.partitionBy(*keys).orderBy("start")
-    after = merged.select(*keys, (F.col("stop") + 1).alias("start"), F.coalesce(F.lead("start").over(w) - 1, hi).alias("stop"))
-    before = merged.groupBy(*keys).agg(F.min("start").alias("_first")).select(*keys, lo.alias("start"), (F.col("_first") - 1).alias("stop"))
-    both = after.unionByName(before).select(*keys, F.greatest("start", lo).alias("start"), F.least("stop", hi).alias("stop"))
-    return both.filter("start <= stop")
+def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Column | int, among: DataFrame | None = None, width: int = BIN) -> DataFrame:
+    """What lies from lo to hi outside the intervals of each key.
+
+    among: a table of all keys, one row each; lo and hi may then be columns of it, as chromosome sizes are. A key without
+    intervals gives its whole range. Without it the keys are those of df. Each bin is turned inside out by itself; only
+    what touches an edge is then merged across bins."""
+    lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi))
+    named = (df.select(*keys).distinct() if among is None else among).select(*keys, lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi")).filter("_lo <= _hi")
+    bins = named.withColumn("_bin", F.explode(F.sequence(_bin(F.col("_lo"), width), _bin(F.col("_hi"), width))))
+    spans = bins.select(*keys, "_bin", F.greatest("_lo", F.col("_bin") * width).alias("start"), F.least("_hi", (F.col("_bin") + 1) * width - 1).alias("stop"))
+    parts = _in_bins(df, keys, width).withColumnsRenamed({"start": "b_start", "stop": "b_stop"})
+    left = gaps_inside(spans.join(parts, [*keys, "_bin"], "left"), [*keys, "_bin"])
+    return _over_edges(left.withColumnsRenamed({"left_start": "start", "left_stop": "stop"}), keys, width)
 
 
 def gaps_inside(pieces: DataFrame, key: list[str]) -> DataFrame:

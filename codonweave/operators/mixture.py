@@ -3,34 +3,54 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from codonweave.operators.intervals import overlap_join, union_regions
+from codonweave.session import ship
+
 KEYS = ["chrom", "strand", "frame"]
 
 
 def prune_overlaps(exons: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Of overlapping exons the longer stays (the earlier of equals), from left to right, by key.
 
-    Only exons of one cluster of overlaps can meet, so each cluster is folded on its own."""
-    w = W.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = exons.select(*keys, "start", "stop").withColumn("_new", F.coalesce((F.col("start") > reach).cast("long"), F.lit(1)))
-    marked = marked.withColumn("_c", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    lists = marked.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("x"))
-
-    def take(kept: Column, e: Column) -> Column:
-        last = F.element_at(kept, -1)
-        size, old = e["stop"] - e["start"], last["stop"] - last["start"]
-        front = F.slice(kept, F.lit(1), F.size(kept) - 1)
-        return F.when((F.size(kept) == 0) | (e["start"] > last["stop"]), F.concat(kept, F.array(e))).when(size <= old, kept).otherwise(F.concat(front, F.array(e)))
-
-    empty = F.slice("x", F.lit(1), F.lit(0))
-    # element_at of an empty array is null under try semantics, so the first element is taken as the start
-    kept = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), F.concat(empty, F.slice("x", F.lit(1), F.lit(1))), take)
-    return lists.select(*keys, F.inline(kept))
+    Only exons of one cluster of overlaps can meet. Clusters come from the union by bins; each is then gone through as a
+    sorted stream that remembers one exon, so neither a key nor a cluster has to fit in memory."""
+    ship(exons.sparkSession)
+    own = exons.select(*keys, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    names = own.columns
+    named = overlap_join(own, union_regions(own, keys), keys).withColumn("_k", F.xxhash64(*keys, "b_start"))
+    laid = named.repartition("_k").sortWithinPartitions("_k", *keys, "b_start", "start", "stop").select("_k", *keys, "start", "stop")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple | None = None  # cluster, start, stop, batch and row of the exon that may still go
+        for batch in batches:
+            done: list[pa.RecordBatch] = []
+            stay = np.zeros(batch.num_rows, bool)
+            for i, (k, a, z) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_k", "start", "stop")))):
+                if kept and kept[0] == k and a <= kept[2]:
+                    if z - a <= kept[2] - kept[1]:
+                        continue
+                elif kept:
+                    if kept[3] is batch:
+                        stay[kept[4]] = True
+                    else:
+                        done.append(kept[3].slice(kept[4], 1))
+                kept = (k, a, z, batch, i)
+            if kept and kept[3] is batch:  # one row of it is kept for the next batch, not all
+                kept = (*kept[:3], pa.RecordBatch.from_arrays([c.take(pa.array([kept[4]])) for c in batch.columns], schema=batch.schema), 0)
+            for b in [*done, batch.filter(pa.array(stay))]:
+                yield b.select(names)
+        if kept:
+            yield kept[3].slice(kept[4], 1).select(names)
+
+    return laid.mapInArrow(fold, own.schema)
 
 
 def exon_gaps(pruned: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -149,13 +149,26 @@ def read_coding_exons(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Sequence lines as chunks: name, offset (bases before), seq. Lines of one sequence stay apart; no row holds a whole genome."""
-    lines = numbered_lines(spark, path).withColumn("value", F.trim("value")).filter("value <> ''")
-    w = W.partitionBy("file").orderBy("line_no")
-    named = lines.withColumn("name", F.last(F.when(F.col("value").startswith(">"), F.substring("value", 2, 1 << 20)), ignorenulls=True).over(w))
-    seq = named.filter(~F.col("value").startswith(">")).withColumn("name", F.trim("name"))
-    before = F.sum(F.length("value")).over(W.partitionBy("file", "name").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
-    return seq.select("name", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), F.col("value").alias("seq"))
+    """Sequence lines as chunks: name, offset (bases before), seq. Lines of one sequence stay apart; no row holds a whole genome.
+
+    Each split of a file is numbered by itself. Only its lines before its first header belong to a sequence that began
+    in an earlier split; name and bases of that come from a table of one row a split. Lines before any header have no name."""
+    lines = numbered_lines(spark, path).withColumn("value", F.trim("value")).filter("value <> ''").select("file", "line_no.block", "line_no.row", "value")
+    split = W.partitionBy("file", "block").orderBy("row")
+    head = F.col("value").startswith(">")
+    lines = lines.withColumn("part", F.sum(head.cast("int")).over(split))
+    size = F.when(~head, F.length("value")).otherwise(0).cast("long")
+    within = W.partitionBy("file", "block", "part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("file", "block", "part")
+    lines = lines.withColumns({"before": F.coalesce(F.sum(size).over(within), F.lit(0)), "own": F.max(F.when(head, F.trim(F.substring("value", 2, 1 << 20)))).over(whole)})
+    ends = lines.groupBy("file", "block").agg(F.max_by("own", "part").alias("own"), F.max("part").alias("parts"), F.max_by(F.col("before") + size, F.struct("part", "row")).alias("bases"))
+    files = W.partitionBy("file").orderBy("block")
+    ends = ends.withColumn("run", F.sum((F.col("parts") > 0).cast("int")).over(files))
+    ends = ends.withColumn("bases", F.sum("bases").over(W.partitionBy("file", "run").orderBy("block")))
+    carried = ends.select("file", "block", F.last("own", ignorenulls=True).over(files.rowsBetween(W.unboundedPreceding, -1)).alias("old"), F.coalesce(F.lag("bases").over(files), F.lit(0)).alias("more"))
+    seq = lines.filter(~head).join(carried, ["file", "block"])
+    goes_on = F.col("part") == 0
+    return seq.select(F.when(goes_on, F.col("old")).otherwise(F.col("own")).alias("name"), (F.col("before") + F.when(goes_on, F.col("more")).otherwise(0)).alias("offset"), F.col("value").alias("seq"))
 
 
 def read_csv_table(spark: SparkSession, path: str | list[str], index: str | None = None, strict: bool = False) -> DataFrame:

@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from codonweave.functions import scalars
 
 
+def _or(name: str, value: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(value))
+
+
+def _line(columns: list[Column]) -> Column:
+    """Fields between tabs; null if any is, so that no field moves to another's place."""
+    return F.concat(*[x for c in columns for x in (F.lit("\t"), c.cast("string"))][1:])
+
+
 def bed12_line(df: DataFrame) -> Column:
-    """A BED12 line from chrom, name, score, strand, thick_start, thick_stop, rgb and blocks (1-based closed)."""
+    """A BED12 line from chrom, name, score, strand, thick_start, thick_stop, rgb and blocks (1-based closed).
+
+    A null name or strand is written as '.', a null score or colour as 0, and a thick range that is null or empty as none. A row
+    without chromosome or blocks gives null."""
     first = F.element_at("blocks", 1)["start"] - 1
     sizes = F.array_join(F.transform("blocks", lambda b: (b["stop"] - b["start"] + 1).cast("string")), ",")
     rel = F.array_join(F.transform("blocks", lambda b: (b["start"] - 1 - first).cast("string")), ",")
-    thick = F.col("thick_start") <= F.col("thick_stop")
+    thick = F.coalesce(F.col("thick_start") <= F.col("thick_stop"), F.lit(False))
     columns = [
-        F.col("chrom"), first, F.element_at("blocks", -1)["stop"], F.col("name"), F.col("score"), F.col("strand"),
-        F.when(thick, F.col("thick_start") - 1).otherwise(first), F.when(thick, F.col("thick_stop")).otherwise(first), F.col("rgb"), F.size("blocks"), sizes, rel,
+        F.col("chrom"), first, F.element_at("blocks", -1)["stop"], _or("name", "."), _or("score", "0"), _or("strand", "."),
+        F.when(thick, F.col("thick_start") - 1).otherwise(first), F.when(thick, F.col("thick_stop")).otherwise(first), _or("rgb", "0"), F.size("blocks"), sizes, rel,
     ]
-    return F.concat_ws("\t", *[c.cast("string") for c in columns])
+    return _line(columns)
 
 
 def to_bed12(df: DataFrame) -> DataFrame:
@@ -26,11 +38,12 @@ def to_bed12(df: DataFrame) -> DataFrame:
 
 
 def to_bed9(regions: DataFrame) -> DataFrame:
-    """Lines of regions (chrom, strand, start, stop, gray): the whole region thick, in grey."""
-    lo, gray = (F.col("start") - 1).cast("string"), F.col("gray").cast("string")
-    stop = F.col("stop").cast("string")
-    rgb = F.concat_ws(",", gray, gray, gray)
-    return regions.select(F.concat_ws("\t", "chrom", lo, stop, scalars.region_string("chrom", "start", "stop"), F.lit("0"), "strand", lo, stop, rgb).alias("value"))
+    """Lines of regions (chrom, strand, start, stop, gray): the whole region thick, in grey.
+
+    A null strand is written as '.', a null grey as 0; a row without place gives null."""
+    lo, gray = F.col("start") - 1, _or("gray", "0")
+    fields = [F.col("chrom"), lo, F.col("stop"), scalars.region_string("chrom", "start", "stop"), F.lit("0"), _or("strand", "."), lo, F.col("stop"), F.concat_ws(",", gray, gray, gray)]
+    return regions.select(_line(fields).alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str, by: list[str] | None = None, gzip: bool = False) -> None:
