@@ -45,10 +45,15 @@ DUCKDB = {"dna": "select doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g')
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in TABLES:
-        if f"from {t}" in SQL[name]:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(SQL[name])
+    used = [t for t in TABLES if f"from {t}" in SQL[name]]
+    return on_tables(spark, SQL[name], {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
+def on_tables(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """SQL in which the names after `from` stand for these tables; the session's own views stay as they are."""
+    for t in tables:
+        sql = sql.replace(f"from {t}", f"from {{{t}}}")
+    return spark.sql(sql, **tables)
 
 
 def with_inputs(*names: str) -> str:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from codonweave.functions import scalars as S
 from codonweave.operators import compare, regions, scoring
 from codonweave.operators.transcripts import cds_with_phase
-from codonweave.plans.inputs import derived, with_inputs
+from codonweave.plans.inputs import derived, on_tables, with_inputs
 from codonweave.plans.registry import query
 from codonweave.plans.transcript_queries import _cut, PARTS
+from codonweave.session import materialize
 from codonweave.sources import writers
 
 #: Coding transcripts are all but every tenth; those are the pseudogenes.
@@ -18,10 +19,10 @@ _KINDS = "coding as (select * from exons where tr_id % 10 <> 0), pseudo as (sele
 _IN = with_inputs("regions", "exons") + ", " + _KINDS
 
 
-def _parts(name: str, hi: str) -> str:
+def _parts(name: str, hi: str, exons: str = "coding") -> str:
     """Coding parts with the phase that a codon-aligned region in their frame has."""
-    cut = _cut("cs", hi).replace("from exons", "from coding")
-    body = PARTS.format(cut=cut).replace("join exons e", "join coding e")
+    cut = _cut("cs", hi).replace("from exons", f"from {exons}")
+    body = PARTS.format(cut=cut).replace("join exons e", f"join {exons} e")
     return f"{name}_f as ({body}), {name} as (select tr_id, chrom, strand, start, stop, case when strand = '+' then ((start - f) % 3 + 3) % 3 else (start + f) % 3 end as phase from {name}_f)"
 
 
@@ -47,16 +48,15 @@ def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return derived(spark, sf_dir, "regions"), exons.filter("tr_id % 10 <> 0"), exons.filter("tr_id % 10 = 0")
 
 
-@query(_IN + f", {_parts('c1', 'ce')} select rid, tr_id, b as c_start, z as c_stop from ({_SAME.format(t='c1')})")
+@query(_IN + f", {_parts('c1', 'ce', 'exons')} select rid, tr_id, b as c_start, z as c_stop from ({_SAME.format(t='c1')})")
 def same_frame_cds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reg, coding, _ = _kinds(spark, sf_dir)
-    return regions.same_frame_cds(reg, cds_with_phase(coding, True))
+    return regions.same_frame_cds(derived(spark, sf_dir, "regions"), cds_with_phase(derived(spark, sf_dir, "exons"), True))
 
 
-@query(_IN + f", {_parts('c0', '(ce - 3)')} select distinct rid, tr_id from ({_ANTI.format(t='c0')})")
+@query(_IN + f", {_parts('c0', '(ce - 3)', 'exons')} select distinct rid, tr_id from ({_ANTI.format(t='c0')})")
 def anti_frame_cds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reg, coding, _ = _kinds(spark, sf_dir)
-    return regions.same_frame_cds(regions.antisense(reg), cds_with_phase(coding, False)).select("rid", "tr_id").distinct()
+    reg, exons = derived(spark, sf_dir, "regions"), derived(spark, sf_dir, "exons")
+    return regions.same_frame_cds(regions.antisense(reg), cds_with_phase(exons, False)).select("rid", "tr_id").distinct()
 
 
 @query(_IN + ", " + _CLASS + " select rid, chrom, strand, start, stop, reg_type from cls")
@@ -67,7 +67,8 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_IN + ", " + _CLASS + ", " + _EXT + " select rid, chrom, strand, start, stop from extension")
 def extension_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg, coding, pseudo = _kinds(spark, sf_dir)
-    return regions.extension_regions(regions.classify(reg, coding, pseudo), coding, pseudo)
+    found = materialize(regions.evidence(reg, coding, pseudo))
+    return regions.extension_regions(regions.classify(reg, coding, pseudo, found), coding, pseudo, found)
 
 
 _NAME = "chrom || ':' || start || '-' || stop || ':' || strand"
@@ -126,8 +127,7 @@ _RANKED = f"fake as ({_FAKE}), ranked as (select *, row_number() over (order by
 
 
 def _fake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    derived(spark, sf_dir, "features").createOrReplaceTempView("features")
-    return spark.sql(_FAKE)
+    return on_tables(spark, _FAKE, {"features": derived(spark, sf_dir, "features")})
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +145,8 @@ def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c as (select *, floor(8 * s) / 8 as p from b) select rid, rank, case when strand = '+' then floor(255 * p)::bigint || ',' || floor(175 * (1 - p) + 255 * p)::bigint || ',' || floor(255 * p)::bigint
         else floor(200 * (1 - p) + 255 * p)::bigint || ',' || floor(255 * p)::bigint || ',' || floor(255 * p)::bigint end as rgb from c""")
 def candidate_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _ranked(spark, sf_dir)
-    return scoring.candidates_bed(ranked.withColumn("rank", F.col("rank")), ranked.count()).select(F.col("name").cast("long").alias("rank"), "rgb").join(ranked.select("rank", "rid"), "rank")
+    ranked = materialize(_ranked(spark, sf_dir))
+    return scoring.candidates_bed(ranked, ranked.count()).select(F.col("name").cast("long").alias("rank"), "rgb").join(ranked.select("rank", "rid"), "rank")
 
 
 @query(with_inputs("features") + f", {_RANKED} select chrom || chr(9) || (start - 1) || chr(9) || stop || chr(9) || rid || chr(9) || '0' || chr(9) || strand || chr(9) || (start - 1) || chr(9) || stop || chr(9) || '0,0,0' || chr(9) || '1' || chr(9) || (stop - start + 1) || chr(9) || '0' as value from ranked")
@@ -164,9 +164,9 @@ def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with a as (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount from lineitem), b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, case when l_partkey % 5 = 0 then l_discount + 0.01 else l_discount + 1e-12 end as d2 from a where l_suppkey % 11 <> 0)
-    select a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_extendedprice, case when b.d2 is null then 'left' else 'both' end as side from a left join b using (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) where b.d2 is null or abs(l_discount - d2) > 1e-9""")
+    select a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_extendedprice, case when b.d2 is null then 'left' else 'both' end as side, 'l_discount' as columns from a left join b using (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) where b.d2 is null or abs(l_discount - d2) > 1e-9""")
 def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     a = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*keys, "l_discount").distinct()
     b = a.filter("l_suppkey % 11 <> 0").withColumn("l_discount", F.when(F.col("l_partkey") % 5 == 0, F.col("l_discount") + 0.01).otherwise(F.col("l_discount") + 1e-12))
-    return compare.diff_tables(a, b, keys).drop("columns")
+    return compare.diff_tables(a, b, keys).withColumn("columns", F.array_join("columns", ","))

@@ -44,18 +44,46 @@ def _viterbi_sql() -> str:
     ends as (select * from v qualify pos = max(pos) over (partition by chrom, strand, frame, block)),
     paths as (select chrom, strand, frame, block, case when p0 >= greatest(p1, p2, p3) then s0 when p1 >= greatest(p2, p3) then s1 when p2 >= p3 then s2 else s3 end as path from ends),
     states as (select chrom, strand, frame, block, i, substr(path, i, 1) as state from (select *, unnest(range(1, length(path) + 1)) as i from paths)),
-    runs as (select *, i - row_number() over (partition by chrom, strand, frame, block order by i) as run from states where state = '0')
-    select chrom, strand, frame, block + 3 * (min(i) - 1) as start, block + 3 * max(i) - 1 as stop from runs group by chrom, strand, frame, block, run"""
-
-
-@query(_viterbi_sql())
+    runs as (select *, i - row_number() over (partition by chrom, strand, frame, block order by i) as run from states where state = '0')"""
+
+
+def _posterior_sql(table: str, keys: list[str], step: int, prior: np.ndarray, moves: np.ndarray) -> str:
+    """Scaled forward and backward numbers of rows (keys, i, n, e0, e1, ...) by recursive queries: fw and bw. i goes from 1 to n by one."""
+    states = range(len(prior))
+    own, same = ", ".join(keys), " and ".join(f"o.{k} = x.{k}" for k in keys)
+    theirs, e = ", ".join(f"o.{k}" for k in keys), ", ".join(f"e{j}" for j in states)
+    most = "greatest(" + ", ".join(f"q{j}" for j in states) + ")"
+    into = ", ".join("(" + " + ".join(f"x.f{k} * {float(moves[k, j])!r}::double" for k in states if moves[k, j]) + f") * o.e{j} as q{j}" for j in states)
+    back = ", ".join(" + ".join(f"{float(moves[k, j])!r}::double * x.e{j} * x.b{j}" for j in states if moves[k, j]) + f" as q{k}" for k in states)
+    return f"""fw as (select {own}, i, {', '.join(f'{float(prior[j])!r}::double * e{j} as f{j}' for j in states)} from {table} where i = 1
+        union all select {own}, i, {', '.join(f'q{j} / {most} as f{j}' for j in states)} from (select {theirs}, o.i, {into} from fw x join {table} o on {same} and o.i = x.i + 1)),
+    bw as (select {own}, i, {e}, {', '.join(f'1::double as b{j}' for j in states)} from {table} where i = n
+        union all select {own}, i, {e}, {', '.join(f'q{j} / {most} as b{j}' for j in states)} from (select {theirs}, o.i, {', '.join(f'o.e{j}' for j in states)}, {back} from bw x join {table} o on {same} and o.i = x.i - 1)),
+    post as (select {own}, i, f0 * b0 / ({' + '.join(f'f{j} * b{j}' for j in states)}) as p0 from fw join bw using ({own}, i))"""
+
+
+@query(_viterbi_sql() + """
+    select chrom, strand, frame, block + 3 * (min(i) - 1) as start, block + 3 * max(i) - 1 as stop from runs group by chrom, strand, frame, block, run""")
 def coding_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.coding_regions(derived(spark, sf_dir, "codons")).select("chrom", "strand", "frame", "start", "stop")
 
 
-@query()
+#: Log odds above this are given as this: 1 - p of two engines is no longer the same there.
+_CLEAR = 8
+
+
+def _scores_sql() -> str:
+    m, block = hmm.coding_hmm(*hmm.HMM_PRESETS["human"]), ["chrom", "strand", "frame", "block"]
+    rows = "lit as (select chrom, strand, frame, block, (pos - block) // 3 + 1 as i, count(*) over (partition by chrom, strand, frame, block) as n, pow(10, score / 10) as e0, 1::double as e1, 1::double as e2, 1::double as e3 from blocks)"
+    return f"""{_viterbi_sql()}, {rows}, {_posterior_sql('lit', block, 1, m.prior, m.transitions)},
+    best as (select chrom, strand, frame, block + 3 * (min(i) - 1) as start, block + 3 * max(i) - 1 as stop, max(p0) as p from runs join post using (chrom, strand, frame, block, i) group by chrom, strand, frame, block, run),
+    odds as (select *, case when p <= 0 then -15 when p >= 1 then 15 else greatest(-15, least(15, log10(p / (1 - p)))) end as x from best)
+    select chrom, strand, frame, start, stop, round(least(x, {_CLEAR}), 3) as log_odds, case when x < 1 then 210 when x > 7 then 0 else 210 - 30 * floor(x) end::bigint as gray from odds"""
+
+
+@query(_scores_sql())
 def coding_region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.coding_regions(derived(spark, sf_dir, "codons")).withColumn("log_odds", F.round("log_odds", 6))
+    return hmm.coding_regions(derived(spark, sf_dir, "codons")).withColumn("log_odds", F.round(F.least("log_odds", F.lit(float(_CLEAR))), 3))
 
 
 #: Two states over event types in alphabetical order.
@@ -82,12 +110,25 @@ def hmm_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_likelihood", F.round("log_likelihood", 6))
 
 
-@query()
+_OBS = "with recursive obs as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as i, count(*) over (partition by user_id) as n, " + ", ".join("case event_type " + " ".join(f"when '{t}' then {float(_EMIT[k, j])!r}" for k, t in enumerate(_TYPES)) + f" else 0.1 end::double as e{j}" for j in (0, 1)) + " from events)"
+
+
+def _path_sql() -> str:
+    """The likeliest path of each user: a probability and a path for each last state; of equal predecessors the last, of equal ends the first."""
+    ways = {j: [f"x.p{k} * {float(_MOVES[k, j])!r}::double" for k in (0, 1)] for j in (0, 1)}
+    next_ = ", ".join(f"greatest({ways[j][0]}, {ways[j][1]}) * o.e{j} as q{j}, case when {ways[j][1]} >= {ways[j][0]} then x.s1 else x.s0 end || '{j}' as s{j}" for j in (0, 1))
+    return f"""{_OBS}, v as (select user_id, i, {float(_PRIOR[0])!r}::double * e0 as p0, '0' as s0, {float(_PRIOR[1])!r}::double * e1 as p1, '1' as s1 from obs where i = 1
+        union all select user_id, i, q0 / greatest(q0, q1), s0, q1 / greatest(q0, q1), s1 from (select o.user_id, o.i, {next_} from v x join obs o on o.user_id = x.user_id and o.i = x.i + 1)),
+    ends as (select user_id, case when p0 >= p1 then s0 else s1 end as path from v qualify i = max(i) over (partition by user_id))
+    select user_id, event_id, substr(path, i, 1)::bigint as state from obs join ends using (user_id)"""
+
+
+@query(_path_sql())
 def hmm_best_path_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.hmm_decode(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete()).select("user_id", "event_id", "state")
 
 
-@query()
+@query(f"{_OBS}, {_posterior_sql('obs', ['user_id'], 1, _PRIOR, _MOVES)} select user_id, event_id, round(p0, 6) as p0 from post join obs using (user_id, i)")
 def hmm_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hmm.hmm_decode(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete(), posteriors=True)
     return out.select("user_id", "event_id", F.round(F.col("posterior")[0], 6).alias("p0"))
@@ -133,10 +174,10 @@ _STEPS = 5
 _GAPS = "gaps as (select event_id, floor(g / 1000000)::bigint as gap from (select event_id, lead(epoch_us(ts)) over (partition by user_id order by ts, event_id) - epoch_us(ts) as g from events) where floor(g / 1000000) > 0), h as (select gap::double as x, count(*) as n from gaps group by gap)"
 
 
-def _em_sql() -> str:
+def _em_sql(steps: int = _STEPS, gaps: str = _GAPS) -> str:
     total = sum(mixture.WEIGHTS)
-    parts = [_GAPS, "m0 as (select " + ", ".join(f"{g!r}::double as t{j}, {w / total!r}::double as w{j}" for j, (g, w) in enumerate(zip(mixture.GUESSES, mixture.WEIGHTS))) + ")"]
-    for k in range(_STEPS):
+    parts = [gaps, "m0 as (select " + ", ".join(f"{g!r}::double as t{j}, {w / total!r}::double as w{j}" for j, (g, w) in enumerate(zip(mixture.GUESSES, mixture.WEIGHTS))) + ")"]
+    for k in range(steps):
         d = [f"w{j} * exp(-x / t{j} - ln(t{j}))" for j in range(3)]
         all_d = " + ".join(d)
         r = ", ".join(f"case when {all_d} > 0 then {x} / ({all_d}) else 1.0 / 3 end as r{j}" for j, x in enumerate(d))
@@ -159,10 +200,21 @@ def mixture_class_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", *[F.round(F.col("class_probs")[j], 5).alias(f"p{j}") for j in range(3)])
 
 
-@query()
+def _parameters_sql() -> str:
+    pruned = _PRUNED.removeprefix("with recursive ").replace("pruned as (", "pruned as materialized (")
+    gaps = pruned + """, gaps as (select gap from (select lead(start) over (partition by chrom, strand, frame order by start) - stop - 1 as gap from pruned) where gap > 0),
+    h as materialized (select gap::double as x, count(*) as n from gaps group by gap)"""
+    fitted = ", ".join([f"round(w{j}, 6) as weight{j}" for j in range(3)] + [f"round(t{j} / 3, 4) as length{j}" for j in range(3)])
+    stats = "select sum(stop - start + 1) / 100000000 / 6 as prior, sum(stop - start + 1) / count(*) / 3 as codons from pruned"
+    return _em_sql(20, gaps).replace("with ", "with recursive ", 1) + f" select round(prior, 9) as prior, round(codons, 6) as coding_length, {fitted} from m20, ({stats})"
+
+
+@query(_parameters_sql())
 def hmm_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior, length, weights, lengths = mixture.estimate_hmm_params(_framed(spark, sf_dir), 100_000_000)
-    return spark.createDataFrame([(prior, length, list(weights), list(lengths))], "prior double, coding_length double, weights array<double>, lengths array<double>")
+    names = ["prior", "coding_length", *[f"weight{j}" for j in range(3)], *[f"length{j}" for j in range(3)]]
+    digits = [9, 6, *[6] * 3, *[4] * 3]
+    return spark.createDataFrame([(prior, length, *weights, *lengths)], ", ".join(f"{n} double" for n in names)).select(*[F.round(n, d).alias(n) for n, d in zip(names, digits)])
 
 
 _DNA = with_inputs("dna")
@@ -174,12 +226,6 @@ def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "dna").select("doc_id", S.reverse_complement("seq").alias("rc"), S.map_to_strand("seq", strand).alias("mapped"))
 
 
-@query(_DNA + ", k as (select doc_id, substr(seq, 1, 7) as kmer from dna where length(seq) >= 7) select doc_id, kmer, (" + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (6 - i)}" for i in range(7)) + ")::bigint as idx from k")
-def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = derived(spark, sf_dir, "dna").filter(F.length("seq") >= 7).select("doc_id", F.substring("seq", 1, 7).alias("kmer"))
-    return k.withColumn("idx", S.kmer_index("kmer"))
-
-
 #: Windows that are cut from one stretch of a sequence.
 _STRETCH = 512
 
@@ -193,11 +239,24 @@ def _windows(spark: SparkSession, sf_dir: str, k: int, name: str) -> DataFrame:
     return parts.select("doc_id", "first", "part", at).select("doc_id", (F.col("first") + F.col("i") - 1).cast("long").alias("pos"), F.substring("part", F.col("i"), F.lit(k)).alias(name))
 
 
-@query()
-def kmer_index_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _windows_sql(k: int, name: str) -> str:
+    return f"{_DNA}, w as (select doc_id, pos, substr(seq, pos, {k}) as {name} from (select doc_id, seq, unnest(range(1, length(seq) - {k} + 2)) as pos from dna where length(seq) >= {k}))"
+
+
+_KMER_SQL = _windows_sql(7, "kmer") + " select doc_id, pos, kmer, (" + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (6 - i)}" for i in range(7)) + ")::bigint as idx from w"
+
+
+@query(_KMER_SQL)
+def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, 7, "kmer").withColumn("idx", S.kmer_index("kmer"))
 
 
+@query(_KMER_SQL)
+def kmer_index_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kmer_index by its former name."""
+    return kmer_index(spark, sf_dir)
+
+
 @query(with_inputs("regions") + " select rid, chrom || ':' || start || '-' || stop as region, chrom || ':' || start || '-' || stop || ':' || strand as name, chrom || ':' || start || '-' || (start + 2) || '+' || chrom || ':' || (stop - 2) || '-' || stop as parts from regions")
 def region_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.array(F.struct(F.col("start"), (F.col("start") + 2).alias("stop")), F.struct((F.col("stop") - 2).alias("start"), F.col("stop")))
@@ -221,9 +280,9 @@ def log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "features").select("rid", F.round(S.prob_to_log_odds("score_diff"), 6).alias("log_odds"), F.round(S.decibans_to_ratio("score_diff"), 6).alias("ratio"))
 
 
-@query("select p_partkey, regexp_matches(p_brand, '^[0-9]+$') as brand_int, regexp_matches(p_size::varchar, '^[0-9]+$') as size_int, true as price_number, regexp_replace(p_brand, '[0-9]+$', '') as bare, rtrim(p_type, 'Y') as cut, string_split(p_name, ' ')[1] as word from part where p_type not like '%YY'")
+@query("select p_partkey, regexp_matches(p_brand, '^[0-9]+$') as brand_int, regexp_matches(p_size::varchar, '^[0-9]+$') as size_int, true as price_number, regexp_replace(p_brand, '[0-9]+$', '') as bare, case when p_type like '%Y' then left(p_type, length(p_type) - 1) else p_type end as cut, string_split(p_name, ' ')[1] as word from part")
 def string_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_type not like '%YY'")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select(
         "p_partkey", S.is_int_string("p_brand").alias("brand_int"), S.is_int_string(F.col("p_size").cast("string")).alias("size_int"), S.is_number_string(F.col("p_retailprice").cast("string")).alias("price_number"),
         S.without_trailing_digits("p_brand").alias("bare"), S.without_trailing_char("p_type", "Y").alias("cut"), S.split_or_empty("p_name", " ")[0].alias("word"),
@@ -254,26 +313,30 @@ _ARRAYS = [_coef_sql(f"({_index_sql('context', a, b - a + 1)} + {sum(splice.SIZE
 _ACCEPTOR_SQL = f"log2({splice.ACCEPTOR_FACTOR!r}::double * {' * '.join(_ARRAYS[:5])} / ({' * '.join(_ARRAYS[5:])}))"
 
 
-@query(_DNA + f" select doc_id, context, round({_DONOR_SQL}, 6) as donor_score from (select doc_id, substr(seq, 1, 7) as context from dna where length(seq) >= 7)")
+_DONORS = _windows_sql(7, "context") + f" select doc_id, pos, context, round({_DONOR_SQL}, 6) as donor_score from w"
+_ACCEPTORS = _windows_sql(21, "context") + f" select doc_id, pos, context, round({_ACCEPTOR_SQL}, 6) as acceptor_score from w"
+
+
+@query(_DONORS)
 def donor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = derived(spark, sf_dir, "dna").filter(F.length("seq") >= 7).select("doc_id", F.substring("seq", 1, 7).alias("context"))
-    return splice.donor_score(k, "context", _coefficients(spark, [4**7])).withColumn("donor_score", F.round("donor_score", 6))
+    return splice.donor_score(_windows(spark, sf_dir, 7, "context"), "context", _coefficients(spark, [4**7])).withColumn("donor_score", F.round("donor_score", 6))
 
 
-@query(_DNA + f" select doc_id, context, round({_ACCEPTOR_SQL}, 6) as acceptor_score from (select doc_id, substr(seq, 1, 21) as context from dna where length(seq) >= 21)")
+@query(_ACCEPTORS)
 def acceptor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = derived(spark, sf_dir, "dna").filter(F.length("seq") >= 21).select("doc_id", F.substring("seq", 1, 21).alias("context"))
-    return splice.acceptor_score(k, "context", _coefficients(spark, splice.SIZES)).withColumn("acceptor_score", F.round("acceptor_score", 6))
+    return splice.acceptor_score(_windows(spark, sf_dir, 21, "context"), "context", _coefficients(spark, splice.SIZES)).withColumn("acceptor_score", F.round("acceptor_score", 6))
 
 
-@query()
+@query(_DONORS)
 def donor_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splice.donor_score(_windows(spark, sf_dir, 7, "context"), "context", _coefficients(spark, [4**7])).withColumn("donor_score", F.round("donor_score", 6))
+    """donor_scores by its former name."""
+    return donor_scores(spark, sf_dir)
 
 
-@query()
+@query(_ACCEPTORS)
 def acceptor_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splice.acceptor_score(_windows(spark, sf_dir, 21, "context"), "context", _coefficients(spark, splice.SIZES)).withColumn("acceptor_score", F.round("acceptor_score", 6))
+    """acceptor_scores by its former name."""
+    return acceptor_scores(spark, sf_dir)
 
 
 @query(_DNA + f""", s as (select doc_id as name, '+' as strand, seq, length(seq) as n from dna union all select doc_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')), length(seq) from dna),
@@ -282,4 +345,5 @@ def acceptor_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     select name, strand, kind, pos, context, round({_DONOR_SQL}, 6) as score from d union all select name, strand, kind, pos, context, round({_ACCEPTOR_SQL}, 6) from a""")
 def splice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     dna = derived(spark, sf_dir, "dna").select(F.col("doc_id").alias("name"), F.lit(0).cast("long").alias("offset"), "seq")
+    dna = splice.overlapping(dna, 1000)  # so that sites at the edges of chunks are among them
     return splice.scan_splice_sites(dna, _coefficients(spark, [4**7]), _coefficients(spark, splice.SIZES)).withColumn("score", F.round("score", 6))

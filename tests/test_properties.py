@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codonweave.functions import scalars
-from codonweave.operators import compare, intervals, mixture, scoring
+from codonweave.operators import compare, hmm, intervals, mixture, scoring
 
 
 def _draw(rng, n):
@@ -39,6 +39,23 @@ def test_algebra(spark):
         assert {r["row"] for r in intervals.overlap_join(da, db, ["k"], width=8, how="left_anti").collect()} == set(range(60)) - want
 
 
+def test_existence_keeps_nulls_and_repeats(spark):
+    a = [("c", 1, 5, None), ("c", 1, 5, None), ("c", 3, 9, "x"), ("c", 20, 22, None), ("c", 20, 22, None), ("d", 1, 5, "y"), ("c", None, 7, "z"), (None, 1, 5, "w")]
+    da = spark.createDataFrame(a, "k string, start long, stop long, note string")
+    db = spark.createDataFrame([("c", 4, 6), ("c", 5, 5), (None, 1, 9)], "k string, start long, stop long")
+    semi = [tuple(r) for r in intervals.overlap_join(da, db, ["k"], width=4, how="left_semi").collect()]
+    anti = [tuple(r) for r in intervals.overlap_join(da, db, ["k"], width=4, how="left_anti").collect()]
+    assert sorted(semi, key=repr) == sorted(a[:3], key=repr) and sorted(anti, key=repr) == sorted(a[3:], key=repr)
+
+
+def test_complement_of_keys_without_intervals(spark):
+    df = spark.createDataFrame([("a", 5, 9), ("a", 30, 70), ("b", 1, 100)], "k string, start long, stop long")
+    sizes = spark.createDataFrame([("a", 40), ("b", 100), ("c", 17), ("d", 0)], "k string, size long")
+    got = intervals.complement_region(df, ["k"], 1, F.col("size"), among=sizes, width=8).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 4), ("a", 10, 29), ("c", 1, 17)]
+    assert intervals.complement_region(df, ["k"], 1, 100, width=8).filter("k = 'c'").isEmpty()
+
+
 def test_prefix_errors(spark):
     df = spark.createDataFrame([("t", "+", 1, 5)], "t string, strand string, start long, stop long")
     with pytest.raises(ValueError):
@@ -60,6 +77,69 @@ def test_prune_against_loop(spark):
     assert sorted((r["start"], r["stop"]) for r in mixture.prune_overlaps(df).collect()) == kept
 
 
+def test_prune_over_batches(spark):
+    rng = np.random.default_rng(16)
+    rows = sorted((k, int(a), int(a + d)) for k in range(3) for a, d in zip(rng.integers(0, 90, 40), rng.integers(0, 9, 40)))
+    rows += rows[:5]
+    want = []
+    for k, a, z in sorted(rows):
+        if want and want[-1][0] == k and a <= want[-1][2]:
+            if z - a > want[-1][2] - want[-1][1]:
+                want[-1] = (k, a, z)
+        else:
+            want.append((k, a, z))
+    df = spark.createDataFrame([(str(k), "+", 0, a, z) for k, a, z in rows], "chrom string, strand string, frame int, start long, stop long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = sorted((int(r["chrom"]), r["start"], r["stop"]) for r in mixture.prune_overlaps(df).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert mixture.prune_overlaps(df.limit(0)).count() == 0
+
+
+def test_parameters_of_a_preset_are_recovered(spark):
+    """Exons drawn from the human preset give its parameters back, after enough steps for the shortest gaps, within the tolerance of 8,000 gaps."""
+    prior, length, weights, lengths = hmm.HMM_PRESETS["human"]
+    rng = np.random.default_rng(17)
+    kind = rng.choice(3, 8000, p=weights)
+    gaps = np.maximum(1, np.round(rng.exponential(3 * np.array(lengths)[kind]))).astype(int)
+    sizes = 3 * np.maximum(1, np.round(rng.exponential(length, 8000))).astype(int)
+    starts = np.cumsum(gaps + np.append(0, sizes[:-1]))
+    df = spark.createDataFrame([("c", "+", 0, int(a), int(a + n - 1)) for a, n in zip(starts, sizes)], "chrom string, strand string, frame int, start long, stop long")
+    genome = int(starts[-1] + sizes[-1])
+    got = mixture.estimate_hmm_params(df, genome, steps=100)
+    assert got[0] == pytest.approx(sizes.sum() / genome / 6) and got[1] == pytest.approx(length, rel=0.05)
+    assert got[2] == pytest.approx(weights, abs=0.06) and got[3] == pytest.approx(lengths, rel=0.25)
+    assert sum(got[2]) == pytest.approx(1)
+
+
+def test_sample_rows(spark):
+    df = spark.range(4000).select("id")
+    assert mixture.sample_rows(df, 5000, F.col("id")).count() == 4000
+    a = {r["id"] for r in mixture.sample_rows(df, 500, F.col("id")).collect()}
+    assert 400 < len(a) < 600 and a == {r["id"] for r in mixture.sample_rows(df.repartition(5), 500, F.col("id")).collect()}
+    assert a != {r["id"] for r in mixture.sample_rows(df, 500, F.col("id"), seed=1).collect()}
+
+
+def test_candidate_regions(spark):
+    """Classes told apart by their scores: candidates are the unannotated regions that score like coding ones, best first."""
+    rng = np.random.default_rng(18)
+    rows, scores = [], []
+    for i in range(900):
+        kind = ("CodingOverlap", "AntisenseOverlap", "NoOverlap")[i % 3]
+        start, n = 1000 * i + 1, int(rng.integers(12, 60))
+        good = kind == "CodingOverlap" or i % 30 == 2
+        per, anti = rng.normal(8 if good else -4, 1), rng.normal(-4 if good or kind == "NoOverlap" else 8, 1)
+        rows.append((f"r{i}", "c", "+", start, start + 3 * n - 1, kind, n))
+        scores += [("c", start, start + 3 * n - 1, "+", "score(decibans)", per * n, 0.8), ("c", start + 2, start + 3 * n + 1, "-", "score(decibans)", anti * n, 0.8)]
+    regions_df = spark.createDataFrame(rows, "rid string, chrom string, strand string, start long, stop long, reg_type string, num_codons long")
+    scores_df = spark.createDataFrame(scores, "chrom string, start long, stop long, strand string, status string, raw double, bls double")
+    got = sorted((r["rank"], r["rid"], r["svm_score"], r["svm_antisense_score"]) for r in scoring.candidate_regions(regions_df, scores_df, 200).collect())
+    assert [r[0] for r in got] == list(range(1, len(got) + 1))
+    assert all(a[2] >= b[2] for a, b in zip(got, got[1:])) and all(r[3] >= scoring.MIN_ANTISENSE for r in got)
+    planted = {f"r{i}" for i in range(900) if i % 30 == 2}
+    assert planted == {r[1] for r in got[: len(planted)]}
+
+
 def test_mixture_recovers(spark):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.exponential(3000, 12000), rng.exponential(90000, 4000), rng.exponential(100, 4000)]).round().astype(int)
@@ -108,6 +188,20 @@ def test_scalars(spark):
     assert r["c"] == "223,245,223" and r["d"] == "200,0,0"
 
 
+def test_line_ends_and_places(spark):
+    texts = ["a\n", "a\r\n", "a\r", "a\n\n", "a", "", "YY"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.without_trailing_newline("t")).collect()]
+    assert got == ["a", "a", "a", "a\n", "a", "", "YY"]
+    r = spark.range(1).select(scalars.without_trailing_char(F.lit("xYY"), "Y"), scalars.region_string(F.lit(None).cast("string"), F.lit(1), F.lit(5)), scalars.antistrand(F.lit("."))).first()
+    assert tuple(r) == ("xY", None, ".")
+
+
+def test_fingerprint(spark):
+    a = spark.createDataFrame([(1, None), (2, "x"), (2, "x")], "k long, t string")
+    prints = [compare.fingerprint(x).first() for x in (a, a.orderBy(F.desc("k")).repartition(3), a.distinct(), a.filter("k = 1"))]
+    assert prints[0] == prints[1] and len({tuple(p) for p in prints}) == 3
+
+
 def test_diff_tables(spark):
     a = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, "y"), (3, None, "z")], "k long, v double, t string")
     b = spark.createDataFrame([(1, 1.0 + 1e-12, "x"), (2, 2.1, "q"), (4, 1.0, "z")], "k long, v double, t string")
