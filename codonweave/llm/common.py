@@ -15,8 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codonweave.session import discard, materialize, ship
 
-#: Rows of text that are worked on at once; Spark bounds the bytes of an Arrow batch, this the Python objects made of it.
-BATCH_ROWS = 512
+#: Rows and bytes that are worked on at once; Spark bounds the bytes of an Arrow batch, this what Python makes of it.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: Bytes whose words are hashed at once; a longer word is taken alone.
+PIECE = 1 << 18
 SHINGLE = 5
 
 _MASK = (1 << 64) - 1
@@ -27,18 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most BATCH_ROWS rows, of fewer where rows are long; an empty batch stays as it is."""
+    for whole in batches:
+        rows = min(BATCH_ROWS, max(1, whole.num_rows * BATCH_BYTES // max(1, whole.nbytes)))
+        for a in range(0, max(1, whole.num_rows), rows):
+            yield whole.slice(a, rows)
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Pandas frames of at most BATCH_ROWS rows; whole numbers among nulls stay whole numbers."""
+    """Pandas frames of parts_of(); whole numbers among nulls stay whole numbers."""
 
     def column(c: pa.Array) -> pd.Series:
         if c.null_count and pa.types.is_integer(c.type):
             return c.to_pandas(types_mapper=lambda t: pd.Int64Dtype())
         return c.to_pandas()
 
-    for whole in batches:
-        for a in range(0, max(1, whole.num_rows), BATCH_ROWS):
-            batch = whole.slice(a, BATCH_ROWS)
-            yield pd.DataFrame({name: column(c) for name, c in zip(batch.schema.names, batch.columns)})
+    for batch in parts_of(batches):
+        yield pd.DataFrame({name: column(c) for name, c in zip(batch.schema.names, batch.columns)})
 
 
 def map_rows(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
@@ -73,6 +81,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _lowered() -> np.ndarray:
+    low = np.arange(256, dtype=np.uint8)
+    low[65:91] += 32
+    return low
+
+
+#: The byte that stands for each byte of a word: A-Z as a-z; which bytes part words; what a byte is worth in a word's hash.
+LOWERED = _lowered()
+_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_VALUE = mix(LOWERED.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse, modulo 2^64, up to n."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(PIECE, n) + 1
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers.append(np.cumprod(x, dtype=np.uint64))
+    return _powers
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some texts, where their words start and end, and the number of words of each text; a null text has none."""
+    texts = texts.fill_null("")
+    _, place, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(place, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    n = len(raw)
+    inside = np.zeros(n + 2, bool)
+    np.logical_not(_WHITE[raw], out=inside[1:-1])
+    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = offsets[(offsets > 0) & (offsets < n)]
+    begins[edges] |= inside[edges + 1]
+    stops[edges - 1] |= inside[edges]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return raw, starts, ends, np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
+
+
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased: a polynomial of its bytes, from running sums."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        first, last = starts[i], ends[j - 1]
+        power, inverse = _power_tables(last - first)
+        total = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_VALUE[raw[first:last]] * power[: last - first], out=total[1:])
+        a, b = starts[i:j] - first, ends[i:j] - first
+        out[i:j] = (total[b] - total[a]) * inverse[a]
+        i = j
+    return out
+
+
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct hashes, as signed longs, of the k-word windows of each text, A-Z lower-cased.
+
+    A text of fewer words is one window; without words, or null, it has none."""
+    raw, starts, ends, lengths = split_words(texts)
+    h = mix(hash_words(raw, starts, ends))
+    many = max(0, len(h) - k + 1)
+    s = np.zeros(many, np.uint64)
+    for i in range(k):
+        s += h[i : many + i] * _ODD[i]
+    s = mix(s).view(np.int64)
+    out = []
+    for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist()):
+        if n >= k:
+            x = np.sort(s[end - n : end - k + 1])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
+        else:
+            out.append(mix((h[end - n : end] * _ODD[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64) if n else np.empty(0, np.int64))
+    return out
+
+
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     """Hashes of the k-word windows in order; a shorter sequence is one shingle; none without words."""
     n = len(words)
@@ -123,10 +213,8 @@ def filter_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
     """The rows for which keep(list of texts) says so, with all columns of docs as they are."""
 
     def run(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(a, BATCH_ROWS)
-                yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), dtype=bool)))
+        for batch in parts_of(batches):
+            yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), dtype=bool)))
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
@@ -136,12 +224,10 @@ def map_text(docs: DataFrame, change, text: str = "text") -> DataFrame:
     """docs with change(list of texts) in place of its texts; all other columns as they are."""
 
     def run(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(a, BATCH_ROWS)
-                k = batch.schema.get_field_index(text)
-                new = pa.array(change(batch.column(k).to_pylist()), type=batch.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays([new if i == k else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+        for batch in parts_of(batches):
+            k = batch.schema.get_field_index(text)
+            new = pa.array(change(batch.column(k).to_pylist()), type=batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays([new if i == k else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -22,18 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codonweave.llm.common import connected_components, lower_words, map_rows, mix, shingles
-from codonweave.session import discard, materialize
+from codonweave.llm.common import connected_components, map_rows, mix, parts_of, shingle_sets
+from codonweave.session import discard, materialize, ship
 
 #: A token in more classes than this is frequent.
 FREQUENT = 20
 #: Document ids that may be broadcast when their texts are fetched (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 2
+#: A token that more than one in so many rows hold is counted apart.
+USUAL = 64
 #: Tasks over which the tokens of one pivot are dealt.
 SALTS = 64
 
@@ -56,11 +59,6 @@ def _room(n: Column) -> Column:
     return F.least(F.floor(n / 10) + 8, _needed(n) - 1)
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The sorted shingles of each text, as signed longs."""
-    return [np.unique(shingles(lower_words(t)).view(np.int64)) for t in texts]
-
-
 def _fingerprint(s: np.ndarray) -> int:
     return int(mix(mix(s.view(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
@@ -73,15 +71,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, th, n (set size), fp (64-bit fingerprint of the set), head (the longest prefix) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = shingle_sets(pdf["text"].tolist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
+            sets = shingle_sets(batch.column("text"))
             heads = [s[: len(s) - needed(len(s)) + 1 + room(len(s))] if len(s) else s for s in sets]
-            fps = pd.array([_fingerprint(s) if len(s) else None for s in sets], dtype="Int64")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "n": [len(s) for s in sets], "fp": fps, "head": heads})
+            fps = pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), fps, _lists(heads)], names=["doc_id", "th", "n", "fp", "head"])
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(_texts(docs), run, f"doc_id {kind}, th long, n long, fp long, head array<long>")
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, th long, n long, fp long, head array<long>")
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
 
 
 def _meet(a: DataFrame, b: DataFrame, how: str, n: int, th: str = "th") -> DataFrame:
@@ -97,11 +100,12 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     few = wanted.select("fp", "rep.doc_id", "rep.th")
     texts = _meet(_texts(docs), few, "inner", few.count()).select("fp", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"fp": pdf["fp"], "items": shingle_sets(pdf["text"].tolist())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), _lists(shingle_sets(batch.column("text")))], names=["fp", "items"])
 
-    return map_rows(texts, run, "fp long, items array<long>")
+    ship(docs.sparkSession)
+    return texts.mapInArrow(run, "fp long, items array<long>")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -128,6 +132,55 @@ def _close(n: str, m: str) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m))
 
 
+def usual_tokens(sets: DataFrame, items: str) -> DataFrame:
+    """(token): every token that more than one in USUAL rows of sets holds, and few others.
+
+    Each task keeps a Misra-Gries summary, which undercounts a token by its rows' items over the counters at most; with USUAL
+    times two times the mean items of a row in counters, a token that is kept is in at least one of 2 * USUAL rows, so there
+    are at most 2 * USUAL times the mean items of a row, however many rows there are."""
+    rows, total = sets.agg(F.count("*"), F.sum(F.size(items))).first()
+    if not total:
+        return sets.sparkSession.createDataFrame([], "token long")
+    counters = 2 * USUAL * -(-total // rows)
+
+    def merged(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(token, kind="stable")
+        token, n = token[order], n[order]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        token, n = token[first], np.add.reduceat(n, first)
+        if len(n) > counters:
+            n = n - np.partition(n, len(n) - counters - 1)[len(n) - counters - 1]
+            token, n = token[n > 0], n[n > 0]
+        return token, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            own = np.sort(batch.column(0).flatten().to_numpy())
+            if len(own):
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                token, n = merged(np.append(token, own[first]), np.append(n, np.diff(np.append(first, len(own)))))
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "c"])
+
+    ship(sets.sparkSession)
+    found = sets.select(items).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return found.filter(F.col("c") >= rows / USUAL - total / counters).select("token")
+
+
+def with_df(tokens: DataFrame, usual: DataFrame) -> DataFrame:
+    """tokens with df, how many of its rows hold the token; tokens of one row are left out.
+
+    The usual ones are counted within each task first, and stay where they are; only the others are laid together by token."""
+    usual = materialize(usual)
+    if usual.isEmpty():
+        discard(usual)
+        return tokens.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
+    counts = materialize(tokens.join(F.broadcast(usual), "token").groupBy("token").agg(F.count("*").alias("df")))
+    warm = tokens.join(F.broadcast(counts), "token")
+    cold = tokens.join(F.broadcast(counts.select("token")), "token", "left_anti").withColumn("df", F.count("*").over(W.partitionBy("token")))
+    return cold.unionByName(warm).filter("df > 1")
+
+
 def prefixes(tokens: DataFrame) -> DataFrame:
     """(token, df, fp, n, pos) of shared tokens to the rare tokens of each class's adaptive prefix.
 
@@ -163,7 +216,7 @@ def whole_tokens(sets: DataFrame) -> DataFrame:
     own: how many such tokens a class has; classes with fewer than any link needs are left out. pos: the token's
     place in its class, rarest first, from 1, tokens of one class before all. usual: how many classes its tokens have on average."""
     tokens = sets.select("fp", F.size("items").cast("long").alias("n"), F.explode("items").alias("token"))
-    tokens = tokens.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
+    tokens = with_df(tokens, usual_tokens(sets, "items"))
     per = tokens.withColumn("own", F.count("*").over(W.partitionBy("fp"))).filter(F.col("own") >= _needed(F.col("n")))
     place = F.col("n") - F.col("own") + F.row_number().over(W.partitionBy("fp").orderBy("df", "token"))
     usual = F.sum("df").over(W.partitionBy("fp")) / F.col("n")
@@ -224,18 +277,20 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, th, n, fp) of docs, and (fp, component, component_id, chosen, members) of the classes in groups of several rows.
 
     chosen: the document (doc_id, th) of the least doc_id that is not null, if there is one, and of its texts that of the least hash."""
-    sig = materialize(signatures(docs))
+    heads = materialize(signatures(docs))
+    sig = materialize(heads.drop("head"))
     document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = materialize(sig.filter("n > 0").groupBy("fp").agg(F.min(document).alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")))
     # one row per class: where a class has copies, only the first document stays, and repeated rows of it are told by pos alone
     repeated = classes.filter("copies > 1").select("fp", "rep")
-    single = sig.filter("n > 0").select("fp", document.alias("document"), "n", "head")
+    single = heads.filter("n > 0").select("fp", document.alias("document"), "n", "head")
     few = repeated.count() <= BROADCAST_IDS
     marked = single.join(F.broadcast(repeated) if few else repeated, "fp", "left")
     ones = marked.filter("rep is null or rep <=> document").select("fp", "n", "head")
     tokens = ones.select("fp", "n", F.posexplode("head").alias("pos", "token"))
-    tokens = tokens.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
+    tokens = with_df(tokens, usual_tokens(heads.select("head"), "head"))
     tokens = materialize(tokens.select("token", "df", "fp", "n", F.col("pos").cast("long").alias("pos")).distinct())
+    discard(heads)
     first = materialize(prefixes(tokens))
     discard(tokens)
     copies = materialize(first.filter("kind = 'B'").select("fp").distinct().join(classes.select("fp", "rep"), "fp"))

@@ -19,6 +19,7 @@ from codonweave.llm.common import map_rows
 SIZES, BITS = (4, 5, 6), 20
 #: Labelled texts of each label that are learned from, at most; n-grams that are kept.
 SAMPLE, KEPT = 2000, 4000
+LEARNING_TASKS = 32
 THRESHOLD = 0.7
 _PART = 1 << 14
 
@@ -65,7 +66,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int =
     rows = labels.select("doc_id", "toxic").filter(~held_out() & F.col("toxic").isin(0, 1))
     chosen = bounded_sample(rows, "toxic", ["doc_id"], sample)  # bounded, so it may be broadcast
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")  # one text an id, so it stays bounded
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id, so it stays bounded
+    texts = texts.select("text", "toxic").repartition(LEARNING_TASKS)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, 1 << BITS), np.int64)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codonweave.llm import catalog, common, containment, language, licenses, lm, near, packing, quality, secrets, tokens, toxicity
+from codonweave.llm import catalog, classify, common, containment, language, licenses, lm, near, packing, quality, secrets, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words int, row string, spans string"
 
@@ -149,7 +152,38 @@ def test_ids_among_nulls_keep_their_digits(spark):
     ids = [(1 << 62) + 1, None, 3]
     df = spark.createDataFrame([(i, "some text of five words") for i in ids], "doc_id long, text string").coalesce(1)
     for call in (quality.quality, near.near_groups, packing.pieces, tokens.token_counts, lambda d: secrets.digests(secrets.secrets(d))):
-        assert [r["doc_id"] for r in call(df).collect()] == ids
+        assert {r["doc_id"] for r in call(df).collect()} == set(ids)
+
+
+def test_shingle_sets_against_plain():
+    texts = [None, "", "a", "A  b\tc d", "a b c d e", "A B C D E", "a b c d e a b c d e", *[" ".join(words(n, n, 9)) for n in (4, 6, 60)], "x" * 300_000 + " b c d e f"]
+    sets = common.shingle_sets(pa.array(texts))
+    plain = []
+    for t in texts:
+        w = common.lower_words(t)
+        plain.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    for x, a in zip(sets, plain):
+        assert np.array_equal(x, np.unique(x))
+        for y, b in zip(sets, plain):
+            assert len(np.intersect1d(x, y)) == len(a & b)
+
+
+def test_usual_tokens_are_counted_apart(spark, monkeypatch):
+    rng = random.Random(33)
+    sets = [sorted({rng.randrange(10**6) for _ in range(20)} | {t for t in range(-5, 0) if rng.random() < -t / 8}) for _ in range(300)] + [[]]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "fp long, items array<long>").repartition(3)
+    monkeypatch.setattr(near, "USUAL", 4)
+    df_of = {}
+    for s in sets:
+        for t in s:
+            df_of[t] = df_of.get(t, 0) + 1
+    usual = {r["token"] for r in near.usual_tokens(df, "items").collect()}
+    assert {t for t, n in df_of.items() if n > len(sets) / 4} <= usual <= {t for t, n in df_of.items() if n >= len(sets) / 8}
+    tokens = df.select("fp", F.explode("items").alias("token"))
+    for given in (near.usual_tokens(df, "items"), df.select(F.lit(0).cast("long").alias("token")).limit(0)):
+        got = sorted((r["fp"], r["token"], r["df"]) for r in near.with_df(tokens, given).collect())
+        assert got == sorted((k, t, df_of[t]) for k, s in enumerate(sets) for t in s if df_of[t] > 1)
 
 
 def test_components(spark):
@@ -277,6 +311,21 @@ def test_secrets(spark):
     assert odd not in clean[0]["text"] and clean[3]["text"] == f"lone {secrets.MARK} here" and clean[3]["n_chars"] == len(clean[3]["text"]) and clean[4]["text"] == texts[4]
 
 
+def test_random_strings_of_all_lengths():
+    """Share of random strings found from MIN_RUN characters on, and of identifiers left alone."""
+    rng, path = random.Random(22), secrets.vocabulary()
+    base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    for n in range(secrets.MIN_RUN, 65, 8):
+        found = [secrets.spans("see " + "".join(rng.choice(base64) for _ in range(n)) + " there", path) for _ in range(100)]
+        assert sum(("random", 4, 4 + n) in f for f in found) >= 99
+    short = "".join(rng.choice(base64) for _ in range(secrets.MIN_RUN - 1))
+    assert secrets.spans(f"see {short} there", path) == []
+    parts = "load save user name time zone file path count index value token list item first second group member page link".split()
+    styles = [lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "".join(x.title() for x in w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "_".join(w).upper(), lambda w: "/".join(w)]
+    names = [rng.choice(styles)([rng.choice(parts) for _ in range(rng.randint(3, 6))]) for _ in range(500)]
+    assert sum(len(x) >= secrets.MIN_RUN and secrets.is_random(x, path) for x in names) <= 2
+
+
 def test_secrets_of_one_case():
     rng = random.Random(21)
     path = secrets.vocabulary()
@@ -357,6 +406,74 @@ def test_language_held_out(spark, sf_dir):
         assert language.predict_one(model, text) == ("und", 0.0)
 
 
+def test_language_votes_by_hand():
+    """Votes, margins and ties of hand-made weights, and the features against a plain count."""
+    x = np.array([1.0, 0.0], np.float32)
+    pairs = {("a", "b"): np.array([1, 0, 0.0]), ("a", "c"): np.array([-2, 0, 0.0]), ("b", "c"): np.array([0, 0, 0.5])}
+    # a wins over b by 1, c over a by 2, b over c by 0.5: one vote each, sums -1, -0.5 and 1.5
+    name, sure = language._choose({"names": ["a", "b", "c"], "pairs": pairs}, x)
+    assert name == "c" and sure == pytest.approx(1 / (1 + math.exp(1)))  # its worst margin is -0.5
+    level = {("a", "b"): np.zeros(3)}
+    assert language._choose({"names": ["a", "b"], "pairs": level}, x)[0] == "b"  # no margin: the vote of the second
+    assert language._choose({"names": ["a"], "pairs": {}}, x) == ("a", 1.0)
+    text = "Ab ab1"
+    codes = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+    want = np.zeros(1 << language.BITS)
+    for n in language.SIZES:
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c in codes[i : i + n]:
+                h = (h + c + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+                h ^= h >> 29
+            want[(h * 0xBF58476D1CE4E5B9 % (1 << 64)) >> (64 - language.BITS)] += 1
+    want = np.sqrt(want) / np.sqrt(want.sum())
+    assert language.features(text) == pytest.approx(want, abs=1e-6)
+
+
+def test_language_model_by_family(spark):
+    """A text of one family never gets a language of another, and equal scores of a svm on separable data are found."""
+    rows = [(i, " ".join(random.Random(i).choice({"de": ["und", "nicht", "über"], "en": ["and", "not", "over"], "fr": ["et", "pas", "été"]}[g]) for _ in range(30)), g) for i in range(90) for g in (("de", "en", "fr")[i % 3],)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model["langs"].keys() == {"germanic", "romance"} and model["langs"]["romance"]["names"] == ["fr"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(df.drop("lang"), model).collect()}
+    assert got == {i: g for i, _, g in rows}
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    rows = [(1, "same text", "en")] * 400 + [(i, "same text", "en") for i in range(2, 300)] + [(i, f"text {i}", "de") for i in range(1000, 1050)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = classify.bounded_sample(df, "lang", ["doc_id", "text"], 60).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"en": 60, "de": 50}
+
+
+def test_toxicity_ratios_by_dictionary(spark):
+    """Log-count ratios, and scores of the model, against plain dictionaries."""
+    texts = {i: t for i, t in enumerate(["you wretched fool", "a fine day", "wretched wretched thing", "fine fine words here", "the fool on the hill", "what a day"] * 3)}
+    toxic = {i: int(i % 2 == 0) for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    count = [{}, {}]
+    for i in learned:
+        for b in set(toxicity.present(texts[i]).tolist()):
+            count[toxic[i]][b] = count[toxic[i]].get(b, 0) + 1
+    n = [sum(toxic[i] == y for i in learned) for y in (0, 1)]
+    buckets = sorted({*count[0], *count[1]})
+    ratio, _ = toxicity._ratios(np.array([count[1].get(b, 0) for b in buckets]), np.array([count[0].get(b, 0) for b in buckets]), n[1], n[0])
+    assert ratio == pytest.approx([math.log((count[1].get(b, 0) + 0.5) / (n[1] + 1) / ((count[0].get(b, 0) + 0.5) / (n[0] + 1))) for b in buckets])
+    model = toxicity.train(docs, labels)
+    weighed = {b: w for b, w in zip(buckets, model["table"][buckets].tolist())}
+    assert set(np.flatnonzero(model["table"])) <= set(buckets)
+    for r in toxicity.score(docs, model).collect():
+        z = model["bias"] + sum(weighed.get(b, 0.0) for b in set(toxicity.present(texts[r["doc_id"]]).tolist()))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    # rows of the same weights, a plain gradient at the result: what is left of it is small
+    at = {"table": np.zeros(1 << toxicity.BITS, np.float32), "bias": math.log(0.7 / 0.3)}
+    edge = toxicity.score(docs.limit(1), at).first()
+    assert edge["score"] == pytest.approx(0.7) and edge["predicted"] == int(edge["score"] >= 0.7)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(11)
     rows = []
@@ -476,6 +593,70 @@ def test_model_grows_with_the_words():
     assert lm.Model(*none, 10**8).classes > lm.Model(*none, 10**6).classes > lm.Model(*none, 100).classes
 
 
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf_dir}/*.parquet"):
+        con.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - {"op9_license_texts"}))
+def test_same_rows_as_sql(spark, duck, sf_dir, name):
+    got, want = catalog.queries()[name](spark, sf_dir).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    assert sorted(map(str, got[names].itertuples(index=False, name=None))) == sorted(map(str, want[names].itertuples(index=False, name=None)))
+
+
+def test_contract_columns(spark, sf_dir):
+    first = {
+        "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op4_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+        "op5_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6_language_id": "doc_id held_out lang_pred score",
+        "op8_toxicity": "doc_id held_out score predicted", "op10_jaccard_join": "doc_id n_shingles component_id",
+    }
+    for name, columns in first.items():
+        assert catalog.queries()[name](spark, sf_dir).columns[: len(columns.split())] == columns.split()
+
+
+def test_ties(spark):
+    """Equal choices have one defined result: packing takes the highest level; tokens of equal frequency change no group."""
+    p = packing.Packer(8)
+    for size in (2, 2, 4):
+        p.add((0, 0, size, size, b"1234" * size))
+    assert p.counts.tolist()[1:] == [0, 0, 0, 2, 0, 0, 0]  # 2 and 2 meet, as one window of 4 is as good as two of 2; 4 opens one
+    same = " ".join(words(12, 70))
+    df = docs_of(spark, [same] * 3 + [" ".join(words(12, 71))] * 3)
+    assert [r["component_id"] for r in near.near_groups(df).orderBy("doc_id").collect()] == [0, 0, 0, 3, 3, 3]
+    two = licenses.licenses(docs_of(spark, ["MIT License MIT License"]), spark.createDataFrame([("x", "MIT License"), ("y", "mit license")], "license string, text string"))
+    assert sorted(r["license"] for r in two.collect()) == ["x", "y"]
+
+
+def test_quality_takes_clashing_columns(spark):
+    df = docs_of(spark, [" ".join(words(30, 72))]).withColumn("N_words", F.lit(-1)).withColumn("kept", F.lit("no"))
+    got = quality.verdict(quality.measure(df)).first()
+    assert got["n_words"] == 30 and got["kept"] is True and got["source"] == "s"
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path, sf_dir):
+    import corpus_pipeline as p
+
+    good = [" ".join(words(60, 600 + i)) for i in range(4)]
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (None, good[2]), (7, None), (8, ""), (9, "few words"), (None, good[0]), (5, good[3]), (4, " ".join(edited(good[3].split(), 1, 1)))]
+    df = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    for name, docs in (("some", df), ("none", df.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = p.run(spark, str(tmp_path / "some"))
+    kept = [(r["doc_id"], r["start"]) for r in got.collect()]
+    assert sorted((i for i, at in kept if at == 0), key=repr) == sorted([1, 1, None, 4], key=repr)
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
+    stages = dict(p.STAGES)
+    for name in ("quality_rules", "jaccard_join", "decontamination", "secret_scans"):
+        assert stages[name](spark, df, sf_dir).columns == df.columns
+
+
 def test_pipeline_against_stages(spark, sf_dir):
     import corpus_pipeline as p
 
