@@ -17,13 +17,13 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers (once per application).
 
-    Nothing is done where PYTHONPATH already names the package's parent folder."""
+    Nothing is done in local mode where PYTHONPATH already names the package's parent folder; executors elsewhere need not have it."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(_ROOT.parent) in paths:
+    if str(_ROOT.parent) in paths and spark.sparkContext.master.startswith("local["):
         return
     out = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{_ROOT.name}.zip")
     with zipfile.ZipFile(out, "w") as z:
