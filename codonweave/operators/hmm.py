@@ -419,10 +419,11 @@ def assign_blocks(codons: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def coding_runs(decoded: DataFrame) -> DataFrame:
-    """Decoded codons (block, pos, state, posterior) to coding regions: chrom, strand, frame, start, stop, log_odds, gray."""
-    keys = ["chrom", "strand", "frame", "block"]
-    coding = decoded.filter("state = 0").withColumn("_run", F.floor(F.col("pos") / 3) - F.row_number().over(W.partitionBy(*keys).orderBy("pos")))
-    runs = coding.groupBy(*keys, "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 2).alias("stop"), F.max(F.col("posterior")[0]).alias("p"))
+    """Decoded codons (pos, state, posterior) to coding regions: chrom, strand, frame, start, stop, log_odds, gray.
+
+    A region is a run of adjacent coding codons; such runs are found as blocks are, by buckets of positions."""
+    coding = decoded.filter("state = 0").select("chrom", "strand", "frame", "pos", F.col("posterior")[0].alias("p"))
+    runs = assign_blocks(coding).groupBy("chrom", "strand", "frame", F.col("block").alias("start")).agg((F.max("pos") + 2).alias("stop"), F.max("p").alias("p"))
     out = runs.withColumn("log_odds", scalars.prob_to_log_odds("p"))
     return out.select("chrom", "strand", "frame", "start", "stop", "log_odds", scalars.gray_scale("log_odds").alias("gray"))
 

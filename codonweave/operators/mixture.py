@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from codonweave.operators.intervals import overlap_join, union_regions
+from codonweave.operators.intervals import complement_region, overlap_join, union_regions
 from codonweave.session import ship
 
 KEYS = ["chrom", "strand", "frame"]
@@ -54,9 +53,10 @@ def prune_overlaps(exons: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def exon_gaps(pruned: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Bases between neighbours, where there are any."""
-    gap = F.lead("start").over(W.partitionBy(*keys).orderBy("start")) - F.col("stop") - 1
-    return pruned.select(*keys, gap.alias("gap")).filter("gap > 0")
+    """Bases between neighbours, where there are any: what the exons leave between the first and the last, by bins."""
+    ends = pruned.groupBy(*keys).agg(F.min("start").alias("lo"), F.max("stop").alias("hi"))
+    between = complement_region(pruned, keys, F.col("lo"), F.col("hi"), among=ends)
+    return between.select(*keys, (F.col("stop") - F.col("start") + 1).alias("gap"))
 
 
 def coding_stats(pruned: DataFrame, genome_length: int) -> DataFrame:
