@@ -126,7 +126,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pd.DataFrame([predict_one(shared.value, t) for t in pdf["text"]], columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"])
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()

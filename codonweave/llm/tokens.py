@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pd.DataFrame(count_texts(list(pdf["text"]), path), columns=["n_pretokens", "n_tokens"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"])
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
