@@ -14,10 +14,16 @@ _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch where the session has Spark's default of 64 MB, which several tasks of one executor hold several times over.
+_BATCH, _DEFAULT, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (once per application).
+    """Make this package importable in Python workers (once per application), and keep Arrow batches small unless the session sets them.
 
     Nothing is done in local mode where PYTHONPATH already names the package's parent folder; executors elsewhere need not have it."""
+    if spark.conf.get(_BATCH, None) == _DEFAULT:
+        spark.conf.set(_BATCH, str(_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
