@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from codonweave.session import discard, materialize, ship
 
 #: Rows and bytes that are worked on at once; Spark bounds the bytes of an Arrow batch, this what Python makes of it.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 #: Bytes whose words are hashed at once; a longer word is taken alone.
 PIECE = 1 << 18
 SHINGLE = 5

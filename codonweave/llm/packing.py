@@ -24,8 +24,8 @@ from codonweave.llm.common import map_rows
 
 WINDOW = 4096
 END = 2
-#: Words whose ids a worker keeps before it starts anew.
-KEPT_WORDS = 400_000
+#: Words whose ids a task keeps before it starts anew; none outlive the task, as the worker may next do something else.
+KEPT_WORDS = 200_000
 
 
 def vocabulary() -> str:
@@ -54,7 +54,7 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Ids(dict):
-    """Little-endian 32-bit ids of stretches without blanks, worked out once per worker."""
+    """Little-endian 32-bit ids of stretches without blanks, worked out once."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
@@ -82,15 +82,11 @@ class _Ids(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=2)
-def _ids(path: str) -> _Ids:
-    return _Ids(path)
-
-
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text. No token crosses white space, so each stretch without blanks is encoded once."""
-    known = _ids(path).__getitem__
-    return [b"".join(map(known, (t or "").replace("\n", " ").split(" "))) for t in texts]
+def token_bytes(texts: list[str | None], path: str, known: _Ids | None = None) -> list[bytes]:
+    """Little-endian 32-bit ids of each text. No token crosses white space, so each stretch without blanks is encoded once, and not
+    again where it is in known."""
+    ids = (_Ids(path) if known is None else known).__getitem__
+    return [b"".join(map(ids, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 def split(piece: tuple, size: int) -> tuple[tuple, tuple]:
@@ -189,7 +185,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sequence = TaskContext.get().partitionId() << 32
-        packer = Packer(window)
+        packer, known = Packer(window), _Ids(path)
 
         def rows(held: list) -> list[tuple]:
             nonlocal sequence
@@ -205,7 +201,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
 
         for pdf in batches:
             done: list[tuple] = []
-            for doc, ids in zip(pdf["doc_id"], token_bytes(list(pdf["text"]), path)):
+            for doc, ids in zip(pdf["doc_id"], token_bytes(list(pdf["text"]), path, known)):
                 ids += last
                 tokens = len(ids) // 4
                 for start in range(0, tokens, window):

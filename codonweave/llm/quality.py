@@ -21,7 +21,7 @@ from codonweave.llm.common import encode, filter_rows, map_rows
 #: Shortest repeat, in words, that counts as covered; the part of the words, in hundredths, that may be covered; the longest repeat allowed.
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 15, 50
 #: Words whose suffix array is built at once; a longer text is taken alone.
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 150_000
 _WHITE = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
 
