@@ -15,7 +15,7 @@ _shipped: set[str] = set()
 
 
 #: Bytes of an Arrow batch where the session has Spark's default of 64 MB, which several tasks of one executor hold several times over.
-_BATCH, _DEFAULT, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+_BATCH, _DEFAULT, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 1 << 20
 
 
 def ship(spark: SparkSession) -> None:
