@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonweave.llm import containment, language, licenses, lm, near, packing, quality, secrets, tokens, toxicity
+from codonweave.llm import balltree, bpe, containment, language, licenses, lm, near, packing, quality, secrets, spelling, tokens, toxicity
 from codonweave.llm.classify import held_out
 from codonweave.llm.common import table
 
@@ -73,10 +73,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least 7 characters and 2 occurrences in documents, with its form, root and number of near words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the digests of its ids and of the text decoded from them; no ids for null and empty texts."""
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each row of benchmark; null and empty texts are never among them."""
+    return balltree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_lm_scoring, op2_packing, op3_decontamination, op4_secret_scan, op5_quality_rules,
         op6_language_id, op7_token_counts, op8_toxicity, op9_license_scan, op9_license_texts, op10_jaccard_join,
+        op11_spelling_variants, op12_bpe_round_trip, op13_lexical_search,
     )
     return {f.__name__: f for f in found}
 
@@ -132,6 +148,44 @@ _BARE = f"regexp_replace({_FOLD}, '[!-/:-@\\[-`{{-~]', '', 'g')"
 _NOTICES = "(values " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items()) + ") t(license, text)"
 
 
+#: CRC-32 of "<doc_id>:<run>" byte by byte, from a table of 256 numbers that eight halvings make; near words share what is left without one character.
+_OP11 = """
+with recursive halved as (select b, b::ubigint as c, 0 as k from range(256) t(b) union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from halved where k < 8),
+crc as (select b, c from halved where k = 8),
+runs as (select coalesce(doc_id::varchar, '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{C0}-\\x{FF}]+')) as run from documents) where length(run) >= 7 group by all),
+hexed as (select row_number() over () as r, run, n, hex(encode(id || ':' || run)) as bytes from runs),
+walk as (select r, 0 as k, bytes, 4294967295::ubigint as h from hexed
+    union all select r, k + 1, bytes, xor(crc.c, h >> 8) from walk join crc on crc.b = xor(h & 255, ('0x' || substr(bytes, 2 * k + 1, 2))::ubigint) where 2 * k < length(bytes)),
+hashed as (select hexed.run, n, xor(h, 4294967295::ubigint) as h from walk join hexed using (r) where 2 * walk.k = length(walk.bytes)),
+words as (select word, sum(n)::bigint as n from (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed)
+    where length(word) >= 7 group by word having sum(n) >= 2),
+cuts as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from (select word, n, unnest(range(1, length(word) + 1))::int as i from words)),
+shorter as (select distinct word, n, cut from cuts),
+near as (select a.word, a.n, b.word as other, b.n as other_n from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+    union all select s.word, s.n, w.word, w.n from shorter s join words w on w.word = s.cut
+    union all select w.word, w.n, s.word, s.n from shorter s join words w on w.word = s.cut),
+best as (select word, other, other_n, count(*) over (partition by word) as n_near, row_number() over (partition by word order by other_n desc, other) as place from near),
+forms as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * n then other end as form, case when other_n >= 10 * n then other_n end as form_n from words w left join best b on b.word = w.word and place = 1),
+ways as (select word, form as goal from forms where form is not null union all select ways.word, f.form from ways join forms f on f.word = ways.goal where f.form is not null),
+ends as (select ways.word, goal as root from ways join forms f on f.word = ways.goal where f.form is null)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from forms left join ends using (word)
+"""
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\\x{80}-\\x{10FFFF}]+')"
+_OP13 = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS} as terms from documents),
+sizes as (select count(*) as many, sum(len(terms))::bigint as total from d where len(terms) > 0),
+q as (select row_number() over () as q, item_id, list_distinct({_TERMS}) as terms from benchmark),
+qt as (select q, item_id, unnest(terms) as term from q),
+dt as (select r, term, count(*) as tf from (select r, unnest(terms) as term from d) where term in (select term from qt) group by r, term),
+w as (select term, floor(1000 * ln((2 * many + 2) / (2 * count(*) + 1)::double))::bigint as w from dt, sizes group by term, many),
+impact as (select dt.r, d.doc_id, dt.term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(terms) * many) // total)) as x from dt join d using (r), sizes),
+scores as (select q, item_id, r, doc_id, sum(w * x)::bigint as score from qt join w using (term) join impact using (term) group by q, item_id, r, doc_id having sum(w * x) > 0),
+ranks as (select item_id, row_number() over (partition by q order by score desc, doc_id)::int as rank, doc_id, score from scores)
+select * from ranks where rank <= {balltree.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": _CONTAINED.format(fold=_FOLD, key="item_id", items="benchmark"),
@@ -139,4 +193,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": _CONTAINED.format(fold=_BARE, key="license", items=_NOTICES),
         "op9_license_texts": _CONTAINED.format(fold=_BARE, key="license", items=_NOTICES),
         "op10_jaccard_join": _OP10,
+        "op11_spelling_variants": _OP11,
+        "op13_lexical_search": _OP13,
     }
