@@ -1,75 +1,200 @@
-"""Interval algebra and overlap joins. Intervals are closed, in columns start and stop.
+"""Interval algebra and overlap joins. Intervals are closed, in columns start and stop, within +-2^62.
 
-Overlap joins meet in bins: both sides are listed in each bin that they touch, and a pair counts in the
-later of its two first bins only, so that none is seen twice and no distinct is needed."""
+Overlap joins meet in bins of several widths. An interval has the width that is at least its length, so it touches two bins at most,
+however long it is. Of a pair the longer one is listed in its own bins, the shorter one in the bins of that width; a pair counts in
+the later of its two first bins only, so that none is seen twice and no distinct is needed. Bins that a count
+finds hot are dealt over several tasks: each side's rows by their hash, to meet all shares of the other.
+
+Unions and complements go along the sorted intervals. Each bin of starts is swept by itself; what reaches into it from the bins before is
+a running maximum over one row a bin, taken in groups of bins, groups of groups and so on, so no task has more than one group."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BIN = 1 << 12
-
-
-def _bin(pos: Column, width: int) -> Column:
-    return F.floor(pos / width)
+from codonweave.session import materialize
+
+#: Least width of the bins of overlap joins, and by how many bits the next widths are larger.
+BIN, STEP = 1 << 12, 3
+#: Rows of a side that one task gets of a bin, about.
+HOT = 1 << 14
+#: Bins whose counts or shares are broadcast at most.
+FEW = 100_000
+#: Width of the bins of starts that are swept one by one: no bin has more different starts. Bits of a group of bins.
+SWEEP, GROUP = 1 << 16, 16
+
+_TOP = 63
+
+
+def _level(start: str, stop: str, base: int) -> Column:
+    """Bits of an interval's width: the first of base, base + STEP, ... and _TOP that its length does not exceed."""
+    more = F.try_subtract(F.col(stop), F.col(start))  # null beyond 2^63
+    out = F.when(more < F.lit(1 << base), F.lit(base))
+    for bits in range(base + STEP, _TOP, STEP):
+        out = out.when(more < F.lit(1 << bits), F.lit(bits))
+    return out.otherwise(F.lit(_TOP))
+
+
+def _own_spots(df: DataFrame, start: str, stop: str, base: int) -> DataFrame:
+    """Each row in its own bins: _level, _bin, and _first, the first of the one or two."""
+    rows = df.withColumn("_level", _level(start, stop, base))
+    return rows.withColumns({"_first": F.expr(f"shiftright({start}, _level)"), "_bin": F.explode(F.expr(f"array_distinct(array(shiftright({start}, _level), shiftright({stop}, _level)))"))})
+
+
+def _probing_spots(df: DataFrame, start: str, stop: str, base: int, levels: list[int], strict: bool) -> DataFrame:
+    """Each row in the bins of all the given levels from its own on (strict: beyond its own); _level, _bin, _first."""
+    own = _level(start, stop, base)
+    kind = "array<struct<level:int,bin:bigint,first:bigint>>"
+    spots = []
+    for bits in levels:
+        at = F.array_distinct(F.array(*[F.struct(F.lit(bits).alias("level"), F.shiftright(F.col(c), bits).alias("bin"), F.shiftright(F.col(start), bits).alias("first")) for c in (start, stop)]))
+        spots.append(F.when(own < bits if strict else own <= bits, at).otherwise(F.array().cast(kind)))
+    rows = df.withColumn("_spot", F.explode(F.concat(*spots)))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_spot.level").alias("_level"), F.col("_spot.bin").alias("_bin"), F.col("_spot.first").alias("_first"))
+
+
+def _share(df: DataFrame, shares: Column) -> Column:
+    """Which of so many shares a row is dealt to, by all of it that can be hashed."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*plain), shares)
+
+
+def _hot(stored: DataFrame, probing: DataFrame, on: list[str], levels: list[int], strict: bool) -> DataFrame | None:
+    """(on, _level, _bin, _s, _p): shares of the stored and of the probing side in bins where one of them is hot; None without such bins.
+
+    stored, probing: (on, _level, _bin, n) of their rows' own bins, from which those of wider bins follow."""
+    spot = F.explode(F.array(*[F.struct(F.lit(bits).alias("level"), F.lit(bits).alias("bits")) for bits in levels]))
+    wide = probing.select(*on, F.col("_level").alias("_l"), F.col("_bin").alias("_b"), "n", spot.alias("_w")).filter(F.col("_w.level") > F.col("_l") if strict else F.col("_w.level") >= F.col("_l"))
+    wide = wide.select(*on, F.col("_w.level").alias("_level"), F.expr("shiftright(_b, _w.level - _l)").alias("_bin"), "n").groupBy(*on, "_level", "_bin").agg(F.sum("n").alias("m"))
+    both = stored.join(wide, [*on, "_level", "_bin"]).filter((F.col("n") > HOT) | (F.col("m") > HOT))
+    shares = both.select(*on, "_level", "_bin", F.ceil(F.col("n") / HOT).cast("long").alias("_s"), F.ceil(F.col("m") / HOT).cast("long").alias("_p"))
+    hot = materialize(shares)
+    return None if hot.isEmpty() else hot
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, on: list[str], few: bool, stored: bool) -> DataFrame:
+    """rows with _s and _p: their own share of hot bins, and all shares of the other side."""
+    out = rows.join(F.broadcast(hot) if few else hot, [*on, "_level", "_bin"], "left").withColumns({"_s": F.coalesce("_s", F.lit(1)), "_p": F.coalesce("_p", F.lit(1))})
+    mine, other = ("_s", "_p") if stored else ("_p", "_s")
+    out = out.withColumn(mine, _share(rows, F.col(mine)))
+    return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+
+
+class _Side:
+    """One side of an overlap join: its rows, names of its interval's columns, levels of its rows and the counts of its bins."""
+
+    def __init__(self, rows: DataFrame, start: str, stop: str) -> None:
+        self.rows, self.start, self.stop = rows.filter(f"{start} <= {stop}"), start, stop
+
+    def spots(self, on: list[str], base: int) -> DataFrame:
+        own = self.rows.select(*[F.col(f"`{c}`") for c in on], self.start, self.stop)
+        return _own_spots(own, self.start, self.stop, base).groupBy(*on, "_level", "_bin").agg(F.count("*").alias("n"))
+
+
+def _meetings(a: _Side, b: _Side, on: list[str], base: int, how: str) -> list[DataFrame]:
+    """Joins of a's with b's rows that between them find every overlapping pair once (how: inner) or a's rows that have one (left_semi)."""
+    counts = materialize(a.spots(on, base).withColumn("_side", F.lit(0)).unionByName(b.spots(on, base).withColumn("_side", F.lit(1))))
+    known = {side: (sorted(levels), rows) for side, levels, rows in counts.groupBy("_side").agg(F.collect_set("_level"), F.sum("n")).collect()}
+    if len(known) < 2:
+        return []
+    (levels_a, rows_a), (levels_b, rows_b) = known[0], known[1]
+    out = []
+    # the stored side lies in its own bins, which are at least as wide as those of the probing side
+    for stored, probing, levels, least, strict, side in ((a, b, levels_a, levels_b[0], False, 0), (b, a, levels_b, levels_a[0], True, 1)):
+        wanted = [x for x in levels if x > least or not strict and x == least]
+        if not wanted:
+            continue
+        left = _own_spots(stored.rows, stored.start, stored.stop, base)
+        right = _probing_spots(probing.rows, probing.start, probing.stop, base, wanted, strict)
+        keys = [*on, "_level", "_bin"]
+        if max(rows_a, rows_b) > HOT:
+            own, other = (counts.filter(f"_side = {x}").drop("_side") for x in (side, 1 - side))
+            if (hot := _hot(own, other, on, wanted, strict)) is not None:
+                few = hot.count() <= FEW
+                left, right = _dealt(left, hot, on, few, True), _dealt(right, hot, on, few, False)
+                keys += ["_s", "_p"]
+        x, y = (left, right) if side == 0 else (right, left)  # a's rows stand left
+        y = y.withColumnsRenamed({"_first": "_first2"} | {k: f"{k}_2" for k in keys})
+        meet = [F.col(k) == F.col(f"{k}_2") for k in keys] + [F.col("start") <= F.col("b_stop"), F.col("b_start") <= F.col("stop")]
+        if how == "inner":
+            meet.append(F.col("_bin") == F.greatest("_first", "_first2"))
+        out.append(x.join(y, reduce(Column.__and__, meet), how))
+    return out
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: int = BIN, how: str = "inner") -> DataFrame:
     """Pairs of a row of a and a row of b that agree on the columns `on` and overlap.
 
-    b's start and stop become b_start and b_stop; other columns of b must have names of their own.
+    b's start and stop become b_start and b_stop; other columns of b must have names of their own. width: of the smallest bins.
     how: inner, left_semi or left_anti; then only rows of a come back, each as often as a has it. A row whose interval or key
-    is null overlaps nothing; nulls in other columns do not matter."""
-    right = b.withColumnsRenamed({"start": "b_start", "stop": "b_stop"})
-    rows = a if how == "inner" else a.groupBy(*a.columns).agg(F.count("*").alias("_copies"))  # equal rows, nulls too, as one
-    left = rows.withColumn("_bin", F.explode(F.sequence(_bin(F.col("start"), width), _bin(F.col("stop"), width))))
-    right = right.withColumn("_bin", F.explode(F.sequence(_bin(F.col("b_start"), width), _bin(F.col("b_stop"), width))))
+    is null, or whose stop is before its start, overlaps nothing; nulls in other columns do not matter. Levels and hot bins come from one count of
+    both sides' bins, which runs at once."""
+    base = max(0, (width - 1).bit_length())
+    right = _Side(b.withColumnsRenamed({"start": "b_start", "stop": "b_stop"}), "b_start", "b_stop")
     if how == "inner":
-        pairs = left.join(right, [*on, "_bin"])
-        first = F.greatest(_bin(F.col("start"), width), _bin(F.col("b_start"), width))
-        return pairs.filter((F.col("start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("stop")) & (F.col("_bin") == first)).drop("_bin")
-    spots = right.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("_bin").alias("_b"), "b_start", "b_stop")
-    meets = (F.col("_bin") == F.col("_b")) & (F.col("start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("stop"))
-    for c in on:
-        meets = meets & (F.col(c) == F.col(f"_{c}"))
-    hits = left.join(spots, meets, "left_semi").drop("_bin").distinct()
-    if how == "left_anti":
-        other = hits.select(*[F.col(c).alias(f"_hit_{c}") for c in a.columns])
-        same = [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in a.columns]
-        hits = rows.join(other, same, "left_anti")
-    return hits.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(a.columns)
-
-
-def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Merged intervals of each key; overlapping and adjacent ones become one."""
-    w = W.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.select(*keys, "start", "stop").withColumn("_new", F.coalesce((F.col("start") > reach + 1).cast("long"), F.lit(1)))
-    marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
-
-
-def _in_bins(df: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Merged intervals of each key and _bin, cut at the bins' edges."""
-    cut = df.select(*keys, "start", "stop", F.explode(F.sequence(_bin(F.col("start"), width), _bin(F.col("stop"), width))).alias("_bin"))
-    cut = cut.withColumns({"start": F.greatest("start", F.col("_bin") * width), "stop": F.least("stop", (F.col("_bin") + 1) * width - 1)})
-    return _islands(cut, [*keys, "_bin"])
-
-
-def _over_edges(parts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Disjoint parts of bins, those that touch an edge merged with what goes on beyond it."""
-    edge = (F.col("start") == F.col("_bin") * width) | (F.col("stop") == (F.col("_bin") + 1) * width - 1)
-    return parts.filter(~edge).drop("_bin").unionByName(_islands(parts.filter(edge).drop("_bin"), keys))
-
-
-def union_regions(df: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """Disjoint intervals that cover what df covers, by key.
-
-    Intervals are cut at bin edges and merged within each bin, so no task gets a whole chromosome; only
-    pieces that touch an edge are then merged across bins, at most two a bin and key."""
-    return _over_edges(_in_bins(df, keys, width), keys, width)
+        found = _meetings(_Side(a, "start", "stop"), right, on, base, how)
+        names = [*a.columns, *[c for c in right.rows.columns if c not in on]]
+        if not found:
+            return a.limit(0).join(right.rows.limit(0), on).select(*[F.col(f"`{c}`") for c in names])
+        return reduce(DataFrame.unionByName, [x.select(*[F.col(f"`{c}`") for c in names]) for x in found])
+    rows = materialize(a.withColumn("_row", F.monotonically_increasing_id()))  # a number that stays, whatever a's columns are
+    left = _Side(rows.select("_row", *[F.col(f"`{c}`") for c in on], "start", "stop"), "start", "stop")
+    spots = right.rows.select(*[F.col(f"`{c}`") for c in on], "b_start", "b_stop")
+    found = _meetings(left, _Side(spots, "b_start", "b_stop"), on, base, "left_semi")
+    hits = reduce(DataFrame.unionAll, [x.select("_row") for x in found]).distinct() if found else rows.select("_row").limit(0)
+    return rows.join(hits, "_row", how).select(*[F.col(f"`{c}`") for c in a.columns])
+
+
+def _before(df: DataFrame, bits: int, back: bool = False) -> DataFrame:
+    """One row (_k, _bin, v) a bin, to (_k, _bin, _x): the greatest v of all bins before (back: the least of all bins behind), by key _k.
+
+    Bins are taken in groups of 2^GROUP by a window each; what the groups before have comes from the same on the table of groups. bits: of _bin."""
+    rows = df.withColumn("_group", F.shiftright("_bin", GROUP) if bits > GROUP else F.lit(0).cast("long"))
+    order, best = (F.desc("_bin"), F.min) if back else (F.asc("_bin"), F.max)
+    w = W.partitionBy("_k", "_group").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inner = rows.select("_k", "_group", "_bin", best("v").over(w).alias("_x"))
+    if bits <= GROUP:
+        return inner.drop("_group")
+    groups = rows.groupBy("_k", "_group").agg(best("v").alias("v")).withColumnRenamed("_group", "_bin")
+    above = _before(groups, bits - GROUP, back).withColumnsRenamed({"_bin": "_group", "_x": "_y"})
+    return inner.join(above, ["_k", "_group"], "left").select("_k", "_bin", (F.least if back else F.greatest)("_x", "_y").alias("_x"))
+
+
+def _islands(df: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, int]:
+    """(_k, _bin, start, _before): where an interval begins beyond all that begin earlier, adjacent ones left out, by key _k and bin of starts.
+
+    _before: the last base of what begins earlier, null at the first of a key. Also the number of bits of _bin. Of equal
+    starts the longest counts, before anything is sorted. A key is a struct, in which nulls are equal."""
+    bits = (width - 1).bit_length()
+    rows = df.filter("start <= stop").groupBy(F.struct(*keys).alias("_k"), "start").agg(F.max("stop").alias("stop")).withColumn("_bin", F.shiftright("start", bits))
+    reach = F.max("stop").over(W.partitionBy("_k", "_bin").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    swept = rows.select("_k", "_bin", "start", reach.alias("_reach"))
+    came = _before(rows.groupBy("_k", "_bin").agg(F.max("stop").alias("v")), 64 - bits)
+    begun = swept.join(came, ["_k", "_bin"], "left").select("_k", "_bin", "start", F.greatest("_reach", "_x").alias("_before"))
+    return begun.filter(F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1)), 64 - bits
+
+
+def _ends(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(_k, _end): the last base of each key."""
+    return df.filter("start <= stop").groupBy(F.struct(*keys).alias("_k")).agg(F.max("stop").alias("_end"))
+
+
+def union_regions(df: DataFrame, keys: list[str], width: int = SWEEP) -> DataFrame:
+    """Disjoint intervals that cover what df covers, by key; adjacent ones become one. Rows with a null end are left out.
+
+    An island ends where the next one's _before says; the next of a bin's last island stands in a later bin, and behind the last of a key
+    stands a row with the key's last base."""
+    begun, bits = _islands(df, keys, width)
+    following = F.lead("_before").over(W.partitionBy("_k", "_bin").orderBy("start"))
+    rows = begun.withColumn("_next", following)
+    last = _ends(df, keys).select("_k", F.lit(1 << (bits - 1)).cast("long").alias("_bin"), F.col("_end").alias("v"))
+    later = _before(begun.groupBy("_k", "_bin").agg(F.min("_before").alias("v")).unionByName(last), bits, back=True)
+    rows = rows.join(later, ["_k", "_bin"], "left")
+    return rows.select(*[F.col(f"_k.`{k}`") for k in keys], "start", F.coalesce("_next", "_x").alias("stop"))
 
 
 def intersect_regions(a: DataFrame, b: DataFrame, keys: list[str], *more: DataFrame) -> DataFrame:
@@ -79,19 +204,23 @@ def intersect_regions(a: DataFrame, b: DataFrame, keys: list[str], *more: DataFr
     return intersect_regions(out, more[0], keys, *more[1:]) if more else out
 
 
-def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Column | int, among: DataFrame | None = None, width: int = BIN) -> DataFrame:
+def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Column | int, among: DataFrame | None = None, width: int = SWEEP) -> DataFrame:
     """What lies from lo to hi outside the intervals of each key.
 
     among: a table of all keys, one row each; lo and hi may then be columns of it, as chromosome sizes are. A key without
-    intervals gives its whole range. Without it the keys are those of df. Each bin is turned inside out by itself; only
-    what touches an edge is then merged across bins."""
+    intervals gives its whole range. Without it the keys are those of df. Any bounds within +-2^62 will do; the work depends on the intervals alone."""
+    fixed = among is None
     lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi))
-    named = (df.select(*keys).distinct() if among is None else among).select(*keys, lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi")).filter("_lo <= _hi")
-    bins = named.withColumn("_bin", F.explode(F.sequence(_bin(F.col("_lo"), width), _bin(F.col("_hi"), width))))
-    spans = bins.select(*keys, "_bin", F.greatest("_lo", F.col("_bin") * width).alias("start"), F.least("_hi", (F.col("_bin") + 1) * width - 1).alias("stop"))
-    parts = _in_bins(df, keys, width).withColumnsRenamed({"start": "b_start", "stop": "b_stop"})
-    left = gaps_inside(spans.join(parts, [*keys, "_bin"], "left"), [*keys, "_bin"])
-    return _over_edges(left.withColumnsRenamed({"left_start": "start", "left_stop": "stop"}), keys, width)
+    begun, ends = _islands(df, keys, width)[0], _ends(df, keys)
+    if fixed:
+        begun, ends = (x.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")}) for x in (begun, ends))
+    else:
+        named = among.select(F.struct(*keys).alias("_k"), lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"))
+        begun, ends = begun.join(named, "_k"), named.join(ends, "_k", "left")
+    start = F.greatest(F.coalesce(F.col("_before") + 1, "_lo"), "_lo")
+    inner = begun.select("_k", start.alias("a"), F.least(F.col("start") - 1, "_hi").alias("b"))
+    tail = ends.select("_k", F.greatest(F.coalesce(F.col("_end") + 1, "_lo"), "_lo").alias("a"), F.col("_hi").alias("b"))
+    return inner.unionByName(tail).filter("a <= b").select(*[F.col(f"_k.`{k}`") for k in keys], F.col("a").alias("start"), F.col("b").alias("stop"))
 
 
 def gaps_inside(pieces: DataFrame, key: list[str]) -> DataFrame:
@@ -106,12 +235,13 @@ def gaps_inside(pieces: DataFrame, key: list[str]) -> DataFrame:
 
 
 def subtract_regions(a: DataFrame, b: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """The parts of each row of a (named by the column row) that no interval of b covers."""
-    cover = union_regions(b, keys)
-    hits = overlap_join(a.select(row, *keys, "start", "stop"), cover, keys).select(row, "b_start", "b_stop")
-    pieces = a.select(row, *keys, "start", "stop").join(hits, row, "left")
-    left = gaps_inside(pieces, [row, *keys])
-    return left.select(row, *keys, F.col("left_start").alias("start"), F.col("left_stop").alias("stop"))
+    """The parts of each row of a (named by the column row) that no interval of b covers; a row of a null key is covered by nothing.
+
+    They are what the row has in common with the gaps of b, so no row's pieces are laid together."""
+    own, bound = a.select(row, *keys, "start", "stop").filter("start <= stop"), 1 << 62
+    cut = overlap_join(own, complement_region(b, keys, -bound, bound), keys)
+    left = cut.select(row, *keys, F.greatest("start", "b_start").alias("start"), F.least("stop", "b_stop").alias("stop"))
+    return left.unionByName(own.join(b.filter("start <= stop").select(*keys).distinct(), keys, "left_anti").select(left.columns))
 
 
 def overlapping_transcripts(intervals: DataFrame, segments: DataFrame, row: str, strands: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 An exon row has tr_id, chrom, strand, idx (along the plus strand, from 1), start, stop, cum (bases of
 earlier exons), len (bases of the transcript), cs and ce (coding start and end in transcript positions, or null).
-Transcript positions count from 1 in the direction of the strand; outside they go on unspliced."""
+Transcript positions count from 1 in the direction of the strand; outside they go on unspliced.
+
+Positions meet one row a transcript, which holds its exons as an array, and find their exon by binary search in it."""
 
 from __future__ import annotations
 
@@ -31,55 +33,102 @@ def with_lengths(exons: DataFrame) -> DataFrame:
     })
 
 
-def _ends(exons: DataFrame) -> DataFrame:
-    """Exon rows with first and last marked."""
-    whole = W.partitionBy("tr_id")
-    return exons.withColumns({"_first": F.col("idx") == F.min("idx").over(whole), "_last": F.col("idx") == F.max("idx").over(whole)})
+def packed(exons: DataFrame) -> DataFrame:
+    """One row a transcript: tr_id, and _tr with chrom, strand, len, cs, ce and exons, an array of (start, stop, cum) in order of starts."""
+    one = [F.first(c).alias(c) for c in ("chrom", "strand", "len", "cs", "ce") if c in exons.columns]
+    per = exons.groupBy("tr_id").agg(*one, F.array_sort(F.collect_list(F.struct("start", "stop", "cum"))).alias("exons"))
+    return per.select("tr_id", F.struct(*[c for c in per.columns if c != "tr_id"]).alias("_tr"))
+
+
+def _below(exons: Column, field: str, value: Column, equal: bool) -> Column:
+    """How many exons of an array have a field below value (equal: or equal to it): a binary search, from the highest bit of the place."""
+    n = F.size(exons)
+    bits = F.filter(F.array(*[F.lit(1 << k) for k in range(24, -1, -1)]), lambda b: b <= n)
+
+    def step(i: Column, b: Column) -> Column:
+        at = F.try_element_at(exons, i + b)[field]
+        return F.when((i + b <= n) & ((at <= value) if equal else (at < value)), i + b).otherwise(i)
+
+    return F.aggregate(bits, F.lit(0), step)
+
+
+def _exon(exons: Column, place: Column) -> Column:
+    """The exon of a place from 1; the first one for place 0."""
+    return F.try_element_at(exons, F.greatest(place, F.lit(1)))
+
+
+def trpos_in(exons: Column, plus: Column, length: Column, pos: Column) -> Column:
+    """The transcript position of a chromosome position; null in an intron."""
+    at = _below(exons, "start", pos, True)
+    return F.aggregate(
+        F.array(at), F.lit(None).cast("long"),
+        lambda _, i: F.when(
+            (i == 0) | (i == F.size(exons)) | (pos <= _exon(exons, i)["stop"]),
+            F.when(plus, _exon(exons, i)["cum"] + pos - _exon(exons, i)["start"] + 1).otherwise(length - _exon(exons, i)["cum"] - pos + _exon(exons, i)["start"]),
+        ),
+    )
+
+
+def _met(rows: DataFrame, exons: DataFrame) -> DataFrame:
+    """rows (tr_id, ...) with their transcript in _tr; those of transcripts that are not in exons are left out."""
+    return rows.join(packed(exons), "tr_id").select(*[F.col(f"`{c}`") for c in rows.columns], "_tr")
 
 
 def pos_to_trpos(positions: DataFrame, exons: DataFrame) -> DataFrame:
-    """positions (tr_id, pos, ...) with trpos; null in an intron. Transcripts that are not in exons are left out."""
-    ex = _ends(exons.select("tr_id", "strand", "idx", "start", "stop", "cum", "len"))
-    other = [c for c in positions.columns if c not in ("tr_id", "pos")]
-    near = positions.join(ex, "tr_id")
-    inside = (F.col("_first") & (F.col("pos") < F.col("start"))) | (F.col("_last") & (F.col("pos") > F.col("stop"))) | F.col("pos").between(F.col("start"), F.col("stop"))
-    u = F.col("cum") + F.col("pos") - F.col("start") + 1
-    found = near.groupBy("tr_id", "pos", *other).agg(F.max(F.when(inside, F.when(_plus(), u).otherwise(F.col("len") - u + 1))).alias("trpos"))
-    return found
+    """positions (tr_id, pos, ...) with trpos; null in an intron. Transcripts that are not in exons are left out; repeated rows stay as often as they stand there."""
+    tr = F.col("_tr")
+    return _met(positions, exons).withColumn("trpos", trpos_in(tr["exons"], tr["strand"] == "+", tr["len"], F.col("pos"))).drop("_tr")
 
 
 def trpos_to_pos(positions: DataFrame, exons: DataFrame) -> DataFrame:
     """positions (tr_id, trpos, ...) with pos."""
-    ex = _ends(exons.select("tr_id", "strand", "idx", "start", "stop", "cum", "len"))
-    u = F.when(_plus(), F.col("trpos")).otherwise(F.col("len") - F.col("trpos") + 1)
-    size = F.col("stop") - F.col("start") + 1
-    hit = (F.col("_first") | (u > F.col("cum"))) & (F.col("_last") | (u <= F.col("cum") + size))
-    return positions.join(ex, "tr_id").filter(hit).select(*positions.columns, (F.col("stop") + u - F.col("cum") - size).alias("pos"))
+    tr = F.col("_tr")
+    rows = _met(positions, exons).withColumn("_u", F.when(tr["strand"] == "+", F.col("trpos")).otherwise(tr["len"] - F.col("trpos") + 1))
+    rows = rows.filter("_u is not null").withColumn("_x", _exon(tr["exons"], _below(tr["exons"], "cum", F.col("_u"), False)))
+    return rows.withColumn("pos", F.col("_x.start") - 1 + F.col("_u") - F.col("_x.cum")).drop("_tr", "_u", "_x")
 
 
 def trinterval_to_intervals(spans: DataFrame, exons: DataFrame) -> DataFrame:
     """spans (tr_id, t_start, t_stop, ...) split at introns: one row with start and stop for each exon part.
 
     A span whose start is its end + 1 gives nothing."""
-    ex = _ends(exons.select("tr_id", "chrom", "strand", "idx", "start", "stop", "cum", "len"))
-    lo = F.when(_plus(), F.col("t_start")).otherwise(F.col("len") - F.col("t_stop") + 1)
-    hi = F.when(_plus(), F.col("t_stop")).otherwise(F.col("len") - F.col("t_start") + 1)
-    size = F.col("stop") - F.col("start") + 1
-    a = F.when(F.col("_first"), lo).otherwise(F.greatest(lo, F.col("cum") + 1))
-    b = F.when(F.col("_last"), hi).otherwise(F.least(hi, F.col("cum") + size))
-    cut = spans.join(ex, "tr_id").withColumns({"_a": a, "_b": b}).filter("_a <= _b")
-    return cut.select(*spans.columns, "chrom", "strand", (F.col("start") - F.col("cum") - 1 + F.col("_a")).alias("p"), (F.col("start") - F.col("cum") - 1 + F.col("_b")).alias("q")).withColumnsRenamed({"p": "start", "q": "stop"})
+    tr = F.col("_tr")
+    ex, plus = tr["exons"], tr["strand"] == "+"
+    rows = _met(spans, exons).withColumns({
+        "_lo": F.when(plus, F.col("t_start")).otherwise(tr["len"] - F.col("t_stop") + 1),
+        "_hi": F.when(plus, F.col("t_stop")).otherwise(tr["len"] - F.col("t_start") + 1),
+    }).filter("_lo <= _hi")
+    rows = rows.withColumns({"_i": F.greatest(_below(ex, "cum", F.col("_lo"), False), F.lit(1)), "_j": F.greatest(_below(ex, "cum", F.col("_hi"), False), F.lit(1))})
+    rows = rows.withColumn("_k", F.explode(F.sequence("_i", "_j"))).withColumn("_x", F.try_element_at(ex, F.col("_k")))
+    size = F.col("_x.stop") - F.col("_x.start") + 1
+    a = F.when(F.col("_k") == 1, F.col("_lo")).otherwise(F.greatest("_lo", F.col("_x.cum") + 1))
+    b = F.when(F.col("_k") == F.size(ex), F.col("_hi")).otherwise(F.least("_hi", F.col("_x.cum") + size))
+    shift = F.col("_x.start") - F.col("_x.cum") - 1
+    return rows.select(*[F.col(f"`{c}`") for c in spans.columns], tr["chrom"].alias("chrom"), tr["strand"].alias("strand"), (shift + a).alias("start"), (shift + b).alias("stop"))
 
 
 def transcripts_from_bed(bed: DataFrame) -> DataFrame:
-    """Exon rows of read_bed() rows: cs and ce from the thick range where it is not empty; null if an edge lies in an intron."""
-    flat = bed.select(F.col("name").alias("tr_id"), "chrom", "strand", "thick_start", "thick_stop", F.explode("blocks").alias("b"))
-    ex = with_lengths(flat.select("tr_id", "chrom", "strand", "thick_start", "thick_stop", F.col("b.start").alias("start"), F.col("b.stop").alias("stop")))
-    thick = bed.filter("thick_start <= thick_stop").select(F.col("name").alias("tr_id"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("thick_start").alias("pos")), F.struct(F.lit("b").alias("side"), F.col("thick_stop").alias("pos")))).alias("x")).select("tr_id", "x.side", "x.pos")
-    at = pos_to_trpos(thick, ex).groupBy("tr_id").agg(F.max(F.when(F.col("side") == "a", F.col("trpos"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("trpos"))).alias("b"))
-    ex = ex.drop("thick_start", "thick_stop").join(at, "tr_id", "left")
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return ex.withColumns({"cs": F.when(both, F.least("a", "b")), "ce": F.when(both, F.greatest("a", "b"))}).select(EXON)
+    """Exon rows of read_bed() rows: cs and ce from the thick range where it is not empty; null if an edge lies in an intron.
+
+    Each line is a transcript. tr_id is its name, and where several lines have one name, or none, its name, place, blocks' hash and number among equal lines;
+    name stays beside it."""
+    fields = [c for c in ("chrom", "start", "stop", "name", "strand", "thick_start", "thick_stop", "blocks") if c in bed.columns]
+    lines = bed.groupBy(*fields).agg(F.count("*").cast("int").alias("_copies"))
+    common = lines.groupBy("name").agg(F.sum("_copies").alias("_n")).filter("_n > 1 or name is null").withColumnRenamed("name", "_name")
+    lines = lines.join(common, F.col("name").eqNullSafe(F.col("_name")), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    ends = F.concat_ws("-", F.array_min("blocks.start").cast("string"), F.array_max("blocks.stop").cast("string"))
+    place = F.concat(F.coalesce("name", F.lit("")), F.lit("|"), F.concat_ws(":", "chrom", ends, "strand", F.hex(F.xxhash64("blocks", "thick_start", "thick_stop")), F.col("_copy").cast("string")))
+    ex = F.array_sort("blocks")
+    # bases before each exon; a transcript has few
+    cums = F.transform(ex, lambda x, i: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.aggregate(F.slice(ex, F.lit(1), i), F.lit(0).cast("long"), lambda n, y: n + y["stop"] - y["start"] + 1).alias("cum")))
+    length = F.aggregate(ex, F.lit(0).cast("long"), lambda n, y: n + y["stop"] - y["start"] + 1)
+    rows = lines.select(F.when(F.col("_n").isNull(), F.col("name")).otherwise(place).alias("tr_id"), "name", "chrom", "strand", "thick_start", "thick_stop", cums.alias("_ex"), length.alias("len"))
+    plus = F.col("strand") == "+"
+    a, b = (trpos_in(F.col("_ex"), plus, F.col("len"), F.col(c)) for c in ("thick_start", "thick_stop"))
+    both = (F.col("thick_start") <= F.col("thick_stop")) & F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    rows = rows.withColumns({"_a": a, "_b": b}).withColumns({"cs": F.when(both, F.least("_a", "_b")), "ce": F.when(both, F.greatest("_a", "_b"))})
+    flat = rows.select("tr_id", "chrom", "strand", "len", "cs", "ce", "name", F.posexplode("_ex").alias("_i", "_x"))
+    return flat.withColumns({"idx": (F.col("_i") + 1).cast("long"), "start": F.col("_x.start"), "stop": F.col("_x.stop"), "cum": F.col("_x.cum")}).select(*EXON, "name")
 
 
 def exon_intervals(exons: DataFrame) -> DataFrame:
@@ -123,8 +172,9 @@ def frame_of_trpos(trpos: Column, cs: Column) -> Column:
 
 def frame_of_base(positions: DataFrame, exons: DataFrame) -> DataFrame:
     """positions (tr_id, pos, ...) with frame; null in introns and for transcripts without coding part."""
-    cs = exons.select("tr_id", "cs").distinct()
-    return pos_to_trpos(positions, exons).join(cs, "tr_id").withColumn("frame", frame_of_trpos(F.col("trpos"), F.col("cs"))).drop("trpos", "cs")
+    tr = F.col("_tr")
+    trpos = trpos_in(tr["exons"], tr["strand"] == "+", tr["len"], F.col("pos"))
+    return _met(positions, exons).withColumn("frame", frame_of_trpos(trpos, tr["cs"])).drop("_tr")
 
 
 def tr_num_codons(exons: DataFrame, include_stop: bool = True) -> DataFrame:

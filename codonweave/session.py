@@ -6,13 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
-
+_written: ContextVar[list | None] = ContextVar("written", default=None)
 
 #: Bytes of an Arrow batch where the session has Spark's default of 64 MB, which several tasks of one executor hold several times over.
 _BATCH, _DEFAULT, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 1 << 20
@@ -56,9 +59,34 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path  # for discard()
+    if (made := _written.get()) is not None:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables of materialize() that are made inside are deleted at the end, but for those that the given function was called with.
+
+    What leaves such a block otherwise must not read from its tables any more."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    outer = _written.get()
+    token = _written.set(made)
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        discard(*[t for t in made if not any(t is k for k in kept)])
+        if outer is not None:
+            outer += kept
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing reads any more."""
     for df in tables:
