@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codonweave.session import discard, materialize, ship
 
+if TYPE_CHECKING:  # most workers need no pandas, which takes 27 MB of each
+    import pandas as pd
+
 #: Rows and bytes that are worked on at once; Spark bounds the bytes of an Arrow batch, this what Python makes of it.
 BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 #: Bytes whose words are hashed at once; a longer word is taken alone.
@@ -29,8 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _lean() -> None:
+    """Let this worker give memory back once it is freed: larger blocks are mapped by themselves, and Arrow keeps none in a pool.
+
+    A worker goes from stage to stage, and what it has held at most would stay with it."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of glibc
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of at most BATCH_ROWS rows, of fewer where rows are long; an empty batch stays as it is."""
+    _lean()
     for whole in batches:
         rows = min(BATCH_ROWS, max(1, whole.num_rows * BATCH_BYTES // max(1, whole.nbytes)))
         for a in range(0, max(1, whole.num_rows), rows):
@@ -39,6 +57,7 @@ def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
     """Pandas frames of parts_of(); whole numbers among nulls stay whole numbers."""
+    import pandas as pd
 
     def column(c: pa.Array) -> pd.Series:
         if c.null_count and pa.types.is_integer(c.type):

@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonweave.llm.common import filter_rows, lower_words, map_rows, mix, shingles
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Least share of an item's shingles, in hundredths.
 CONTAINED = 75
 MISS = 1e-5
@@ -120,12 +123,12 @@ class Index:
 class Block:
     """A block of items: an index for each shingle length that they need, and their keys."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], k: int, contained: int) -> None:
-        """items: key and words of each, at least one word."""
-        self.names = [name for name, _ in items]
+    def __init__(self, items: list[tuple[object, int, list[bytes]]], k: int, contained: int) -> None:
+        """items: key, copies and words of each, at least one word."""
+        self.names, self.copies = [name for name, _, _ in items], [copies for _, copies, _ in items]
         self.indexes = {}
-        for size in sorted({min(k, len(w)) for _, w in items}):
-            self.indexes[size] = Index([(j, shingles(w, size)) for j, (_, w) in enumerate(items) if min(k, len(w)) == size], contained)
+        for size in sorted({min(k, len(w)) for _, _, w in items}):
+            self.indexes[size] = Index([(j, shingles(w, size)) for j, (_, _, w) in enumerate(items) if min(k, len(w)) == size], contained)
         self.tables: dict[int, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
@@ -141,14 +144,15 @@ class Block:
 
 
 def _blocks(items: DataFrame, key: str, words: Words, k: int, contained: int) -> Iterator[Block]:
-    """Blocks of bounded size of the items that have words."""
+    """Blocks of bounded size of the items that have words; equal rows are one item with a number of copies."""
     own = items.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    own = own.groupBy("key", "text").agg(F.count("*").alias("copies"))
     count, chars = own.agg(F.count("*"), F.sum(F.length("text"))).first()
     parts = max(1, -(-count // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))
     for i in range(parts):
         rows = own.filter(F.pmod(F.xxhash64("key", "text"), F.lit(parts)) == i).collect()
-        split = [(r["key"], words(r["text"])) for r in rows]
-        yield Block([(x, w) for x, w in split if w], k, contained)
+        split = [(r["key"], r["copies"], words(r["text"])) for r in rows]
+        yield Block([(x, n, w) for x, n, w in split if w], k, contained)
 
 
 def search(docs: DataFrame, items: DataFrame, key: str, words: Words = lower_words, k: int = 5, contained: int = CONTAINED) -> DataFrame:
@@ -165,12 +169,14 @@ def search(docs: DataFrame, items: DataFrame, key: str, words: Words = lower_wor
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import pandas as pd
+
             block = shared.value
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"]):
                     for j, *found in block.find(words(text)):
-                        rows.append((doc, block.names[j], *found))
+                        rows += [(doc, block.names[j], *found)] * block.copies[j]
                 yield pd.DataFrame(rows, columns=["doc_id", "key", "n_item", "n_shared", "first_word", "last_word"])
 
         found = map_rows(docs.select("doc_id", "text"), run, schema)
@@ -181,16 +187,26 @@ def search(docs: DataFrame, items: DataFrame, key: str, words: Words = lower_wor
 def without(docs: DataFrame, items: DataFrame, words: Words = lower_words, k: int = 5, contained: int = CONTAINED) -> DataFrame:
     """The rows of docs that hold none of the items, as search() finds them, with all their columns.
 
-    Null and empty texts stay, of repeated rows all or none; with no items docs stays as it is."""
+    Null and empty texts stay, of repeated rows all or none; with no items docs stays as it is. One block of items is searched
+    as the rows pass by. More blocks each look over the texts by themselves and name those that hold an item, by two hashes
+    and the length; the rows are filtered once, so no task has more than one block and one worker."""
     spark = docs.sparkSession
-    for block in _blocks(items.select(F.lit(0).alias("key"), "text"), "key", words, k, contained):
-        shared = spark.sparkContext.broadcast(block)
-
-        def free(texts: list[str | None], shared=shared) -> list[bool]:
-            return [next(shared.value.find(words(t)), None) is None for t in texts]
-
-        docs = filter_rows(docs, free)
-    return docs
+    blocks = _blocks(items.select(F.lit(0).alias("key"), "text"), "key", words, k, contained)
+    shared = [spark.sparkContext.broadcast(block) for block in blocks]
+
+    def holding(one, held: bool):
+        return lambda texts: [(next(one.value.find(words(t)), None) is not None) == held for t in texts]
+
+    if len(shared) == 1:
+        return filter_rows(docs, holding(shared[0], False))
+    name = [F.xxhash64("text").alias("_h1"), F.hash("text").alias("_h2"), F.length("text").alias("_n")]
+    found = None
+    for one in shared:
+        own = filter_rows(docs.select("text").filter("text is not null"), holding(one, True)).select(*name)
+        found = own if found is None else found.unionAll(own)
+    found = found.distinct()
+    same = [(F.xxhash64(docs["text"]) == found["_h1"]) & (F.hash(docs["text"]) == found["_h2"]) & (F.length(docs["text"]) == found["_n"])]
+    return docs.join(found, same, "left_anti")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -21,19 +21,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codonweave.llm.common import connected_components, map_rows, mix, parts_of, shingle_sets
-from codonweave.session import discard, materialize, ship
+from codonweave.llm.common import connected_components, mix, parts_of, shingle_sets
+from codonweave.session import discard, materialize, scratch, ship
 
 #: A token in more classes than this is frequent.
 FREQUENT = 20
 #: Document ids that may be broadcast when their texts are fetched (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
 STAR_ROUNDS = 2
 #: A token that more than one in so many rows hold is counted apart.
 USUAL = 64
@@ -116,13 +115,16 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a")
     both = x.join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(pdf["x"], pdf["y"])], np.int64)
-            total = np.array([len(x) + len(y) for x, y in zip(pdf["x"], pdf["y"])], np.int64)
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": common, "linked": 100 * common >= 75 * (total - common)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
+            sets = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("x"), batch.column("y"))]
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], np.int64)
+            total = np.array([len(x) + len(y) for x, y in sets], np.int64)
+            columns = [batch.column("a"), batch.column("b"), pa.array(common), pa.array(100 * common >= 75 * (total - common))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "common", "linked"])
 
-    done = materialize(map_rows(both, run, "a long, b long, common long, linked boolean"))
+    ship(docs.sparkSession)
+    done = materialize(both.mapInArrow(run, "a long, b long, common long, linked boolean"))
     discard(pairs, wanted, sets)
     return done
 
@@ -273,6 +275,12 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.join(split, ["again", "token"])
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, component) of the links, written; what the rounds wrote is gone."""
+    with scratch() as keep:
+        return keep(materialize(connected_components(links)))
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, th, n, fp) of docs, and (fp, component, component_id, chosen, members) of the classes in groups of several rows.
 
@@ -288,14 +296,16 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = single.join(F.broadcast(repeated) if few else repeated, "fp", "left")
     ones = marked.filter("rep is null or rep <=> document").select("fp", "n", "head")
     tokens = ones.select("fp", "n", F.posexplode("head").alias("pos", "token"))
-    tokens = with_df(tokens, usual_tokens(heads.select("head"), "head"))
-    tokens = materialize(tokens.select("token", "df", "fp", "n", F.col("pos").cast("long").alias("pos")).distinct())
+    with scratch() as keep:
+        tokens = with_df(tokens, usual_tokens(heads.select("head"), "head"))
+        tokens = keep(materialize(tokens.select("token", "df", "fp", "n", F.col("pos").cast("long").alias("pos")).distinct()))
     discard(heads)
     first = materialize(prefixes(tokens))
     discard(tokens)
     copies = materialize(first.filter("kind = 'B'").select("fp").distinct().join(classes.select("fp", "rep"), "fp"))
     sets = materialize(_sets(docs, copies).dropDuplicates(["fp"]))
-    whole = materialize(whole_tokens(sets))
+    with scratch() as keep:
+        whole = keep(materialize(whole_tokens(sets)))
     discard(sets, copies)
     prefix = whole.filter(F.col("pos") <= F.col("n") - _needed(F.col("n")) + 1)
     again = prefix.select("token", "fp", "n", F.lit("B").alias("kind"), F.lit(1).cast("long").alias("m"), F.lit(True).alias("again"), "own")
@@ -306,13 +316,15 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # copies look for a pivot by all their tokens, and the most usual of them are pivots: edits are rare, the original is usual
     stars = rows.filter("not again").select("again", "token", "fp", "n", "m", F.col("fp").cast("double").alias("by"))
     stars = stars.unionByName(whole.select(F.lit(True).alias("again"), "token", "fp", "n", F.lit(1).cast("long").alias("m"), (-F.col("usual")).alias("by")))
-    checked = _verified(docs, classes, _star(stars, F.col("by")))
+    verified = [_verified(docs, classes, _star(stars, F.col("by")))]
+    checked = verified[0]
     for k in range(1, STAR_ROUNDS):  # only tokens that hold several components need another pivot
-        joined = materialize(connected_components(checked.filter("linked")))
-        checked = checked.unionAll(_verified(docs, classes, _star(_split(_with_component(stars, joined)), F.xxhash64("fp", F.lit(k)))))
+        joined = _joined(checked.filter("linked"))
+        verified.append(_verified(docs, classes, _star(_split(_with_component(stars, joined)), F.xxhash64("fp", F.lit(k)))))
+        checked = checked.unionAll(verified[-1])
         discard(joined)
     links = checked.filter("linked").select("a", "b")
-    comp = materialize(connected_components(links))
+    comp = _joined(links)
     # what each class has in common with its pivot; one without a pivot is its own
     known = checked.join(whole.select(F.col("fp").alias("a")).distinct(), "a", "left_semi")
     pivots = known.groupBy(F.col("b").alias("fp")).agg(F.max(F.struct("common", "a")).alias("x")).select("fp", F.col("x.a").alias("pivot"), F.col("x.common").alias("held"))
@@ -324,10 +336,11 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rest = materialize(_rest(placed(rows)).unionAll(_outside(placed(whole))))
     discard(rows, whole, comp, pivots)
-    links = links.unionAll(_verified(docs, classes, rest).filter("linked").select("a", "b"))
-    comp = connected_components(links).withColumnRenamed("node", "fp")
-    grouped = materialize(classes.join(comp, "fp", "left").select("fp", "rep", "copies", F.coalesce("component", "fp").alias("component")))
-    discard(rest, classes)
+    verified.append(_verified(docs, classes, rest))
+    comp = _joined(links.unionAll(verified[-1].filter("linked").select("a", "b")))
+    named = comp.withColumnRenamed("node", "fp")
+    grouped = materialize(classes.join(named, "fp", "left").select("fp", "rep", "copies", F.coalesce("component", "fp").alias("component")))
+    discard(rest, classes, comp, *verified)
     # min() of an id passes over nulls, so a group has none only if all of its ids are null
     least = grouped.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"), F.min("rep").alias("chosen"), F.sum("copies").alias("members")).filter("members > 1")
     return sig, grouped.select("fp", "component").join(least, "component")

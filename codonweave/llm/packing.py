@@ -12,20 +12,21 @@ import functools
 import os
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from codonweave.llm.common import map_rows
+from codonweave.llm.common import parts_of
+from codonweave.session import ship
 
 WINDOW = 4096
 END = 2
 #: Words whose ids a task keeps before it starts anew; none outlive the task, as the worker may next do something else.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 def vocabulary() -> str:
@@ -173,17 +174,14 @@ class Packer:
                 yield held
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit) of every piece.
-
-    window: a power of two. A null or empty text is its end id alone. Each row of docs is packed,
-    repeated ones too; partitions are packed on their own, documents as they come, of equal choices the highest level.
-    Other columns of docs are left out; an empty table gives no rows. A piece keeps its own ids only."""
+def _packed_rows(docs: DataFrame, path: str | None, window: int, end: int, last: tuple[str, str], of_ids) -> DataFrame:
+    """doc_id, start, length, doc_tokens, sequence_id, offset of every piece, and the column `last` (name, type): of_ids(list of the pieces' ids)."""
     path = path or vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = np.array([end], dtype="<u4").tobytes()
+    ending = np.array([end], dtype="<u4").tobytes()
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", last[0]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 32
         packer, known = Packer(window), _Ids(path)
 
@@ -196,30 +194,46 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
             sequence += 1
             return out
 
-        def frame(done: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(done, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        def batch_of(done: list[tuple], doc_kind: pa.DataType) -> pa.RecordBatch:
+            doc, *numbers, ids = zip(*done)
+            return pa.RecordBatch.from_arrays([pa.array(doc, doc_kind), *[pa.array(x, pa.int64()) for x in numbers], of_ids(ids)], names=names)
 
-        for pdf in batches:
-            done: list[tuple] = []
-            for doc, ids in zip(pdf["doc_id"], token_bytes(list(pdf["text"]), path, known)):
-                ids += last
+        done: list[tuple] = []
+        for batch in parts_of(batches):
+            doc_kind = batch.schema.field("doc_id").type
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), token_bytes(batch.column("text").to_pylist(), path, known)):
+                ids += ending
                 tokens = len(ids) // 4
                 for start in range(0, tokens, window):
                     own = ids[4 * start : 4 * (start + window)]
                     if held := packer.add((doc, start, len(own) // 4, tokens, own)):
                         done += rows(held)
-            yield frame(done)
-        done = []
+            if done:
+                yield batch_of(done, doc_kind)
+                done = []
         for held in packer.close():
             done += rows(held)
             if len(done) > 2000:
-                yield frame(done)
+                yield batch_of(done, doc_kind)
                 done = []
-        yield frame(done)
+        if done:
+            yield batch_of(done, doc_kind)
+
+    ship(docs.sparkSession)
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, {last[0]} {last[1]}"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+    """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit) of every piece.
+
+    window: a power of two. A null or empty text is its end id alone. Each row of docs is packed,
+    repeated ones too; partitions are packed on their own, documents as they come, of equal choices the highest level.
+    Other columns of docs are left out; an empty table gives no rows. A piece keeps its own ids only."""
+    return _packed_rows(docs, path, window, end, ("ids", "binary"), lambda ids: pa.array(ids, pa.binary()))
 
 
-def pieces(docs: DataFrame, **how) -> DataFrame:
-    """pack() with the CRC-32 of each piece's ids in place of the ids; the same rows for null, empty and repeated texts."""
-    return pack(docs, **how).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+    """pack() with the CRC-32 of each piece's ids, worked out beside them, in place of the ids; the same rows for null, empty and repeated texts."""
+    out = _packed_rows(docs, path, window, end, ("ids_crc32", "long"), lambda ids: pa.array([zlib.crc32(x) for x in ids], pa.int64()))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -8,16 +8,21 @@ the union covers too large a part of its words or the longest repeat is too long
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from codonweave.llm.common import encode, filter_rows, map_rows
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Shortest repeat, in words, that counts as covered; the part of the words, in hundredths, that may be covered; the longest repeat allowed.
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 15, 50
 #: Words whose suffix array is built at once; a longer text is taken alone.
@@ -101,7 +106,8 @@ def _measure(texts: list[str | None], min_repeat: int) -> np.ndarray:
         nonlocal begun
         count = np.array(lengths, np.int64)
         if len(words):
-            ids = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
+            number = defaultdict(itertools.count().__next__)
+            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             starts = np.concatenate(([0], np.cumsum(count)[:-1]))
             full = count > 0
             best = repeat_lengths(ids, starts[full])
@@ -140,6 +146,8 @@ def measure(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for pdf in batches:
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(_measure(list(pdf[text]), min_repeat), columns=names)], axis=1)
 

@@ -10,14 +10,17 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonweave.llm.common import map_rows, map_text
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Fewer characters a token than this mark a random string; shorter runs than MIN_RUN are not tested.
 MAX_RATIO, MIN_RUN = 2.0, 16
 KINDS = ("assign", "access", "hex", "random")
@@ -102,6 +105,8 @@ def secrets(docs: DataFrame, path: str | None = None, max_ratio: float = MAX_RAT
     path = path or vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for pdf in batches:
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, path, max_ratio)] for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": found})
