@@ -6,6 +6,7 @@ into the next batch is carried over. Long sequences can be cut into chunks that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codonweave.functions import scalars
-from codonweave.session import materialize, ship
+from codonweave.session import materialize, scratch, ship
 
 #: Codons of a bucket when blocks are assigned; blocks may cross bucket edges.
 BUCKET = 1 << 20
@@ -217,7 +218,13 @@ def posterior_states(model: Hmm, seqs: Sequences) -> tuple[np.ndarray, np.ndarra
 def transfer_matrices(model: Hmm, seqs: Sequences) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence what its positions do to a vector of states before it, as two matrices of greatest element 1:
     by the best path, and by the sum of all paths. Where before is nan the prior stands in for the vector, in each row."""
+    return scaled_matrices(model, seqs)[:2]
+
+
+def scaled_matrices(model: Hmm, seqs: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """transfer_matrices(), and the natural log of what the second of each was divided by."""
     states = len(model.prior)
+    logs = np.zeros(len(seqs.starts))
     best, total = (np.empty((len(seqs.starts), states, states)) for _ in range(2))
     emissions = model.emissions(seqs.obs)
     for own, sizes, t_of, k_of in _packs(seqs.lengths, states * states):
@@ -234,9 +241,11 @@ def transfer_matrices(model: Hmm, seqs: Sequences) -> tuple[np.ndarray, np.ndarr
                 one[:live] = (one[:live, :, :, None] * model.transitions[None, None]).max(axis=2) * emit[t, :live, None]
                 two[:live] = (two[:live] @ model.transitions) * emit[t, :live, None]
             one[:live] /= one[:live].max(axis=(1, 2), keepdims=True)
-            two[:live] /= two[:live].max(axis=(1, 2), keepdims=True)
+            scale = two[:live].max(axis=(1, 2), keepdims=True)
+            two[:live] /= scale
+            logs[own[:live]] += np.log(scale[:, 0, 0])
         best[own], total[own] = one, two
-    return best, total
+    return best, total, logs
 
 
 def join_chunks(best: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -324,22 +333,34 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
 
 
-def _decoded(t: pa.Table, model: Hmm, seqs: Sequences, posteriors: bool) -> pa.Table:
-    t = t.append_column("state", pa.array(best_states(model, seqs)))
+def _decoded(t: pa.Table, model: Hmm, seqs: Sequences, posteriors: bool, summary: Summary | None) -> pa.Table:
+    states = best_states(model, seqs)
+    if summary:
+        return summary[1](t, seqs.starts, states, posterior_states(model, seqs)[0])
+    t = t.append_column("state", pa.array(states))
     return t.append_column("posterior", _lists(posterior_states(model, seqs)[0])) if posteriors else t
 
 
-def hmm_decode(df: DataFrame, keys: list[str], order: list[str], obs: str, model: Hmm, posteriors: bool = False, chunk: Column | None = None) -> DataFrame:
-    """df with state (likeliest path) and, if wanted, posterior array<double>.
+#: The schema of what is made of decoded sequences instead of their rows, and how: from the rows, where each sequence or chunk of one
+#: starts, the states and the posteriors.
+Summary = tuple[T.StructType, Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table]]
+
+
+def hmm_decode(df: DataFrame, keys: list[str], order: list[str], obs: str, model: Hmm, posteriors: bool = False, chunk: Column | int | None = None, summary: Summary | None = None) -> DataFrame:
+    """df with state (likeliest path) and, if wanted, posterior array<double>; or what summary makes of it, so that rows needn't leave the tasks.
 
     A sequence is decoded by one task, unless chunk is given: a number of each row that starts at 0, grows along a sequence and
     stays the same for a bounded number of rows. Sequences of several chunks are then decoded chunk by chunk: matrices of
-    each chunk first, then the vectors at the chunks' ends from the matrices of a sequence, then the chunks with these."""
+    each chunk first, then the vectors at the chunks' ends from the matrices of a sequence, then the chunks with these.
+    Where chunk is a number of rows, the rows of longer sequences are numbered first; columns of equal order stand as they come."""
+    if isinstance(chunk, int):
+        numbered = chunk_numbers(df, keys, order, chunk)
+        return hmm_decode(df if numbered is None else numbered, keys, order, obs, model, posteriors, None if numbered is None else F.col(_NUMBER), summary).drop(_NUMBER)
     extra = [T.StructField("state", T.LongType())] + ([T.StructField("posterior", T.ArrayType(T.DoubleType()))] if posteriors else [])
-    schema = T.StructType(df.schema.fields + extra)
+    schema = summary[0] if summary else T.StructType(df.schema.fields + extra)
 
     def whole(t: pa.Table, starts: np.ndarray) -> pa.Table:
-        return _decoded(t, model, Sequences(t.column(obs).to_numpy(), starts), posteriors)
+        return _decoded(t, model, Sequences(t.column(obs).to_numpy(), starts), posteriors, summary)
 
     if chunk is None:
         return _by_sequence(df, keys, order, schema, whole)
@@ -378,20 +399,68 @@ def hmm_decode(df: DataFrame, keys: list[str], order: list[str], obs: str, model
         own = t.filter(pa.array(data)).drop_columns(["_before", "_entering", "_after", "_last"])
         vector = {n: np.array(heads.column(n).to_pylist(), float) for n in ("_before", "_entering", "_after")}
         seqs = Sequences(own.column(obs).to_numpy(), starts - np.arange(len(starts)), vector["_before"], vector["_entering"], vector["_after"], heads.column("_last").to_numpy())
-        return _decoded(own, model, seqs, posteriors)
+        return _decoded(own, model, seqs, posteriors, summary)
 
     return short.unionByName(_by_sequence(rows, parts, ["_data", *order], schema, chunks))
 
 
-def hmm_log_likelihood(df: DataFrame, keys: list[str], order: list[str], obs: str, model: Hmm) -> DataFrame:
-    """One row of keys and log_likelihood for each sequence."""
+def hmm_log_likelihood(df: DataFrame, keys: list[str], order: list[str], obs: str, model: Hmm, chunk: int | None = None) -> DataFrame:
+    """One row of keys and log_likelihood for each sequence.
+
+    chunk: rows of a chunk. Sequences of more are scored chunk by chunk; a chunk's matrix and the log of its scale are its share, and
+    a sequence's are multiplied in order, one row a chunk."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("log_likelihood", T.DoubleType())])
 
     def fn(t: pa.Table, starts: np.ndarray) -> pa.Table:
         logs = posterior_states(model, Sequences(t.column(obs).to_numpy(), starts))[1]
         return t.select(keys).take(pa.array(starts)).append_column("log_likelihood", pa.array(logs))
 
-    return _by_sequence(df, keys, order, schema, fn)
+    numbered = None if chunk is None else chunk_numbers(df, keys, order, chunk)
+    if numbered is None:
+        return _by_sequence(df, keys, order, schema, fn)
+    states, lists = len(model.prior), [T.StructField("_total", T.ArrayType(T.DoubleType())), T.StructField("_log", T.DoubleType())]
+
+    def matrices(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        first = t.select([*keys, _NUMBER]).take(pa.array(starts))
+        before = np.where((first.column(_NUMBER).to_numpy() == 0)[:, None], np.nan, np.ones((len(starts), states)))
+        _, total, logs = scaled_matrices(model, Sequences(t.column(obs).to_numpy(), starts, before))
+        return first.append_column("_total", _lists(total.reshape(len(starts), -1))).append_column("_log", pa.array(logs))
+
+    def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(_NUMBER, ignore_index=True)
+        totals = np.stack(pdf["_total"].to_numpy()).reshape(-1, states, states)
+        x, log = totals[0][0], float(pdf["_log"].sum())
+        for m in totals[1:]:
+            x = x @ m
+            log += math.log(x.max())
+            x = x / x.max()
+        return pdf[keys].iloc[:1].assign(log_likelihood=log + math.log(x.sum()))
+
+    parts = _by_sequence(numbered, [*keys, _NUMBER], order, T.StructType([df.schema[k] for k in keys] + [T.StructField(_NUMBER, T.LongType())] + lists), matrices)
+    return parts.groupBy(*keys).applyInPandas(multiplied, schema)
+
+
+_NUMBER = "_chunk_number"
+#: Offsets that are broadcast at most.
+_FEW = 100_000
+
+
+def chunk_numbers(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame | None:
+    """df with the number of each row's chunk of `size` rows along its sequence; None where no sequence has more than one.
+
+    Rows are dealt and sorted by range, so a long sequence lies in many partitions; a row's number is its place in its
+    partition, from the ids that Spark gives in order, and an offset, of which there is one a partition and long sequence."""
+    if df.groupBy(*keys).count().filter(F.col("count") > size).isEmpty():
+        return None
+    laid = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    laid = materialize(laid.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    per = laid.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    w = W.partitionBy(*keys).orderBy("_part")
+    offsets = per.withColumns({"_all": F.sum("_n").over(W.partitionBy(*keys)), "_off": F.sum("_n").over(w) - F.col("_n") - F.col("_first")})
+    offsets = materialize(offsets.filter(F.col("_all") > size).select(*keys, "_part", "_off"))
+    out = laid.join(F.broadcast(offsets) if offsets.count() <= _FEW else offsets, [*keys, "_part"], "left")
+    number = F.coalesce(F.floor((F.col("_place") + F.col("_off")) / size), F.lit(0)).cast("long")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], number.alias(_NUMBER))
 
 
 def usable_codons(df: DataFrame, min_bls: float = 0.1) -> DataFrame:
@@ -428,11 +497,50 @@ def coding_runs(decoded: DataFrame) -> DataFrame:
     return out.select("chrom", "strand", "frame", "start", "stop", "log_odds", scalars.gray_scale("log_odds").alias("gray"))
 
 
+SEGMENT = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("chrom", "strand")], *[T.StructField(n, T.LongType()) for n in ("frame", "block", "start", "stop")],
+    T.StructField("p", T.DoubleType()), T.StructField("edge", T.BooleanType()),
+])
+
+
+def coding_segments(t: pa.Table, starts: np.ndarray, states: np.ndarray, posteriors: np.ndarray) -> pa.Table:
+    """Runs of coding codons of decoded blocks or chunks of blocks, with their greatest posterior; edge: they touch an end of theirs."""
+    coding = states == 0
+    first = np.zeros(len(coding) + 1, bool)
+    first[starts], first[-1] = True, True
+    begin = np.flatnonzero(coding & (first[:-1] | ~np.append(False, coding[:-1])))
+    end = np.flatnonzero(coding & (first[1:] | ~np.append(coding[1:], False)))
+    p = np.maximum.reduceat(np.where(coding, posteriors[:, 0], -np.inf), begin) if len(begin) else np.empty(0)
+    pos = t.column("pos").to_numpy()
+    heads = t.select(["chrom", "strand", "frame", "block"]).take(pa.array(begin))
+    for name, x in (("start", pos[begin]), ("stop", pos[end] + 2), ("p", p), ("edge", first[begin] | first[end + 1])):
+        heads = heads.append_column(name, pa.array(x))
+    return heads
+
+
+def joined_segments(segments: DataFrame) -> DataFrame:
+    """(chrom, strand, frame, start, stop, p): segments of one block that follow each other without a gap are one.
+
+    Only those at an edge can; there are two a chunk at most."""
+    keys = ["chrom", "strand", "frame", "block"]
+    w = W.partitionBy(*keys).orderBy("start")
+    new = F.when(F.coalesce(F.col("start") != F.lag("stop").over(w) + 1, F.lit(True)), F.col("start"))
+    edge = segments.filter("edge").withColumn("_new", new).withColumn("_run", F.max("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    edge = edge.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("p").alias("p"))
+    names = ["chrom", "strand", "frame", "start", "stop", "p"]
+    return segments.filter("not edge").select(*names).unionByName(edge.select(*names))
+
+
 def coding_regions(codons: DataFrame, model: Hmm | None = None, min_bls: float = 0.1, chunk: int = CHUNK) -> DataFrame:
-    """Codon scores (chrom, strand, frame, pos, score, bls) to coding regions, all chromosomes in one job.
+    """Codon scores (chrom, strand, frame, pos, score, bls) to coding regions (chrom, strand, frame, start, stop, log_odds, gray), all chromosomes in one job.
 
-    Blocks of more than chunk codons are decoded in chunks."""
+    Blocks of more than chunk codons are decoded in chunks. The decoding tasks return runs of coding codons, not codons; these are written,
+    and what was written on the way there is deleted."""
     model = model or coding_hmm(*HMM_PRESETS["human"])
-    blocks = assign_blocks(usable_codons(codons, min_bls)).select("chrom", "strand", "frame", "block", "pos", "score")
+    blocks = assign_blocks(usable_codons(codons, min_bls)).select("chrom", "strand", F.col("frame").cast("long").alias("frame"), F.col("block").cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), "score")
     part = F.floor((F.col("pos") - F.col("block")) / (3 * chunk))
-    return coding_runs(hmm_decode(blocks, ["chrom", "strand", "frame", "block"], ["pos"], "score", model, posteriors=True, chunk=part))
+    with scratch() as keep:
+        segments = hmm_decode(blocks, ["chrom", "strand", "frame", "block"], ["pos"], "score", model, chunk=part, summary=(SEGMENT, coding_segments))
+        runs = keep(materialize(joined_segments(segments)))
+    out = runs.withColumn("frame", F.col("frame").cast(codons.schema["frame"].dataType)).withColumn("log_odds", scalars.prob_to_log_odds("p"))
+    return out.select("chrom", "strand", "frame", "start", "stop", "log_odds", scalars.gray_scale("log_odds").alias("gray"))

@@ -106,7 +106,7 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     select user_id, i, {float(_PRIOR[0])!r} * e0 as f0, {float(_PRIOR[1])!r} * e1 as f1, 0::double as logs from obs where i = 1
     union all select user_id, i, a / greatest(a, b), b / greatest(a, b), logs + ln(greatest(a, b)) from (select o.user_id, o.i, (f0 * 0.9::double + f1 * 0.2::double) * e0 as a, (f0 * 0.1::double + f1 * 0.8::double) * e1 as b, logs from f join obs o on o.user_id = f.user_id and o.i = f.i + 1))"""]) + " select user_id, round(logs + ln(f0 + f1), 6) as log_likelihood from f qualify i = max(i) over (partition by user_id)")
 def hmm_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hmm.hmm_log_likelihood(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete())
+    out = hmm.hmm_log_likelihood(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete(), chunk=hmm.CHUNK)
     return out.withColumn("log_likelihood", F.round("log_likelihood", 6))
 
 
@@ -125,12 +125,12 @@ def _path_sql() -> str:
 
 @query(_path_sql())
 def hmm_best_path_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.hmm_decode(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete()).select("user_id", "event_id", "state")
+    return hmm.hmm_decode(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete(), chunk=hmm.CHUNK).select("user_id", "event_id", "state")
 
 
 @query(f"{_OBS}, {_posterior_sql('obs', ['user_id'], 1, _PRIOR, _MOVES)} select user_id, event_id, round(p0, 6) as p0 from post join obs using (user_id, i)")
 def hmm_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hmm.hmm_decode(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete(), posteriors=True)
+    out = hmm.hmm_decode(_observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], "obs", _discrete(), posteriors=True, chunk=hmm.CHUNK)
     return out.select("user_id", "event_id", F.round(F.col("posterior")[0], 6).alias("p0"))
 
 

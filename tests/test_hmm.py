@@ -143,3 +143,42 @@ def test_long_and_short_blocks_in_bounded_memory():
     part = long[: 3 * hmm.CHUNK]
     vectors = hmm.join_chunks(*hmm.transfer_matrices(model, hmm.Sequences(part, starts[:3], before[:3])))
     assert np.array_equal(hmm.best_states(model, hmm.Sequences(part, starts[:3], *vectors)), hmm.viterbi(model, [part])[0])
+
+
+def test_long_sequences_in_numbered_chunks(spark):
+    """Sequences without positions are numbered over range partitions; paths, posteriors and likelihoods are those of the plain kernel."""
+    rng = np.random.default_rng(9)
+    rows = [(k, i, float(rng.normal(0, 9)), {"i": i}) for k, n in ((1, 700), (2, 3), (None, 20), (4, 64)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, obs double, note map<string,bigint>").repartition(5)
+    model = hmm.coding_hmm(*hmm.HMM_PRESETS["fly"])
+    numbered = hmm.chunk_numbers(df, ["k"], ["i"], 64)
+    got = {(r["k"], r["i"]): r[hmm._NUMBER] for r in numbered.collect()}
+    assert got == {(k, i): i // 64 if k == 1 else 0 for k, i, _, _ in rows}
+    assert hmm.chunk_numbers(df, ["k"], ["i"], 700) is None
+    want = {(r["k"], r["i"]): (r["state"], r["posterior"]) for r in hmm.hmm_decode(df, ["k"], ["i"], "obs", model, posteriors=True).collect()}
+    chunked = hmm.hmm_decode(df, ["k"], ["i"], "obs", model, posteriors=True, chunk=64)
+    assert chunked.columns == [*df.columns, "state", "posterior"]
+    rows_got = chunked.filter("k is not null").collect()
+    assert len(rows_got) == 767 and all(r["state"] == want[r["k"], r["i"]][0] and np.allclose(r["posterior"], want[r["k"], r["i"]][1], atol=1e-9) for r in rows_got)
+    plain = {r["k"]: r["log_likelihood"] for r in hmm.hmm_log_likelihood(df, ["k"], ["i"], "obs", model).collect()}
+    parts = {r["k"]: r["log_likelihood"] for r in hmm.hmm_log_likelihood(df, ["k"], ["i"], "obs", model, chunk=64).collect()}
+    assert set(parts) == set(plain) and all(abs(parts[k] - plain[k]) < 1e-9 * abs(plain[k]) for k in plain)
+
+
+def test_regions_leave_the_kernel(spark):
+    """Segments of chunks are joined at the chunks' ends; as many rows leave the tasks as there are segments, not codons."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for block, n in ((0, 900), (1000, 40), (1100, 1), (1200, 65)):
+        x = np.repeat(rng.choice([-25.0, 25.0], n // 20 + 1), 20)[:n]
+        rows += [("c", "+", 1, 3 * (block + i), float(s), 1.0) for i, s in enumerate(x)]
+    df = spark.createDataFrame(rows, "chrom string, strand string, frame int, pos long, score double, bls double")
+    model = hmm.coding_hmm(*hmm.HMM_PRESETS["human"])
+    blocks = hmm.assign_blocks(hmm.usable_codons(df))
+    want = sorted(tuple(r)[3:6] for r in hmm.coding_runs(hmm.hmm_decode(blocks, ["chrom", "strand", "frame", "block"], ["pos"], "score", model, posteriors=True)).collect())
+    for chunk in (4096, 64, 7):
+        got = sorted(tuple(r)[3:6] for r in hmm.coding_regions(df, model, chunk=chunk).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-6)
+    keyed = blocks.select("chrom", "strand", F.col("frame").cast("long").alias("frame"), F.col("block").cast("long").alias("block"), "pos", "score")
+    out = hmm.hmm_decode(keyed, ["chrom", "strand", "frame", "block"], ["pos"], "score", model, summary=(hmm.SEGMENT, hmm.coding_segments))
+    assert out.count() == len(want) < 40 and out.schema == hmm.SEGMENT
