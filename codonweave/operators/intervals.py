@@ -164,18 +164,35 @@ def _before(df: DataFrame, bits: int, back: bool = False) -> DataFrame:
     return inner.join(above, ["_k", "_group"], "left").select("_k", "_bin", (F.least if back else F.greatest)("_x", "_y").alias("_x"))
 
 
-def _islands(df: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, int]:
-    """(_k, _bin, start, _before): where an interval begins beyond all that begin earlier, adjacent ones left out, by key _k and bin of starts.
+def swept(df: DataFrame, keys: list[str], width: int = SWEEP) -> tuple[DataFrame, int]:
+    """(_k, _bin, start, stop, _before): the longest interval of each start, by key _k and bin of starts; and the number of bits of _bin.
 
-    _before: the last base of what begins earlier, null at the first of a key. Also the number of bits of _bin. Of equal
+    _before: the last base of what begins earlier, null at the first of a key. Of equal
     starts the longest counts, before anything is sorted. A key is a struct, in which nulls are equal."""
     bits = (width - 1).bit_length()
     rows = df.filter("start <= stop").groupBy(F.struct(*keys).alias("_k"), "start").agg(F.max("stop").alias("stop")).withColumn("_bin", F.shiftright("start", bits))
     reach = F.max("stop").over(W.partitionBy("_k", "_bin").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-    swept = rows.select("_k", "_bin", "start", reach.alias("_reach"))
+    own = rows.select("_k", "_bin", "start", "stop", reach.alias("_reach"))
     came = _before(rows.groupBy("_k", "_bin").agg(F.max("stop").alias("v")), 64 - bits)
-    begun = swept.join(came, ["_k", "_bin"], "left").select("_k", "_bin", "start", F.greatest("_reach", "_x").alias("_before"))
-    return begun.filter(F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1)), 64 - bits
+    return own.join(came, ["_k", "_bin"], "left").select("_k", "_bin", "start", "stop", F.greatest("_reach", "_x").alias("_before")), 64 - bits
+
+
+def islands(df: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, int]:
+    """The rows of swept() that begin beyond all that begin earlier; adjacent ones don't."""
+    rows, bits = swept(df, keys, width)
+    return rows.filter(F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1)).drop("stop"), bits
+
+
+def clusters(df: DataFrame, keys: list[str], width: int = SWEEP) -> DataFrame:
+    """The rows of swept() with _island, the first base of their chain of overlapping intervals, and _over, whether that began in an earlier bin.
+
+    A chain's first interval may lie in an earlier bin: its place is a running maximum over bins, as what reaches into a bin is."""
+    rows, bits = swept(df, keys, width)
+    rows = rows.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), F.col("start")))
+    last = _before(rows.groupBy("_k", "_bin").agg(F.max("_new").alias("v")), bits)
+    w = W.partitionBy("_k", "_bin").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    named = rows.withColumn("_own", F.max("_new").over(w)).join(last, ["_k", "_bin"], "left").withColumn("_island", F.coalesce("_own", "_x"))
+    return named.select("_k", "_bin", "start", "stop", "_island", F.col("_own").isNull().alias("_over"))
 
 
 def _ends(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,7 +205,7 @@ def union_regions(df: DataFrame, keys: list[str], width: int = SWEEP) -> DataFra
 
     An island ends where the next one's _before says; the next of a bin's last island stands in a later bin, and behind the last of a key
     stands a row with the key's last base."""
-    begun, bits = _islands(df, keys, width)
+    begun, bits = islands(df, keys, width)
     following = F.lead("_before").over(W.partitionBy("_k", "_bin").orderBy("start"))
     rows = begun.withColumn("_next", following)
     last = _ends(df, keys).select("_k", F.lit(1 << (bits - 1)).cast("long").alias("_bin"), F.col("_end").alias("v"))
@@ -211,7 +228,7 @@ def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Colu
     intervals gives its whole range. Without it the keys are those of df. Any bounds within +-2^62 will do; the work depends on the intervals alone."""
     fixed = among is None
     lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi))
-    begun, ends = _islands(df, keys, width)[0], _ends(df, keys)
+    begun, ends = islands(df, keys, width)[0], _ends(df, keys)
     if fixed:
         begun, ends = (x.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")}) for x in (begun, ends))
     else:

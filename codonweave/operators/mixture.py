@@ -3,60 +3,68 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from codonweave.operators.intervals import complement_region, overlap_join, union_regions
-from codonweave.session import ship
+from codonweave.operators.intervals import SWEEP, clusters, islands
+from codonweave.session import discard, materialize
 
 KEYS = ["chrom", "strand", "frame"]
+_EXON = "struct<start:bigint,stop:bigint>"
 
 
-def prune_overlaps(exons: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def _fold(exons: Column, entering: Column) -> Column:
+    """Sorted exons gone through from left to right, with an exon that comes in (or null): kept, those that nothing later can meet, and last, the one that goes on."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = acc["last"]
+        apart = F.struct(F.concat(acc["kept"], F.array(last)).alias("kept"), x.alias("last"))
+        longer = F.struct(acc["kept"].alias("kept"), x.alias("last"))
+        return F.when(last.isNull(), longer).when(x["start"] > last["stop"], apart).when(x["stop"] - x["start"] > last["stop"] - last["start"], longer).otherwise(acc)
+
+    start = F.struct(F.array().cast(f"array<{_EXON}>").alias("kept"), entering.cast(_EXON).alias("last"))
+    return F.aggregate(exons, start.cast(f"struct<kept:array<{_EXON}>,last:{_EXON}>"), step)
+
+
+def prune_overlaps(exons: DataFrame, keys: list[str] = KEYS, width: int = SWEEP) -> DataFrame:
     """Of overlapping exons the longer stays (the earlier of equals), from left to right, by key.
 
-    Only exons of one cluster of overlaps can meet. Clusters come from the union by bins; each is then gone through as a
-    sorted stream that remembers one exon, so neither a key nor a cluster has to fit in memory."""
-    ship(exons.sparkSession)
+    Of one start only the longest can stay. Only exons of one chain of overlaps can meet, so chains are folded by themselves,
+    bin by bin of starts, of which none has more rows than bases. Nearly all chains lie in one bin. Those over several are folded as if
+    nothing came into a bin, and once more with what the bin before hands on, until that no longer changes."""
     own = exons.select(*keys, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
-    names = own.columns
-    named = overlap_join(own, union_regions(own, keys), keys).withColumn("_k", F.xxhash64(*keys, "b_start"))
-    laid = named.repartition("_k").sortWithinPartitions("_k", *keys, "b_start", "start", "stop").select("_k", *keys, "start", "stop")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None  # cluster, start, stop, batch and row of the exon that may still go
-        for batch in batches:
-            done: list[pa.RecordBatch] = []
-            stay = np.zeros(batch.num_rows, bool)
-            for i, (k, a, z) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_k", "start", "stop")))):
-                if kept and kept[0] == k and a <= kept[2]:
-                    if z - a <= kept[2] - kept[1]:
-                        continue
-                elif kept:
-                    if kept[3] is batch:
-                        stay[kept[4]] = True
-                    else:
-                        done.append(kept[3].slice(kept[4], 1))
-                kept = (k, a, z, batch, i)
-            if kept and kept[3] is batch:  # one row of it is kept for the next batch, not all
-                kept = (*kept[:3], pa.RecordBatch.from_arrays([c.take(pa.array([kept[4]])) for c in batch.columns], schema=batch.schema), 0)
-            for b in [*done, batch.filter(pa.array(stay))]:
-                yield b.select(names)
-        if kept:
-            yield kept[3].slice(kept[4], 1).select(names)
-
-    return laid.mapInArrow(fold, own.schema)
+    rows = materialize(clusters(own, keys, width))
+    groups = rows.groupBy("_k", "_bin", "_island").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("exons"))
+    over, none = rows.filter("_over").select("_k", "_island").distinct(), F.lit(None).cast(_EXON)
+    done = groups if over.isEmpty() else groups.join(over, ["_k", "_island"], "left_anti")
+    folded = _fold(F.col("exons"), none)
+    alone = F.when(F.size("exons") == 1, F.col("exons")).otherwise(F.concat(folded["kept"], F.array(folded["last"])))
+    out = done.select("_k", F.explode(alone).alias("x"))
+    if done is not groups:
+        parts = materialize(groups.join(over, ["_k", "_island"], "left_semi"))
+        w = W.partitionBy("_k", "_island").orderBy("_bin")
+        states = materialize(parts.select("_k", "_island", "_bin", none.alias("entering"), folded["last"].alias("leaving")))
+        while True:
+            came = states.select("_k", "_island", "_bin", "entering", F.lag("leaving").over(w).alias("next"), F.lead("_bin").over(w).isNull().alias("ends"))
+            came = materialize(came)
+            if came.filter(~F.col("entering").eqNullSafe(F.col("next"))).isEmpty():
+                break
+            again = parts.join(came.select("_k", "_island", "_bin", "next"), ["_k", "_island", "_bin"])
+            before, states = states, materialize(again.select("_k", "_island", "_bin", F.col("next").alias("entering"), _fold(F.col("exons"), F.col("next"))["last"].alias("leaving")))
+            discard(before, came)
+        found = _fold(F.col("exons"), F.col("entering"))
+        ended = parts.join(came, ["_k", "_island", "_bin"]).select("_k", found.alias("_f"), "ends")
+        out = out.unionByName(ended.select("_k", F.explode(F.when(F.col("ends"), F.concat(F.col("_f.kept"), F.array("_f.last"))).otherwise(F.col("_f.kept"))).alias("x")))
+        discard(states)
+    return out.select(*[F.col(f"_k.`{k}`") for k in keys], "x.start", "x.stop")
 
 
 def exon_gaps(pruned: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Bases between neighbours, where there are any: what the exons leave between the first and the last, by bins."""
-    ends = pruned.groupBy(*keys).agg(F.min("start").alias("lo"), F.max("stop").alias("hi"))
-    between = complement_region(pruned, keys, F.col("lo"), F.col("hi"), among=ends)
-    return between.select(*keys, (F.col("stop") - F.col("start") + 1).alias("gap"))
+    """Bases between neighbours, where there are any: between where an exon begins and the last base before it."""
+    begun = islands(pruned, keys, SWEEP)[0].filter("_before is not null")
+    return begun.select(*[F.col(f"_k.`{k}`") for k in keys], (F.col("start") - F.col("_before") - 1).alias("gap"))
 
 
 def coding_stats(pruned: DataFrame, genome_length: int) -> DataFrame:

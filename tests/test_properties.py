@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,26 @@ def test_prune_over_batches(spark):
     assert mixture.prune_overlaps(df.limit(0)).count() == 0
 
 
+def test_prune_chains_over_many_bins(spark):
+    """Chains over many narrow bins, in which what one bin hands on decides the next; no Python in the plan."""
+    rng = np.random.default_rng(26)
+    rows = sorted({(k, int(a), int(a + d)) for k in range(2) for a, d in zip(rng.integers(0, 400, 300), rng.integers(0, 14, 300))} | {(0, a, a + 9) for a in range(500, 900, 7)} | {(0, 1000, 5000), (0, 1003, 1010), (0, 5000, 9100), (0, 1 << 40, (1 << 40) + 5)})
+    want = []
+    for k, a, z in rows:
+        if want and want[-1][0] == k and a <= want[-1][2]:
+            if z - a > want[-1][2] - want[-1][1]:
+                want[-1] = (k, a, z)
+        else:
+            want.append((k, a, z))
+    df = spark.createDataFrame([(str(k), "+", 0, a, z) for k, a, z in rows], "chrom string, strand string, frame int, start long, stop long")
+    for width in (8, 1 << 16):
+        pruned = mixture.prune_overlaps(df, width=width)
+        assert sorted((int(r["chrom"]), r["start"], r["stop"]) for r in pruned.collect()) == want
+    assert not re.search("InArrow|InPandas|Python", pruned._jdf.queryExecution().toString())
+    gaps = sorted(r["gap"] for r in mixture.exon_gaps(pruned).collect())
+    assert gaps == sorted(y[1] - x[2] - 1 for x, y in zip(want, want[1:]) if x[0] == y[0] and y[1] - x[2] > 1)
+
+
 def test_parameters_of_a_preset_are_recovered(spark):
     """Exons drawn from the human preset give its parameters back, after enough steps for the shortest gaps, within the tolerance of 8,000 gaps."""
     prior, length, weights, lengths = hmm.HMM_PRESETS["human"]
