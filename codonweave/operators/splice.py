@@ -40,7 +40,9 @@ def donor_score(df: DataFrame, context: str, coefficients: DataFrame, name: str
 
 
 def read_tables(coefficients: DataFrame) -> list[np.ndarray]:
-    """The nine acceptor tables, by arr and idx."""
+    """The nine acceptor tables, by arr and idx. Other than their fixed number of coefficients are an error, before any is fetched."""
+    if (n := coefficients.count()) != sum(SIZES):
+        raise ValueError(f"{n} acceptor coefficients")
     rows = coefficients.select("arr", "idx", "coef").toPandas().sort_values(["arr", "idx"])
     out = [g["coef"].to_numpy() for _, g in rows.groupby("arr")]
     if [len(x) for x in out] != SIZES:

@@ -131,6 +131,12 @@ def transcripts_from_bed(bed: DataFrame) -> DataFrame:
     return flat.withColumns({"idx": (F.col("_i") + 1).cast("long"), "start": F.col("_x.start"), "stop": F.col("_x.stop"), "cum": F.col("_x.cum")}).select(*EXON, "name")
 
 
+def left_out(exons: DataFrame) -> DataFrame:
+    """One row: transcripts, and how many of them have no coding range, so that nothing of them counts as coding."""
+    per = exons.groupBy("tr_id").agg(F.max("cs").alias("cs"))
+    return per.agg(F.count("*").alias("transcripts"), F.count(F.when(F.col("cs").isNull(), 1)).alias("without_coding"))
+
+
 def exon_intervals(exons: DataFrame) -> DataFrame:
     return exons.select("tr_id", "chrom", "strand", "idx", "start", "stop")
 

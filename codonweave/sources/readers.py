@@ -19,6 +19,17 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"))
 
 
+def read_in_order(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value and line_no, from 1 without gaps: the lines of files in the order of their names, each in its own order.
+
+    A line's number is its place in its split, and the lines of all splits before; there is one row a split of these."""
+    lines = numbered_lines(spark, path).select("value", "file", F.col("line_no.block").alias("block"), F.col("line_no.row").alias("row"))
+    splits = lines.groupBy("file", "block").agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("file", "block")) - F.col("_n")
+    splits = splits.select("file", "block", (before - F.col("_first") + 1).alias("_more"))
+    return lines.join(splits, ["file", "block"]).select("value", (F.col("row") + F.col("_more")).alias("line_no"))
+
+
 def parse_codon_scores(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines 'CHROM:START-END STRAND STATUS SCORE BLS' to chrom, strand, frame, pos, status, score, bls.
 

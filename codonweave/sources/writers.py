@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,17 @@ def to_bed12(df: DataFrame) -> DataFrame:
     return df.select(bed12_line(df).alias("value"))
 
 
-def to_bed9(regions: DataFrame) -> DataFrame:
-    """Lines of regions (chrom, strand, start, stop, gray): the whole region thick, in grey.
+def bed9_line(regions: DataFrame) -> Column:
+    """A line of regions (chrom, strand, start, stop, gray): the whole region thick, in grey.
 
     A null strand is written as '.', a null grey as 0; a row without place gives null."""
     lo, gray = F.col("start") - 1, _or("gray", "0")
     fields = [F.col("chrom"), lo, F.col("stop"), scalars.region_string("chrom", "start", "stop"), F.lit("0"), _or("strand", "."), lo, F.col("stop"), F.concat_ws(",", gray, gray, gray)]
-    return regions.select(_line(fields).alias("value"))
+    return _line(fields)
+
+
+def to_bed9(regions: DataFrame) -> DataFrame:
+    return regions.select(bed9_line(regions).alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str, by: list[str] | None = None, gzip: bool = False) -> None:
@@ -52,6 +58,47 @@ def write_lines(lines: DataFrame, path: str, by: list[str] | None = None, gzip:
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
+def write_in_order(lines: DataFrame, path: str, order: list[str | Column], gzip: bool = False) -> None:
+    """The column value of lines as a folder of text files which, in the order of their names, hold them in order.
+
+    Rows are dealt by range and sorted, so each task writes a stretch; readers.read_in_order() numbers such lines again."""
+    laid = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    write_lines(laid.select("value"), path, gzip=gzip)
+
+
+def write_regions(regions: DataFrame, folder: str, gzip: bool = False) -> None:
+    """BED9 lines of regions (chrom, strand, start, stop, gray) in folder, by chromosome, strand and frame, in order of starts.
+
+    Each is a folder '<chrom>.Strand<strand>.Frame<frame>.coding.bed' of part files, as readers.read_regions() takes them; a row without place is left out. Parts are written to a
+    folder of their own first and then named, so a job that fails leaves no half region files."""
+    spark = regions.sparkSession
+    name = F.concat(F.col("chrom"), F.lit(".Strand"), F.col("strand"), F.lit(".Frame"), scalars.frame("start").cast("string"), F.lit(".coding.bed"))
+    lines = regions.select(name.alias("file"), "start", "stop", bed9_line(regions).alias("value")).filter("value is not null")
+    laid = lines.repartitionByRange("file", "start", "stop").sortWithinPartitions("file", "start", "stop").select("file", "value")
+    stage = f"{folder.rstrip('/')}/_stage"
+    write_lines(laid, stage, by=["file"], gzip=gzip)
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(stage)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(top):  # one a chromosome, strand and frame
+        if entry.isDirectory():
+            own = unquote(entry.getPath().getName().removeprefix("file="))
+            goal = jvm.org.apache.hadoop.fs.Path(top.getParent(), own)
+            if fs.exists(goal) or not fs.rename(entry.getPath(), goal):
+                raise FileExistsError(f"{folder}/{own}")
+    fs.delete(top, True)
+
+
+def write_requests(regions: DataFrame, path: str, order: list[str]) -> None:
+    """Lines 'region<tab>strand' for the outside scorer, in the order of regions: each region's own line, then its antisense line."""
+    x = scalars.anti_interval("start", "stop", "strand")
+    lines = F.array(
+        _line([scalars.region_string("chrom", "start", "stop"), F.col("strand")]),
+        _line([scalars.region_string("chrom", x["start"], x["stop"]), x["strand"]]),
+    )
+    write_in_order(regions.select(*order, F.posexplode(lines).alias("_part", "value")), path, [*order, "_part"])
+
+
 def write_delimited(df: DataFrame, path: str, fields: list[str] | None = None, sep: str = "\t", header: bool = True) -> None:
     """Columns in a fixed order; missing values are empty and text stays as it is."""
     df.select(*(fields or df.columns)).write.option("sep", sep).option("header", header).option("emptyValue", "").option("nullValue", "").option("quote", "\x00").csv(path)

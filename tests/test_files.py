@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codonweave.functions import scalars
-from codonweave.operators import scoring, splice
+from codonweave.operators import scoring, splice, transcripts
 from codonweave.operators.transcripts import transcripts_from_bed
 from codonweave.sources import readers, writers
 from codonweave.streaming.codons import stream_usable_codons
@@ -218,3 +218,43 @@ def test_csv_and_coefficients(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0), (1, 2, 5.0)]
     with pytest.raises(Exception, match="instead of"):
         readers.read_coefficients(spark, str(tmp_path / "x.bin"), [2, 2]).collect()
+
+
+def test_regions_are_handed_over_through_files(spark, tmp_path):
+    """What write_regions() writes, read_regions() reads: the same regions, in order of starts in each file."""
+    rows = [(c, s, 3 * a + f, 3 * a + f + 29, 30) for c in ("chr1", "chr2_random") for s in "+-" for f in (1, 2, 3) for a in (7, 40, 2, 1000)]
+    df = spark.createDataFrame(rows, "chrom string, strand string, start long, stop long, gray long")
+    folder = str(tmp_path / "out")
+    writers.write_regions(df, folder)
+    got = readers.read_regions(spark, folder)
+    assert sorted(tuple(r) for r in got.select("chrom", "strand", "start", "stop").collect()) == sorted(r[:4] for r in rows)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir())
+    assert names == sorted(f"{c}.Strand{s}.Frame{f}.coding.bed" for c in ("chr1", "chr2_random") for s in "+-" for f in (0, 1, 2))
+    one = [x for p in sorted((tmp_path / "out" / names[0]).glob("part-*")) for x in p.read_text().splitlines()]
+    assert [int(x.split("\t")[1]) for x in one] == sorted(int(x.split("\t")[1]) for x in one) and len(one) == 4
+    with pytest.raises(FileExistsError):
+        writers.write_regions(df, folder)
+
+
+def test_requests_in_order_of_records(spark, tmp_path):
+    rows = [(k, f"chr{k % 3}", "+-"[k % 2], 100 + k, 129 + k) for k in range(200)]
+    df = spark.createDataFrame(rows, "rank long, chrom string, strand string, start long, stop long").repartition(7)
+    writers.write_requests(df, str(tmp_path / "x"), ["rank"])
+    got = [r["value"] for r in readers.read_in_order(spark, str(tmp_path / "x")).orderBy("line_no").collect()]
+    want = []
+    for _, c, s, a, b in rows:
+        want += [f"{c}:{a}-{b}\t{s}"]
+        anti = df.filter(F.col("start") == a).select(scalars.anti_interval("start", "stop", "strand").alias("x")).first()["x"] if a == 100 else None
+        if anti:
+            assert got[1] == f"{c}:{anti['start']}-{anti['stop']}\t{anti['strand']}"
+    assert got[::2] == want and len(got) == 400 and all(x.endswith("\t-" if y.endswith("+") else "\t+") for x, y in zip(got[1::2], got[::2]))
+    numbers = [r["line_no"] for r in readers.read_in_order(spark, str(tmp_path / "x")).collect()]
+    assert sorted(numbers) == list(range(1, 401))
+
+
+def test_what_is_left_out_is_counted(spark):
+    scored = spark.createDataFrame([(1.0, None), (None, None), (2.0, 0.5)], "score_per_codon double, anti_score_per_codon double")
+    assert tuple(scoring.unscored(scored).first()) == (3, 1, 2)
+    lines = ["c1\t10\t30\tx\t0\t+\t10\t30\t0\t2\t5,5\t0,15", "c3\t1\t9\ty\t0\t+\t1\t1\t0\t1\t8\t0"]
+    bed = readers.parse_bed(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert tuple(transcripts.left_out(transcripts.transcripts_from_bed(bed)).first()) == (2, 1)

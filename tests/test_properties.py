@@ -230,3 +230,23 @@ def test_diff_tables(spark):
     got = {r["k"]: (r["side"], r["columns"]) for r in compare.diff_tables(a, b, ["k"]).collect()}
     assert got[2] == ("both", ["v", "t"]) and got[3][0] == "left" and got[4][0] == "right" and 1 not in got
     assert compare.tables_equal(a, a.orderBy(F.desc("k"))) and not compare.tables_equal(a, b)
+
+
+def test_equal_tables_meet_in_no_join(spark):
+    a = spark.range(5000).selectExpr("id", "cast(id % 7 as double) as x", "cast(id as string) as t")
+    same = compare.diff_tables(a, a.repartition(3).select("t", "id", "x"), ["id"])
+    assert same.count() == 0 and "Join" not in same._jdf.queryExecution().optimizedPlan().toString() and compare.tables_equal(a, a.repartition(3))
+    b = a.withColumn("x", F.when(F.col("id") == 77, -1.0).otherwise(F.col("x")))
+    x, y = compare._suspects(a, b, ["id"], a.columns)
+    assert 1 <= x.count() < 20 and not compare.tables_equal(a, b)
+    assert [tuple(r) for r in compare.diff_tables(a, b, ["id"]).collect()] == [(77, "both", ["x"])]
+
+
+def test_repeated_keys_as_multisets(spark):
+    kind = "k long, v string, x double"
+    a = spark.createDataFrame([(1, "a", 1.0), (1, "a", 1.0), (1, "b", 2.0), (2, "c", 1.0), (None, "n", 0.0), (5, "e", 1.0)], kind)
+    b = spark.createDataFrame([(1, "b", 2.0), (1, "a", 1.0), (2, "c", 1.0 + 1e-12), (None, "m", 0.0), (5, "e", 1.0), (5, "e", 1.0)], kind)
+    got = sorted(map(str, map(tuple, compare.diff_tables(a, b, ["k"]).collect())))
+    assert got == sorted(map(str, [(1, "left", ["v", "x"]), (None, "both", ["v"]), (5, "right", ["v", "x"])]))
+    lines = [spark.createDataFrame([(i, t) for i, t in enumerate(x, 1)], "line_no long, value string") for x in (["a", "b", "c"], ["a", "x", "c", "d"])]
+    assert sorted(tuple(r) for r in compare.diff_lines(*lines).select("line_no", "side", F.coalesce("left", F.lit("")), F.coalesce("right", F.lit(""))).collect()) == [(2, "both", "b", "x"), (4, "right", "", "d")]
