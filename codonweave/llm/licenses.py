@@ -5,6 +5,8 @@ own length."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codonweave.llm import containment
@@ -90,16 +92,31 @@ WHOLE = {
         to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so,
         all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included
         in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code
-        generated by a source language processor.""",
+        generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Unlicense-whole": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
         code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
         any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
-        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For
+        more information, please refer to https://unlicense.org""",
 }
 WHOLE = {name: " ".join(text.split()) for name, text in WHOLE.items()}
 
+#: Where Debian keeps the whole texts of long licenses (GPL, LGPL, Apache, MPL, GFDL and others); the driver reads them, where there are any.
+LONG_TEXTS = "/usr/share/common-licenses"
+
+
+def long_texts(folder: str = LONG_TEXTS) -> dict[str, str]:
+    """The texts of the files of a folder, by name; links are other names of these. Nothing where there is no such folder."""
+    files = sorted(p for p in Path(folder).glob("*") if p.is_file() and not p.is_symlink())
+    return {f"{p.name}-text": " ".join(p.read_text(encoding="utf-8", errors="replace").split()) for p in files}
+
+
 #: All templates by name; where versions differ in one word the short one of TEXTS stands in place of the notice.
-TEMPLATES = NOTICES | TEXTS | WHOLE
+TEMPLATES = NOTICES | TEXTS | WHOLE | long_texts()
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 

@@ -285,6 +285,41 @@ def test_license_texts_of_any_length(spark):
     assert found == {(0, "GPL-2.0"), (0, "GPL-2.0-later"), (1, "GPL-3.0"), (1, "GPL-3.0-later")}
 
 
+def test_long_license_texts(spark):
+    """Whole long texts are met in a host text, also with edits; half of one is not."""
+    own = licenses.long_texts()
+    if not own:
+        own = {"long-text": " ".join(words(4000, 77))}
+    hosts, names = [], sorted(own)
+    for k, name in enumerate(names):
+        w = own[name].split()
+        hosts += [" ".join(words(300, k) + w + words(50, k)), " ".join(edited(w, len(w) // 100, k)), " ".join(w[: len(w) // 2])]
+    found = licenses.licenses(docs_of(spark, hosts), licenses.notices(spark, own)).collect()
+    got = {(r["doc_id"], r["license"]) for r in found}
+    for k, name in enumerate(names):
+        assert {(3 * k, name), (3 * k + 1, name)} <= got and (3 * k + 2, name) not in got
+
+
+def test_many_blocks_and_repeated_items(spark, monkeypatch):
+    """Items in several blocks are found and filtered as in one; a hundred thousand equal items are one with copies."""
+    items = {k: " ".join(words(8, 7000 + k)) for k in range(60)}
+    texts = [" ".join(words(40, 90 + k)) + " " + items[7 * k] + " end" for k in range(8)] + ["nothing of the kind here at all", None, ""]
+    df = docs_of(spark, texts)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    one = sorted(map(str, map(tuple, containment.contaminated(df, bench).collect())))
+    kept = sorted(r["doc_id"] for r in containment.without(df, bench).collect())
+    monkeypatch.setattr(containment, "BLOCK_ITEMS", 17)
+    assert len(list(containment._blocks(bench, "item_id", common.lower_words, 5, 75))) == 4
+    assert sorted(map(str, map(tuple, containment.contaminated(df, bench).collect()))) == one and len(one) == 8
+    left = containment.without(df, bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == kept == [8, 9, 10] and left.columns == df.columns
+    monkeypatch.undo()
+    equal = spark.range(100_000).select(F.lit(5).cast("long").alias("item_id"), F.lit(items[0]).alias("text"))
+    blocks = list(containment._blocks(equal, "item_id", common.lower_words, 5, 75))
+    assert [b.copies for b in blocks] == [[100_000]]
+    assert containment.contaminated(df, equal.limit(3)).count() == 3
+
+
 def brute_spans(text):
     rx = [("assign", re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
     out = []
