@@ -27,6 +27,9 @@ FEW = 100_000
 #: Width of the bins of starts that are swept one by one: no bin has more different starts. Bits of a group of bins.
 SWEEP, GROUP = 1 << 16, 16
 
+#: Points that a leaf or a share of one has, about; points that cuts are taken from, and how often space is halved at most.
+SHARE, SAMPLE, MOST_DEPTH = 1 << 16, 20_000, 12
+
 _TOP = 63
 
 
@@ -271,12 +274,52 @@ def overlapping_transcripts(intervals: DataFrame, segments: DataFrame, row: str,
     return overlap_join(intervals.select(row, "chrom", "start", "stop"), own, ["chrom"]).select(row, "tr_id").distinct()
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell_x: float, cell_y: float) -> DataFrame:
-    """Each point (x, y, ...) with each box (xmin, xmax, ymin, ymax, ...) that holds it, edges included."""
-    p = points.withColumns({"_cx": F.floor(F.col("x") / cell_x), "_cy": F.floor(F.col("y") / cell_y)})
-    b = boxes.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("xmin") / cell_x), F.floor(F.col("xmax") / cell_x))))
-    b = b.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("ymin") / cell_y), F.floor(F.col("ymax") / cell_y))))
-    return p.join(b, ["_cx", "_cy"]).filter(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))).drop("_cx", "_cy")
+def _splits(sample: list[tuple[float, float]], depth: int) -> list[float]:
+    """Thresholds of a full tree of that depth that halves a sample of points by x and y in turn; node k has the children 2 k and 2 k + 1."""
+    out = [float("inf")] * (1 << depth)
+    parts = {1: sample}
+    for node in range(1, 1 << depth):
+        own = parts.pop(node)
+        axis = (node.bit_length() - 1) % 2
+        if own:
+            out[node] = sorted(p[axis] for p in own)[(len(own) - 1) // 2]
+        parts[2 * node] = [p for p in own if p[axis] <= out[node]]
+        parts[2 * node + 1] = [p for p in own if p[axis] > out[node]]
+    return out
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, share: int = SHARE) -> DataFrame:
+    """Each point (x, y, ...) with each box (xmin, xmax, ymin, ymax, ...) that holds it, edges included; a null coordinate is nowhere.
+
+    Space is cut into leaves by halving a sample of points, bounded by SAMPLE; the cuts decide where pairs meet, not which. A box is listed in
+    each leaf that it touches. Points of a leaf that has more than `share` of them, as where one place repeats, are dealt over
+    several shares, to each of which the leaf's boxes go."""
+    own = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    rows = own.count()
+    depth = min(MOST_DEPTH, max(0, (-(-rows // share) - 1).bit_length()))
+    if depth:
+        odds = max(1, 2 * rows // SAMPLE)
+        sample = own.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in points.dtypes if "map<" not in kind]), F.lit(odds)) == 0).limit(SAMPLE)
+        splits = F.array(*map(F.lit, _splits([tuple(r) for r in sample.collect()], depth)))
+    else:
+        splits = F.array(F.lit(float("inf")))
+    levels = F.array(*[F.lit(k) for k in range(depth)]) if depth else F.array().cast("array<int>")
+
+    def at(level: Column, a: str, b: str) -> Column:
+        return F.when(level % 2 == 0, F.col(a).cast("double")).otherwise(F.col(b).cast("double"))
+
+    leaf = F.aggregate(levels, F.lit(1), lambda node, k: 2 * node + (at(k, "x", "y") > F.element_at(splits, node + 1)).cast("int"))
+    nodes = F.aggregate(levels, F.array(F.lit(1)), lambda ns, k: F.flatten(F.transform(ns, lambda n: F.concat(
+        F.when(at(k, "xmin", "ymin") <= F.element_at(splits, n + 1), F.array(2 * n)).otherwise(F.array().cast("array<int>")),
+        F.when(at(k, "xmax", "ymax") > F.element_at(splits, n + 1), F.array(2 * n + 1)).otherwise(F.array().cast("array<int>")),
+    ))))
+    p = own.withColumn("_leaf", leaf)
+    b = boxes.filter("xmin <= xmax and ymin <= ymax").withColumn("_leaf", F.explode(nodes))
+    sizes = p.groupBy("_leaf").agg(F.ceil(F.count("*") / share).cast("long").alias("_n")).filter("_n > 1")  # of 2^MOST_DEPTH leaves at most
+    p = p.join(F.broadcast(sizes), "_leaf", "left").withColumn("_s", _share(own, F.coalesce("_n", F.lit(1).cast("long")))).drop("_n")
+    b = b.join(F.broadcast(sizes), "_leaf", "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
+    return p.join(b, ["_leaf", "_s"]).filter(inside).drop("_leaf", "_s")
 
 
 def intervals_length(df: DataFrame, keys: list[str]) -> DataFrame:

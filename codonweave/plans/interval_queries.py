@@ -34,6 +34,22 @@ def complement_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.complement_region(derived(spark, sf_dir, "regions"), _KEYS, 1, 100_000_000)
 
 
+@query(with_inputs("regions", "exons") + f", x as ({_UNION.format(t='regions')}), g as (select chrom, strand, stop + 1 as start, coalesce(lead(start) over (partition by chrom, strand order by start) - 1, {1 << 62}) as stop from x union all select chrom, strand, -{1 << 62}, min(start) - 1 from x group by chrom, strand) select chrom, strand, start::bigint as start, stop::bigint as stop from g where start <= stop")
+def complement_whole_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that no region covers, between bounds as wide as positions can be."""
+    return I.complement_region(derived(spark, sf_dir, "regions"), _KEYS, -(1 << 62), 1 << 62)
+
+
+@query(with_inputs("regions", "exons") + """, spans as (select tr_id, chrom, min(start) as start, max(stop) + case when tr_id % 50 = 0 then 40000 else 0 end as stop from exons group by tr_id, chrom)
+    select rid, tr_id, greatest(r.start, s.start) as start, least(r.stop, s.stop) as stop from regions r join spans s on r.chrom = s.chrom and r.start <= s.stop and s.start <= r.stop""")
+def overlaps_of_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions against spans of which one in fifty is a hundred times as long, by bins of several widths."""
+    exons = derived(spark, sf_dir, "exons")
+    spans = exons.groupBy("tr_id", "chrom").agg(F.min("start").alias("start"), (F.max("stop") + F.when(F.col("tr_id") % 50 == 0, 40_000).otherwise(0)).alias("stop"))
+    both = I.overlap_join(derived(spark, sf_dir, "regions").select("rid", "chrom", "start", "stop"), spans, ["chrom"])
+    return both.select("rid", "tr_id", F.greatest("start", "b_start").alias("start"), F.least("stop", "b_stop").alias("stop"))
+
+
 @query(with_inputs("regions", "exons") + f""", b as ({_UNION.format(t='exons')}),
     h as (select r.rid, r.chrom, r.strand, r.start, r.stop, b.start as bs, b.stop as be from regions r left join b on r.chrom = b.chrom and r.strand = b.strand and r.start <= b.stop and b.start <= r.stop),
     x as (select rid, chrom, strand, coalesce(lag(be) over (partition by rid order by bs) + 1, start) as a, coalesce(bs - 1, stop) as z from h
@@ -89,7 +105,7 @@ def unannotated_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_inputs("points", "boxes") + " select p_partkey, s_suppkey from points join boxes on x between xmin and xmax and y between ymin and ymax")
 def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.points_in_boxes(derived(spark, sf_dir, "points"), derived(spark, sf_dir, "boxes"), 4.0, 50.0).select("p_partkey", "s_suppkey")
+    return I.points_in_boxes(derived(spark, sf_dir, "points"), derived(spark, sf_dir, "boxes"), share=1 << 10).select("p_partkey", "s_suppkey")
 
 
 @query("""select user_id, run, any_value(event_type) as event_type, count(*) as n, min(event_id) as first_id from (

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonweave.functions import scalars as S
-from codonweave.operators import compare, regions, scoring
+from codonweave.operators import compare, regions, scoring, transcripts
 from codonweave.operators.transcripts import cds_with_phase
 from codonweave.plans.inputs import derived, on_tables, with_inputs
 from codonweave.plans.registry import query
 from codonweave.plans.transcript_queries import _cut, PARTS
-from codonweave.session import materialize
-from codonweave.sources import writers
+from codonweave.session import materialize, shared_folder
+from codonweave.sources import readers, writers
 
 #: Coding transcripts are all but every tenth; those are the pseudogenes.
 _KINDS = "coding as (select * from exons where tr_id % 10 <> 0), pseudo as (select * from exons where tr_id % 10 = 0)"
@@ -86,6 +86,23 @@ def scoring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.region_scoring_requests(derived(spark, sf_dir, "regions"))
 
 
+@query(with_inputs("regions") + """, lines as (select rid, 0 as part, chrom || ':' || start || '-' || stop || chr(9) || strand as value from regions
+    union all select rid, 1, chrom || ':' || (start + case when strand = '+' then 2 else -2 end) || '-' || (stop + case when strand = '+' then 2 else -2 end) || chr(9) || case when strand = '+' then '-' else '+' end from regions)
+    select row_number() over (order by rid, part) as line_no, value from lines""")
+def scoring_request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outside scorer's lines in the order of records, through files that the reader numbers again."""
+    path = shared_folder(spark)
+    writers.write_requests(derived(spark, sf_dir, "regions"), path, ["rid"])
+    return readers.read_in_order(spark, path).select("line_no", "value")
+
+
+@query(with_inputs("exons") + " select count(*) as transcripts, count(*) filter (cs is null) as without_coding from (select tr_id, max(case when tr_id % 10 <> 0 then cs end) as cs from exons group by tr_id)")
+def transcripts_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many transcripts have no coding range; those of the pseudogenes' numbers lose theirs beforehand."""
+    exons = derived(spark, sf_dir, "exons")
+    return transcripts.left_out(exons.withColumn("cs", F.when(F.col("tr_id") % 10 != 0, F.col("cs"))))
+
+
 _SCORED = """keyed as (select chrom, start, stop, strand, max(status) as status, max(raw) as raw, max(bls) as bls from scores group by all),
     joined as (select r.*, (r.stop - r.start + 1) // 3 as n, a.raw, a.bls, b.raw as other from regions r left join keyed a using (chrom, start, stop, strand)
         left join keyed b on b.chrom = r.chrom and b.start = r.start + case when r.strand = '+' then 2 else -2 end and b.stop = r.stop + case when r.strand = '+' then 2 else -2 end
@@ -103,6 +120,11 @@ def score_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rid", *[F.round(F.coalesce(c, F.lit(-1.0)), 8).alias(c) for c in ("bls", "score_per_codon", "anti_score_per_codon", "score_diff")])
 
 
+@query(with_inputs("regions", "scores") + ", " + _SCORED + " select count(*) as regions, count(*) filter (raw is null) as without_score, count(*) filter (other is null) as without_antisense from joined")
+def unscored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.unscored(scoring.add_score_fields(derived(spark, sf_dir, "regions"), _keyed(spark, sf_dir)))
+
+
 @query()
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.stratified_sample(derived(spark, sf_dir, "features"), "reg_type", 500, F.col("rid"), seed=3).select("rid", "reg_type")

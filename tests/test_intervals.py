@@ -145,3 +145,22 @@ def test_lines_of_one_name_are_transcripts_of_their_own(spark):
         by.setdefault(r["tr_id"], []).append(r)
     assert Counter(x[0]["name"] for x in by.values()) == {"x": 2, "y": 1, "z": 2} and "y" in by
     assert sorted((x[0]["chrom"], len(x), x[0]["len"], x[0]["cs"], x[0]["ce"]) for x in by.values() if x[0]["name"] == "x") == [("c1", 2, 10, 1, 10), ("c2", 1, 20, 1, 20)]
+
+
+def test_points_in_boxes_whatever_is_dense(spark):
+    """Crowded places, one place that repeats, large boxes and points on their edges; no share gets more than its part."""
+    rng = random.Random(7)
+    pts = [(k, rng.gauss(0, 1) ** 3, rng.gauss(0, 1)) for k in range(1500)] + [(1500 + k, 0.25, -0.5) for k in range(700)] + [(3000, 1.0, 2.0), (3001, None, 1.0), (3002, float("nan"), 0.0)]
+    boxes = [(j, x, x + w, y, y + w) for j in range(60) for x, y, w in [(rng.gauss(0, 2), rng.gauss(0, 2), rng.choice([0.1, 1, 50]))]] + [(60, 1.0, 1.0, 2.0, 2.0), (61, 0.0, 1.0, 0.0, 2.0), (62, 5.0, 4.0, 0.0, 1.0)]
+    p, b = spark.createDataFrame(pts, "k long, x double, y double"), spark.createDataFrame(boxes, "j long, xmin double, xmax double, ymin double, ymax double")
+    want = Counter((k, j) for k, x, y in pts if x is not None and x == x for j, x0, x1, y0, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1)
+    for share in (100, 1 << 16):
+        assert Counter((r["k"], r["j"]) for r in intervals.points_in_boxes(p, b, share).select("k", "j").collect()) == want
+    splits = intervals._splits([(x, y) for _, x, y in pts[:1500]], 4)
+    leaves = Counter()
+    for _, x, y in pts[:1500]:
+        node = 1
+        for level in range(4):
+            node = 2 * node + ((x, y)[level % 2] > splits[node])
+        leaves[node] += 1
+    assert len(leaves) == 16 and max(leaves.values()) < 1.3 * 1500 / 16
