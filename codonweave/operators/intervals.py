@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codonweave.session import materialize
+from codonweave.session import materialize, scratch
 
 #: Least width of the bins of overlap joins, and by how many bits the next widths are larger.
 BIN, STEP = 1 << 12, 3
@@ -24,8 +24,8 @@ BIN, STEP = 1 << 12, 3
 HOT = 1 << 14
 #: Bins whose counts or shares are broadcast at most.
 FEW = 100_000
-#: Width of the bins of starts that are swept one by one: no bin has more different starts. Bits of a group of bins.
-SWEEP, GROUP = 1 << 16, 16
+#: Width of the bins of starts that are swept one by one: no bin has more different starts. Bits of a group of bins, and bins up to which none are formed.
+SWEEP, GROUP, MANY_BINS = 1 << 16, 16, 1 << 20
 
 #: Points that a leaf or a share of one has, about; points that cuts are taken from, and how often space is halved at most.
 SHARE, SAMPLE, MOST_DEPTH = 1 << 16, 20_000, 12
@@ -90,8 +90,9 @@ def _dealt(rows: DataFrame, hot: DataFrame, on: list[str], few: bool, stored: bo
 class _Side:
     """One side of an overlap join: its rows, names of its interval's columns, levels of its rows and the counts of its bins."""
 
-    def __init__(self, rows: DataFrame, start: str, stop: str) -> None:
-        self.rows, self.start, self.stop = rows.filter(f"{start} <= {stop}"), start, stop
+    def __init__(self, rows: DataFrame, start: str, stop: str, written: bool = False) -> None:
+        rows = rows.filter(f"{start} <= {stop}")
+        self.rows, self.start, self.stop = rows if written else materialize(rows), start, stop
 
     def spots(self, on: list[str], base: int) -> DataFrame:
         own = self.rows.select(*[F.col(f"`{c}`") for c in on], self.start, self.stop)
@@ -135,85 +136,102 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: int = BIN, ho
     b's start and stop become b_start and b_stop; other columns of b must have names of their own. width: of the smallest bins.
     how: inner, left_semi or left_anti; then only rows of a come back, each as often as a has it. A row whose interval or key
     is null, or whose stop is before its start, overlaps nothing; nulls in other columns do not matter. Levels and hot bins come from one count of
-    both sides' bins, which runs at once."""
+    both sides' bins, which runs at once; as the sides are then read again, each is written once."""
     base = max(0, (width - 1).bit_length())
-    right = _Side(b.withColumnsRenamed({"start": "b_start", "stop": "b_stop"}), "b_start", "b_stop")
+    other = b.withColumnsRenamed({"start": "b_start", "stop": "b_stop"})
     if how == "inner":
+        right = _Side(other, "b_start", "b_stop")
         found = _meetings(_Side(a, "start", "stop"), right, on, base, how)
         names = [*a.columns, *[c for c in right.rows.columns if c not in on]]
         if not found:
             return a.limit(0).join(right.rows.limit(0), on).select(*[F.col(f"`{c}`") for c in names])
         return reduce(DataFrame.unionByName, [x.select(*[F.col(f"`{c}`") for c in names]) for x in found])
     rows = materialize(a.withColumn("_row", F.monotonically_increasing_id()))  # a number that stays, whatever a's columns are
-    left = _Side(rows.select("_row", *[F.col(f"`{c}`") for c in on], "start", "stop"), "start", "stop")
-    spots = right.rows.select(*[F.col(f"`{c}`") for c in on], "b_start", "b_stop")
+    left = _Side(rows.select("_row", *[F.col(f"`{c}`") for c in on], "start", "stop"), "start", "stop", written=True)
+    spots = other.select(*[F.col(f"`{c}`") for c in on], "b_start", "b_stop")
     found = _meetings(left, _Side(spots, "b_start", "b_stop"), on, base, "left_semi")
     hits = reduce(DataFrame.unionAll, [x.select("_row") for x in found]).distinct() if found else rows.select("_row").limit(0)
     return rows.join(hits, "_row", how).select(*[F.col(f"`{c}`") for c in a.columns])
 
 
-def _before(df: DataFrame, bits: int, back: bool = False) -> DataFrame:
+def _before(bins: DataFrame, bits: int, back: bool = False) -> DataFrame:
     """One row (_k, _bin, v) a bin, to (_k, _bin, _x): the greatest v of all bins before (back: the least of all bins behind), by key _k.
 
-    Bins are taken in groups of 2^GROUP by a window each; what the groups before have comes from the same on the table of groups. bits: of _bin."""
-    rows = df.withColumn("_group", F.shiftright("_bin", GROUP) if bits > GROUP else F.lit(0).cast("long"))
+    bins: a written table. Where it is long, bins are taken in groups of 2^GROUP by a window each; what the groups before have comes from
+    the same on the table of groups. bits: of _bin. The result is broadcast where a count allows it."""
     order, best = (F.desc("_bin"), F.min) if back else (F.asc("_bin"), F.max)
-    w = W.partitionBy("_k", "_group").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    inner = rows.select("_k", "_group", "_bin", best("v").over(w).alias("_x"))
-    if bits <= GROUP:
-        return inner.drop("_group")
-    groups = rows.groupBy("_k", "_group").agg(best("v").alias("v")).withColumnRenamed("_group", "_bin")
-    above = _before(groups, bits - GROUP, back).withColumnsRenamed({"_bin": "_group", "_x": "_y"})
-    return inner.join(above, ["_k", "_group"], "left").select("_k", "_bin", (F.least if back else F.greatest)("_x", "_y").alias("_x"))
+    rows = bins.count()
 
+    def ahead(df: DataFrame, left: int) -> DataFrame:
+        grouped = left > GROUP and rows > MANY_BINS
+        df = df.withColumn("_group", F.shiftright("_bin", GROUP) if grouped else F.lit(0).cast("long"))
+        w = W.partitionBy("_k", "_group").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        inner = df.select("_k", "_group", "_bin", best("v").over(w).alias("_x"))
+        if not grouped:
+            return inner.drop("_group")
+        groups = df.groupBy("_k", "_group").agg(best("v").alias("v")).withColumnRenamed("_group", "_bin")
+        above = ahead(groups, left - GROUP).withColumnsRenamed({"_bin": "_group", "_x": "_y"})
+        return inner.join(above, ["_k", "_group"], "left").select("_k", "_bin", (F.least if back else F.greatest)("_x", "_y").alias("_x"))
 
-def swept(df: DataFrame, keys: list[str], width: int = SWEEP) -> tuple[DataFrame, int]:
-    """(_k, _bin, start, stop, _before): the longest interval of each start, by key _k and bin of starts; and the number of bits of _bin.
+    out = ahead(bins, bits)
+    return F.broadcast(out) if rows <= FEW else out
 
-    _before: the last base of what begins earlier, null at the first of a key. Of equal
-    starts the longest counts, before anything is sorted. A key is a struct, in which nulls are equal."""
+
+def _longest(df: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, DataFrame]:
+    """Written: (_k, _bin, start, stop), the longest interval of each start by key _k and bin of starts; and (_k, _bin, v) with the last base of each bin's.
+
+    A key is a struct, in which nulls are equal."""
     bits = (width - 1).bit_length()
-    rows = df.filter("start <= stop").groupBy(F.struct(*keys).alias("_k"), "start").agg(F.max("stop").alias("stop")).withColumn("_bin", F.shiftright("start", bits))
+    rows = df.filter("start <= stop").groupBy(F.struct(*keys).alias("_k"), "start").agg(F.max("stop").alias("stop"))
+    rows = materialize(rows.select("_k", F.shiftright("start", bits).alias("_bin"), "start", "stop"))
+    return rows, materialize(rows.groupBy("_k", "_bin").agg(F.max("stop").alias("v")))
+
+
+def _swept(rows: DataFrame, bins: DataFrame, width: int) -> DataFrame:
+    """The rows of _longest() with _before: the last base of what begins earlier, null at the first of a key."""
     reach = F.max("stop").over(W.partitionBy("_k", "_bin").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     own = rows.select("_k", "_bin", "start", "stop", reach.alias("_reach"))
-    came = _before(rows.groupBy("_k", "_bin").agg(F.max("stop").alias("v")), 64 - bits)
-    return own.join(came, ["_k", "_bin"], "left").select("_k", "_bin", "start", "stop", F.greatest("_reach", "_x").alias("_before")), 64 - bits
+    came = _before(bins, 64 - (width - 1).bit_length())
+    return own.join(came, ["_k", "_bin"], "left").select("_k", "_bin", "start", "stop", F.greatest("_reach", "_x").alias("_before"))
 
 
-def islands(df: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, int]:
-    """The rows of swept() that begin beyond all that begin earlier; adjacent ones don't."""
-    rows, bits = swept(df, keys, width)
-    return rows.filter(F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1)).drop("stop"), bits
+def islands(rows: DataFrame, bins: DataFrame, width: int = SWEEP) -> DataFrame:
+    """(_k, _bin, start, _before) of the rows of _longest() that begin beyond all that begin earlier; adjacent ones don't."""
+    return _swept(rows, bins, width).filter(F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1)).drop("stop")
+
+
+def gaps(df: DataFrame, keys: list[str], width: int = SWEEP) -> DataFrame:
+    """(keys, start, stop): what lies between the first and the last base of each key outside its intervals."""
+    begun = islands(*_longest(df, keys, width), width).filter("_before is not null")
+    return begun.select(*[F.col(f"_k.`{k}`") for k in keys], (F.col("_before") + 1).alias("a"), (F.col("start") - 1).alias("stop")).withColumnRenamed("a", "start")
 
 
 def clusters(df: DataFrame, keys: list[str], width: int = SWEEP) -> DataFrame:
-    """The rows of swept() with _island, the first base of their chain of overlapping intervals, and _over, whether that began in an earlier bin.
+    """(_k, _bin, start, stop): the longest interval of each start, with _island, the first base of their chain of overlapping intervals, and _over, whether that began in an earlier bin.
 
     A chain's first interval may lie in an earlier bin: its place is a running maximum over bins, as what reaches into a bin is."""
-    rows, bits = swept(df, keys, width)
-    rows = rows.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), F.col("start")))
-    last = _before(rows.groupBy("_k", "_bin").agg(F.max("_new").alias("v")), bits)
+    bits = 64 - (width - 1).bit_length()
+    rows = _swept(*_longest(df, keys, width), width)
+    rows = materialize(rows.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), F.col("start"))))
+    last = _before(materialize(rows.groupBy("_k", "_bin").agg(F.max("_new").alias("v"))), bits)
     w = W.partitionBy("_k", "_bin").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
     named = rows.withColumn("_own", F.max("_new").over(w)).join(last, ["_k", "_bin"], "left").withColumn("_island", F.coalesce("_own", "_x"))
     return named.select("_k", "_bin", "start", "stop", "_island", F.col("_own").isNull().alias("_over"))
 
 
-def _ends(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(_k, _end): the last base of each key."""
-    return df.filter("start <= stop").groupBy(F.struct(*keys).alias("_k")).agg(F.max("stop").alias("_end"))
-
-
 def union_regions(df: DataFrame, keys: list[str], width: int = SWEEP) -> DataFrame:
     """Disjoint intervals that cover what df covers, by key; adjacent ones become one. Rows with a null end are left out.
 
     An island ends where the next one's _before says; the next of a bin's last island stands in a later bin, and behind the last of a key
     stands a row with the key's last base."""
-    begun, bits = islands(df, keys, width)
+    bits = 64 - (width - 1).bit_length()
+    with scratch() as keep:
+        rows, bins = _longest(df, keys, width)
+        begun = keep(materialize(islands(rows, bins, width)))
+        last = bins.groupBy("_k").agg(F.max("v").alias("v")).select("_k", F.lit(1 << (bits - 1)).cast("long").alias("_bin"), "v")
+        first = keep(materialize(begun.groupBy("_k", "_bin").agg(F.min("_before").alias("v")).unionByName(last)))
     following = F.lead("_before").over(W.partitionBy("_k", "_bin").orderBy("start"))
-    rows = begun.withColumn("_next", following)
-    last = _ends(df, keys).select("_k", F.lit(1 << (bits - 1)).cast("long").alias("_bin"), F.col("_end").alias("v"))
-    later = _before(begun.groupBy("_k", "_bin").agg(F.min("_before").alias("v")).unionByName(last), bits, back=True)
-    rows = rows.join(later, ["_k", "_bin"], "left")
+    rows = begun.withColumn("_next", following).join(_before(first, bits, back=True), ["_k", "_bin"], "left")
     return rows.select(*[F.col(f"_k.`{k}`") for k in keys], "start", F.coalesce("_next", "_x").alias("stop"))
 
 
@@ -231,7 +249,8 @@ def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Colu
     intervals gives its whole range. Without it the keys are those of df. Any bounds within +-2^62 will do; the work depends on the intervals alone."""
     fixed = among is None
     lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi))
-    begun, ends = islands(df, keys, width)[0], _ends(df, keys)
+    rows, bins = _longest(df, keys, width)
+    begun, ends = islands(rows, bins, width), bins.groupBy("_k").agg(F.max("v").alias("_end"))
     if fixed:
         begun, ends = (x.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")}) for x in (begun, ends))
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codonweave.operators.intervals import SWEEP, clusters, islands
+from codonweave.operators.intervals import SWEEP, clusters, gaps
 from codonweave.session import discard, materialize
 
 KEYS = ["chrom", "strand", "frame"]
@@ -62,9 +62,8 @@ def prune_overlaps(exons: DataFrame, keys: list[str] = KEYS, width: int = SWEEP)
 
 
 def exon_gaps(pruned: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Bases between neighbours, where there are any: between where an exon begins and the last base before it."""
-    begun = islands(pruned, keys, SWEEP)[0].filter("_before is not null")
-    return begun.select(*[F.col(f"_k.`{k}`") for k in keys], (F.col("start") - F.col("_before") - 1).alias("gap"))
+    """Bases between neighbours, where there are any."""
+    return gaps(pruned, keys).select(*keys, (F.col("stop") - F.col("start") + 1).alias("gap"))
 
 
 def coding_stats(pruned: DataFrame, genome_length: int) -> DataFrame:

@@ -47,8 +47,9 @@ def spread(seed, n=150):
     return [*rows, rows[0], rows[0], ("a", None, 5), ("b", 9, 3), ("c", 7 << 40, (7 << 40) + (1 << 45)), ("c", (7 << 40) + (1 << 45) + 1, (8 << 40) + (1 << 45))]
 
 
-def test_sweeps_against_a_loop(spark):
-    for seed in (1, 2):
+def test_sweeps_against_a_loop(spark, monkeypatch):
+    for seed, many in ((1, 0), (2, intervals.MANY_BINS)):  # by groups of bins, and without
+        monkeypatch.setattr(intervals, "MANY_BINS", many)
         rows = spread(seed)
         df = spark.createDataFrame(rows, KINDS).repartition(3)
         assert sorted((tuple(r) for r in intervals.union_regions(df, ["k"]).select("k", "start", "stop").collect()), key=str) == merged(rows)
@@ -100,6 +101,7 @@ def test_hot_bins_are_dealt_over_many_shares(spark, monkeypatch):
     base = 12
     side = intervals._Side(points, "start", "stop")
     counts = side.spots(["k"], base)
+    points = side.rows
     hot = intervals._hot(counts, counts, ["k"], [base], False)
     assert [tuple(r) for r in hot.select("_s", "_p").collect()] == [(20, 20)]
     own = intervals._dealt(intervals._own_spots(points, "start", "stop", base), hot, ["k"], True, True)
