@@ -130,18 +130,19 @@ def _meetings(a: _Side, b: _Side, on: list[str], base: int, how: str) -> list[Da
     return out
 
 
-def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: int = BIN, how: str = "inner") -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: int = BIN, how: str = "inner", written: bool = False) -> DataFrame:
     """Pairs of a row of a and a row of b that agree on the columns `on` and overlap.
 
     b's start and stop become b_start and b_stop; other columns of b must have names of their own. width: of the smallest bins.
     how: inner, left_semi or left_anti; then only rows of a come back, each as often as a has it. A row whose interval or key
     is null, or whose stop is before its start, overlaps nothing; nulls in other columns do not matter. Levels and hot bins come from one count of
-    both sides' bins, which runs at once; as the sides are then read again, each is written once."""
+    both sides' bins, which runs at once; as the sides are then read again, each is written once. written: a is read from
+    a table as it is and needn't be."""
     base = max(0, (width - 1).bit_length())
     other = b.withColumnsRenamed({"start": "b_start", "stop": "b_stop"})
     if how == "inner":
         right = _Side(other, "b_start", "b_stop")
-        found = _meetings(_Side(a, "start", "stop"), right, on, base, how)
+        found = _meetings(_Side(a, "start", "stop", written), right, on, base, how)
         names = [*a.columns, *[c for c in right.rows.columns if c not in on]]
         if not found:
             return a.limit(0).join(right.rows.limit(0), on).select(*[F.col(f"`{c}`") for c in names])
@@ -278,7 +279,8 @@ def subtract_regions(a: DataFrame, b: DataFrame, keys: list[str], row: str) -> D
 
     They are what the row has in common with the gaps of b, so no row's pieces are laid together."""
     own, bound = a.select(row, *keys, "start", "stop").filter("start <= stop"), 1 << 62
-    cut = overlap_join(own, complement_region(b, keys, -bound, bound), keys)
+    own = materialize(own)
+    cut = overlap_join(own, complement_region(b, keys, -bound, bound), keys, written=True)
     left = cut.select(row, *keys, F.greatest("start", "b_start").alias("start"), F.least("stop", "b_stop").alias("stop"))
     return left.unionByName(own.join(b.filter("start <= stop").select(*keys).distinct(), keys, "left_anti").select(left.columns))
 

@@ -11,7 +11,7 @@ from codonweave.operators.transcripts import cds_with_phase
 from codonweave.plans.inputs import derived, on_tables, with_inputs
 from codonweave.plans.registry import query
 from codonweave.plans.transcript_queries import _cut, PARTS
-from codonweave.session import materialize, shared_folder
+from codonweave.session import materialize, once, shared_folder
 from codonweave.sources import readers, writers
 
 #: Coding transcripts are all but every tenth; those are the pseudogenes.
@@ -44,8 +44,8 @@ _EXT = f"""{_parts('c1', 'ce')}, cut as (select rid, b, z from ps union all sele
 
 
 def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    exons = derived(spark, sf_dir, "exons")
-    return derived(spark, sf_dir, "regions"), exons.filter("tr_id % 10 <> 0"), exons.filter("tr_id % 10 = 0")
+    regions, exons = (once(derived(spark, sf_dir, name)) for name in ("regions", "exons"))  # several steps read them
+    return regions, exons.filter("tr_id % 10 <> 0"), exons.filter("tr_id % 10 = 0")
 
 
 @query(_IN + f", {_parts('c1', 'ce', 'exons')} select rid, tr_id, b as c_start, z as c_stop from ({_SAME.format(t='c1')})")

@@ -64,6 +64,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def once(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """df, written unless it, or the table that it is a plain selection of, is one of materialize() already."""
+    return df if hasattr(df if source is None else source, "_written") else materialize(df)
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables of materialize() that are made inside are deleted at the end, but for those that the given function was called with.
