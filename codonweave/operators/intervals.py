@@ -36,10 +36,8 @@ _TOP = 63
 def _level(start: str, stop: str, base: int) -> Column:
     """Bits of an interval's width: the first of base, base + STEP, ... and _TOP that its length does not exceed."""
     more = F.try_subtract(F.col(stop), F.col(start))  # null beyond 2^63
-    out = F.when(more < F.lit(1 << base), F.lit(base))
-    for bits in range(base + STEP, _TOP, STEP):
-        out = out.when(more < F.lit(1 << bits), F.lit(bits))
-    return out.otherwise(F.lit(_TOP))
+    wider = F.ceil((F.length(F.bin(more)) - base) / STEP).cast("int")
+    return F.when(more < F.lit(1 << base), F.lit(base)).otherwise(F.coalesce(F.least(F.lit(_TOP), base + STEP * wider), F.lit(_TOP)))
 
 
 def _own_spots(df: DataFrame, start: str, stop: str, base: int) -> DataFrame:
