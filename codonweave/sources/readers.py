@@ -66,7 +66,7 @@ def parse_bed(lines: DataFrame, value: str = "value") -> DataFrame:
 
     Columns: chrom, start, stop, name, score, strand, thick_start, thick_stop (an empty range where there is none), rgb,
     blocks array<struct(start, stop)>, error (null, or why the line is malformed)."""
-    raw = lines.filter(~is_bed_comment(value)).select(F.split(F.regexp_replace(F.col(value), r"\s+$", ""), "\t").alias("f"))
+    raw = lines.select(F.split(F.regexp_replace(F.col(value), r"\s+$", ""), "\t").alias("f"), is_bed_comment(value).alias("_comment")).filter("not _comment")
     n = F.size("f")
 
     def field(i: int) -> Column:
@@ -87,6 +87,7 @@ def parse_bed(lines: DataFrame, value: str = "value") -> DataFrame:
         .when((n >= 12) & ((F.size(numbers(11)) != many) | (F.size(numbers(12)) != many)), F.lit("block count"))
         .when((n >= 12) & (F.element_at(blocks, -1)["stop"] != hi), F.lit("last block ends elsewhere"))
     )
+    error = F.when(~F.col("_comment"), error)  # filters of later steps may be tested before that of comments
     thick = (n > 6) & ts.isNotNull() & te.isNotNull() & (ts != te)
     return raw.select(
         field(1).alias("chrom"), (lo + 1).alias("start"), hi.alias("stop"), field(4).alias("name"), field(5).alias("score"), field(6).alias("strand"),

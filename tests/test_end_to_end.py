@@ -7,13 +7,14 @@ import random
 from pyspark.sql import functions as F
 
 from codonweave.operators import hmm, regions, scoring, transcripts
+from codonweave.session import materialize
 from codonweave.sources import readers, writers
 
 
 def test_from_files_to_the_ranked_table(spark, tmp_path):
     rng = random.Random(21)
     codons, coding, spans = [], [], {}
-    for i in range(210):
+    for i in range(150):
         start, n = 3000 * i + 601, rng.randrange(15, 40)
         stop = start + 3 * n - 1
         spans[start, stop] = i
@@ -38,16 +39,16 @@ def test_from_files_to_the_ranked_table(spark, tmp_path):
     assert {(r["start"], r["stop"]) for r in read.collect()} == set(spans)
 
     # regions and transcripts to classes and requests, in the order of the table
-    known, pseudo = (transcripts.transcripts_from_bed(readers.read_bed(spark, str(tmp_path / name))) for name in ("coding.bed", "pseudo.bed"))
-    table = regions.classify_regions(read, known, pseudo).filter("parent is null").drop("parent")
+    known, pseudo = (materialize(transcripts.transcripts_from_bed(readers.read_bed(spark, str(tmp_path / name)))) for name in ("coding.bed", "pseudo.bed"))
+    table = materialize(regions.classify_regions(materialize(read), known, pseudo).filter("parent is null").drop("parent"))
     kinds = {spans[r["start"], r["stop"]]: r["reg_type"] for r in table.collect()}
-    assert kinds == {i: ("CodingOverlap", "AntisenseOverlap", "NoOverlap")[i % 3] for i in range(210)}
+    assert kinds == {i: ("CodingOverlap", "AntisenseOverlap", "NoOverlap")[i % 3] for i in range(150)}
     assert known.select("tr_id").distinct().count() == len(coding)
     writers.write_requests(table, str(tmp_path / "Regions.in"), ["chrom", "start"])
 
     # an outside scorer answers line by line
     asked = [r["value"].split("\t") for r in readers.read_in_order(spark, str(tmp_path / "Regions.in")).orderBy("line_no").collect()]
-    assert len(asked) == 420 and [a[1] for a in asked[:4]] == ["+", "-", "+", "-"]
+    assert len(asked) == 300 and [a[1] for a in asked[:4]] == ["+", "-", "+", "-"]
     answers = []
     for k, (region, strand) in enumerate(asked):
         i = k // 2
@@ -58,11 +59,11 @@ def test_from_files_to_the_ranked_table(spark, tmp_path):
     (tmp_path / "Regions.out").write_text("\n".join(answers) + "\n")
 
     # scores to candidates, best first, and their BED lines
-    scores = readers.read_region_scores(spark, str(tmp_path / "Regions.out"))
+    scores = materialize(readers.read_region_scores(spark, str(tmp_path / "Regions.out")))
     assert scoring.unscored(scoring.add_score_fields(table, scores)).first()["without_score"] == 0
-    ranked = scoring.candidate_regions(table, scores, 50)
+    ranked = materialize(scoring.candidate_regions(table, scores, 40))
     best = [(r["rank"], spans[r["start"], r["stop"]]) for r in ranked.orderBy("rank").collect()]
-    planted = {i for i in range(210) if i % 30 == 2}
+    planted = {i for i in range(150) if i % 30 == 2}
     assert [k for k, _ in best] == list(range(1, len(best) + 1)) and {i for _, i in best[: len(planted)]} == planted
     lines = writers.to_bed12(scoring.candidates_bed(ranked, len(best)).withColumn("score", F.col("score").cast("string")))
     writers.write_lines(lines, str(tmp_path / "final.bed"))
