@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -210,3 +211,21 @@ def test_long_items_and_many_blocks():
     items = [(0, list(range(9000))), (1, [1, 2]), (2, [3])]
     found = balltree.blocks_of(items, np.ones(9000, np.int64), np.ones(9000, np.int64))
     assert [list(b.of) for b in found] == [[0], [1, 2]] and found[0].groups == balltree.GROUPS
+
+
+def test_written_tables_that_nothing_reads_are_gone(spark):
+    """What is left in the shared folder is what the lazy results still read."""
+    from codonweave.llm import near
+
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(4000)}" for _ in range(60)]
+    texts = [" ".join(base[: 40 + k % 9] + [f"x{k % 4}"]) for k in range(30)] + [" ".join(f"w{rng.randrange(4000)}" for _ in range(30)) for _ in range(10)]
+    df = docs_of(spark, list(enumerate(texts)))
+    items = spark.createDataFrame([(1, texts[0]), (2, "w1 w2 w3")], "item_id long, text string")
+    folder, left = Path(spark.conf.get("spark.checkpoint.dir")), {}
+    for name, job in (("near", lambda: near.near_groups(df)), ("drop", lambda: near.drop_near(df)), ("words", lambda: spelling.variants(df)), ("search", lambda: balltree.ranked(df, items))):
+        before = set(folder.iterdir()) if folder.exists() else set()
+        out = job()
+        left[name] = len(set(folder.iterdir()) - before)
+        out.collect()
+    assert left["near"] <= 2 and left["drop"] <= 3 and left["words"] <= 2 and left["search"] <= 1, left
