@@ -10,8 +10,8 @@ frequencies. A text's score is the sum of the logarithms.
 Word counts cover all documents, and every word's share comes from its own count: tasks hold those of the most frequent
 words, the others are joined. Words are told apart by 64-bit keys of 48 bits of hash and 16 of the ending. Texts are split
 and looked up once; training and scoring read their classes. Training covers all documents: in each of a few rounds
-replicas of a fixed number of words train on the documents of that round, predicting, as masked training does, a share of
-the places; the replicas are averaged as a tree, weighted by tokens. Scoring predicts every place."""
+replicas of a fixed number of words train on the documents of that round; the replicas are averaged as a tree, weighted
+by tokens. Training and scoring both predict every place of every text."""
 
 from __future__ import annotations
 
@@ -25,18 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonweave.llm.common import LOWERED, hash_words, map_rows, materialize, mix, parts_of, split_words
+from codonweave.llm.common import LOWERED, hash_words, map_rows, materialize, mix, parts_of, roomy, split_words
 from codonweave.session import discard, ship
 
-#: Units; neighbours on each side; rounds; one place in MASKED is a target in training.
-UNITS, SIDE, ROUNDS, MASKED = 24, 2, 2, 2
+#: Units; neighbours on each side; rounds.
+UNITS, SIDE, ROUNDS = 24, 2, 2
 #: Classes in a group by the fourth root of the counted words, and at least; words whose counts tasks hold, by the square root.
 GROUP, LEAST_GROUP, HELD = 2, 8, 100
 #: Words that a replica trains on at least, where there are so many.
 REPLICA_WORDS = 8_000_000
 BATCH, RATE = 2048, 0.1
 #: Tokens that are scored or counted at once; weights in a row when replicas are averaged; rows that are averaged at once.
-SCORED, COUNTED, BLOCK, FAN = 8192, 4_000_000, 1 << 15, 32
+SCORED, COUNTED, BLOCK, FAN = 2048, 4_000_000, 1 << 15, 32
+
+#: exp of so much, either way, is far from the bounds of 32-bit floats; runs of up to SHORT rows are added up row by row;
+#: weights that are moved at once.
+SAFE, SHORT, AT_ONCE = 60, 8, 1 << 14
 
 _PLACES = [k for k in range(2 * SIDE + 1) if k != SIDE]
 
@@ -156,78 +160,132 @@ def windows_of(ids: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
     return np.array([padded[at + k] for k in _PLACES])
 
 
+def _order(x: np.ndarray, top: int) -> np.ndarray:
+    """A stable order of numbers below top; those of 16 bits are sorted by digits."""
+    return np.argsort(x.astype(np.uint16) if top <= 1 << 16 else x, kind="stable")
+
+
 def hidden(parts: tuple, windows: np.ndarray) -> np.ndarray:
     """Hidden units; windows: classes of the neighbours, by place."""
     table, bias = parts[:2]
-    h = table[0][windows[0]]
+    h = np.take(table[0], windows[0], axis=0)
+    more = np.empty_like(h)
     for p in range(1, 2 * SIDE):
-        h += table[p][windows[p]]
+        h += np.take(table[p], windows[p], axis=0, out=more, mode="clip")
     h += bias
     return np.tanh(h, out=h)
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of z but for the row's greatest, and the row sums."""
-    z -= z.max(axis=1, keepdims=True)
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Turns z into exp of z, each row up to a factor, and returns the row sums."""
+    if max(z.max(), -z.min()) > SAFE:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    return z, z.sum(axis=1)
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
-def _segments(cls: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, slice]]]:
-    """An order by group, the classes in the group in that order, and (group, slice of the order)."""
-    order = np.argsort(cls, kind="stable")
+def _segments(cls: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """An order by class, the groups and the classes in the group in that order, and (group, slice of the order)."""
+    order = _order(cls, size * size)
     group, inner = np.divmod(cls[order], size)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    return order, inner, [(int(group[a]), slice(a, b)) for a, b in zip(first, np.append(first[1:], len(cls)))]
+    ends = np.append(first[1:], len(cls)).tolist()
+    return order, group, inner, [(g, slice(a, b)) for g, a, b in zip(group[first].tolist(), first.tolist(), ends)]
 
 
 def log_probabilities(parts: tuple, windows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Logarithms of the probabilities of the classes cls: that of the group and that in the group."""
     _, _, out, out_bias, inner, inner_bias = parts
-    order, own, segments = _segments(cls, len(out_bias))
+    order, group, own, segments = _segments(cls, len(out_bias))
     h, rows = hidden(parts, windows[:, order]), np.arange(len(cls))
-    z, total = _exp(h @ out + out_bias)
-    p = (z[rows, cls[order] // len(out_bias)] / total).astype(np.float64)
+    z = h @ out
+    z += out_bias
+    total = _exp(z)
+    p = (z[rows, group] / total).astype(np.float64)
     for g, at in segments:
-        z, total = _exp(h[at] @ inner[g] + inner_bias[g])
-        p[at] *= z[rows[: len(total)], own[at]] / total
+        np.matmul(h[at], inner[g], out=z[at])
+        z[at] += inner_bias[g]
+    total = _exp(z)
+    p *= z[rows, own] / total
     result = np.empty(len(cls))
     result[order] = np.log(np.maximum(p, 1e-60))
     return result
 
 
+def _sums(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of runs of rows that begin at first, the longest run first, and the numbers of the runs in that order."""
+    lengths = np.diff(np.append(first, len(rows)))
+    runs = np.argsort(-lengths, kind="stable")
+    starts, falling = np.take(first, runs), -np.take(lengths, runs)
+    out = np.take(rows, starts, axis=0)
+    long = int(np.searchsorted(falling, -SHORT))
+    for k, (a, n) in enumerate(zip(starts[:long].tolist(), falling[:long].tolist())):
+        np.add.reduce(rows[a : a - n], axis=0, out=out[k])
+    for r in range(1, SHORT):
+        here = slice(long, int(np.searchsorted(falling, -r)))
+        out[here] += np.take(rows, starts[here] + r, axis=0)
+    return out, runs
+
+
+def _moves(squares: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Adds the squares of the slope g to squares; g becomes the AdaGrad move."""
+    x = g * g
+    squares += x
+    np.sqrt(squares, out=x)
+    x += 1e-6
+    g /= x
+    g *= RATE
+    return g
+
+
+def _put(rows: np.ndarray, ids: np.ndarray, new: np.ndarray) -> None:
+    """rows[ids] = new, each row as one item."""
+    item = np.dtype((np.void, new.shape[1] * new.itemsize))
+    rows.view(item)[ids] = new.view(item)
+
+
 def step(parts: tuple, squares: tuple, windows: np.ndarray, cls: np.ndarray) -> None:
     """One AdaGrad step on a batch."""
     table, _, out, out_bias, inner, inner_bias = parts
-    order, own, segments = _segments(cls, len(out_bias))
-    windows = windows[:, order]
-    h, n, rows = hidden(parts, windows), len(cls), np.arange(len(cls))
-    p, total = _exp(h @ out + out_bias)
-    p /= total[:, None]
-    p[rows, cls[order] // len(out_bias)] -= 1
-    dh = p @ out.T
-    slope, slope_bias = np.zeros_like(inner), np.zeros_like(inner_bias)
+    order, group, own, segments = _segments(cls, len(out_bias))
+    windows, n, rows = windows[:, order], len(cls), np.arange(len(cls))
+    h = hidden(parts, windows)
+    with_one = np.ones((n, h.shape[1] + 1), h.dtype)  # the last unit's slopes are those of the biases
+    with_one[:, :-1] = h
+    p = h @ out
+    p += out_bias
+    p /= (_exp(p) * n)[:, None]
+    p[rows, group] -= 1 / n
+    q = np.empty_like(p)
+    for g, at in segments:
+        np.matmul(h[at], inner[g], out=q[at])
+    q += np.take(inner_bias, group, axis=0)
+    q /= (_exp(q) * n)[:, None]
+    q[rows, own] -= 1 / n
+    dh, back = p @ out.T, np.empty_like(h)
+    slope, slopes = with_one.T @ p, np.zeros((len(inner), h.shape[1] + 1, inner.shape[2]), h.dtype)
     for g, at in segments:
-        q, total = _exp(h[at] @ inner[g] + inner_bias[g])
-        q /= total[:, None]
-        q[rows[: len(total)], own[at]] -= 1
-        dh[at] += q @ inner[g].T
-        slope[g], slope_bias[g] = h[at].T @ q, q.sum(axis=0)
+        np.matmul(q[at], inner[g].T, out=back[at])
+        np.matmul(with_one[at].T, q[at], out=slopes[g])
+    dh += back
     dh *= 1 - h * h
-    for k, g in ((1, dh.sum(axis=0)), (2, h.T @ p), (3, p.sum(axis=0)), (4, slope), (5, slope_bias)):
-        g /= n
-        squares[k][...] += g * g
-        parts[k][...] -= RATE * g / (np.sqrt(squares[k]) + 1e-6)
-    dh /= n
-    for k in range(2 * SIDE):
-        by = np.argsort(windows[k], kind="stable")
-        ids = windows[k][by]
-        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        g = np.add.reduceat(dh[by], first, axis=0)
-        ids = ids[first]
-        s = squares[0][k][ids] + g * g
-        squares[0][k][ids] = s
-        table[k][ids] -= RATE * g / (np.sqrt(s) + 1e-6)
+    for k, g in ((1, dh.sum(axis=0)), (2, slope[:-1]), (3, slope[-1]), (4, slopes[:, :-1]), (5, slopes[:, -1])):
+        few = max(1, AT_ONCE * len(g) // g.size)
+        for a in range(0, len(g), few):
+            parts[k][a : a + few] -= _moves(squares[k][a : a + few], g[a : a + few])
+    # each row of the table, by place and class, is moved once by the sum of its slopes
+    size = table.shape[1]
+    at = (windows + np.arange(0, 2 * SIDE * size, size)[:, None]).ravel()
+    by = _order(at, 2 * SIDE * size)
+    ids = np.take(at, by)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    g, runs = _sums(np.take(dh, by, axis=0, mode="wrap"), first)
+    ids = np.take(ids, np.take(first, runs))
+    weights, sums = (x.reshape(2 * SIDE * size, -1) for x in (table, squares[0]))
+    sum_, weight = np.take(sums, ids, axis=0), np.take(weights, ids, axis=0)
+    weight -= _moves(sum_, g)
+    _put(sums, ids, sum_)
+    _put(weights, ids, weight)
 
 
 # Jobs
@@ -242,6 +300,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(np.diff(np.append(first, len(x))))], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy()
         waiting: list[np.ndarray] = []
         for batch in parts_of(batches):
             waiting.append(word_keys(batch.column(0))[0])
@@ -279,6 +338,7 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy()
         for batch in parts_of(batches):
             keys, lengths = word_keys(batch.column("text"))
             cls, share, rare = shared.value.encode(keys)
@@ -324,7 +384,8 @@ def fit(texts: DataFrame, model: Model, rounds: int = ROUNDS, replica_words: int
     for k in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, turn=k) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            roomy()
             model = shared.value
             weights = model.weights.copy()
             parts, squares = model.parts(weights), model.parts(np.full(len(weights), 1e-3, np.float32))
@@ -333,10 +394,8 @@ def fit(texts: DataFrame, model: Model, rounds: int = ROUNDS, replica_words: int
             waiting = 0
             for pdf in batches:
                 ids, lengths = _flat(pdf["ids"])
-                targets = np.arange((seen + waiting + turn) % MASKED, len(ids), MASKED)
-                if len(targets):
-                    kept.append((windows_of(ids, lengths, model.classes)[:, targets], ids[targets]))
-                    waiting += len(targets)
+                kept.append((windows_of(ids, lengths, model.classes), ids))
+                waiting += len(ids)
                 if waiting >= BATCH:
                     windows, cls = np.concatenate([w for w, _ in kept], axis=1), np.concatenate([c for _, c in kept])
                     full = len(cls) // BATCH * BATCH
@@ -365,6 +424,7 @@ def score_encoded(texts: DataFrame, model: Model) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roomy()
         model = shared.value
         parts = model.parts(model.weights)
         for pdf in batches:

@@ -623,6 +623,40 @@ def test_every_document_trains_and_replicas_are_averaged(spark):
         assert np.frombuffer(r["w"], "<f4") == pytest.approx(sum(n * w for n, w in own) / r["n"], abs=1e-5)
 
 
+def test_every_place_is_a_target_of_training(spark, monkeypatch):
+    texts = [None, "", "one", "two words", *[" ".join(words(200, 90 + i, 51)) for i in range(9)]]
+    df = docs_of(spark, texts).repartition(3)
+    model = lm.start(df)
+    enc = common.materialize(lm.encoded(df, model))
+    seen, average = [], lm.average
+
+    def counted(replicas):
+        seen.append(replicas.filter("block = 0").agg(F.sum("n")).first()[0] or 0)
+        return average(replicas)
+
+    monkeypatch.setattr(lm, "average", counted)
+    lm.fit(enc, model, replica_words=100)
+    assert sum(seen) == sum(len(t.split()) for t in texts if t)
+
+
+def test_network_helpers_against_plain():
+    rng = np.random.default_rng(8)
+    for n in (1, 7, 400):
+        rows = rng.normal(size=(n, 5)).astype(np.float32)
+        first = np.flatnonzero(np.append(True, rng.random(n - 1) < rng.choice([0.05, 0.3, 0.9])))
+        got, runs = lm._sums(rows, first)
+        assert sorted(runs.tolist()) == list(range(len(first)))
+        assert got == pytest.approx(np.add.reduceat(rows, first, axis=0)[runs], abs=1e-4)
+    for far in (1, 50, 500):  # beyond what exp of a 32-bit float holds, rows are shifted first
+        z = (rng.normal(size=(6, 9)) * far).astype(np.float32)
+        want = np.exp(z.astype(float) - z.max(axis=1, keepdims=True))
+        total = lm._exp(z)
+        assert z / total[:, None] == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-5)
+    for top in (100, 1 << 16, 1 << 20):
+        x = rng.integers(0, top, 3000)
+        assert np.array_equal(lm._order(x, top), np.argsort(x, kind="stable"))
+
+
 def test_model_grows_with_the_words():
     none = np.empty(0, np.uint64), np.empty(0, np.int64), {}
     assert lm.Model(*none, 10**8).classes > lm.Model(*none, 10**6).classes > lm.Model(*none, 100).classes
