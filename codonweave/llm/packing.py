@@ -25,7 +25,7 @@ from codonweave.session import ship
 
 WINDOW = 4096
 END = 2
-#: Words whose ids a task keeps before it starts anew; none outlive the task, as the worker may next do something else.
+#: Words whose ids a task keeps as the newer and as the older ones; none outlive the task, as the worker may next do something else.
 KEPT_WORDS = 200_000
 
 
@@ -50,38 +50,49 @@ _BYTES = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: Packers of so many ids, made once.
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return _PACKERS[n](*ids) if n < 64 else struct.pack(f"<{n}I", *ids)
 
 
 class _Ids(dict):
-    """Little-endian 32-bit ids of stretches without blanks, worked out once."""
+    """Little-endian 32-bit ids of stretches without blanks, worked out once. What was asked for lately stays: a full dict becomes
+    the older one, in place of the one before, and what is asked for again comes back from it."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = _tokenizer(path)
-        self.model = self.tokenizer.model
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def part(self, run: str) -> bytes:
-        """Ids of one pre-token of lower-case letters or punctuation."""
-        if (ids := self.parts.get(run)) is None:
-            if len(self.parts) >= KEPT_WORDS:
-                self.parts.clear()
-                self.parts[""] = b""
-            written = run.encode().decode("latin-1").translate(_BYTES)
-            ids = self.parts[run] = _packed([t.id for t in self.model.tokenize(written)])
-        return ids
+        self.tokenize = self.tokenizer.model.tokenize
 
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
-        if m := _PLAIN.fullmatch(stretch):
-            ids = self.part(m[1].lower()) + self.part(m[2])
-        else:
-            ids = _packed(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+        if (ids := self.older.get(stretch)) is None:
+            ids = self.new(stretch)
         self[stretch] = ids
         return ids
 
+    def new(self, stretch: str) -> bytes:
+        if stretch.isascii() and stretch.isalpha():
+            run, marks = stretch, ""
+        elif m := _PLAIN.fullmatch(stretch):
+            run, marks = m.groups()
+        else:
+            return _packed(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+        low = run.lower()
+        if marks:
+            return self[low] + self[marks]
+        if low != run:
+            return self[low]
+        # one pre-token; printable ASCII is written as it is
+        return _packed([t.id for t in self.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES))])
+
 
 def token_bytes(texts: list[str | None], path: str, known: _Ids | None = None) -> list[bytes]:
     """Little-endian 32-bit ids of each text. No token crosses white space, so each stretch without blanks is encoded once, and not

@@ -623,6 +623,19 @@ def test_every_document_trains_and_replicas_are_averaged(spark):
         assert np.frombuffer(r["w"], "<f4") == pytest.approx(sum(n * w for n, w in own) / r["n"], abs=1e-5)
 
 
+def test_ids_of_words_in_use_are_kept(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 8)
+    path = packing.vocabulary()
+    known = packing._Ids(path)
+    asked, tokenize = [], known.tokenizer.model.tokenize
+    known.tokenize = lambda run: asked.append(run) or tokenize(run)
+    rare = [w for i in range(60) for w in (f"{chr(97 + i % 26)}qx{'z' * (i // 26)}", f"Ünü{chr(97 + i % 26)},", "a.b", "!!", f"X{i}")]
+    texts = [" ".join(f"usual Usual {w}" for w in rare), "", None, "Usual, \u00dcn\u00fc  usual\n"]
+    want = [np.array(packing._tokenizer(path).encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.token_bytes(texts, path, known) == want
+    assert asked.count("usual") == 1 and len(known) <= 9 and len(known.older) <= 9
+
+
 def test_every_place_is_a_target_of_training(spark, monkeypatch):
     texts = [None, "", "one", "two words", *[" ".join(words(200, 90 + i, 51)) for i in range(9)]]
     df = docs_of(spark, texts).repartition(3)
