@@ -9,6 +9,7 @@ import os
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -625,13 +626,14 @@ def test_every_document_trains_and_replicas_are_averaged(spark):
 
 def test_ids_of_words_in_use_are_kept(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 8)
-    path = packing.vocabulary()
+    path, asked = packing.vocabulary(), []
+    real = packing._tokenizer(path)
+    model = SimpleNamespace(tokenize=lambda run: asked.append(run) or real.model.tokenize(run))
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: SimpleNamespace(model=model, encode=real.encode))
     known = packing._Ids(path)
-    asked, tokenize = [], known.tokenizer.model.tokenize
-    known.tokenize = lambda run: asked.append(run) or tokenize(run)
     rare = [w for i in range(60) for w in (f"{chr(97 + i % 26)}qx{'z' * (i // 26)}", f"Ünü{chr(97 + i % 26)},", "a.b", "!!", f"X{i}")]
     texts = [" ".join(f"usual Usual {w}" for w in rare), "", None, "Usual, \u00dcn\u00fc  usual\n"]
-    want = [np.array(packing._tokenizer(path).encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    want = [np.array(real.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert packing.token_bytes(texts, path, known) == want
     assert asked.count("usual") == 1 and len(known) <= 9 and len(known.older) <= 9
 
