@@ -36,11 +36,15 @@ GROUP, LEAST_GROUP, HELD = 2, 8, 100
 REPLICA_WORDS = 8_000_000
 BATCH, RATE = 2048, 0.1
 #: Tokens that are scored or counted at once; weights in a row when replicas are averaged; rows that are averaged at once.
-SCORED, COUNTED, BLOCK, FAN = 2048, 4_000_000, 1 << 15, 32
+SCORED, COUNTED, BLOCK, FAN = 8192, 4_000_000, 1 << 15, 32
 
+#: Bytes whose words are told apart or looked up at once: what is made of them stays below the size from which glibc maps arrays anew.
+KEYED = 1 << 18
+#: Its tanh is one in floats of 32 and of 64 bits.
+ONE = 40
 #: exp of so much, either way, is far from the bounds of 32-bit floats; runs of up to SHORT rows are added up row by row;
 #: weights that are moved at once.
-SAFE, SHORT, AT_ONCE = 60, 8, 1 << 14
+SAFE, SHORT, AT_ONCE = 60, 8, 1 << 15
 
 _PLACES = [k for k in range(2 * SIDE + 1) if k != SIDE]
 
@@ -55,6 +59,12 @@ _MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the words of some texts, one after another, and the number of words of each text; a null text has none."""
+    rows = max(1, len(texts) * KEYED // max(1, texts.nbytes))
+    found = [_keys(texts.slice(a, rows)) for a in range(0, max(1, len(texts)), rows)]
+    return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, starts, ends, lengths = split_words(texts)
     keys = mix(hash_words(raw, starts, ends))
     tail = ends - (_MARK[raw[ends - 1]] & (ends - starts > 1)) if len(ends) else ends
@@ -98,6 +108,31 @@ class Lookup:
 # Model
 
 
+class Parts(tuple):
+    """Views of a flat array of weights: table (place, class, unit), bias, out, its bias, inner (group), its biases.
+
+    A class's rows for all places lie side by side, that of the last place first, and biases behind the weights that they belong
+    to. These are whole: rows (class, place and unit), bias, outer (unit and one more, group) and within (group, unit and one
+    more, class in the group)."""
+
+    def __new__(cls, weights: np.ndarray, classes: int, g: int) -> Parts:
+        rows, bias, outer, within = np.split(weights, np.cumsum(cls._sizes(classes, g))[:-1])
+        whole = rows.reshape(classes + 1, 2 * SIDE * UNITS), bias, outer.reshape(UNITS + 1, g), within.reshape(g, UNITS + 1, g)
+        _, _, outer, within = whole
+        table = rows.reshape(classes + 1, 2 * SIDE, UNITS)[:, ::-1].transpose(1, 0, 2)
+        made = super().__new__(cls, (table, bias, outer[:-1], outer[-1], within[:, :-1], within[:, -1]))
+        made.weights, made.whole = weights, whole
+        return made
+
+    @staticmethod
+    def _sizes(classes: int, g: int) -> tuple[int, ...]:
+        return 2 * SIDE * (classes + 1) * UNITS, UNITS, (UNITS + 1) * g, g * (UNITS + 1) * g
+
+    @classmethod
+    def size(cls, classes: int, g: int) -> int:
+        return sum(cls._sizes(classes, g))
+
+
 def group_size(distinct: int) -> int:
     """Classes in a group, and groups, for so many counted words."""
     return max(LEAST_GROUP, math.ceil(GROUP * distinct**0.25))
@@ -126,38 +161,54 @@ class Model:
         self.totals = np.log(totals)
         rng = np.random.default_rng(11)
         g = self.group
-        self.sizes = [2 * SIDE * (self.classes + 1) * UNITS, UNITS, UNITS * g, g, g * UNITS * g, g * g]
-        self.weights = np.concatenate([np.zeros(n) if k in (1, 3, 5) else rng.normal(0, 0.1, n) for k, n in enumerate(self.sizes)]).astype(np.float32)
-        parts, inside = self.parts(self.weights), totals.reshape(g, g)
+        parts, inside = self.parts(np.zeros(Parts.size(self.classes, g), np.float32)), totals.reshape(g, g)
+        for k in (0, 2, 4):
+            parts[k][:] = rng.normal(0, 0.1, parts[k].size).reshape(parts[k].shape)
         parts[3][:] = np.log(inside.sum(axis=1) / totals.sum())
         parts[5][:] = np.log(inside / inside.sum(axis=1, keepdims=True))
+        self.weights = parts.weights
         self._lookup: Lookup | None = None
+        self._logs: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"counts": None, "_lookup": None}
+        return self.__dict__ | {"counts": None, "_lookup": None, "_logs": None}
 
-    def parts(self, weights: np.ndarray) -> tuple[np.ndarray, ...]:
-        g = self.group
-        a, b, c, d, e, f = np.split(weights, np.cumsum(self.sizes)[:-1])
-        return a.reshape(2 * SIDE, self.classes + 1, UNITS), b, c.reshape(UNITS, g), d, e.reshape(g, UNITS, g), f.reshape(g, g)
+    def parts(self, weights: np.ndarray) -> Parts:
+        return Parts(weights, self.classes, self.group)
 
     def encode(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word its class, its log share of the class, and whether its own count is not held; the share is then that of one occurrence."""
         if self._lookup is None:
-            self._lookup = Lookup(self.keys)
+            self._lookup, self._logs = Lookup(self.keys), np.log(np.append(self.n, 1).astype(np.float64))
+        some = KEYED // 8
+        if len(keys) > some:
+            return tuple(np.concatenate(x) for x in zip(*[self.encode(keys[a : a + some]) for a in range(0, len(keys), some)]))
         at = self._lookup.find(keys)
         own = (at >= 0) & (at < self.single)
         cls = np.where(own, at, self.ending[(keys & np.uint64(0xFFFF)).astype(np.int64)])
-        times = np.log(np.append(self.n, 1).astype(np.float64))[at]  # -1: the last
+        times = self._logs[at]  # -1: the last
         return cls.astype(np.int32), np.where(own, 0.0, times - self.totals[cls]), at < 0
 
 
-def windows_of(ids: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
-    """The neighbours of each word, by place; edge stands beyond either end of a text."""
-    at = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)) * 2 * SIDE, lengths)
-    padded = np.full(len(ids) + 2 * SIDE * len(lengths), edge, np.int32)
-    padded[at + SIDE] = ids
-    return np.array([padded[at + k] for k in _PLACES])
+def padded(ids: np.ndarray, lengths: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some texts with SIDE edges before, between and behind the texts, and where each word stands there."""
+    at = np.arange(len(ids)) + np.repeat(np.arange(1, len(lengths) + 1) * SIDE, lengths)
+    row = np.full(len(ids) + SIDE * (len(lengths) + 1), edge, np.int32)
+    row[at] = ids
+    return row, at
+
+
+def _apart(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As padded(), for words whose neighbours, by place, are given: each stands apart from the others."""
+    n = windows.shape[1]
+    row = np.zeros((n, 2 * SIDE + 1), np.int32)
+    row[:, _PLACES] = windows.T
+    return row.ravel(), np.arange(n) * (2 * SIDE + 1) + SIDE
+
+
+def _stretch(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of row that the words at some places and their neighbours take, and their places in it."""
+    return row[at[0] - SIDE : at[-1] + SIDE + 1], at - (at[0] - SIDE)
 
 
 def _order(x: np.ndarray, top: int) -> np.ndarray:
@@ -165,14 +216,26 @@ def _order(x: np.ndarray, top: int) -> np.ndarray:
     return np.argsort(x.astype(np.uint16) if top <= 1 << 16 else x, kind="stable")
 
 
-def hidden(parts: tuple, windows: np.ndarray) -> np.ndarray:
-    """Hidden units; windows: classes of the neighbours, by place."""
-    table, bias = parts[:2]
-    h = np.take(table[0], windows[0], axis=0)
-    more = np.empty_like(h)
-    for p in range(1, 2 * SIDE):
-        h += np.take(table[p], windows[p], axis=0, out=more, mode="clip")
-    h += bias
+def _laid(x: np.ndarray, many: int, width: int, first: int, apart: int) -> np.ndarray:
+    """Runs of width numbers of flat x as one item each, many of them, that begin at first and then apart numbers further each."""
+    return np.ndarray(many, np.dtype((np.void, width * x.itemsize)), x, first * x.itemsize, (apart * x.itemsize,))
+
+
+def hidden(whole: tuple, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hidden units of the words at some places of row, and a one behind them, with which biases are weights as others.
+
+    As rows of a class lie side by side from the last place to the first, what the neighbours of a word add lies at equal
+    distances on either side of it, so the sums of all words are sums of the whole array with itself, moved."""
+    rows, bias = whole[:2]
+    wide = 2 * SIDE * UNITS
+    x = np.take(rows, row, axis=0, mode="clip").ravel()
+    step, far = wide - UNITS, (SIDE + 1) * wide - SIDE * UNITS
+    size = len(x) - (SIDE - 1) * step
+    side = sum((x[k * step : k * step + size] for k in range(1, SIDE)), x[:size])
+    both = side[:-far] + side[far:]
+    h = _laid(both, len(row) - 2 * SIDE, UNITS + 1, step, wide)[at - SIDE].view(x.dtype).reshape(-1, UNITS + 1)
+    h += np.append(bias, x.dtype.type(0))
+    h[:, -1] = ONE
     return np.tanh(h, out=h)
 
 
@@ -184,31 +247,40 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[1], z.dtype)
 
 
-def _segments(cls: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
-    """An order by class, the groups and the classes in the group in that order, and (group, slice of the order)."""
-    order = _order(cls, size * size)
-    group, inner = np.divmod(cls[order], size)
+def _segments(cls: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """Of sorted classes, the numbers of their groups and of themselves in a flat array with a row of size for each word, and (group, slice)."""
+    group, inner = np.divmod(cls, size)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     ends = np.append(first[1:], len(cls)).tolist()
-    return order, group, inner, [(g, slice(a, b)) for g, a, b in zip(group[first].tolist(), first.tolist(), ends)]
-
-
-def log_probabilities(parts: tuple, windows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Logarithms of the probabilities of the classes cls: that of the group and that in the group."""
-    _, _, out, out_bias, inner, inner_bias = parts
-    order, group, own, segments = _segments(cls, len(out_bias))
-    h, rows = hidden(parts, windows[:, order]), np.arange(len(cls))
-    z = h @ out
-    z += out_bias
-    total = _exp(z)
-    p = (z[rows, group] / total).astype(np.float64)
-    for g, at in segments:
-        np.matmul(h[at], inner[g], out=z[at])
-        z[at] += inner_bias[g]
-    total = _exp(z)
-    p *= z[rows, own] / total
+    row = np.arange(0, len(cls) * size, size)
+    return row + group, row + inner, [(g, slice(a, b)) for g, a, b in zip(group[first].tolist(), first.tolist(), ends)]
+
+
+def log_probabilities(parts: Parts, windows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of the classes cls, that of the group and that in the group, with any neighbours, by place."""
+    return log_probabilities_along(parts, *_apart(windows), cls)
+
+
+def log_probabilities_along(parts: Parts, row: np.ndarray, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """As log_probabilities(), with the neighbours that the places at have in row."""
+    _, _, outer, within = parts.whole
+    order, h = _order(cls, len(within) ** 2), np.empty((len(cls), UNITS + 1), outer.dtype)
+    for a in range(0, len(cls), BATCH):
+        h[a : a + BATCH] = hidden(parts.whole, *_stretch(row, at[a : a + BATCH]))
+    items = _laid(h, len(h), UNITS + 1, 0, UNITS + 1)
     result = np.empty(len(cls))
-    result[order] = np.log(np.maximum(p, 1e-60))
+    for a in range(0, len(cls), BATCH):
+        some = order[a : a + BATCH]
+        group, own, segments = _segments(cls[some], len(within))
+        units = items[some].view(h.dtype).reshape(-1, UNITS + 1)
+        z = units @ outer
+        total = _exp(z)
+        p = (np.take(z, group) / total).astype(np.float64)
+        for g, s in segments:
+            np.dot(units[s], within[g], out=z[s])
+        total = _exp(z)
+        p *= np.take(z, own) / total
+        result[some] = np.log(np.maximum(p, 1e-60))
     return result
 
 
@@ -244,48 +316,52 @@ def _put(rows: np.ndarray, ids: np.ndarray, new: np.ndarray) -> None:
     rows.view(item)[ids] = new.view(item)
 
 
-def step(parts: tuple, squares: tuple, windows: np.ndarray, cls: np.ndarray) -> None:
-    """One AdaGrad step on a batch."""
-    table, _, out, out_bias, inner, inner_bias = parts
-    order, group, own, segments = _segments(cls, len(out_bias))
-    windows, n, rows = windows[:, order], len(cls), np.arange(len(cls))
-    h = hidden(parts, windows)
-    with_one = np.ones((n, h.shape[1] + 1), h.dtype)  # the last unit's slopes are those of the biases
-    with_one[:, :-1] = h
-    p = h @ out
-    p += out_bias
+def step(parts: Parts, squares: Parts, windows: np.ndarray, cls: np.ndarray) -> None:
+    """One AdaGrad step on a batch of words with any neighbours, by place."""
+    step_along(parts, squares, *_apart(windows), cls)
+
+
+def step_along(parts: Parts, squares: Parts, row: np.ndarray, at: np.ndarray, cls: np.ndarray) -> None:
+    """One AdaGrad step on the words cls, whose neighbours are those that the places at have in row."""
+    table, _, outer, within = parts.whole
+    n, order = len(cls), _order(cls, len(within) ** 2)
+    at = at[order]
+    group, own, segments = _segments(cls[order], len(within))
+    h = hidden(parts.whole, row, at)
+    p = h @ outer
     p /= (_exp(p) * n)[:, None]
-    p[rows, group] -= 1 / n
-    q = np.empty_like(p)
-    for g, at in segments:
-        np.matmul(h[at], inner[g], out=q[at])
-    q += np.take(inner_bias, group, axis=0)
+    p.reshape(-1)[group] -= 1 / n
+    q, inner = np.empty_like(p), list(within)
+    mine = [(g, h[s], q[s], s) for g, s in segments]
+    for g, x, y, _ in mine:
+        np.dot(x, inner[g], out=y)
     q /= (_exp(q) * n)[:, None]
-    q[rows, own] -= 1 / n
-    dh, back = p @ out.T, np.empty_like(h)
-    slope, slopes = with_one.T @ p, np.zeros((len(inner), h.shape[1] + 1, inner.shape[2]), h.dtype)
-    for g, at in segments:
-        np.matmul(q[at], inner[g].T, out=back[at])
-        np.matmul(with_one[at].T, q[at], out=slopes[g])
+    q.reshape(-1)[own] -= 1 / n
+    dh, back = p @ outer.T, np.empty_like(h)
+    slope, slopes, turned = h.T @ p, np.zeros_like(within), list(within.transpose(0, 2, 1))
+    for g, x, y, s in mine:
+        np.dot(y, turned[g], out=back[s])
+        np.dot(x.T, y, out=slopes[g])
     dh += back
-    dh *= 1 - h * h
-    for k, g in ((1, dh.sum(axis=0)), (2, slope[:-1]), (3, slope[-1]), (4, slopes[:, :-1]), (5, slopes[:, -1])):
+    dh *= 1 - h * h  # nothing for the one
+    for k, g in ((1, dh.sum(axis=0)[:-1]), (2, slope), (3, slopes)):
         few = max(1, AT_ONCE * len(g) // g.size)
         for a in range(0, len(g), few):
-            parts[k][a : a + few] -= _moves(squares[k][a : a + few], g[a : a + few])
-    # each row of the table, by place and class, is moved once by the sum of its slopes
-    size = table.shape[1]
-    at = (windows + np.arange(0, 2 * SIDE * size, size)[:, None]).ravel()
-    by = _order(at, 2 * SIDE * size)
-    ids = np.take(at, by)
+            parts.whole[k][a : a + few] -= _moves(squares.whole[k][a : a + few], g[a : a + few])
+    # each row of the table is moved once by the sum of the slopes of its class, wherever that stands, for all places
+    spread = np.zeros((len(row) + 2 * SIDE, UNITS), h.dtype)
+    spread[at + SIDE] = dh[:, :-1]
+    by = _order(row, len(table))
+    ids = np.take(row, by)
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    g, runs = _sums(np.take(dh, by, axis=0, mode="wrap"), first)
+    halves = _laid(spread, len(row) + SIDE + 1, SIDE * UNITS, 0, UNITS)[np.stack([by, by + SIDE + 1], axis=1)]
+    g, runs = _sums(halves.view(h.dtype).reshape(len(row), -1), first)
     ids = np.take(ids, np.take(first, runs))
-    weights, sums = (x.reshape(2 * SIDE * size, -1) for x in (table, squares[0]))
-    sum_, weight = np.take(sums, ids, axis=0), np.take(weights, ids, axis=0)
+    sums = squares.whole[0]
+    sum_, weight = np.take(sums, ids, axis=0), np.take(table, ids, axis=0)
     weight -= _moves(sum_, g)
     _put(sums, ids, sum_)
-    _put(weights, ids, weight)
+    _put(table, ids, weight)
 
 
 # Jobs
@@ -390,26 +466,29 @@ def fit(texts: DataFrame, model: Model, rounds: int = ROUNDS, replica_words: int
             weights = model.weights.copy()
             parts, squares = model.parts(weights), model.parts(np.full(len(weights), 1e-3, np.float32))
             seen = 0
-            kept: list[tuple[np.ndarray, np.ndarray]] = []
-            waiting = 0
+            row, at = np.empty(0, np.int32), np.empty(0, np.int64)
+
+            def learn(at: np.ndarray) -> None:
+                step_along(parts, squares, *_stretch(row, at), row[at])
+
             for pdf in batches:
-                ids, lengths = _flat(pdf["ids"])
-                kept.append((windows_of(ids, lengths, model.classes), ids))
-                waiting += len(ids)
-                if waiting >= BATCH:
-                    windows, cls = np.concatenate([w for w, _ in kept], axis=1), np.concatenate([c for _, c in kept])
-                    full = len(cls) // BATCH * BATCH
-                    for at in range(0, full, BATCH):
-                        step(parts, squares, windows[:, at : at + BATCH], cls[at : at + BATCH])
-                    seen += full
-                    kept, waiting = [(windows[:, full:], cls[full:])], len(cls) - full
-            if waiting:
-                step(parts, squares, np.concatenate([w for w, _ in kept], axis=1), np.concatenate([c for _, c in kept]))
-                seen += waiting
+                more, places = padded(*_flat(pdf["ids"]), model.classes)
+                row, at = np.append(row, more), np.append(at, places + len(row))
+                full = len(at) // BATCH * BATCH
+                for a in range(0, full, BATCH):
+                    learn(at[a : a + BATCH])
+                seen += full
+                if full < len(at):
+                    row, at = _stretch(row, at[full:])
+                else:
+                    row, at = row[:0], at[:0]
+            if len(at):
+                learn(at)
+                seen += len(at)
             if seen:
                 own = TaskContext.get().partitionId()
-                for b, at in enumerate(range(0, len(weights), BLOCK)):
-                    yield pd.DataFrame({"replica": [own], "block": [b], "n": [seen], "w": [weights[at : at + BLOCK].astype("<f4").tobytes()]})
+                for b, a in enumerate(range(0, len(weights), BLOCK)):
+                    yield pd.DataFrame({"replica": [own], "block": [b], "n": [seen], "w": [weights[a : a + BLOCK].astype("<f4").tobytes()]})
 
         mine = texts.filter((F.pmod("row", F.lit(rounds)) == k) & (F.col("n_tokens") > 0)).select("ids")
         trained = materialize(map_rows(mine.coalesce(replicas), run, "replica long, block long, n long, w binary"))
@@ -429,8 +508,8 @@ def score_encoded(texts: DataFrame, model: Model) -> DataFrame:
         parts = model.parts(model.weights)
         for pdf in batches:
             ids, lengths = _flat(pdf["ids"])
-            windows = windows_of(ids, lengths, model.classes)
-            logs = [log_probabilities(parts, windows[:, a : a + SCORED], ids[a : a + SCORED]) for a in range(0, len(ids), SCORED)]
+            row, at = padded(ids, lengths, model.classes)
+            logs = [log_probabilities_along(parts, *_stretch(row, at[a : a + SCORED]), ids[a : a + SCORED]) for a in range(0, len(ids), SCORED)]
             sums = np.concatenate(([0.0], np.cumsum(np.concatenate([np.empty(0), *logs]))))
             ends = np.concatenate(([0], np.cumsum(lengths)))
             yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "n_tokens": pdf["n_tokens"], "own": pdf["share"] + np.diff(sums[ends])})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codonweave.llm import language, lm, toxicity
@@ -108,3 +109,38 @@ def test_network_step_against_finite_differences():
         assert slope[k] == pytest.approx(want, abs=3e-6)
         checked += abs(want) > 1e-5
     assert checked > 20
+
+
+def test_network_along_texts_is_that_of_each_words_neighbours():
+    """Words that share the rows of a text score and train as words whose neighbours are given one by one, with softmaxes of long stretches in pieces."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 62, 60, dtype=np.uint64))
+    model = lm.Model(keys, np.sort(rng.integers(1, 40, len(keys)))[::-1].astype(np.int64), {}, len(keys))
+    lengths = np.array([1, 0, 2, 3, 5, 900, 1, 4000, 7])
+    ids = rng.integers(0, model.classes, lengths.sum()).astype(np.int32)
+    texts = np.split(ids, np.cumsum(lengths)[:-1])
+    around = [[t[i + k] if 0 <= i + k < len(t) else model.classes for k in (-2, -1, 1, 2)] for t in texts for i in range(len(t))]
+    row, at = lm.padded(ids, lengths, model.classes)
+    assert np.array_equal(row[at], ids) and [[int(row[p + k]) for k in (-2, -1, 1, 2)] for p in at] == around
+    windows = np.array(around).T
+    weights = (rng.normal(size=len(model.weights)) * 0.3).astype(np.float32)
+    want = np.concatenate([lm.log_probabilities(model.parts(weights), windows[:, [i]], ids[[i]]) for i in range(0, len(ids), 37)])
+    assert lm.log_probabilities_along(model.parts(weights), row, at, ids)[::37] == pytest.approx(want, abs=1e-4)
+    for a, b in ((0, 1), (1, 40), (300, 2348)):
+        one, other = [(weights.copy(), np.full(len(weights), 1e-3, np.float32)) for _ in range(2)]
+        lm.step(*map(model.parts, one), windows[:, a:b], ids[a:b])
+        lm.step_along(*map(model.parts, other), *lm._stretch(row, at[a:b]), ids[a:b])
+        assert (one[0] != weights).any() and one[0] == pytest.approx(other[0], abs=1e-4) and one[1] == pytest.approx(other[1], abs=1e-4)
+
+
+def test_words_are_told_apart_in_pieces(monkeypatch):
+    """What a batch's words are made into stays small, whatever the batch, and is the same in pieces of any size."""
+    texts = pa.array([None, "", "one two", "x" * 5000 + " y", *[f"w{i} The the. \u00fcber{i % 7}" for i in range(400)]], pa.string())
+    keys, lengths = lm.word_keys(texts)
+    model = lm.Model(np.unique(keys)[::2], np.arange(len(np.unique(keys)[::2]), 0, -1), {}, 400)
+    want, seen, real = model.encode(keys), [], lm.split_words
+    monkeypatch.setattr(lm, "KEYED", 256)
+    monkeypatch.setattr(lm, "split_words", lambda t: seen.append(len(t)) or real(t))
+    got = lm.word_keys(texts)
+    assert np.array_equal(got[0], keys) and np.array_equal(got[1], lengths) and len(seen) > 20 and sum(seen) == len(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(model.encode(keys), want))
