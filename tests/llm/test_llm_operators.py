@@ -265,6 +265,14 @@ def test_licenses(spark):
     assert all(d < len(licenses.NOTICES) for d, _ in got)
 
 
+def test_long_license_texts_replace_no_other_template(tmp_path):
+    own = licenses.NOTICES | licenses.TEXTS | licenses.WHOLE
+    for name in {k.rsplit("-", 1)[0] for k in own} | set(own):
+        (tmp_path / name).write_text("some license")
+    assert not own.keys() & licenses.long_texts(str(tmp_path)).keys()
+    assert licenses.TEMPLATES.items() >= own.items()
+
+
 def test_license_texts_of_any_length(spark):
     own = licenses.TEXTS | licenses.WHOLE
     texts = ["intro words " + t.upper() + " and more" for t in own.values()] + ["all the rights are reserved by mit", "", None, "All rights\nreserved"]
