@@ -241,9 +241,12 @@ def intersect_regions(a: DataFrame, b: DataFrame, keys: list[str], *more: DataFr
     return intersect_regions(out, more[0], keys, *more[1:]) if more else out
 
 
-def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Column | int, among: DataFrame | None = None, width: int = SWEEP) -> DataFrame:
+def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Column | int, among: DataFrame | None = None, width: int = SWEEP, cut: bool = True) -> DataFrame:
     """What lies from lo to hi outside the intervals of each key.
 
+    cut: gaps between two intervals end at lo and hi. If not, they stay whole wherever they lie; lo and hi then bound only what
+    lies before the first and behind the last interval.
+
     among: a table of all keys, one row each; lo and hi may then be columns of it, as chromosome sizes are. A key without
     intervals gives its whole range. Without it the keys are those of df. Any bounds within +-2^62 will do; the work depends on the intervals alone."""
     fixed = among is None
@@ -255,9 +258,10 @@ def complement_region(df: DataFrame, keys: list[str], lo: Column | int, hi: Colu
     else:
         named = among.select(F.struct(*keys).alias("_k"), lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"))
         begun, ends = begun.join(named, "_k"), named.join(ends, "_k", "left")
-    start = F.greatest(F.coalesce(F.col("_before") + 1, "_lo"), "_lo")
-    inner = begun.select("_k", start.alias("a"), F.least(F.col("start") - 1, "_hi").alias("b"))
-    tail = ends.select("_k", F.greatest(F.coalesce(F.col("_end") + 1, "_lo"), "_lo").alias("a"), F.col("_hi").alias("b"))
+    start, stop = F.coalesce(F.col("_before") + 1, "_lo"), F.col("start") - 1
+    inner = begun.select("_k", (F.greatest(start, "_lo") if cut else start).alias("a"), (F.least(stop, "_hi") if cut else stop).alias("b"))
+    after = F.coalesce(F.col("_end") + 1, "_lo")
+    tail = ends.select("_k", (F.greatest(after, "_lo") if cut else after).alias("a"), F.col("_hi").alias("b"))
     return inner.unionByName(tail).filter("a <= b").select(*[F.col(f"_k.`{k}`") for k in keys], F.col("a").alias("start"), F.col("b").alias("stop"))
 
 
