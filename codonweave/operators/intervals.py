@@ -29,6 +29,8 @@ SWEEP, GROUP, MANY_BINS = 1 << 16, 16, 1 << 20
 
 #: Points that a leaf or a share of one has, about; points that cuts are taken from, and how often space is halved at most.
 SHARE, SAMPLE, MOST_DEPTH = 1 << 16, 20_000, 12
+#: Boxes of one shape that are listed in one row, about.
+ALIKE = 1 << 10
 
 _TOP = 63
 
@@ -311,11 +313,20 @@ def _splits(sample: list[tuple[float, float]], depth: int) -> list[float]:
     return out
 
 
+def _shapes(boxes: DataFrame) -> DataFrame:
+    """(xmin, xmax, ymin, ymax, _boxes): what else the rows with these ends have, in lists of ALIKE or so; equal rows share a list."""
+    ends = ["xmin", "xmax", "ymin", "ymax"]
+    rows = boxes.select(*ends, F.struct(*[F.col(f"`{c}`") for c in boxes.columns if c not in ends] or [F.lit(0)]).alias("_box"), _share(boxes, F.lit(1 << 62)).alias("_spot"))
+    many = boxes.groupBy(*ends).agg(F.ceil(F.count("*") / ALIKE).cast("long").alias("_n")).filter("_n > 1")
+    rows = rows.join(many, ends, "left").withColumn("_list", F.col("_spot") % F.coalesce("_n", F.lit(1)))
+    return rows.groupBy(*ends, "_list").agg(F.collect_list("_box").alias("_boxes")).drop("_list")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, share: int = SHARE) -> DataFrame:
     """Each point (x, y, ...) with each box (xmin, xmax, ymin, ymax, ...) that holds it, edges included; a null coordinate is nowhere.
 
-    Space is cut into leaves by halving a sample of points, bounded by SAMPLE; the cuts decide where pairs meet, not which. A box is listed in
-    each leaf that it touches. Points of a leaf that has more than `share` of them, as where one place repeats, are dealt over
+    Space is cut into leaves by halving a sample of points, bounded by SAMPLE; the cuts decide where pairs meet, not which. Boxes of one shape
+    are compared once, in lists of ALIKE or so, and listed in each leaf that they touch. Points of a leaf that has more than `share` of them, as where one place repeats, are dealt over
     several shares, to each of which the leaf's boxes go."""
     own = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
     rows = own.count()
@@ -337,12 +348,15 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, share: int = SHARE) ->
         F.when(at(k, "xmax", "ymax") > F.element_at(splits, n + 1), F.array(2 * n + 1)).otherwise(F.array().cast("array<int>")),
     ))))
     p = own.withColumn("_leaf", leaf)
-    b = boxes.filter("xmin <= xmax and ymin <= ymax").withColumn("_leaf", F.explode(nodes))
+    b = _shapes(boxes.filter("xmin <= xmax and ymin <= ymax")).withColumn("_leaf", F.explode(nodes))
     sizes = p.groupBy("_leaf").agg(F.ceil(F.count("*") / share).cast("long").alias("_n")).filter("_n > 1")  # of 2^MOST_DEPTH leaves at most
     p = p.join(F.broadcast(sizes), "_leaf", "left").withColumn("_s", _share(own, F.coalesce("_n", F.lit(1).cast("long")))).drop("_n")
     b = b.join(F.broadcast(sizes), "_leaf", "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
     inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
-    return p.join(b, ["_leaf", "_s"]).filter(inside).drop("_leaf", "_s")
+    # the tables are small beside their pairs, so a merge in as many tasks as the session has, not in as few as the tables' size would give
+    p = p.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_leaf", "_s")
+    pairs = p.join(b.hint("merge"), ["_leaf", "_s"]).filter(inside).withColumn("_box", F.explode("_boxes"))
+    return pairs.select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(f"`{c}`" if c in pairs.columns else f"_box.`{c}`") for c in boxes.columns])
 
 
 def intervals_length(df: DataFrame, keys: list[str]) -> DataFrame:

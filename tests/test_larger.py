@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from codonweave.operators import intervals
 from codonweave.plans import catalog
 from test_catalog import normal
 
@@ -31,3 +32,18 @@ def test_complement_beyond_the_last_bound(sf_dir, same_as_sql):
     items = pd.read_parquet(f"{sf_dir}/lineitem.parquet")
     items["l_orderkey"] += 100_000_000 // 30 - items["l_orderkey"].max() // 2
     same_as_sql("complement_region", lineitem=items)
+
+
+def test_boxes_of_one_shape_are_compared_once(spark, monkeypatch):
+    """Many boxes of few shapes, in lists: as many comparisons as lists, and the pairs that a loop gives."""
+    monkeypatch.setattr(intervals, "ALIKE", 16)
+    shapes = [(0.0, 2.0, 0.0, 2.0), (1.0, 1.0, 1.0, 5.0), (3.0, 9.0, -1.0, 4.0), (5.0, 4.0, 0.0, 9.0), (0.0, None, 0.0, 9.0)]
+    boxes = [(i, *shapes[i % 5], "odd" if i % 2 else None) for i in range(400)]
+    points = [(k, float(k % 7), float(k % 5)) for k in range(60)] + [(60, None, 1.0)]
+    p = spark.createDataFrame(points, "k int, x double, y double")
+    b = spark.createDataFrame(boxes, "j int, xmin double, xmax double, ymin double, ymax double, note string")
+    assert intervals._shapes(b.filter("xmin <= xmax")).count() <= 3 * -(-80 // 16)
+    found = intervals.points_in_boxes(p, b, share=8)
+    assert found.columns == ["k", "x", "y", *b.columns]
+    want = [(*q, *r) for q in points for r in boxes if q[1] is not None and r[2] is not None and r[1] <= q[1] <= r[2] and r[3] <= q[2] <= r[4]]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str) and want
