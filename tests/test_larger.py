@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+
 import duckdb
 import pandas as pd
 import pytest
 
-from codonweave.operators import intervals
+from codonweave.operators import intervals, rounds
 from codonweave.plans import catalog
 from test_catalog import normal
 
@@ -47,3 +49,22 @@ def test_boxes_of_one_shape_are_compared_once(spark, monkeypatch):
     assert found.columns == ["k", "x", "y", *b.columns]
     want = [(*q, *r) for q in points for r in boxes if q[1] is not None and r[2] is not None and r[1] <= q[1] <= r[2] and r[3] <= q[2] <= r[4]]
     assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str) and want
+
+
+def left(spark) -> set[str]:
+    return set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/*"))
+
+
+@pytest.mark.parametrize("name", ["classify"])
+def test_regions_in_rounds(spark, sf_dir, monkeypatch, name):
+    """Three rounds or more give the rows of the SQL; what they wrote on their way is gone, and so are their shuffle files."""
+    rounds_made, put = [], rounds.stored_in_turn
+    monkeypatch.setattr(rounds, "ROUND", 2500)
+    monkeypatch.setattr(rounds, "stored_in_turn", lambda makes: rounds_made.append(len(makes)) or put(makes))
+    before = left(spark)
+    found = catalog.queries()[name](spark, sf_dir)
+    assert rounds_made and min(rounds_made) >= 3
+    assert len(left(spark) - before) <= 3  # both inputs and the result
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{sf_dir}/lineitem.parquet'")
+    pd.testing.assert_frame_equal(normal(found.toPandas()), normal(con.sql(catalog.oracle_sql()[name]).df()))
