@@ -66,9 +66,7 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_IN + ", " + _CLASS + ", " + _EXT + " select rid, chrom, strand, start, stop from extension")
 def extension_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reg, coding, pseudo = _kinds(spark, sf_dir)
-    found = materialize(regions.evidence(reg, coding, pseudo))
-    return regions.extension_regions(regions.classify(reg, coding, pseudo, found), coding, pseudo, found)
+    return regions.extensions(*_kinds(spark, sf_dir)).drop("p_start", "p_stop")
 
 
 _NAME = "chrom || ':' || start || '-' || stop || ':' || strand"

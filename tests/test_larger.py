@@ -55,7 +55,7 @@ def left(spark) -> set[str]:
     return set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/*"))
 
 
-@pytest.mark.parametrize("name", ["classify"])
+@pytest.mark.parametrize("name", ["classify", "extension_regions"])
 def test_regions_in_rounds(spark, sf_dir, monkeypatch, name):
     """Three rounds or more give the rows of the SQL; what they wrote on their way is gone, and so are their shuffle files."""
     rounds_made, put = [], rounds.stored_in_turn
