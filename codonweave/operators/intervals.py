@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from codonweave import session
+from codonweave.operators.rounds import by_place
 from codonweave.session import materialize, scratch
 
 #: Least width of the bins of overlap joins, and by how many bits the next widths are larger.
@@ -75,7 +77,7 @@ def _hot(stored: DataFrame, probing: DataFrame, on: list[str], levels: list[int]
     wide = wide.select(*on, F.col("_w.level").alias("_level"), F.expr("shiftright(_b, _w.level - _l)").alias("_bin"), "n").groupBy(*on, "_level", "_bin").agg(F.sum("n").alias("m"))
     both = stored.join(wide, [*on, "_level", "_bin"]).filter((F.col("n") > HOT) | (F.col("m") > HOT))
     shares = both.select(*on, "_level", "_bin", F.ceil(F.col("n") / HOT).cast("long").alias("_s"), F.ceil(F.col("m") / HOT).cast("long").alias("_p"))
-    hot = materialize(shares)
+    hot = session.stored(shares)
     return None if hot.isEmpty() else hot
 
 
@@ -92,7 +94,7 @@ class _Side:
 
     def __init__(self, rows: DataFrame, start: str, stop: str, written: bool = False) -> None:
         rows = rows.filter(f"{start} <= {stop}")
-        self.rows, self.start, self.stop = rows if written else materialize(rows), start, stop
+        self.rows, self.start, self.stop = rows if written else session.stored(rows), start, stop
 
     def spots(self, on: list[str], base: int) -> DataFrame:
         own = self.rows.select(*[F.col(f"`{c}`") for c in on], self.start, self.stop)
@@ -101,7 +103,7 @@ class _Side:
 
 def _meetings(a: _Side, b: _Side, on: list[str], base: int, how: str) -> list[DataFrame]:
     """Joins of a's with b's rows that between them find every overlapping pair once (how: inner) or a's rows that have one (left_semi)."""
-    counts = materialize(a.spots(on, base).withColumn("_side", F.lit(0)).unionByName(b.spots(on, base).withColumn("_side", F.lit(1))))
+    counts = session.stored(a.spots(on, base).withColumn("_side", F.lit(0)).unionByName(b.spots(on, base).withColumn("_side", F.lit(1))))
     known = {side: (sorted(levels), rows) for side, levels, rows in counts.groupBy("_side").agg(F.collect_set("_level"), F.sum("n")).collect()}
     if len(known) < 2:
         return []
@@ -147,7 +149,7 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: int = BIN, ho
         if not found:
             return a.limit(0).join(right.rows.limit(0), on).select(*[F.col(f"`{c}`") for c in names])
         return reduce(DataFrame.unionByName, [x.select(*[F.col(f"`{c}`") for c in names]) for x in found])
-    rows = materialize(a.withColumn("_row", F.monotonically_increasing_id()))  # a number that stays, whatever a's columns are
+    rows = session.stored(a.withColumn("_row", F.monotonically_increasing_id()))  # a number that stays, whatever a's columns are
     left = _Side(rows.select("_row", *[F.col(f"`{c}`") for c in on], "start", "stop"), "start", "stop", written=True)
     spots = other.select(*[F.col(f"`{c}`") for c in on], "b_start", "b_stop")
     found = _meetings(left, _Side(spots, "b_start", "b_stop"), on, base, "left_semi")
@@ -289,14 +291,22 @@ def subtract_regions(a: DataFrame, b: DataFrame, keys: list[str], row: str) -> D
     return left.unionByName(own.join(b.filter("start <= stop").select(*keys).distinct(), keys, "left_anti").select(left.columns))
 
 
-def overlapping_transcripts(intervals: DataFrame, segments: DataFrame, row: str, strands: list[str] | None = None) -> DataFrame:
+def overlapping_transcripts(intervals: DataFrame, segments: DataFrame, row: str, strands: list[str] | None = None, unique: bool = False) -> DataFrame:
     """Distinct (row, tr_id): transcripts with a segment (tr_id, chrom, strand, start, stop) that overlaps an interval.
 
-    intervals: several rows may share a name. strands: of the segments; both if left out."""
-    own = segments.select("chrom", "start", "stop", "tr_id", F.col("strand").alias("tr_strand"))
-    if strands is not None:
-        own = own.filter(F.col("tr_strand").isin(strands))
-    return overlap_join(intervals.select(row, "chrom", "start", "stop"), own, ["chrom"]).select(row, "tr_id").distinct()
+    intervals: several rows may share a name, unless `unique` says that none do. Then no pairs are compared: of a transcript's segments in order that overlap an
+    interval, the first is the one before which all others end before it, and many intervals go in rounds. strands: of the segments; both if left out."""
+    own = segments if strands is None else segments.filter(F.col("strand").isin(strands))
+    own, rows = own.filter("start <= stop").select("chrom", "start", "stop", "tr_id"), intervals.select(row, "chrom", "start", "stop")
+    if not unique:
+        return overlap_join(rows, own, ["chrom"]).select(row, "tr_id").distinct()
+    earlier = W.partitionBy("tr_id", "chrom").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
+    own = session.stored(own.withColumn("_past", F.max("stop").over(earlier)))
+
+    def part(a: DataFrame, b: DataFrame) -> DataFrame:
+        return overlap_join(a, b, ["chrom"], written=True).filter("_past is null or _past < start").select(row, "tr_id")
+
+    return by_place(session.once(rows, intervals), [own], part)
 
 
 def _splits(sample: list[tuple[float, float]], depth: int) -> list[float]:

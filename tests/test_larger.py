@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import random
 
 import duckdb
 import pandas as pd
@@ -10,6 +11,7 @@ import pytest
 
 from codonweave.operators import intervals, rounds
 from codonweave.plans import catalog
+from codonweave.session import stored
 from test_catalog import normal
 
 
@@ -55,7 +57,7 @@ def left(spark) -> set[str]:
     return set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/*"))
 
 
-@pytest.mark.parametrize("name", ["classify", "extension_regions"])
+@pytest.mark.parametrize("name", ["overlapping_transcripts", "classify", "extension_regions", "classify_regions"])
 def test_regions_in_rounds(spark, sf_dir, monkeypatch, name):
     """Three rounds or more give the rows of the SQL; what they wrote on their way is gone, and so are their shuffle files."""
     rounds_made, put = [], rounds.stored_in_turn
@@ -68,3 +70,21 @@ def test_regions_in_rounds(spark, sf_dir, monkeypatch, name):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{sf_dir}/lineitem.parquet'")
     pd.testing.assert_frame_equal(normal(found.toPandas()), normal(con.sql(catalog.oracle_sql()[name]).df()))
+
+
+def test_rows_without_place_in_rounds(spark, monkeypatch):
+    """Nulls, empty intervals, equal places and segments that hold others: as a loop has them, in rounds and in one go, of unique names and others."""
+    rng = random.Random(5)
+    spans = [(f"r{k}", rng.choice(["a", "b", "é", None]), a, a + rng.choice([0, 3, 60, 900, -1])) for k in range(120) for a in [rng.choice([0, 500, 4000, 9000]) + rng.randrange(40)]]
+    spans += [("n1", "a", None, 5), ("n2", "a", 5, None), ("n3", "b", -(1 << 61), 1 << 61)]
+    parts = [(rng.choice([*range(12), None]), rng.choice(["a", "b", "é", None]), rng.choice("+-"), a, a + rng.choice([0, 9, 80, 5000, -2])) for _ in range(150) for a in [rng.randrange(-50, 9800)]]
+    regs = spark.createDataFrame(spans, "name string, chrom string, start long, stop long")
+    segs = spark.createDataFrame(parts, "tr_id int, chrom string, strand string, start long, stop long")
+    want = sorted({(n, t) for n, c, a, z in spans for t, d, _, b, y in parts if None not in (a, z, c, d) and c == d and a <= z and b <= y and a <= y and b <= z}, key=str)
+    for most in (20, rounds.ROUND):
+        monkeypatch.setattr(rounds, "ROUND", most)
+        for unique in (True, False):
+            assert sorted((tuple(r) for r in intervals.overlapping_transcripts(regs, segs, "name", unique=unique).collect()), key=str) == want
+    monkeypatch.setattr(rounds, "ROUND", 20)
+    table = stored(regs)
+    assert sorted(map(str, rounds.by_place(table, [], lambda own: own).collect())) == sorted(map(str, regs.collect()))
