@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from codonweave.operators import intervals, rounds
+from codonweave.operators import intervals, rounds, scoring
 from codonweave.plans import catalog
 from codonweave.session import stored
 from test_catalog import normal
@@ -57,7 +57,7 @@ def left(spark) -> set[str]:
     return set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/*"))
 
 
-@pytest.mark.parametrize("name", ["overlapping_transcripts", "classify", "extension_regions", "classify_regions"])
+@pytest.mark.parametrize("name", ["overlapping_transcripts", "classify", "extension_regions", "classify_regions", "score_fields", "unscored_regions"])
 def test_regions_in_rounds(spark, sf_dir, monkeypatch, name):
     """Three rounds or more give the rows of the SQL; what they wrote on their way is gone, and so are their shuffle files."""
     rounds_made, put = [], rounds.stored_in_turn
@@ -66,7 +66,7 @@ def test_regions_in_rounds(spark, sf_dir, monkeypatch, name):
     before = left(spark)
     found = catalog.queries()[name](spark, sf_dir)
     assert rounds_made and min(rounds_made) >= 3
-    assert len(left(spark) - before) <= 3  # both inputs and the result
+    assert len(left(spark) - before) <= 3  # two inputs and the result
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{sf_dir}/lineitem.parquet'")
     pd.testing.assert_frame_equal(normal(found.toPandas()), normal(con.sql(catalog.oracle_sql()[name]).df()))
@@ -88,3 +88,27 @@ def test_rows_without_place_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(rounds, "ROUND", 20)
     table = stored(regs)
     assert sorted(map(str, rounds.by_place(table, [], lambda own: own).collect())) == sorted(map(str, regs.collect()))
+
+
+def test_scores_of_any_strand_in_rounds(spark, monkeypatch):
+    """Own and antisense scores of regions on '+', '-', '.' and no strand, missing and failed ones: as a loop has them."""
+    rng = random.Random(8)
+    place = lambda: (rng.choice(["a", None] + ["b"] * 6), rng.randrange(0, 30), rng.choice(["+", "-", ".", None]))
+    regs = [(f"r{k}", c, s, a, a + 5) for k in range(300) for c, a, s in [place()]] + [("n", "b", "+", None, 5)]
+    known = {(c, a, a + 5, s): (rng.choice(["ok", "ok", "failure", None]), rng.choice([1.5, 3.0, None]), rng.choice([0.5, None])) for c, a, s in (place() for _ in range(150))}
+    keys = "chrom string, start long, stop long, strand string"
+    a = spark.createDataFrame(regs, "rid string, chrom string, strand string, start long, stop long")
+    b = spark.createDataFrame([(*k, *v) for k, v in known.items()], f"{keys}, status string, raw double, bls double")
+    met = {k: v for k, v in known.items() if None not in k}
+    want = []
+    for r, c, s, x, z in regs:
+        by = 0 if x is None else 2 if s == "+" else -2
+        own = met.get((c, x, z, s), (None, None, None))
+        anti = met.get((c, x + by, z + by, {"+": "-", "-": "+"}.get(s, s)), (None, None, None)) if x is not None else (None, None, None)
+        raw, other = own[1], anti[1] if anti[0] not in (None, "failure") else None
+        want.append((r, own[2], raw and raw / 2, other and other / 2, raw and raw / 2 - (other or 0) / 2))
+    for most in (40, rounds.ROUND):
+        monkeypatch.setattr(rounds, "ROUND", most)
+        got = scoring.add_score_fields(a, b).select("rid", "bls", "score_per_codon", "anti_score_per_codon", "score_diff")
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert len({w[2:4] for w in want}) > 6
