@@ -9,8 +9,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from codonweave.operators import intervals, rounds, scoring
-from codonweave.plans import catalog
+from pyspark.sql import functions as F
+
+from codonweave.operators import intervals, regions, rounds, scoring
+from codonweave.plans import catalog, region_queries
+from codonweave.plans.inputs import derived
 from codonweave.session import stored
 from test_catalog import normal
 
@@ -112,3 +115,18 @@ def test_scores_of_any_strand_in_rounds(spark, monkeypatch):
         got = scoring.add_score_fields(a, b).select("rid", "bls", "score_per_codon", "anti_score_per_codon", "score_diff")
         assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     assert len({w[2:4] for w in want}) > 6
+
+
+def test_candidates_in_rounds(spark, sf_dir, monkeypatch):
+    """The candidates that the operators find in one go; only the scored rows and the ranked ones are left."""
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    table = regions.classify_regions(*region_queries._kinds(spark, larger))
+    keys = ["chrom", "start", "stop", "strand"]
+    scores = derived(spark, larger, "scores").groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("status", "raw", "bls")])
+    want = {tuple(r) for r in scoring.candidate_regions(table, scores, 200).select("rid", "name", *keys).collect()}
+    monkeypatch.setattr(rounds, "ROUND", 25_000)
+    before = left(spark)
+    found = catalog.queries()["candidate_regions"](spark, larger)
+    assert len(left(spark) - before) == 2
+    rows = found.select("rid", "name", *keys, "rank").collect()
+    assert {tuple(r)[:-1] for r in rows} == want and sorted(r["rank"] for r in rows) == list(range(1, len(want) + 1))
